@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstack.llm.bpe import op1_byte_bpe
 from quillstack.llm.decontaminate import op10_decontaminate
 from quillstack.llm.jaccard import op5_jaccard_join
 from quillstack.llm.line_dedup import op6_line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op10_decontaminate": op10_decontaminate,
