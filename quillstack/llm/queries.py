@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstack.llm.bpe import op1_byte_bpe
+from quillstack.llm.brown import op8_lm_scores
 from quillstack.llm.decontaminate import op10_decontaminate
 from quillstack.llm.fingerprints import op2_fingerprints
 from quillstack.llm.jaccard import op5_jaccard_join
 from quillstack.llm.line_dedup import op6_line_dedup
 from quillstack.llm.pii import op3_pii
+from quillstack.llm.quality import op7_quality
 from quillstack.llm.secrets import op9_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_fingerprints": op2_fingerprints,
     "op3_pii": op3_pii,
+    "op7_quality": op7_quality,
+    "op8_lm_scores": op8_lm_scores,
     "op9_secrets": op9_secrets,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
