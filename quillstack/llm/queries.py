@@ -12,6 +12,7 @@ from quillstack.llm.decontaminate import op10_decontaminate
 from quillstack.llm.fingerprints import op2_fingerprints
 from quillstack.llm.jaccard import op5_jaccard_join
 from quillstack.llm.line_dedup import op6_line_dedup
+from quillstack.llm.main_text import op4_main_text
 from quillstack.llm.pii import op3_pii
 from quillstack.llm.quality import op7_quality
 from quillstack.llm.secrets import op9_secrets
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_lm_scores": op8_lm_scores,
     "op9_secrets": op9_secrets,
+    "op4_main_text": op4_main_text,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op10_decontaminate": op10_decontaminate,
