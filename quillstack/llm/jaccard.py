@@ -14,6 +14,8 @@ thousands of near copies costs one pair a member.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,7 +27,12 @@ from quillstack.session import materialize, table
 
 _U = np.uint64
 #: Coordinates of the point by which pairs are bounded.
-GROUPS = 32
+GROUPS = 64
+#: Points of a leaf; members of a cell that one task compares with as many others. Larger cells are cut in blocks,
+#: and each two blocks meet in a cell of their own.
+LEAF, BLOCK = 128, 512
+#: Rows (two longs each) of the table of sets to verify, up to which it is broadcast to the texts.
+BROADCAST_ROWS = 1_000_000
 
 
 class Cells:
@@ -132,11 +139,11 @@ def _sizes(k: int):
 
 def _points(k: int):
     def work(batch: pa.RecordBatch) -> list:
-        h, at, _ = _sets(batch, k)
+        h, at, key = _sets(batch, k)
         n = np.diff(at)
-        cell = np.repeat(np.arange(len(n)), n) * GROUPS + (mix(h) >> _U(59)).astype(np.int64)
+        cell = np.repeat(np.arange(len(n)), n) * GROUPS + (mix(h) >> _U(58)).astype(np.int64)
         counts = np.bincount(cell, minlength=len(n) * GROUPS)
-        return [_list(counts.astype(np.int64), np.arange(len(n) + 1) * GROUPS), _list(h, at)]
+        return [key.view(np.int64), _list(counts.astype(np.int64), np.arange(len(n) + 1) * GROUPS), _list(h, at)]
 
     return work
 
@@ -176,19 +183,119 @@ class _Emit:
         return [pa.LargeListArray.from_arrays(pa.array(at_row, pa.int64()), pa.StructArray.from_arrays(signed, ["sig", "key", "head"]))]
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+class _Within:
+    """Links within cells that join different roots, as many as join all that link. Rows come sorted by cell.
 
+    Pairs are bounded by their points, then verified from the nearest on, unless links have joined them already.
+    """
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that link: first the bound by summed minima, then the overlap of the sets."""
-    side = lambda x, c: sets.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col(c).alias(f"{c}{x}"))
-    reach = lambda overlap: overlap * (den + num) >= num * (F.col("na") + F.col("nb"))
-    near = pairs.join(side("a", "point"), "a").join(side("b", "point"), "b")
-    bound = F.aggregate(F.zip_with("pointa", "pointb", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda s, x: s + x)
-    near = materialize(near.where(reach(bound)).select("a", "b"), "near")
-    whole = near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b")
-    return whole.where(reach(F.size(F.array_intersect("hashesa", "hashesb")))).select("a", "b")
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            if held and held[0].column(0)[0].as_py() == cell[-1]:
+                held.append(batch)  # one cell goes on; its rows are at most two blocks
+                continue
+            last = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if cell[0] != cell[-1] else 0
+            yield from self.compare([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        yield from self.compare(held)
+
+    def compare(self, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches) if batches else None
+        if rows is None or not rows.num_rows:
+            return
+        cell, side, key, root, n = (rows.column(i).to_numpy() for i in range(5))
+        point = rows.column(5).combine_chunks().flatten().to_numpy().reshape(-1, GROUPS).astype(np.int32)
+        hashes = rows.column(6).combine_chunks()
+        ends, hashes = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+        size = np.diff(cuts)
+        found = []
+
+        def test(x: np.ndarray, y: np.ndarray) -> None:
+            ok = (root[x] != root[y]) & ((side[x] < 0) | (side[x] != side[y]))
+            x, y = x[ok], y[ok]
+            for at in range(0, len(x), 20_000):
+                p, q = x[at : at + 20_000], y[at : at + 20_000]
+                bound = np.minimum(point[p], point[q]).sum(1, dtype=np.int64)
+                spare = bound * (self.den + self.num) - self.num * (n[p] + n[q])
+                ok = spare >= 0
+                found.append(np.stack([spare[ok], p[ok], q[ok]], 1))
+
+        for s in np.unique(size[(size > 1) & (size <= LEAF)]):  # cells of one leaf, all of a size at once
+            i, j = np.triu_indices(s, 1)
+            start = cuts[:-1][size == s]
+            for part in np.array_split(start, max(1, len(start) * len(i) // 200_000)):
+                test((part[:, None] + i).ravel(), (part[:, None] + j).ravel())
+        for c in np.flatnonzero(size > LEAF):
+            leaves = [np.arange(k, min(k + LEAF, cuts[c + 1])) for k in range(cuts[c], cuts[c + 1], LEAF)]
+            tops, least = [point[x].max(0) for x in leaves], [n[x].min() for x in leaves]
+            for u in range(len(leaves)):
+                for v in range(u, len(leaves)):
+                    if np.minimum(tops[u], tops[v]).sum(dtype=np.int64) * (self.den + self.num) >= self.num * (least[u] + least[v]):
+                        x, y = (z.ravel() for z in np.meshgrid(leaves[u], leaves[v], indexing="ij"))
+                        test(x[x < y], y[x < y])
+        if not found:
+            return
+        near = np.concatenate(found)
+        up: dict[int, int] = {}
+        a, b = [], []
+        for x, y in near[np.argsort(-near[:, 0], kind="stable"), 1:].tolist():
+            u, v = _top(up, int(root[x])), _top(up, int(root[y]))
+            if u != v:
+                both = len(np.intersect1d(hashes[ends[x] : ends[x + 1]], hashes[ends[y] : ends[y + 1]], assume_unique=True))
+                if both * (self.den + self.num) >= self.num * (n[x] + n[y]):
+                    up[u] = v
+                    a.append(key[x])
+                    b.append(key[y])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _top(up: dict[int, int], x: int) -> int:
+    while x in up:
+        if up[x] in up:
+            up[x] = up[up[x]]
+        x = up[x]
+    return x
+
+
+def _within_cells(members: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the different roots within each `sig` of `members` (sig, key, root).
+
+    Cells that share members are put together first, so that a pair is compared once and not once a cell.
+    """
+    split = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    split = materialize(members.join(split.select("sig", "low"), "sig"), "open")
+    group = components(split.select(F.col("low").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    rows = materialize(split.select("key", "root").distinct().join(group, "root"), "grouped")
+    blocks = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    rows = rows.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cell = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
+    return _compared(rows.select(cell.alias("cell"), side.cast("long").alias("side"), "key", "root"), sets, num, den)
+
+
+def _compared(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) within the cells of rows (cell, side, key, root); a set goes along once for each of its cells."""
+    rows = rows.join(sets.select("key", "n", "point", "hashes"), "key")
+    rows = rows.select("cell", "side", "key", "root", "n", "point", "hashes").repartition("cell").sortWithinPartitions("cell", "n")
+    return rows.mapInArrow(_Within(num, den), "a long, b long")
+
+
+def _with_heads(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Links among pairs (key, head); the keys of a head are dealt into cells, and the head goes to each."""
+    pairs = materialize(pairs.where("key != head").distinct(), "pairs")
+    blocks = materialize(pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks")), "heads")
+    cell = lambda part: F.xxhash64("head", part).alias("cell")
+    keys = pairs.join(blocks, "head").select(cell(F.pmod(F.xxhash64("key"), F.col("blocks"))), F.lit(1).cast("long").alias("side"), "key")
+    heads = blocks.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part")).select(cell("part"), F.lit(0).cast("long").alias("side"), F.col("head").alias("key"))
+    return _compared(keys.union(heads).withColumn("root", F.col("key")), sets, num, den)
 
 
 def jaccard_components(
@@ -209,27 +316,23 @@ def jaccard_components(
     # Cells: rows that are the first of their task meet under the signature; others already have their first.
     rows = map_texts(slim, "txt", [], "sigs array<struct<sig: long, key: long, head: long>>", lambda: _Emit(shingle, num, den)).select(F.inline("sigs"))
     apart = F.when(F.col("key") == F.col("head"), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.col("key"), F.lit(1024)))
-    cell = Window.partitionBy("sig", apart)
-    rows = rows.select("sig", "key", "head", apart.alias("apart")).withColumn("low", F.min("key").over(cell)).withColumn("high", F.max("key").over(cell))
+    cell = Window.partitionBy("sig", "apart")
+    rows = rows.select("sig", "key", "head", apart.cast("int").alias("apart")).select("*", F.min("key").over(cell).alias("low"), F.max("key").over(cell).alias("high"))
     live = rows.where("apart > 0 or low < high").select("sig", "key", F.when(F.col("apart") > 0, F.col("head")).otherwise(F.col("low")).alias("head"))
     live = materialize(live, "cells")
 
     wanted = live.select("key").union(live.select("head")).distinct()
-    chosen = materialize(first.join(wanted, "key").select("key", F.col("first").alias("id")), "chosen")
-    sets = map_texts(slim.join(chosen, "id"), "txt", ["key"], "point array<long>, hashes array<long>", lambda: _points(shingle))
-    sets = materialize(sets.withColumn("n", F.size("hashes").cast("long")).dropDuplicates(["key"]), "hashes")
+    chosen = materialize(first.join(wanted, "key").select(F.col("key").alias("of"), F.col("first").alias("id")), "chosen")
+    few = chosen.count() <= BROADCAST_ROWS  # beyond that the texts are shuffled
+    sets = map_texts(slim.join(F.broadcast(chosen) if few else chosen, "id"), "txt", ["of"], "key long, point array<long>, hashes array<long>", lambda: _points(shingle))
+    sets = materialize(sets.where("key = of").withColumn("n", F.size("hashes").cast("long")).dropDuplicates(["key"]), "hashes")
 
-    links = materialize(_verified(_pairs(live.select(F.col("key").alias("x"), F.col("head").alias("y"))), sets, num, den), "links")
+    links = materialize(_with_heads(live.select("key", "head"), sets, num, den), "links")
     root = components(links)
     member = live.select("sig", "key").union(live.select("sig", F.col("head").alias("key"))).distinct()
     member = member.join(root.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
     member = materialize(member, "members")
-    split = member.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
-    open_ = materialize(member.join(split, "sig"), "open")
-    other = open_.select("sig", F.col("key").alias("y"), F.col("root").alias("ry"))
-    tried = _pairs(live.select(F.col("key").alias("x"), F.col("head").alias("y")))
-    rest = _pairs(open_.withColumnRenamed("key", "x").join(other, "sig").where("root < ry").select("x", "y")).join(tried, ["a", "b"], "left_anti")
-    more = materialize(_verified(rest, sets, num, den), "links")
+    more = materialize(_within_cells(member, sets, num, den), "links")
     if not more.isEmpty():
         root = components(links.union(more))
 
