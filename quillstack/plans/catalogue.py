@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from quillstack.plans import corpus_queries
+from quillstack.plans import corpus_queries, eval_queries, ingest_queries, step_queries
 
-QUERIES = {**corpus_queries.QUERIES}
-SQL = {**corpus_queries.SQL}
+_PARTS = (ingest_queries.catalogue, step_queries.catalogue, eval_queries.catalogue)
+QUERIES, SQL = dict(corpus_queries.QUERIES), dict(corpus_queries.SQL)
+for _part in _PARTS:
+    QUERIES |= _part.queries
+    SQL |= _part.sql
