@@ -65,7 +65,7 @@ class Merges:
         for token, rank in ranks.items():
             tokens[rank] = base64.b64encode(token).decode()
         self.shift, self.owner, self.value = (json.dumps(x.tolist()) for x in (shift, owner, value))
-        self.bytes, self.tokens = json.dumps([ranks.get(bytes([b]), -1) for b in range(256)]), json.dumps(tokens)
+        self.single, self.tokens = json.dumps([ranks.get(bytes([b]), -1) for b in range(256)]), json.dumps(tokens)
         self.apart = {token: rank for token, rank in ranks.items() if _folded(token, ranks) != [rank]}
 
 
@@ -90,15 +90,23 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def encode_word(word: Column, path: str) -> Column:
-    """Token ids, array<int>, of a word's bytes (array<int>): the lowest rank merges first, the leftmost of equals."""
+def literal(path: str) -> Column:
+    """The merges of a rank file: shift, owner, value and single (ids of the bytes), and the tokens by id."""
     known = merges(path)
-    shift, owner, value, single = (F.from_json(F.lit(x), "array<int>") for x in (known.shift, known.owner, known.value, known.bytes))
+    array = lambda x, kind, name: F.from_json(F.lit(x), f"array<{kind}>").alias(name)
+    return F.struct(*[array(getattr(known, x), "int", x) for x in ("shift", "owner", "value", "single")], array(known.tokens, "binary", "tokens"))
+
+
+def encode_word(word: Column, table: Column, path: str) -> Column:
+    """Token ids, array<int>, of a word's bytes (array<int>): the lowest rank merges first, the leftmost of equals.
+
+    `table` is literal(path), bound once for all the words.
+    """
     none = F.array(F.lit(_NONE))
 
     def rank(a: Column, b: Column) -> Column:  # beyond the ends a or b is null, and there is no rank
-        place = F.get(shift, a) + b
-        return F.when(F.get(owner, place) == a, F.get(value, place)).otherwise(F.lit(_NONE))
+        place = F.get(table["shift"], a) + b
+        return F.when(F.get(table["owner"], place) == a, F.get(table["value"], place)).otherwise(F.lit(_NONE))
 
     # The state is the pieces, the rank of each joined to the next (with none before and after), and the least rank.
     state = lambda pieces, ranks: _let(ranks, lambda r: F.struct(pieces.alias("pieces"), r.alias("ranks"), F.array_min(r).alias("least")))
@@ -119,16 +127,24 @@ def encode_word(word: Column, path: str) -> Column:
         pairs = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: rank(p, F.get(pieces, i + 1)))
         return F.aggregate(F.slice(pieces, 2, _REST), state(pieces, F.concat(none, pairs, none)), merge, lambda s: s["pieces"])
 
-    ids = F.when(F.size(word) == 0, F.array().cast("array<int>")).otherwise(_let(F.transform(word, lambda b: F.get(single, b)), fold))
-    for token, rank_ in known.apart.items():
-        ids = F.when(word == F.array(*[F.lit(b) for b in token]), F.array(F.lit(rank_))).otherwise(ids)
+    ids = F.when(F.size(word) == 0, F.array().cast("array<int>")).otherwise(_let(F.transform(word, lambda b: F.get(table["single"], b)), fold))
+    for token, number in merges(path).apart.items():
+        ids = F.when(word == F.array(*[F.lit(b) for b in token]), F.array(F.lit(number))).otherwise(ids)
     return ids
 
 
-def decode_ids(ids: Column, path: str) -> Column:
+def decode_ids(ids: Column, table: Column) -> Column:
     """The bytes of token ids, one piece after another."""
-    tokens = F.from_json(F.lit(merges(path).tokens), "array<binary>")
-    return F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, F.element_at(tokens, i + 1)))
+    return F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, F.get(table["tokens"], i)))
+
+
+def code_words(words: Column, path: str) -> Column:
+    """array<struct<ids, bytes>> of an array of words."""
+
+    def coded(table: Column) -> Column:
+        return F.transform(words, lambda w: _let(encode_word(w, table, path), lambda ids: F.struct(ids.alias("ids"), decode_ids(ids, table).alias("bytes"))))
+
+    return _let(literal(path), coded)
 
 
 def _one(values: pa.Array) -> pa.Array:
@@ -168,14 +184,17 @@ class _Split:
 class Ahead:
     """Words encoded before the others, with their ids and bytes, as flat arrays."""
 
-    def __init__(self, rows: list):
-        self.number = {bytes(r.word).decode("utf-8", "surrogatepass"): n for n, r in enumerate(rows)}
-        self.ids, self.id_ends = _flat([np.array(r.ids, np.int32) for r in rows], np.int32)
-        self.bytes, self.byte_ends = _flat([np.frombuffer(r.bytes, np.uint8) for r in rows], np.uint8)
+    def __init__(self, rows: pa.Table):
+        word, ids, data = (rows.column(c).combine_chunks() for c in ("word", "ids", "bytes"))
+        self.number = {w.decode("utf-8", "surrogatepass"): n for n, w in enumerate(word.to_pylist())}
+        self.ids, self.id_ends = ids.flatten().to_numpy(), _ends(ids)
+        self.bytes, self.byte_ends = _content(data), _ends(data)
+        self.id_ends, self.byte_ends = self.id_ends - self.id_ends[0], self.byte_ends - self.byte_ends[0]
 
 
-def _flat(parts: list[np.ndarray], kind) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([np.zeros(0, kind), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+def _content(values: pa.Array) -> np.ndarray:
+    ends = _ends(values)
+    return np.frombuffer((values.buffers()[2] if len(values) else None) or b"", np.uint8)[ends[0] : ends[-1]]
 
 
 def _gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,10 +217,10 @@ class _Assemble:
                 docs, words = batch.column(0).slice(n, 1).flatten(), batch.column(1).slice(n, 1).flatten()
                 ids, data = words.field(0), words.field(1)
                 ids, id_ends = ids.flatten().to_numpy(), _ends(ids)
-                data, byte_ends = np.frombuffer((data.buffers()[2] if len(data) else None) or b"", np.uint8), _ends(data)
+                data, byte_ends = _content(data), _ends(data)
                 ids = np.concatenate([known.ids, ids])
                 id_ends = np.concatenate([known.id_ends[:-1], id_ends - id_ends[0] + known.id_ends[-1]])
-                data = np.concatenate([known.bytes, data[byte_ends[0] : byte_ends[-1]]])
+                data = np.concatenate([known.bytes, data])
                 byte_ends = np.concatenate([known.byte_ends[:-1], byte_ends - byte_ends[0] + known.byte_ends[-1]])
                 row, at = docs.field(0), docs.field(1)
                 doc_ends = _ends(at)
@@ -221,10 +240,6 @@ def _ends(values: pa.Array) -> np.ndarray:
     return np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
 
 
-def _coded(word: Column, path: str) -> Column:
-    return _let(encode_word(word, path), lambda ids: F.struct(ids.alias("ids"), decode_ids(ids, path).alias("bytes")))
-
-
 def frequent_words(texts: DataFrame, pattern: str, path: str, words: int, sample_docs: int) -> Ahead:
     """The most frequent words of about `sample_docs` texts, encoded. Only a saving: any words give the same results."""
     every = max(1, texts.count() // max(1, sample_docs))
@@ -236,11 +251,16 @@ def frequent_words(texts: DataFrame, pattern: str, path: str, words: int, sample
             yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in n], pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    most = some.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    most = materialize(most.select("word"), "words").repartition(2 * texts.sparkSession.sparkContext.defaultParallelism)
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substring(F.col("word"), i, F.lit(1))), 16, 10).cast("int"))
-    coded = most.where(F.octet_length("word") > 0).select("word", _coded(codes, path).alias("c")).select("word", "c.ids", "c.bytes")
-    return Ahead(coded.collect())  # at most `words` rows
+    counted = materialize(some.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") > 0), "words")
+    least, room = 2**62, words
+    for r in sorted(counted.groupBy("n").count().collect(), reverse=True):  # as many rows as there are different counts
+        if (room := room - r["count"]) < 0:
+            break
+        least = r["n"]
+    most = counted.where(F.col("n") >= least).repartition(2 * texts.sparkSession.sparkContext.defaultParallelism, "word")
+    code = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substring(F.col("word"), i, F.lit(1))), 16, 10).cast("int"))
+    coded = most.select("word", F.element_at(code_words(F.array(code), path), 1).alias("c")).select("word", "c.ids", "c.bytes")
+    return Ahead(coded.toArrow())  # at most `words` rows
 
 
 def encode_documents(
@@ -260,7 +280,7 @@ def encode_documents(
     ahead = docs.sparkSession.sparkContext.broadcast(frequent_words(rows.select("text"), pattern, path, ahead_words, ahead_docs))
     kind = rows.schema["row"].dataType.simpleString()
     runs = rows.mapInArrow(_Split(pattern, ahead), f"docs array<struct<row: {kind}, at: array<int>>>, words array<array<int>>")
-    coded = runs.select("docs", F.transform("words", lambda w: _coded(w, path)).alias("words"))
+    coded = runs.select("docs", code_words(F.col("words"), path).alias("words"))
     done = coded.mapInArrow(_Assemble(ahead), f"row {kind}, token_ids array<int>, decoded binary")
     return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "token_ids", "decoded")
 

@@ -6,7 +6,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from quillstack.llm.bpe import decode_ids, digest, encode_documents, encode_word, op1_byte_bpe, read_ranks
+from quillstack.llm.bpe import code_words, digest, encode_documents, op1_byte_bpe, read_ranks
 
 SF = "/root/testdata/sf0.01"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -45,7 +45,6 @@ def test_edges(spark, library, ahead):
 def test_every_token_of_the_vocabulary(spark, library):
     ranks = read_ranks(PATH)
     d = spark.createDataFrame([(r, list(t)) for t, r in ranks.items()], "rank int, word array<int>")
-    ids = encode_word(F.col("word"), PATH)
-    assert d.select("rank", ids.alias("ids")).where("size(ids) <> 1 or ids[0] <> rank").collect() == []
-    one = d.where("rank < 5000").select(F.col("word"), decode_ids(F.array("rank"), PATH).alias("b")).collect()
-    assert all(bytes(x.word) == bytes(x.b) for x in one)
+    coded = d.select("rank", "word", F.element_at(code_words(F.array("word"), PATH), 1).alias("c"))
+    assert coded.where("size(c.ids) <> 1 or c.ids[0] <> rank").collect() == []
+    assert all(bytes(r.word) == bytes(r.c.bytes) for r in coded.where("rank < 5000").collect())
