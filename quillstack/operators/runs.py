@@ -10,9 +10,9 @@ TRACE = "array<struct<step: string, record: struct<kind: string, raw: string, co
 
 def new_runs(stored: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(to append, rejected): a run is stored once; of equal ids in one batch the first goes in."""
-    firsts = runs.groupBy("id").agg(F.min_by(F.struct("*"), "at").alias("r"), F.count(F.lit(1)).alias("n"))
+    firsts = runs.groupBy("id").agg(F.min_by(F.struct("*"), "arrived").alias("r"), F.count(F.lit(1)).alias("n"))
     fresh = firsts.join(stored.select("id"), "id", "left_anti").select("r.*")
-    return fresh, runs.join(fresh.select("id", "at"), ["id", "at"], "left_anti")
+    return fresh, runs.join(fresh.select("id", "arrived"), ["id", "arrived"], "left_anti")
 
 
 def look_up(runs: DataFrame, run: str, schema: str = TRACE) -> DataFrame:

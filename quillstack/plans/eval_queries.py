@@ -166,13 +166,13 @@ def golden_validate(spark, d):
     return E.validate_golden(LINES.spark(spark))
 
 
-STORED, BATCH = Rows("id", "('r1'), ('r2')"), Rows("id, at, outcome", "('r2', 5, 'x'), ('r3', 6, 'first'), ('r3', 7, 'second'), ('r4', 8, 'y')")
+STORED, BATCH = Rows("id", "('r1'), ('r2')"), Rows("id, arrived, outcome", "('r2', 5, 'x'), ('r3', 6, 'first'), ('r3', 7, 'second'), ('r4', 8, 'y')")
 
 
-@catalogue.add("run_store_dedupe", f'WITH b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "at") AS n FROM {BATCH.sql}) SELECT id, "at", outcome, n = 1 AND id NOT IN (SELECT id FROM {STORED.sql}) AS stored FROM b')
+@catalogue.add("run_store_dedupe", f'WITH b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY arrived) AS n FROM {BATCH.sql}) SELECT id, arrived, outcome, n = 1 AND id NOT IN (SELECT id FROM {STORED.sql}) AS stored FROM b')
 def run_store_dedupe(spark, d):
     fresh, rejected = U.new_runs(STORED.spark(spark), BATCH.spark(spark))
-    return fresh.select("id", "at", "outcome", F.lit(True).alias("stored")).union(rejected.select("id", "at", "outcome", F.lit(False)))
+    return fresh.select("id", "arrived", "outcome", F.lit(True).alias("stored")).union(rejected.select("id", "arrived", "outcome", F.lit(False)))
 
 
 TRACES = Rows("id, trace", """('r1', '[{"step":"answer","record":{"kind":"answer"},"access":[]},{"step":"explain","record":{"kind":"explain","raw":"t","contradicts_verdict":false},"access":[{"chunk":"a","allowed":true},{"chunk":"b","allowed":false}]}]'), ('r2', '[{"step":"explain","record":{"kind":"explain","raw":"u","contradicts_verdict":true},"access":[{"chunk":"c","allowed":false}]}]')""")
