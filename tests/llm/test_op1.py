@@ -36,8 +36,10 @@ def test_edges(spark, library, ahead):
     texts += ["".join(r.choice("etaoinshrdlu") for _ in range(700))]
     rows = [(i, t, [i], "k") for i, t in enumerate(texts)] + [(3, "repeated id", [1], None), (None, "no id", None, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, token_ids array<int>, `a.b` string")
-    got = encode_documents(d, PATH, PATTERN, ahead_words=ahead)
-    assert sorted(got.columns) == ["a.b", "decoded", "doc_id", "text", "token_ids"]
+    got = encode_documents(d, PATH, PATTERN, ahead_words=ahead, as_text=True)
+    assert sorted(got.columns) == ["a.b", "decoded", "doc_id", "n_tokens", "text", "token_ids"]
+    listed = encode_documents(d, PATH, PATTERN, ahead_words=ahead).select("text", "token_ids", "n_tokens").collect()
+    assert all(list(r.token_ids) == library.encode_ordinary(r.text or "") and r.n_tokens == len(r.token_ids) for r in listed)
     assert sorted(map(tuple, digest(got).collect()), key=str) == sorted((want(library, i, t) for i, t, *_ in rows), key=str)
     assert encode_documents(d.limit(0), PATH, PATTERN, ahead_words=ahead).collect() == []
 
