@@ -24,6 +24,8 @@ SAMPLE, WORD_TERMS, SHAPE_TERMS, DIMENSIONS, NEIGHBOURS, THRESHOLD = 4096, 2048,
 TERMS = WORD_TERMS + SHAPE_TERMS
 #: Documents of one matrix product.
 ROWS = 256
+#: Text of one run; bounds the arrays of a word each.
+RUN_BYTES = 500_000
 _U = np.uint64
 _CLASS = np.arange(256)  # letters by case and digits are classes; other bytes stand for themselves
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[0x80:] = 0x61, 0x41, 0x30, 0x61
@@ -86,7 +88,7 @@ class Space:
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, 1, 2_000_000):
+        for batch in slices(whole, 1, RUN_BYTES):
             owner, term = _terms(Words(*text_buffers(batch.column(1)), SPACED))
             cell, n = np.unique(owner * TERMS + term, return_counts=True)
             ends = np.searchsorted(cell // TERMS, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -133,7 +135,7 @@ def score_quality(docs: DataFrame, space: Space, text: str = "text", keep: list[
     """`keep` columns (all by default) with score double. Texts without words (null, empty) get the mean label; equal
     texts have equal scores. A column named score gives way to the new one."""
     held = docs.sparkSession.sparkContext.broadcast(space)  # at most SAMPLE vectors
-    return map_texts(docs, text, list(docs.columns if keep is None else keep), "score double", lambda: _score(held))
+    return map_texts(docs, text, list(docs.columns if keep is None else keep), "score double", lambda: _score(held), RUN_BYTES)
 
 
 def training_rows(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:

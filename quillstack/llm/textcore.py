@@ -66,7 +66,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string array; a null is an empty text."""
+    """Bytes of the texts of an array, one after another, and their offsets; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string())
@@ -75,7 +75,8 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     at = at if len(at) else np.zeros(1, np.int64)
-    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]  # the buffer of a slice is that of its whole batch
 
 
 class Words:
