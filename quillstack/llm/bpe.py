@@ -28,7 +28,7 @@ from quillstack.llm.textcore import slices
 from quillstack.session import materialize, table
 
 #: Text of one run of documents.
-RUN_BYTES = 4_000_000
+RUN_BYTES = 3_000_000
 #: Words encoded ahead of all runs, at most, and rows among which they are looked for, about.
 AHEAD_WORDS, AHEAD_DOCS = 1 << 18, 1 << 14
 _NONE, _REST = 2**31 - 1, 2**30
@@ -102,30 +102,27 @@ def encode_word(word: Column, table: Column, path: str) -> Column:
 
     `table` is literal(path), bound once for all the words.
     """
-    none = F.array(F.lit(_NONE))
 
     def rank(a: Column, b: Column) -> Column:  # beyond the ends a or b is null, and there is no rank
         place = F.get(table["shift"], a) + b
         return F.when(F.get(table["owner"], place) == a, F.get(table["value"], place)).otherwise(F.lit(_NONE))
 
-    # The state is the pieces, the rank of each joined to the next (with none before and after), and the least rank.
-    state = lambda pieces, ranks: _let(ranks, lambda r: F.struct(pieces.alias("pieces"), r.alias("ranks"), F.array_min(r).alias("least")))
-
+    # The state is the pieces and the ranks: of each piece joined to the next, with none before and after all.
     def merge(s: Column, _: Column) -> Column:
-        pieces, ranks, new = s["pieces"], s["ranks"], s["least"]
+        pieces, ranks = s["pieces"], s["ranks"]
 
         def at(k: Column) -> Column:
-            around = F.array(rank(F.get(pieces, k - 2), new), rank(new, F.get(pieces, k + 1)))
-            return state(
-                F.concat(F.slice(pieces, 1, k - 1), F.array(new), F.slice(pieces, k + 2, _REST)),
-                F.concat(F.slice(ranks, 1, k - 1), around, F.slice(ranks, k + 3, _REST)),
-            )
+            new = F.get(ranks, k)
+            fewer = F.transform(F.filter(pieces, lambda _, i: i != k), lambda p, i: F.when(i == k - 1, new).otherwise(p))
+            left, right = rank(F.get(pieces, k - 2), new), rank(new, F.get(pieces, k + 1))
+            around = F.transform(F.filter(ranks, lambda _, i: i != k), lambda r, i: F.when(i == k - 1, left).when(i == k, right).otherwise(r))
+            return F.when(new == _NONE, s).otherwise(F.struct(fewer.alias("pieces"), around.alias("ranks")))
 
-        return F.when(new == _NONE, s).otherwise(_let(F.array_position(ranks, new).cast("int") - 1, at))
+        return _let(F.array_position(ranks, F.array_min(ranks)).cast("int") - 1, at)
 
     def fold(pieces: Column) -> Column:
-        pairs = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: rank(p, F.get(pieces, i + 1)))
-        return F.aggregate(F.slice(pieces, 2, _REST), state(pieces, F.concat(none, pairs, none)), merge, lambda s: s["pieces"])
+        pairs = F.transform(F.sequence(F.lit(0), F.size(pieces)), lambda i: rank(F.get(pieces, i - 1), F.get(pieces, i)))
+        return F.aggregate(F.slice(pieces, 2, _REST), F.struct(pieces.alias("pieces"), pairs.alias("ranks")), merge, lambda s: s["pieces"])
 
     ids = F.when(F.size(word) == 0, F.array().cast("array<int>")).otherwise(_let(F.transform(word, lambda b: F.get(table["single"], b)), fold))
     for token, number in merges(path).apart.items():
@@ -182,13 +179,20 @@ class _Split:
 
 
 class Ahead:
-    """Words encoded before the others, with their ids and bytes, as flat arrays."""
+    """Words encoded before the others: their numbers, for the splitting side."""
+
+    def __init__(self, words: pa.Array):
+        self.number = {w.decode("utf-8", "surrogatepass"): n for n, w in enumerate(words.to_pylist())}
+
+    def __reduce__(self):
+        return Ahead, (pa.array([w.encode("utf-8", "surrogatepass") for w in self.number], pa.binary()),)
 
-    def __init__(self, rows: pa.Table):
-        word, ids, data = (rows.column(c).combine_chunks() for c in ("word", "ids", "bytes"))
-        self.number = {w.decode("utf-8", "surrogatepass"): n for n, w in enumerate(word.to_pylist())}
-        self.ids, self.id_ends = ids.flatten().to_numpy(), _ends(ids)
-        self.bytes, self.byte_ends = _content(data), _ends(data)
+
+class Codes:
+    """Ids and bytes of the words encoded before the others, as flat arrays, for the assembling side."""
+
+    def __init__(self, ids: pa.Array, data: pa.Array, top: int):
+        self.top, self.ids, self.id_ends, self.bytes, self.byte_ends = top, ids.flatten().to_numpy(), _ends(ids), _content(data), _ends(data)
         self.id_ends, self.byte_ends = self.id_ends - self.id_ends[0], self.byte_ends - self.byte_ends[0]
 
 
@@ -205,13 +209,16 @@ def _gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.nd
 
 
 class _Assemble:
-    """Ids and decoded bytes of each document of a run, from those of its words."""
+    """Ids, as numbers or as text, and decoded bytes of each document of a run, from those of its words."""
 
-    def __init__(self, ahead):
-        self.ahead = ahead
+    def __init__(self, ahead, as_text: bool):
+        self.ahead, self.as_text = ahead, as_text
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = self.ahead.value
+        if self.as_text:
+            names = [b"%d " % i for i in range(known.top)]
+            text, text_ends = np.frombuffer(b"".join(names), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in names])])
         for batch in batches:
             for n in range(batch.num_rows):
                 docs, words = batch.column(0).slice(n, 1).flatten(), batch.column(1).slice(n, 1).flatten()
@@ -229,8 +236,16 @@ class _Assemble:
                 ids, to = _gather(ids, id_ends, at)
                 data, over = _gather(data, byte_ends, at)
                 decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(over[doc_ends].astype(np.int64)), pa.py_buffer(data)])
-                tokens = pa.ListArray.from_arrays(pa.array(to[doc_ends].astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([row, tokens, decoded.cast(pa.binary())], names=["row", "token_ids", "decoded"])
+                size = to[doc_ends]
+                if self.as_text:
+                    joined, to = _gather(text, text_ends, ids)
+                    ends = to[size]
+                    joined = np.delete(joined, ends[1:][np.diff(size) > 0] - 1)  # the space after a document's last id
+                    ends = ends - np.concatenate([[0], np.cumsum(np.diff(size) > 0)])
+                    tokens = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(joined)).cast(pa.string())
+                else:
+                    tokens = pa.ListArray.from_arrays(pa.array(size.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([row, pa.array(np.diff(size)), tokens, decoded.cast(pa.binary())], names=["row", "n_tokens", "token_ids", "decoded"])
 
 
 def _ends(values: pa.Array) -> np.ndarray:
@@ -240,13 +255,13 @@ def _ends(values: pa.Array) -> np.ndarray:
     return np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
 
 
-def frequent_words(texts: DataFrame, pattern: str, path: str, words: int, sample_docs: int) -> Ahead:
+def frequent_words(texts: DataFrame, pattern: str, path: str, words: int, sample_docs: int) -> pa.Table:
     """The most frequent words of about `sample_docs` texts, encoded. Only a saving: any words give the same results."""
     every = max(1, texts.count() // max(1, sample_docs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = regex.compile(pattern).findall
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, 2_000_000)):
             n = Counter(w for t in batch.column(0).to_pylist() for w in found(t))
             yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in n], pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
@@ -260,38 +275,43 @@ def frequent_words(texts: DataFrame, pattern: str, path: str, words: int, sample
     most = counted.where(F.col("n") >= least).repartition(2 * texts.sparkSession.sparkContext.defaultParallelism, "word")
     code = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substring(F.col("word"), i, F.lit(1))), 16, 10).cast("int"))
     coded = most.select("word", F.element_at(code_words(F.array(code), path), 1).alias("c")).select("word", "c.ids", "c.bytes")
-    return Ahead(coded.toArrow())  # at most `words` rows
+    return coded.toArrow()  # at most `words` rows
 
 
 def encode_documents(
     docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None,
-    ahead_words: int = AHEAD_WORDS, ahead_docs: int = AHEAD_DOCS,
+    ahead_words: int = AHEAD_WORDS, ahead_docs: int = AHEAD_DOCS, as_text: bool = False,
 ) -> DataFrame:
-    """`keep` columns (all by default) with token_ids array<int> and decoded binary.
+    """`keep` columns (all by default) with n_tokens long, token_ids and decoded binary. token_ids is array<int>, or with
+    `as_text` a string of the ids joined by spaces.
 
     Each match of `pattern` is encoded by itself by the ranks of the file at `path`; no string is special. Null and
-    empty texts have no ids and no bytes. Every row has its own result, whatever rows repeat. Columns named
-    token_ids or decoded give way to the new ones. Of the words, `ahead_words` at most, found among about
+    empty texts have no ids and no bytes. Every row has its own result, whatever rows repeat. Columns with the
+    names of new ones give way to them. Of the words, `ahead_words` at most, found among about
     `ahead_docs` rows, are encoded once for all runs and broadcast; the rest are encoded by each run that has them.
     """
-    keep = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c not in ("token_ids", "decoded")]
+    keep = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c not in ("n_tokens", "token_ids", "decoded")]
     col = lambda c: F.col("`" + c.replace("`", "``") + "`")
     rows = docs.select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("_")).alias("row"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    ahead = docs.sparkSession.sparkContext.broadcast(frequent_words(rows.select("text"), pattern, path, ahead_words, ahead_docs))
+    first = frequent_words(rows.select("text"), pattern, path, ahead_words, ahead_docs)
+    word, ids, data = (first.column(c).combine_chunks() for c in ("word", "ids", "bytes"))
+    context = docs.sparkSession.sparkContext
+    ahead, codes = context.broadcast(Ahead(word)), context.broadcast(Codes(ids, data, max(read_ranks(path).values(), default=-1) + 1))
+    del first, word, ids, data
     kind = rows.schema["row"].dataType.simpleString()
     runs = rows.mapInArrow(_Split(pattern, ahead), f"docs array<struct<row: {kind}, at: array<int>>>, words array<array<int>>")
     coded = runs.select("docs", code_words(F.col("words"), path).alias("words"))
-    done = coded.mapInArrow(_Assemble(ahead), f"row {kind}, token_ids array<int>, decoded binary")
-    return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "token_ids", "decoded")
+    done = coded.mapInArrow(_Assemble(codes, as_text), f"row {kind}, n_tokens long, token_ids {'string' if as_text else 'array<int>'}, decoded binary")
+    return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "token_ids", "decoded")
 
 
 def digest(encoded: DataFrame) -> DataFrame:
-    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
-    return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Of encode_documents(as_text=True)."""
+    return encoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    return digest(encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"]))
+    return digest(encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], as_text=True))
