@@ -138,8 +138,10 @@ def fit(pages: DataFrame, source: str = "html", made: int = MADE, sample: int =
     """Trees of made pages and of `sample` given pages, those with the smallest hashes."""
     maker = _Maker(11)
     read = [(_Labelled(maker.page()), False) for _ in range(made)]
-    some = pages.where(F.length(source) > 0).orderBy(F.xxhash64(source), source).select(source).limit(sample).collect()  # `sample` pages
-    read += [(page, True) for r in some if "article" in (page := _Labelled(r[0])).tag or "main" in page.tag]
+    hashed = pages.where(F.length(source) > 0).select(F.xxhash64(source).alias("h"), F.col(source).alias("page"))
+    some = hashed.join(F.broadcast(hashed.select("h").distinct().orderBy("h").limit(sample)), "h")  # `sample` hashes
+    some = [r.page for r in some.groupBy("h").agg(F.min("page").alias("page")).orderBy("h").collect()]  # and pages
+    read += [(page, True) for r in some if "article" in (page := _Labelled(r)).tag or "main" in page.tag]
     x = features([row for page, _ in read for row in page.rows()])
     y = np.concatenate([page.labels(given) for page, given in read]) if read else np.zeros(0)
     return fit_trees(x, y) if len(y) else fit_trees(np.zeros((0, FEATURES), np.float32), y)
