@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstack.session import broadcast_small
+
 #: From the least to the most sensitive.
 SENSITIVITIES = ("public", "internal", "confidential")
 ACL_ENTRY = "^(user:[^\\p{Cntrl}]+|role:[a-z0-9_.:-]+)$"
@@ -35,7 +37,7 @@ def in_scope(acl: str, sensitivity: str, members: str, sensitivities: str) -> Co
 
 def readable(chunks: DataFrame, scopes: DataFrame) -> DataFrame:
     """(user_id, chunk columns) of each chunk in each stated scope."""
-    return chunks.join(F.broadcast(scopes), in_scope("acl", "sensitivity", "members", "sensitivities")).drop("members", "grants", "sensitivities")
+    return chunks.join(broadcast_small(scopes), in_scope("acl", "sensitivity", "members", "sensitivities")).drop("members", "grants", "sensitivities")
 
 
 def decision(acl: str, sensitivity: str, members: str, grants: str) -> Column:

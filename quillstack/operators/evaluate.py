@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import text as T
 from quillstack.operators.steps import CATEGORIES
+from quillstack.session import broadcast_small
 
 #: Metrics of a set of runs: name and run score; the rates that are better when lower.
 METRICS = {"classify": "classified", "recall": "recall", "hit": "hit", "precision": "correct", "declined": "declined", "failed": "failed", "citations": "citations_valid", "faithfulness": "faithful"}
@@ -75,7 +76,7 @@ def metrics(scores: DataFrame, by_category: bool = False) -> DataFrame:
 
 def regressions(current: DataFrame, baseline: DataFrame, tolerances: DataFrame) -> DataFrame:
     """Metrics (scope, metric, value) that are worse than the baseline by more than their tolerance, or gone."""
-    rows = baseline.withColumnRenamed("value", "was").join(current.withColumnRenamed("value", "now"), ["scope", "metric"], "left").join(F.broadcast(tolerances), "metric", "left")
+    rows = baseline.withColumnRenamed("value", "was").join(current.withColumnRenamed("value", "now"), ["scope", "metric"], "left").join(broadcast_small(tolerances), "metric", "left")
     steps = lambda c: F.round(c / STEP).cast("long")
     worse = F.when(F.col("metric").isin(*LOWER_IS_BETTER), F.col("now") - F.col("was")).otherwise(F.col("was") - F.col("now"))
     bad = F.col("was").isNotNull() & (F.col("now").isNull() | (steps(worse) > steps(F.coalesce("tolerance", F.lit(0.0)))))
@@ -92,7 +93,7 @@ def recall_changes(now: DataFrame, was: DataFrame) -> DataFrame:
 def replay(runs: DataFrame, candidates: DataFrame, steps: tuple[str, ...] = ("rerank", "answer")) -> DataFrame:
     """Runs (run, outcome, correct, <step>_score) under candidate thresholds (candidate, <step>): the first recorded score
     under its threshold declines; runs that were declined for their score stay so and are unresolved."""
-    rows = runs.crossJoin(F.broadcast(candidates))  # candidates are a stated set
+    rows = runs.crossJoin(broadcast_small(candidates))  # a stated set
     under = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"{s}_score") < F.col(s), F.lit(False)) for s in steps])
     outcome = F.when(F.col("outcome") == "low_confidence", "declined").when((F.col("outcome") == "answered") & under, "declined").otherwise(F.col("outcome"))
     return rows.select("candidate", "run", outcome.alias("replayed"), (F.col("outcome") == "low_confidence").alias("unresolved"), "correct")
@@ -115,7 +116,7 @@ def select_golden(golden: DataFrame, ids: list[str]) -> DataFrame:
     unknown = [r.id for r in wanted.join(golden, "id", "left_anti").collect()]  # at most `ids`
     if unknown:
         raise ValueError(f"unknown questions: {', '.join(sorted(unknown))}")
-    return golden.join(F.broadcast(wanted), "id", "left_semi")
+    return golden.join(broadcast_small(wanted), "id", "left_semi")
 
 
 def validate_golden(lines: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions import text as T
+from quillstack.session import broadcast_small
 
 CATEGORIES = ("boolean", "choice", "ranking", "open")
 #: Cutoffs of admission: injection, relevance, contradiction, evidence.
@@ -37,7 +38,7 @@ def classify(rows: DataFrame, least: float | None) -> DataFrame:
 def gate(rows: DataFrame, general: DataFrame, by_category: DataFrame) -> DataFrame:
     """`passed`, `declined` (under the threshold) or `failed` (a threshold but no score); a category's own threshold first."""
     own = by_category.select("step", "category", F.col("threshold").alias("own"))
-    rows = rows.join(F.broadcast(general), "step", "left").join(F.broadcast(own), ["step", "category"], "left").withColumn("threshold", F.coalesce("own", "threshold")).drop("own")
+    rows = rows.join(broadcast_small(general), "step", "left").join(broadcast_small(own), ["step", "category"], "left").withColumn("threshold", F.coalesce("own", "threshold")).drop("own")
     outcome = F.when(F.col("threshold").isNull(), "passed").when(F.col("score").isNull(), "failed").when(F.col("score") < F.col("threshold"), "declined").otherwise("passed")
     return rows.withColumn("outcome", outcome)
 

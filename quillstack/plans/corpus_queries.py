@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillstack.functions import text as T
 from quillstack.operators import access as A
 from quillstack.operators import retrieval as R
-from quillstack.session import table
+from quillstack.session import broadcast_small, table
 from quillstack.sources import corpus as C
 
 QUERIES, SQL = {}, {}
@@ -132,7 +132,7 @@ text_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DES
 
 def _open(spark, d):
     scope = spark.createDataFrame([(["role:fr"], ["public", "internal"])], "members array<string>, sensitivities array<string>")
-    return C.chunks(spark, d).crossJoin(F.broadcast(scope)).where(A.in_scope("acl", "sensitivity", "members", "sensitivities")).select("id")
+    return C.chunks(spark, d).crossJoin(broadcast_small(scope)).where(A.in_scope("acl", "sensitivity", "members", "sensitivities")).select("id")
 
 
 @query("bm25_topk")
@@ -212,7 +212,7 @@ def values(spark, text: str):
 @query("context_expand", "SELECT * FROM (VALUES (1, 'p2', NULL, 1), (1, 'p3', NULL, 2), (1, 'p5', NULL, 4), (1, 's4', NULL, 5), (1, 'p1', 'p2', 3), (1, 's0', 's4', 6), (1, 's9', 's4', 7), (2, 'p1', NULL, 1), (2, 'p2', 'p1', 2)) v(qid, id, context_for, position)", views=False)
 def context_expand(spark, d):
     hits, rows = values(spark, _HITS), values(spark, _ROWS)
-    fetched = rows.crossJoin(F.broadcast(hits.select("qid").distinct()))
+    fetched = rows.crossJoin(broadcast_small(hits.select("qid").distinct()))
     return R.expand(hits, fetched, 3).select(F.col("qid").cast("int").alias("qid"), "id", "context_for", F.col("position").cast("int").alias("position"))
 
 
@@ -243,7 +243,7 @@ def scope_filter(spark, d):
 @query("access_decisions", f""", {_SCOPES} SELECT s.user_id, c.id, CASE WHEN NOT (len(c.acl) = 0 OR list_has_any(c.acl, s.members)) THEN 'not_in_acl' WHEN list_position(['public', 'internal', 'confidential'], c.sensitivity) > s.top THEN 'no_grant'
  ELSE 'allowed by ' || s.roles[list_position(list_transform(s.lvls, lambda l: l >= list_position(['public', 'internal', 'confidential'], c.sensitivity)), true)] END AS decision FROM chunks c, scopes s""")
 def access_decisions(spark, d):
-    rows = C.chunks(spark, d).select("id", "acl", "sensitivity").crossJoin(F.broadcast(_scopes(spark)))
+    rows = C.chunks(spark, d).select("id", "acl", "sensitivity").crossJoin(broadcast_small(_scopes(spark)))
     return rows.select("user_id", "id", A.decision("acl", "sensitivity", "members", "grants").alias("decision"))
 
 

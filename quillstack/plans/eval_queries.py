@@ -10,6 +10,7 @@ from quillstack.operators import retrieval as R
 from quillstack.operators import runs as U
 from quillstack.plans.corpus_queries import _BM25, _open
 from quillstack.plans.inline import Catalogue, Rows
+from quillstack.session import broadcast_small
 from quillstack.sources import corpus as C
 
 catalogue = Catalogue()
@@ -21,7 +22,7 @@ RELEVANT = "relevant AS (SELECT q.qid, c.id FROM (SELECT qid, trim(string_split(
 def relevant(spark, d):
     line = F.trim(F.get(F.split("question", "\n"), F.lit(0)))
     asked = C.questions(spark, d).select("qid", line.alias("line")).where(F.char_length("line") >= 20)
-    return C.chunks(spark, d).select("id", "text").join(F.broadcast(asked), F.contains(F.col("text"), F.col("line"))).select("qid", "id")  # a stated set of questions
+    return C.chunks(spark, d).select("id", "text").join(broadcast_small(asked), F.contains(F.col("text"), F.col("line"))).select("qid", "id")  # a stated set of questions
 
 
 def _found(spark, d):

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/quillstack"
+#: Used only where the session names no shared folder (tests on one machine); removed when Python ends.
+LOCAL_CHECKPOINTS = f"/tmp/checkpoints/quillstack-{os.getpid()}"
+#: Rows up to which a table may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -30,7 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared.rstrip("/")
+    atexit.register(shutil.rmtree, LOCAL_CHECKPOINTS, ignore_errors=True)
+    return LOCAL_CHECKPOINTS
+
+
+def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table with a broadcast hint if it has at most `rows` rows; a larger one is left to Spark's own join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
