@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.textcore import slices
+from quillstack.llm.textcore import release, slices, small_batches
 from quillstack.session import materialize, table
 
 #: Text of one run of documents.
-RUN_BYTES = 3_000_000
+RUN_BYTES = 2_000_000
 #: Words encoded ahead of all runs, at most, and rows among which they are looked for, about.
 AHEAD_WORDS, AHEAD_DOCS = 1 << 18, 1 << 14
 _NONE, _REST = 2**31 - 1, 2**30
@@ -176,6 +176,7 @@ class _Split:
                 numbers = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(numbers, np.int32)))
                 docs = pa.StructArray.from_arrays([batch.column(0), numbers], ["row", "at"])
                 yield pa.RecordBatch.from_arrays([_one(docs), _one(_bytes(list(new)))], names=["docs", "words"])
+        release()
 
 
 class Ahead:
@@ -246,6 +247,7 @@ class _Assemble:
                 else:
                     tokens = pa.ListArray.from_arrays(pa.array(size.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([row, pa.array(np.diff(size)), tokens, decoded.cast(pa.binary())], names=["row", "n_tokens", "token_ids", "decoded"])
+        release()
 
 
 def _ends(values: pa.Array) -> np.ndarray:
@@ -290,6 +292,7 @@ def encode_documents(
     names of new ones give way to them. Of the words, `ahead_words` at most, found among about
     `ahead_docs` rows, are encoded once for all runs and broadcast; the rest are encoded by each run that has them.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c not in ("n_tokens", "token_ids", "decoded")]
     col = lambda c: F.col("`" + c.replace("`", "``") + "`")
     rows = docs.select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("_")).alias("row"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))

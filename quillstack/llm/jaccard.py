@@ -7,8 +7,8 @@ by an equal join, for any number of machines. (Boxes over hashed counts overlap
 of boxes would send each query to every node; README has more.) Within a cell the sum of coordinate minima bounds
 the overlap, and pairs that pass it are verified on the sets themselves.
 
-Only connected components are wanted, so a cell first tries its first member against the others; pairs between
-members are tried when they are not yet connected. No link between different components is lost, and a group of
+Only connected components are wanted, so a set is first tried against the nearest of the first members of its cells;
+other pairs of a cell are tried when they are not yet connected. No link between different components is lost, and a group of
 thousands of near copies costs one pair a member.
 """
 
@@ -174,9 +174,8 @@ class _Emit:
             head = np.where(seen, self.heads[place], head)
         else:
             seen = np.zeros(len(value), bool)
-        sigs = np.concatenate([self.sigs, value[~seen]])
-        order = np.argsort(sigs, kind="stable")
-        self.sigs, self.heads = sigs[order], np.concatenate([self.heads, head[~seen]])[order]
+        place = np.searchsorted(self.sigs, value[~seen])
+        self.sigs, self.heads = np.insert(self.sigs, place, value[~seen]), np.insert(self.heads, place, head[~seen])
         rows = np.flatnonzero(new)[who]
         at_row = np.searchsorted(rows, np.arange(len(key) + 1))
         signed = [pa.array(x.view(np.int64), pa.int64()) for x in (sig, mine, np.ascontiguousarray(head[which]))]
@@ -187,10 +186,11 @@ class _Within:
     """Links within cells that join different roots, as many as join all that link. Rows come sorted by cell.
 
     Pairs are bounded by their points, then verified from the nearest on, unless links have joined them already.
+    Without `verify` the rows have no sets, and what comes out are pairs that join all that may link.
     """
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, verify: bool = True):
+        self.num, self.den, self.verify = num, den, verify
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -210,8 +210,9 @@ class _Within:
             return
         cell, side, key, root, n = (rows.column(i).to_numpy() for i in range(5))
         point = rows.column(5).combine_chunks().flatten().to_numpy().reshape(-1, GROUPS).astype(np.int32)
-        hashes = rows.column(6).combine_chunks()
-        ends, hashes = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+        if self.verify:
+            hashes = rows.column(6).combine_chunks()
+            ends, hashes = hashes.offsets.to_numpy(), hashes.values.to_numpy()
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
         size = np.diff(cuts)
         found = []
@@ -244,11 +245,13 @@ class _Within:
         near = np.concatenate(found)
         up: dict[int, int] = {}
         a, b = [], []
+        joined = root if self.verify else key
         for x, y in near[np.argsort(-near[:, 0], kind="stable"), 1:].tolist():
-            u, v = _top(up, int(root[x])), _top(up, int(root[y]))
+            u, v = _top(up, int(joined[x])), _top(up, int(joined[y]))
             if u != v:
-                both = len(np.intersect1d(hashes[ends[x] : ends[x + 1]], hashes[ends[y] : ends[y + 1]], assume_unique=True))
-                if both * (self.den + self.num) >= self.num * (n[x] + n[y]):
+                if self.verify:
+                    both = len(np.intersect1d(hashes[ends[x] : ends[x + 1]], hashes[ends[y] : ends[y + 1]], assume_unique=True))
+                if not self.verify or both * (self.den + self.num) >= self.num * (n[x] + n[y]):
                     up[u] = v
                     a.append(key[x])
                     b.append(key[y])
@@ -267,30 +270,47 @@ def _top(up: dict[int, int], x: int) -> int:
 def _within_cells(members: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join the different roots within each `sig` of `members` (sig, key, root).
 
-    Cells that share members are put together first, so that a pair is compared once and not once a cell.
+    Cells that share members are put together first, so that a pair is compared once and not once a cell. Points
+    alone then part these groups into those of sets that may link, and only there the sets are compared.
     """
     split = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     split = materialize(members.join(split.select("sig", "low"), "sig"), "open")
-    group = components(split.select(F.col("low").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("group"))
-    rows = materialize(split.select("key", "root").distinct().join(group, "root"), "grouped")
+    rows = split.select("key", "root").distinct()
+    wide = components(split.select(F.col("low").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    near = _compared(_in_blocks(rows.join(wide, "root"), block), sets, num, den, verify=False)
+    tight = components(near).select(F.col("node").alias("key"), F.col("root").alias("group"))
+    return _compared(_in_blocks(rows.join(tight, "key"), block), sets, num, den)
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Cells of rows (key, root, group): a group is cut into blocks, and each two blocks of it are a cell."""
+    rows = materialize(rows.select("key", "root", "group"), "grouped")
     blocks = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
     rows = rows.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     cell = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
-    return _compared(rows.select(cell.alias("cell"), side.cast("long").alias("side"), "key", "root"), sets, num, den)
+    return rows.select(cell.alias("cell"), side.cast("long").alias("side"), "key", "root")
 
 
-def _compared(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within the cells of rows (cell, side, key, root); a set goes along once for each of its cells."""
-    rows = rows.join(sets.select("key", "n", "point", "hashes"), "key")
-    rows = rows.select("cell", "side", "key", "root", "n", "point", "hashes").repartition("cell").sortWithinPartitions("cell", "n")
-    return rows.mapInArrow(_Within(num, den), "a long, b long")
+def _compared(rows: DataFrame, sets: DataFrame, num: int, den: int, verify: bool = True) -> DataFrame:
+    """Pairs (a, b) within the cells of rows (cell, side, key, root); a set goes along once for each of its cells."""
+    columns = ["n", "point", "hashes"] if verify else ["n", "point"]
+    rows = rows.join(sets.select("key", *columns), "key").select("cell", "side", "key", "root", *columns)
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "n")
+    return rows.mapInArrow(_Within(num, den, verify), "a long, b long")
 
 
 def _with_heads(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Links among pairs (key, head); the keys of a head are dealt into cells, and the head goes to each."""
+    """Links of each key to its nearest head, by the bound of their points, among pairs (key, head). The keys of a head
+    are dealt into cells, and the head goes to each. What the other heads link is left to the comparison of roots."""
     pairs = materialize(pairs.where("key != head").distinct(), "pairs")
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
+    bound = F.aggregate(F.zip_with("p_key", "p_head", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, x: s + x)
+    size = F.col("n_key") + F.col("n_head")
+    near = pairs.join(side("key"), "key").join(side("head"), "head").withColumn("bound", bound).where(F.col("bound") * (den + num) >= num * size)
+    best = near.groupBy("key").agg(F.max(F.struct((F.col("bound") / size).alias("share"), "head")).alias("best"))
+    pairs = materialize(best.select("key", "best.head"), "near")
     blocks = materialize(pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks")), "heads")
     cell = lambda part: F.xxhash64("head", part).alias("cell")
     keys = pairs.join(blocks, "head").select(cell(F.pmod(F.xxhash64("key"), F.col("blocks"))), F.lit(1).cast("long").alias("side"), "key")

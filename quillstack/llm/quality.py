@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm.brown import remainder
-from quillstack.llm.textcore import SPACED, Words, map_texts, mix, slices, text_buffers
+from quillstack.llm.textcore import SPACED, Words, map_texts, mix, slices, small_batches, text_buffers
 from quillstack.session import table
 
 #: Labelled rows to learn from, at most; terms of words and of shapes; dimensions; neighbours; score of a 1.
@@ -99,6 +99,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Space:
     """The space of (key, text, label) rows. Of more than `sample` keys those with the smallest hashes are learnt from;
     labels other than 0 and 1 and null labels are left out; an empty table gives every text the score 0.5."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where("label in (0, 1)")
     keys = rows.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample)
     rows = rows.join(F.broadcast(keys), "key").select(F.col("label").cast("double"), F.coalesce("text", F.lit("")).alias("text"))  # `sample` keys at most

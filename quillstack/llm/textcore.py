@@ -6,12 +6,14 @@ is a 64-bit polynomial over random byte values, read off prefix sums modulo 2**6
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -32,7 +34,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 #: Bytes hashed at once; bounds the memory of the prefix sums.
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -166,19 +168,39 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.R
             yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """Give the memory that a task has freed back to the system: the worker may be idle next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: Bytes of an Arrow batch, and Spark's own default for it.
+BATCH_BYTES, _DEFAULT_BATCH = "4m", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES for the session, unless it has a limit of its own: rows may be long, and both the
+    JVM and each Python worker hold whole batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == _DEFAULT_BATCH:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def map_texts(
     df: DataFrame,
     text: str,
     keep: list[str],
     out: str,
     make: Callable[[], Callable[[pa.RecordBatch], list]],
-    most_bytes: int = 2_000_000,
+    most_bytes: int = 1_000_000,
 ) -> DataFrame:
     """`keep` columns and the columns of schema `out`, computed from runs of rows.
 
     `make()` is called once a task and returns a function from a batch (the kept columns, then the text) to the
     values of `out`. Names may clash: a kept column that is also in `out` gives way to the new one.
     """
+    small_batches(df.sparkSession)
     schema = StructType.fromDDL(out)
     new = set(schema.names)
     keep = [c for c in dict.fromkeys(keep) if c not in new]
@@ -198,6 +220,8 @@ def map_texts(
             for batch in slices(whole, len(keep), most_bytes):
                 made = [pa.array(v, t) if not isinstance(v, pa.Array) else v.cast(t) for v, t in zip(work(batch), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
+        del work
+        release()
 
     done = slim.mapInArrow(run, result)
     return done.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f.name) for f in kinds])
