@@ -30,7 +30,7 @@ _U = np.uint64
 GROUPS = 64
 #: Points of a leaf; members of a cell that one task compares with as many others. Larger cells are cut in blocks,
 #: and each two blocks meet in a cell of their own.
-LEAF, BLOCK = 128, 512
+LEAF, BLOCK = 128, 2048
 #: Rows (two longs each) of the table of sets to verify, up to which it is broadcast to the texts.
 BROADCAST_ROWS = 1_000_000
 
