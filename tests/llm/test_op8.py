@@ -1,12 +1,15 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from quillstack.llm import brown
 from quillstack.llm.brown import exchange, fit, op8_lm_scores, score_texts
+from quillstack.llm.textcore import SPACED, Words, text_buffers
 
 SF = "/root/testdata/sf0.01"
 
@@ -77,3 +80,61 @@ def test_the_product_is_a_probability(spark):
         total = ((v.n[mine] + brown.EMIT).sum() + brown.EMIT) / 10 ** model.under[c]
         assert abs(total - 1) < 1e-9
     assert sum(words.values()) == 10
+
+
+def test_words_outside_the_head_have_classes_of_their_own_counts(spark, monkeypatch):
+    """Nouns and verbs with one ending: a few are clustered, the others follow their neighbours, with any head."""
+    monkeypatch.setattr(brown, "sizes", lambda distinct: (13, 4))
+    r = random.Random(3)
+    nouns, verbs = ([f"{k}{i}xyz" for i in range(40)] for k in "nv")
+    weights = [60 - i for i in range(40)]
+    texts = [" ".join(w for _ in range(6) for w in (r.choices(nouns, weights)[0], r.choices(verbs, weights)[0])) for _ in range(600)]
+    d = spark.createDataFrame([(t,) for t in [*texts, "n39xyz v39xyz n39xyz v39xyz", "new1 new2 n0xyz"]], "text string")
+    seen = []
+    for head in (20, 1 << 17):
+        model, counts = fit(d, head)
+        words = {x.word: x["class"] for x in counts.collect()}
+        assert len(model.vocabulary.word) <= head + 1 and len(words) == 83
+        hashes = {t: int(Words(*text_buffers(pa.array([t])), SPACED).hash.view(np.int64)[0]) for t in (*nouns, *verbs)}
+        n, v = ({words[hashes[t]] for t in x} for x in (nouns, verbs))
+        assert not n & v  # endings alone gave both kinds one class
+        got = sorted((x.text, x.score, x.base_score) for x in score_texts(d, model, counts).collect())
+        seen.append((words, got, model.move, model.under))
+    assert seen[0][0] == seen[1][0]
+    assert np.allclose(seen[0][2], seen[1][2]) and np.allclose(seen[0][3], seen[1][3])
+    assert all(a[0] == b[0] and np.allclose(a[1:], b[1:]) for a, b in zip(seen[0][1], seen[1][1], strict=True))
+
+    # Transitions and scores by brute force from the classes.
+    of = lambda t: [words[int(h)] for h in Words(*text_buffers(pa.array([t])), SPACED).hash.view(np.int64)]
+    lines = [[0, *of(x.text), 0] for x in d.collect()]
+    table = np.zeros((4, 4))
+    for line in lines:
+        for a, b in zip(line, line[1:], strict=False):
+            table[a, b] += 1
+    assert np.allclose(model.move, np.log10((table + brown.MOVE) / (table + brown.MOVE).sum(1, keepdims=True)))
+    count = Counter(w for x in d.collect() for w in tokens(x.text))
+    for t, score, _ in got:
+        c = [0, *of(t), 0]
+        want = sum(model.move[a, b] for a, b in zip(c, c[1:], strict=False)) + sum(math.log10(count[w] + brown.EMIT) - model.under[k] for w, k in zip(tokens(t), c[1:], strict=True))
+        assert abs(score - want) < 1e-6
+
+
+def test_types_and_classes_grow_and_sweeps_end_where_none_moves():
+    few, many = brown.sizes(1000), brown.sizes(50_000_000)
+    assert few == (brown.TOP, brown.CLASSES) and many[0] > 4 * few[0] and many[1] > 2 * few[1]
+    r = np.random.default_rng(5)
+    moves = r.poisson(r.gamma(0.3, 4, (150, 150)))
+    own = exchange(moves, 6)
+
+    def likelihood(own):
+        of = np.eye(6)[own]
+        n = of.T @ moves @ of
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(n) - f(n.sum(0)) - f(n.sum(1))
+
+    best = likelihood(own)
+    for w in range(1, 150):
+        for c in range(1, 6):
+            other = own.copy()
+            other[w] = c
+            assert likelihood(other) <= best + 1e-6
