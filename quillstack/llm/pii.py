@@ -21,7 +21,18 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in range(15, 35)}
+_IBAN_RUN = re.compile(r"(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by its country; other codes take the whole run of groups.
+IBAN_LENGTH = {
+    code: int(length)
+    for length, codes in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL"
+        " 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for code in codes.split(",")
+}
 
 #: Score of a confirmed span, and words that raise it when they stand among the CONTEXT code points before it.
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
@@ -60,6 +71,19 @@ def _emails(t: str):
         at = t.find("@", max(at + 1, end))
 
 
+def _ibans(t: str):
+    """What follows an IBAN (a BIC, a currency, a year) may look like more of it, so its country tells where it ends."""
+    end = 0
+    for m in _IBAN.finditer(t):
+        if m.start() < end:
+            continue
+        length = IBAN_LENGTH.get(m[0][:2])
+        rest = (_IBAN_REST[length] if length else _IBAN_RUN).match(t, m.end())
+        if rest and mod97(t[m.start() : rest.end()].replace(" ", "")):
+            end = rest.end()
+            yield m.start(), end
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -77,9 +101,7 @@ def find_spans(t: str) -> list[tuple[str, int, int]]:
         for m in _PHONE.finditer(t):
             if 10 <= len(_digits(m[0])) <= 15:
                 found.append(("phone", *m.span()))
-    for m in _IBAN.finditer(t):
-        if mod97(m[0].replace(" ", "")):
-            found.append(("iban", *m.span()))
+    found += [("iban", a, b) for a, b in _ibans(t)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -109,6 +131,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def scores(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.format_string("%.2f", s["score"])), ",")
+
+
 def kind_is(kind: str):
     return lambda span: span["kind"] == kind
 
@@ -117,4 +143,4 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = [F.size(F.filter("spans", kind_is(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores(F.col("spans")).alias("scores"))

@@ -60,3 +60,20 @@ def test_luhn_catches_single_digit_errors():
         d += next(c for c in "0123456789" if luhn(d + c))
         i = r.randrange(16)
         assert not luhn(d[:i] + str((int(d[i]) + r.randrange(1, 10)) % 10) + d[i + 1 :])
+
+
+def test_ibans_before_other_tokens():
+    for t, end in (
+        ("DE89370400440532013000 BIC COBADEFFXXX", 22), ("DE89 3704 0044 0532 0130 00 EUR 20", 27), ("GB82WEST12345698765432 2024", 22), ("NO93 8601 1117 947 NOK", 18),
+        ("DE89 3704 0044 0532 0130 01 EUR 20", None), ("DE89370400440532013000BIC", None), ("DE89 3704 0044", None),
+    ):
+        assert [x for x in find_spans(t) if x[0] == "iban"] == ([("iban", 0, end)] if end else [])
+    two = "AB12 CD34 GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00"
+    assert [two[a:b] for k, a, b in find_spans(two) if k == "iban"] == [two[10:37], two[38:]]
+
+
+def test_scores_are_returned(spark, tmp_path):
+    rows = [(1, "iban DE89370400440532013000 BIC COBADEFFXXX and a@b.cd"), (2, "nothing")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.spans, r.scores) for r in op3_pii(spark, str(tmp_path)).collect()}
+    assert got == {1: ("iban:5:27,email:48:54", "1.00,0.90"), 2: ("", "")}
