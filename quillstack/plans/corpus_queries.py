@@ -142,6 +142,12 @@ def bm25_topk(spark, d):
 
 SQL["bm25_topk"] = f"WITH {C.SQL}, {_BM25} SELECT qid, id, score, rank FROM text_ranked"
 
+@query("fulltext_topk")
+def fulltext_topk(spark, d):
+    """Identifier matches before BM25. The SQL of bm25_topk and rrf_fusion is of BM25 alone, and so are they."""
+    return R.full_text(C.questions(spark, d), C.chunks(spark, d), _open(spark, d)).select("qid", "id", "matches", "score", "rank")
+
+
 _NAMED = "(VALUES (1, 'a_opcode runs x9 and b_2'), (2, 'nothing named'), (3, 'OP24 only, see OP24N')) v(id, text)"
 
 

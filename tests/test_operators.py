@@ -186,3 +186,14 @@ def test_streamed_runs(spark, tmp_path):
     counted = outcomes(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("counted").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     counted.awaitTermination()
     assert spark.table("counted").count() == 0  # nothing is final before the watermark passes
+
+
+def test_identifiers_come_before_bm25(spark):
+    asked = spark.createDataFrame([(1, "pay rule A_OPCODE")], "qid long, question string")
+    rows = [("a", "pay rule", None), ("b", "pay rule pay rule", None), ("z", "a_opcode " + "other words " * 60, None), ("y", "nothing", "On A_OPCODE"), ("x", "a_opcode shut", None)]
+    chunks = spark.createDataFrame([(i, "d", n, h, t) for n, (i, t, h) in enumerate(rows)], "id string, document_id string, ordinal long, heading string, text string")
+    readable = chunks.where("id <> 'x'").select("id")
+    assert [(r.id, r.matches) for r in R.full_text(asked, chunks, readable, 2).orderBy("rank").collect()] == [("z", 1), ("y", 1)]
+    none = spark.createDataFrame([], "qid long, query array<float>"), spark.createDataFrame([], "id string, embedding array<float>")
+    got = R.hybrid(asked, chunks, *none, readable, limit=1).where("context_for is null").collect()
+    assert [r.id for r in got] == ["z"]
