@@ -115,7 +115,9 @@ def entry(cells: list[str]) -> tuple[list[str], list[str], list[str]]:
     name = re.sub(r"\([^()]*\)", "", re.sub(r"`[^`]*`|\[[^\]]*\]", "", cells[0]))
     variants = re.findall(r"[\"“]([^\"”]+)[\"”]", cells[0]) or re.split(r"[/,]", name)
     phrases = sorted({" ".join(w) for v in variants if len(w := words(v)) >= 2})
-    short = sorted({w for w in re.findall(r"[^\W_]+", cells[0]) if is_acronym(w)})
+    compounds = [[p for p in t.split("-") if p] for t in re.findall(r"(?:[^\W_]|-)+", cells[0])]
+    initials = {"".join(p[0] for p in parts).lower() for parts in compounds if len(parts) >= 3}
+    short = sorted({w for w in re.findall(r"[^\W_]+", cells[0]) if is_acronym(w)} | initials)
     terms = list(dict.fromkeys(w for c in cells for w in words(c) if w not in STOP))
     return phrases, short, terms
 

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of the longest phrase that is looked for.
-LONGEST = 6
-
 
 def match(questions: DataFrame, entries: DataFrame) -> DataFrame:
     """(qid, entry, matched): entries whose phrase or acronym the question holds.
 
-    Every run of up to LONGEST words of a question is a key, so phrases meet questions in an equal join.
+    Runs of a question's words, of just the lengths that the phrases have, meet the phrases in an equal join. Acronyms
+    meet the question's words of two capitals or more and no more small letters, whatever the case of either.
     """
+    # One row: as many numbers as phrases have different lengths.
+    lengths = entries.select(F.explode("phrases").alias("p")).where("p <> ''").agg(F.collect_set(F.size(F.split("p", " "))).alias("lengths"))
     w = F.filter(F.split(F.lower("question"), "[^\\p{L}\\p{N}]+"), lambda x: x != "")
-    rows = questions.select("qid", "question", w.alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(LONGEST)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: i + n - 1 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    keys = rows.select("qid", F.explode(F.array_distinct(F.concat(runs, F.filter(F.split("question", "[^\\p{L}\\p{N}]+"), lambda x: x != "")))).alias("matched"))
-    named = entries.select("entry", F.explode(F.array_union("phrases", "acronyms")).alias("matched"))
-    return keys.join(named, "matched").select("qid", "entry", "matched").distinct()
+    rows = questions.select("qid", "question", w.alias("w")).crossJoin(F.broadcast(lengths))
+    runs = F.flatten(F.transform("lengths", lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: i + n - 1 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    count = lambda x, kind: F.char_length(F.regexp_replace(x, f"[^\\p{{{kind}}}]", ""))
+    short = F.filter(F.split("question", "[^\\p{L}\\p{N}]+"), lambda x: (count(x, "Lu") >= 2) & (count(x, "Lu") >= count(x, "Ll")))
+    keyed = lambda name, kind: F.transform(name, lambda x: F.struct(F.lit(kind).alias("kind"), (F.lower(x) if kind == "acronym" else x).alias("key"), x.alias("matched")))
+    asked = rows.select("qid", F.inline(F.concat(keyed(runs, "phrase"), keyed(short, "acronym")))).select("qid", "kind", "key").distinct()
+    named = entries.select("entry", F.inline(F.concat(keyed("phrases", "phrase"), keyed("acronyms", "acronym"))))
+    return asked.join(named, ["kind", "key"]).select("qid", "entry", "matched").distinct()
 
 
 def expand(questions: DataFrame, entries: DataFrame, most: int = 16) -> DataFrame:

@@ -10,6 +10,7 @@ from quillstack.functions import markdown as M
 from quillstack.functions import text as T
 from quillstack.operators import access as A
 from quillstack.operators import evaluate as E
+from quillstack.operators import glossary as G
 from quillstack.operators import ingest as I
 from quillstack.operators import retrieval as R
 from quillstack.operators import steps as S
@@ -197,3 +198,12 @@ def test_identifiers_come_before_bm25(spark):
     none = spark.createDataFrame([], "qid long, query array<float>"), spark.createDataFrame([], "id string, embedding array<float>")
     got = R.hybrid(asked, chunks, *none, readable, limit=1).where("context_for is null").collect()
     assert [r.id for r in got] == ["z"]
+
+
+def test_glossary_long_phrases_and_initials(spark):
+    assert M.entry(["Segregation-of-duties", "who may do what"])[1] == ["sod"] and M.entry(["Follow-up", "x"])[1] == []
+    rows = [(1, ["the date on which pay is due"], []), (2, [], ["sod"]), (3, ["due date"], ["ACL"])]
+    entries = spark.createDataFrame([(*r, ["t"]) for r in rows], "entry int, phrases array<string>, acronyms array<string>, terms array<string>")
+    asked = spark.createDataFrame([(1, "What is the date on which pay is due?"), (2, "Is SoD kept"), (3, "is sod or acl kept"), (4, "An ACL; a due date")], "qid int, question string")
+    got = {(r.qid, r.entry, r.matched) for r in G.match(asked, entries).collect()}
+    assert got == {(1, 1, "the date on which pay is due"), (2, 2, "sod"), (4, 3, "ACL"), (4, 3, "due date")}
