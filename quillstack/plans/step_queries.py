@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstack.functions import text as T
 from quillstack.operators import steps as S
 from quillstack.plans.inline import Catalogue, Rows
 from quillstack.sources import corpus as C
@@ -82,6 +83,12 @@ def answer_state(spark, d):
     return S.answer_state(rows, 2000)
 
 
+@catalogue.add("answer_state_whole", None)
+def answer_state_whole(spark, d):
+    """All lines of each document, cut at the operator's own limit."""
+    return S.answer_state(C.chunks(spark, d).select(F.col("document_id").alias("qid"), (F.col("ordinal") + 1).alias("rank"), "text"))
+
+
 CLAIMS = Rows("qid, claim, text, cited", "(1, 0, 'Says `pay Roll` here', 'a;b'), (1, 1, 'No quote', ''), (1, 2, 'Bad \"missing span\"', 'a'), (2, 0, 'Unknown', 'z;a'), (2, 1, 'Curly “Due Date”', 'c')")
 SOURCES = Rows("qid, id, text", "(1, 'a', 'The payroll team'), (1, 'b', 'Other text'), (2, 'a', 'x'), (2, 'c', 'the due  date is now')")
 _CITED = f"cited AS (SELECT qid, claim, unnest(string_split(cited, ';')) AS id, unnest(range(len(string_split(cited, ';')))) AS place FROM {CLAIMS.sql} WHERE cited <> '')"
@@ -136,6 +143,13 @@ def explain_prompt(spark, d):
     return S.prompt(asked, rows)
 
 
+@catalogue.add("explain_prompt_whole", None)
+def explain_prompt_whole(spark, d):
+    rows = C.chunks(spark, d).select(F.col("document_id").alias("qid"), "id", F.col("ordinal").alias("rank"), "text")
+    asked = C.documents(spark, d).select(F.col("document_id").alias("qid"), F.col("title").alias("question")).join(rows.select("qid").distinct(), "qid", "left_semi")
+    return S.prompt(asked, rows)
+
+
 REPLIES = Rows("qid, raw", """(1, '{"claims":[{"text":" One ","chunks":["a","b","a"]},{"text":"Two","chunks":[]}]}'), (2, '{"claims":[]}'), (3, 'not json'), (4, '{"claims":[{"text":"  ","chunks":["a"]}]}')""")
 
 
@@ -152,6 +166,14 @@ def render_sources(spark, d):
     return by.select("document_id", F.concat(F.lit("**Sources**\n"), F.array_join(F.transform("all", lambda s: s["x"]), "\n")).alias("markdown"))
 
 
+@catalogue.add("render_sources_whole", None)
+def render_sources_whole(spark, d):
+    """All lines of each document with their excerpts."""
+    line = F.concat(F.lit("["), (F.col("ordinal") + 1).cast("string"), F.lit("] ["), F.col("title"), F.lit("]("), F.col("url"), F.lit("): "), T.excerpt(F.col("text")))
+    by = C.chunks(spark, d).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("x")))).alias("all"))
+    return by.select("document_id", F.concat(F.lit("**Sources**\n"), F.array_join(F.transform("all", lambda s: s["x"]), "\n")).alias("markdown"))
+
+
 @catalogue.add("pipeline_e2e", "SELECT * FROM (VALUES (1, 'open', NULL, 'explained', 2), (2, 'boolean', NULL, 'yes', 1), (3, 'open', 'retrieve', 'declined', 0), (4, 'open', 'admit', 'declined', 0), (5, 'boolean', 'answer', 'declined', 1)) v(qid, category, halted_at, outcome, sources)")
 def pipeline_e2e(spark, d):
     asked = spark.createDataFrame([(1, 0.55, 0.1, 0.1, 0.25, 0.5), (2, 0.9, 0.0, 0.0, 0.1, 0.9), (3, 0.1, 0.1, 0.1, 0.7, 0.5), (4, 0.1, 0.1, 0.1, 0.7, 0.5), (5, 0.9, 0.0, 0.0, 0.1, 0.6)], "qid int, p_boolean float, p_choice float, p_ranking float, p_open float, p_yes float")
