@@ -158,6 +158,13 @@ def identifier_match(spark, d):
     return R.identifier_matches(spark.sql(f"{_ASKED} AS v(qid, question)"), held)
 
 
+@query("identifier_match_corpus")
+def identifier_match_corpus(spark, d):
+    """All questions against all chunks; the benchmark's questions and made ones."""
+    asked = C.questions(spark, d).select(F.col("qid").cast("long").alias("qid"), "question").union(spark.sql(f"{_ASKED} AS v(qid, question)").select(-F.col("qid").cast("long"), "question"))
+    return R.identifier_matches(asked, C.chunks(spark, d))
+
+
 _VECTOR = """near AS (SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
 near_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM near QUALIFY rank <= 50)"""
 
@@ -277,3 +284,18 @@ def layer_resolution(spark, d):
     paths = spark.createDataFrame([("a/x.md",), ("a/b/y.md",), ("a/b/skip/w.md",), ("r.md",), ("ab/z.md",)], "path string")
     layers = spark.createDataFrame([("", "evidence"), ("a/b", "authoritative"), ("a/b/skip", "skip")], "prefix string, standing string")
     return A.layer_of(paths, layers)
+
+
+@query("label_rules_corpus")
+def label_rules_corpus(spark, d):
+    """All documents; only the rules are inline."""
+    rows = [(1, "src0", "", [], "public"), (2, "src0", "10", ["role:hr", "role:payroll"], "internal"), (3, "src1", "", ["role:hr", "user:ana"], "confidential"), (4, "src1", "", ["role:hr"], "public")]
+    rules = spark.createDataFrame(rows, "rule int, source string, prefix string, acl array<string>, sensitivity string")
+    return A.apply_label_rules(C.documents(spark, d).select("document_id", "source", "external_id"), rules)
+
+
+@query("layer_resolution_corpus")
+def layer_resolution_corpus(spark, d):
+    """Source and id of all documents as paths; only the layers are inline."""
+    layers = spark.createDataFrame([("", "evidence"), ("src0", "authoritative"), ("src1", "skip")], "prefix string, standing string")
+    return A.layer_of(C.documents(spark, d).select(F.concat_ws("/", "source", "external_id").alias("path")), layers)
