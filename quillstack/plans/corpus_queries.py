@@ -158,13 +158,6 @@ def identifier_match(spark, d):
     return R.identifier_matches(spark.sql(f"{_ASKED} AS v(qid, question)"), held)
 
 
-@query("identifier_match_corpus")
-def identifier_match_corpus(spark, d):
-    """All questions against all chunks; the benchmark's questions and made ones."""
-    asked = C.questions(spark, d).select(F.col("qid").cast("long").alias("qid"), "question").union(spark.sql(f"{_ASKED} AS v(qid, question)").select(-F.col("qid").cast("long"), "question"))
-    return R.identifier_matches(asked, C.chunks(spark, d))
-
-
 _VECTOR = """near AS (SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
 near_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM near QUALIFY rank <= 50)"""
 
