@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import uuid
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests on one machine); removed when Python ends.
 LOCAL_CHECKPOINTS = f"/tmp/checkpoints/quillstack-{os.getpid()}"
-#: Rows up to which a table may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes (as JSON) up to which a table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -35,16 +36,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder for this application's tables: below spark.checkpoint.dir, or a local one where that is unset, on a
+    local master only (elsewhere executors would write to disks of their own)."""
     if shared := spark.conf.get("spark.checkpoint.dir", None):
-        return shared.rstrip("/")
+        return f"{shared.rstrip('/')}/quillstack-{spark.sparkContext.applicationId}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     atexit.register(shutil.rmtree, LOCAL_CHECKPOINTS, ignore_errors=True)
     return LOCAL_CHECKPOINTS
 
 
-def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it has at most `rows` rows; a larger one is left to Spark's own join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The table with a broadcast hint if it has at most `rows` rows of `most_bytes` in all, as measured; a larger one is
+    left to Spark's own join."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= most_bytes else df
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
@@ -55,4 +62,24 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Remove the files of materialized tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove every table that this application has written, once its results are stored elsewhere."""
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
