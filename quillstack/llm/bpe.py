@@ -25,10 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm.textcore import release, slices, small_batches
-from quillstack.session import materialize, table
+from quillstack.session import materialize, remove, table
 
 #: Text of one run of documents.
 RUN_BYTES = 2_000_000
+#: Bytes of a piece of a word that is longer. The fold takes time in the square of its word, so long words are folded
+#: in pieces and joined afterwards.
+PIECE_BYTES = 256
 #: Words encoded ahead of all runs, at most, and rows among which they are looked for, about.
 AHEAD_WORDS, AHEAD_DOCS = 1 << 18, 1 << 14
 _NONE, _REST = 2**31 - 1, 2**30
@@ -70,7 +73,7 @@ class Merges:
 
 
 def _folded(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The fold on the driver, for the vocabulary's own tokens."""
+    """The fold in Python: for the vocabulary's own tokens, and for a few bytes around a cut."""
     parts = [word[i : i + 1] for i in range(len(word))]
     while len(parts) > 1:
         least, at = min((ranks.get(parts[i] + parts[i + 1], _NONE), i) for i in range(len(parts) - 1))
@@ -80,6 +83,33 @@ def _folded(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
+def _fits(a: bytes, b: bytes, ranks: dict[bytes, int]) -> bool:
+    """Whether two tokens stay as they are when they stand side by side. Ids of a text are those of its encoding if and
+    only if each two neighbours fit."""
+    return _folded(a + b, ranks) == [ranks[a], ranks[b]]
+
+
+def join_pieces(pieces: list[list[int]], tokens: list[bytes], ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word from those of its pieces: around each cut as many tokens are encoded anew as it takes for the
+    neighbours to fit, so the work for a cut doesn't grow with the word."""
+    out: list[int] = []
+    for ids in pieces:
+        if not out or not ids:
+            out += ids
+            continue
+        n = 0
+        while True:
+            left, right = max(0, len(out) - n), min(n, len(ids))
+            middle = _folded(b"".join(tokens[i] for i in [*out[left:], *ids[:right]]), ranks)
+            row = [*out[left - 1 : left], *middle, *ids[right : right + 1]] if left else [*middle, *ids[right : right + 1]]
+            edges = [(row[0], row[1]), (row[-2], row[-1])] if len(row) > 1 else []
+            if all(_fits(tokens[a], tokens[b], ranks) for a, b in edges):
+                break
+            n = max(1, 2 * n)
+        out[left:] = [*middle, *ids[right:]]
+    return out
+
+
 @cache
 def merges(path: str) -> Merges:
     return Merges(read_ranks(path))
@@ -148,14 +178,19 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _bytes(words: list[str]) -> pa.Array:
-    coded = [w.encode("utf-8", "surrogatepass") for w in words]
+def _coded(word: str) -> bytes:
+    return word.encode("utf-8", "surrogatepass")
+
+
+def _bytes(words: list[str | bytes]) -> pa.Array:
+    coded = [w if isinstance(w, bytes) else _coded(w) for w in words]
     ends = np.concatenate([[0], np.cumsum([len(w) for w in coded])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)))
 
 
 class _Split:
-    """Runs of documents: each one's words as numbers, first in `ahead`, then in the run's own distinct words."""
+    """Runs of documents: each one's words as numbers, first in `ahead`, then in the run's own distinct words. Words of
+    more than PIECE_BYTES give a number for each piece; `joins` are the places of pieces that go on a word."""
 
     def __init__(self, pattern: str, ahead):
         self.pattern, self.ahead = pattern, ahead
@@ -165,16 +200,25 @@ class _Split:
         base = len(known)
         for whole in batches:
             for batch in slices(whole, 1, RUN_BYTES):
-                new, sizes, numbers = {}, [], []
+                new, sizes, numbers, joins = {}, [], [], []
                 for text in batch.column(1).to_pylist():
-                    found = words(text)
-                    sizes.append(len(found))
-                    for w in found:
+                    first, cuts = len(numbers), []
+                    for w in words(text):
                         at = known.get(w)
-                        numbers.append(new.setdefault(w, base + len(new)) if at is None else at)
+                        if at is not None:
+                            numbers.append(at)
+                        elif len(w) * 4 <= PIECE_BYTES or len(b := _coded(w)) <= PIECE_BYTES:
+                            numbers.append(new.setdefault(w, base + len(new)))
+                        else:
+                            for i in range(0, len(b), PIECE_BYTES):
+                                if i:
+                                    cuts.append(len(numbers) - first)
+                                numbers.append(new.setdefault(b[i : i + PIECE_BYTES], base + len(new)))
+                    sizes.append(len(numbers) - first)
+                    joins.append(cuts)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 numbers = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(numbers, np.int32)))
-                docs = pa.StructArray.from_arrays([batch.column(0), numbers], ["row", "at"])
+                docs = pa.StructArray.from_arrays([batch.column(0), numbers, pa.array(joins, pa.list_(pa.int32()))], ["row", "at", "joins"])
                 yield pa.RecordBatch.from_arrays([_one(docs), _one(_bytes(list(new)))], names=["docs", "words"])
         release()
 
@@ -190,10 +234,11 @@ class Ahead:
 
 
 class Codes:
-    """Ids and bytes of the words encoded before the others, as flat arrays, for the assembling side."""
+    """Ids and bytes of the words encoded before the others, as flat arrays, and the ranks, for the assembling side."""
 
-    def __init__(self, ids: pa.Array, data: pa.Array, top: int):
-        self.top, self.ids, self.id_ends, self.bytes, self.byte_ends = top, ids.flatten().to_numpy(), _ends(ids), _content(data), _ends(data)
+    def __init__(self, ids: pa.Array, data: pa.Array, ranks: dict[bytes, int]):
+        self.ranks, self.top = ranks, max(ranks.values(), default=-1) + 1
+        self.ids, self.id_ends, self.bytes, self.byte_ends = ids.flatten().to_numpy(), _ends(ids), _content(data), _ends(data)
         self.id_ends, self.byte_ends = self.id_ends - self.id_ends[0], self.byte_ends - self.byte_ends[0]
 
 
@@ -217,6 +262,9 @@ class _Assemble:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = self.ahead.value
+        token = [b""] * known.top
+        for content, number in known.ranks.items():
+            token[number] = content
         if self.as_text:
             names = [b"%d " % i for i in range(known.top)]
             text, text_ends = np.frombuffer(b"".join(names), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in names])])
@@ -234,10 +282,14 @@ class _Assemble:
                 doc_ends = _ends(at)
                 at = at.flatten().to_numpy()
                 doc_ends = doc_ends - doc_ends[0]
+                cuts = _ends(docs.field(2))
+                joins = {int(d): docs.field(2)[d].as_py() for d in np.flatnonzero(np.diff(cuts))}
                 ids, to = _gather(ids, id_ends, at)
+                size = to[doc_ends]
+                if joins:
+                    ids, size = _joined(joins, ids, to, doc_ends, token, known.ranks)
                 data, over = _gather(data, byte_ends, at)
                 decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(over[doc_ends].astype(np.int64)), pa.py_buffer(data)])
-                size = to[doc_ends]
                 if self.as_text:
                     joined, to = _gather(text, text_ends, ids)
                     ends = to[size]
@@ -250,6 +302,29 @@ class _Assemble:
         release()
 
 
+def _joined(joins: dict[int, list[int]], ids: np.ndarray, to: np.ndarray, doc_ends: np.ndarray, tokens: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids with the pieces of long words put together, and where each document's ids end."""
+    parts = []
+    for d, (a, b) in enumerate(zip(doc_ends, doc_ends[1:], strict=False)):
+        if d not in joins:
+            parts.append(ids[to[a] : to[b]])
+            continue
+        goes_on, at, mine = set(joins[d]), 0, []
+        while at < b - a:
+            end = at + 1
+            while end in goes_on:
+                end += 1
+            if end == at + 1:
+                mine.append(ids[to[a + at] : to[a + end]])
+            else:
+                pieces = [ids[to[a + k] : to[a + k + 1]].tolist() for k in range(at, end)]
+                mine.append(np.array(join_pieces(pieces, tokens, ranks), ids.dtype))
+            at = end
+        parts.append(np.concatenate(mine))
+    size = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return np.concatenate([np.zeros(0, ids.dtype), *parts]), size
+
+
 def _ends(values: pa.Array) -> np.ndarray:
     if not len(values):
         return np.zeros(1, np.int64)
@@ -268,16 +343,15 @@ def frequent_words(texts: DataFrame, pattern: str, path: str, words: int, sample
             yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in n], pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    counted = materialize(some.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") > 0), "words")
-    least, room = 2**62, words
-    for r in sorted(counted.groupBy("n").count().collect(), reverse=True):  # as many rows as there are different counts
-        if (room := room - r["count"]) < 0:
-            break
-        least = r["n"]
-    most = counted.where(F.col("n") >= least).repartition(2 * texts.sparkSession.sparkContext.defaultParallelism, "word")
+    counted = materialize(some.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word").between(1, PIECE_BYTES)), "words")
+    # The plan that codes them has no exchange: its text holds the literal, and would be made anew after each one.
+    most = counted.orderBy(F.desc("n"), "word").limit(words)
+    most = materialize(most.repartition(2 * texts.sparkSession.sparkContext.defaultParallelism, "word"), "words")
     code = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substring(F.col("word"), i, F.lit(1))), 16, 10).cast("int"))
     coded = most.select("word", F.element_at(code_words(F.array(code), path), 1).alias("c")).select("word", "c.ids", "c.bytes")
-    return coded.toArrow()  # at most `words` rows
+    found = coded.toArrow()  # at most `words` rows
+    remove(counted, most)
+    return found
 
 
 def encode_documents(
@@ -288,21 +362,23 @@ def encode_documents(
     `as_text` a string of the ids joined by spaces.
 
     Each match of `pattern` is encoded by itself by the ranks of the file at `path`; no string is special. Null and
-    empty texts have no ids and no bytes. Every row has its own result, whatever rows repeat. Columns with the
-    names of new ones give way to them. Of the words, `ahead_words` at most, found among about
+    empty texts have no ids and no bytes; an empty table stays empty. Texts and words of any length are taken whole,
+    in time that grows with their bytes. Of equal ranks the leftmost merges. Every row has its own result, whatever
+    rows repeat. Columns with the names of new ones, in either case, give way to them. Of the words, `ahead_words` at most, found among about
     `ahead_docs` rows, are encoded once for all runs and broadcast; the rest are encoded by each run that has them.
     """
     small_batches(docs.sparkSession)
-    keep = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c not in ("n_tokens", "token_ids", "decoded")]
+    keep = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c.lower() not in ("n_tokens", "token_ids", "decoded")]
     col = lambda c: F.col("`" + c.replace("`", "``") + "`")
     rows = docs.select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("_")).alias("row"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
     first = frequent_words(rows.select("text"), pattern, path, ahead_words, ahead_docs)
     word, ids, data = (first.column(c).combine_chunks() for c in ("word", "ids", "bytes"))
     context = docs.sparkSession.sparkContext
-    ahead, codes = context.broadcast(Ahead(word)), context.broadcast(Codes(ids, data, max(read_ranks(path).values(), default=-1) + 1))
+    ahead, codes = context.broadcast(Ahead(word)), context.broadcast(Codes(ids, data, read_ranks(path)))
     del first, word, ids, data
+    release()
     kind = rows.schema["row"].dataType.simpleString()
-    runs = rows.mapInArrow(_Split(pattern, ahead), f"docs array<struct<row: {kind}, at: array<int>>>, words array<array<int>>")
+    runs = rows.mapInArrow(_Split(pattern, ahead), f"docs array<struct<row: {kind}, at: array<int>, joins: array<int>>>, words array<array<int>>")
     coded = runs.select("docs", code_words(F.col("words"), path).alias("words"))
     done = coded.mapInArrow(_Assemble(codes, as_text), f"row {kind}, n_tokens long, token_ids {'string' if as_text else 'array<int>'}, decoded binary")
     return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "token_ids", "decoded")

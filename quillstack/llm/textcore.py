@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -187,6 +187,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def without(columns: list[str], new: list[str]) -> list[str]:
+    """The columns, each once, whose names aren't those of new ones; Spark takes upper and lower case as one."""
+    gone = {c.lower() for c in new}
+    return [c for c in dict.fromkeys(columns) if c.lower() not in gone]
+
+
+def quoted(column: str) -> Column:
+    """The column of exactly this name, dots and backquotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -198,13 +209,11 @@ def map_texts(
     """`keep` columns and the columns of schema `out`, computed from runs of rows.
 
     `make()` is called once a task and returns a function from a batch (the kept columns, then the text) to the
-    values of `out`. Names may clash: a kept column that is also in `out` gives way to the new one.
+    values of `out`. Names may clash: a kept column that is also in `out`, in either case, gives way to the new one.
     """
     small_batches(df.sparkSession)
     schema = StructType.fromDDL(out)
-    new = set(schema.names)
-    keep = [c for c in dict.fromkeys(keep) if c not in new]
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    keep = without(keep, schema.names)
     slim = df.select(
         *[quoted(c).alias(f"_k{i}") for i, c in enumerate(keep)],
         F.coalesce(quoted(text).cast("string"), F.lit("")).alias("_t"),

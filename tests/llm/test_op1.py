@@ -44,6 +44,16 @@ def test_edges(spark, library, ahead):
     assert encode_documents(d.limit(0), PATH, PATTERN, ahead_words=ahead).collect() == []
 
 
+def test_long_words_and_names_in_other_case(spark, library):
+    r = random.Random(8)
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    texts = [pick("etaoinshrdlu", 120_000), "x" + "ab" * 60_000, pick("กขคงจฉชซาิีเแโ", 40_000), "=" * 100_001 + pick("=-_", 3000), pick("aA", 999) + " one " + pick("the and of", 9000)]
+    texts += [pick(r.choice(["etaoin", "abc", "é日本ü", "zqxj", "theringationsed"]), r.randrange(250, 1300)) for _ in range(150)]
+    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, N_TOKENS int")
+    got = {r.doc_id: list(r.token_ids) for r in encode_documents(d, PATH, PATTERN).select("doc_id", "n_tokens", "token_ids").collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_every_token_of_the_vocabulary(spark, library):
     ranks = read_ranks(PATH)
     d = spark.createDataFrame([(r, list(t)) for t, r in ranks.items()], "rank int, word array<int>")
