@@ -188,6 +188,43 @@ def _bytes(words: list[str | bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)))
 
 
+class _Numbers(dict):
+    """Numbers of a run's words; a word of more than PIECE_BYTES has -1 less its place among the `long` ones."""
+
+    def __init__(self, known: dict[str, int]):
+        self.known, self.new, self.long = known, [], []
+        self.pieces: dict[bytes, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        at = self.known.get(word)
+        if at is None:
+            if len(word) * 4 > PIECE_BYTES and len(coded := _coded(word)) > PIECE_BYTES:
+                self.long.append([self.piece(coded[i : i + PIECE_BYTES]) for i in range(0, len(coded), PIECE_BYTES)])
+                at = -len(self.long)
+            else:
+                at = self.add(word)
+        self[word] = at
+        return at
+
+    def add(self, word: str | bytes) -> int:
+        self.new.append(word)
+        return len(self.known) + len(self.new) - 1
+
+    def piece(self, coded: bytes) -> int:
+        if coded not in self.pieces:
+            self.pieces[coded] = self.add(coded)
+        return self.pieces[coded]
+
+    def cut(self, at: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """A document's numbers with long words as their pieces, and the places of pieces that go on a word."""
+        out, cuts = [], []
+        for x in at.tolist():
+            mine = [x] if x >= 0 else self.long[-x - 1]
+            cuts += range(len(out) + 1, len(out) + len(mine))
+            out += mine
+        return np.array(out, np.int32), cuts
+
+
 class _Split:
     """Runs of documents: each one's words as numbers, first in `ahead`, then in the run's own distinct words. Words of
     more than PIECE_BYTES give a number for each piece; `joins` are the places of pieces that go on a word."""
@@ -197,29 +234,21 @@ class _Split:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = regex.compile(self.pattern).findall, self.ahead.value.number
-        base = len(known)
         for whole in batches:
             for batch in slices(whole, 1, RUN_BYTES):
-                new, sizes, numbers, joins = {}, [], [], []
+                numbers, each, joins = _Numbers(known), [], []
                 for text in batch.column(1).to_pylist():
-                    first, cuts = len(numbers), []
-                    for w in words(text):
-                        at = known.get(w)
-                        if at is not None:
-                            numbers.append(at)
-                        elif len(w) * 4 <= PIECE_BYTES or len(b := _coded(w)) <= PIECE_BYTES:
-                            numbers.append(new.setdefault(w, base + len(new)))
-                        else:
-                            for i in range(0, len(b), PIECE_BYTES):
-                                if i:
-                                    cuts.append(len(numbers) - first)
-                                numbers.append(new.setdefault(b[i : i + PIECE_BYTES], base + len(new)))
-                    sizes.append(len(numbers) - first)
+                    found = words(text)
+                    at = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+                    cuts = []
+                    if at.min(initial=0) < 0:
+                        at, cuts = numbers.cut(at)
+                    each.append(at)
                     joins.append(cuts)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                numbers = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array(numbers, np.int32)))
-                docs = pa.StructArray.from_arrays([batch.column(0), numbers, pa.array(joins, pa.list_(pa.int32()))], ["row", "at", "joins"])
-                yield pa.RecordBatch.from_arrays([_one(docs), _one(_bytes(list(new)))], names=["docs", "words"])
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
+                at = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *each])))
+                docs = pa.StructArray.from_arrays([batch.column(0), at, pa.array(joins, pa.list_(pa.int32()))], ["row", "at", "joins"])
+                yield pa.RecordBatch.from_arrays([_one(docs), _one(_bytes(numbers.new))], names=["docs", "words"])
         release()
 
 
