@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.session import materialize
+from quillstack.session import materialize, remove
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,16 +20,20 @@ def components(links: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).select("x", F.least("x", "y").alias("y"))
-        hook = materialize(hook, "hooks")
-        while True:
+        hook, moved = materialize(hook, "hooks"), True
+        while moved:  # two hooks further at once
             far = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            further = materialize(hook.join(far, "y").select("x", F.col("z").alias("y"), (F.col("z") != F.col("y")).alias("moved")), "hooks")
-            hook = further.select("x", "y")
-            if further.where("moved").isEmpty():
-                break
+            end = far.select(F.col("y").alias("z"), F.col("z").alias("end"))
+            further = materialize(hook.join(far, "y").join(end, "z").select("x", F.col("end").alias("y"), (F.col("end") != F.col("y")).alias("moved")), "hooks")
+            moved = not further.where("moved").isEmpty()
+            remove(hook)
+            hook = further
         up = hook.select(F.col("x").alias("root"), F.col("y").alias("to"))
+        old = label, links
         label = materialize(label.join(up, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
         a, b = hook.select(F.col("x").alias("a"), F.col("y").alias("ra")), hook.select(F.col("x").alias("b"), F.col("y").alias("rb"))
-        moved = links.join(a, "a").join(b, "b").where("ra != rb")
-        links = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        left = links.join(a, "a").join(b, "b").where("ra != rb")
+        links = materialize(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        remove(*old, hook)
+    remove(links)
     return label

@@ -1,38 +1,43 @@
 """Exact Jaccard self-join of shingle sets and its components, by count vectors (operator 5).
 
-A document's shingles are hashed into groups and the group counts are its point. Two points at least as similar
-as asked differ in few shingles, so among slightly more groups than those, one group is the same in both. The
-directory level of the tree is therefore a point query: equal groups (count and content) lead to the same cell,
-by an equal join, for any number of machines. (Boxes over hashed counts overlap almost everywhere, so a directory
-of boxes would send each query to every node; README has more.) Within a cell the sum of coordinate minima bounds
-the overlap, and pairs that pass it are verified on the sets themselves.
-
-Only connected components are wanted, so a set is first tried against the nearest of the first members of its cells;
-other pairs of a cell are tried when they are not yet connected. No link between different components is lost, and a group of
+A document's shingles are hashed into groups and the group counts are its point. Points that may link are found in two
+levels. Two sets at least as similar as asked differ in few shingles, so among slightly more groups than those, one
+group is the same in both: sets with an equal group (count and content) share a cell, by an equal join, which deals the
+points out to any number of machines. Over the points of each cell a tree is bulk-loaded: its nodes keep the largest
+count of each group, the sum of the smaller counts of two nodes bounds the overlap of any two sets below them, and
+the walk leaves out pairs of nodes whose bound is too low. Pairs of points that remain are verified on the sets.
+
+Only connected components are wanted, so a set is first tried against one of the first members of its cells; other
+pairs are tried when they are not yet connected. No link between different components is lost, and a group of
 thousands of near copies costs one pair a member.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstack.llm.components import components
-from quillstack.llm.textcore import SPACED, Words, map_texts, mix, shingle_sets, text_buffers
-from quillstack.session import materialize, table
+from quillstack.llm.textcore import SPACED, Words, map_texts, mix, quoted, shingle_sets, text_buffers
+from quillstack.session import materialize, remove, table
 
 _U = np.uint64
-#: Coordinates of the point by which pairs are bounded.
-GROUPS = 64
-#: Points of a leaf; members of a cell that one task compares with as many others. Larger cells are cut in blocks,
-#: and each two blocks meet in a cell of their own.
-LEAF, BLOCK = 128, 2048
-#: Rows (two longs each) of the table of sets to verify, up to which it is broadcast to the texts.
-BROADCAST_ROWS = 1_000_000
+#: Coordinates of a point, at least and at most (powers of two), and shingles for each coordinate, about: the longer the
+#: set, the finer its point, since counts of unlike sets differ by the root of their means only.
+LEAST_GROUPS, MOST_GROUPS, PER_GROUP = 64, 4096, 8
+#: Points of a leaf. Shingles of a block: a cell of more is cut in blocks, and each two blocks meet in a cell of their own.
+LEAF, BLOCK = 64, 1 << 20
+#: Pairs of points that are bounded at once, and pairs held before they are verified.
+PAIRS, HELD = 20_000, 100_000
+#: Rows (three longs each) of the table of sets to verify, up to which it is broadcast to the texts.
+BROADCAST_ROWS = 300_000
+#: Places in which a task keeps what it has seen last.
+SEEN = 1 << 19
 
 
 class Cells:
@@ -124,8 +129,24 @@ def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return h, at, key
 
 
-def _list(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(values.view(np.int64), pa.int64()))
+class _Seen:
+    """The last value seen for each of many keys, in a table of fixed size: a key may be forgotten, never mistaken."""
+
+    def __init__(self):
+        self.keys, self.values = np.zeros(SEEN, _U), np.zeros(SEEN, _U)
+        self.hits = np.zeros(SEEN, np.uint8)
+
+    def first(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The value of each of the distinct `keys`: as seen before, or else `values`, which are kept from now on where
+        the place isn't held by a key that has come again."""
+        at = (keys & _U(SEEN - 1)).astype(np.int64)
+        known = (self.keys[at] == keys) & (keys != 0)
+        self.hits[at[known]] = np.minimum(self.hits[at[known]], 254) + 1
+        free = ~known & (self.hits[at] == 0)
+        self.hits[at[~known & ~free]] -= 1
+        out = np.where(known, self.values[at], values)
+        self.keys[at[free]], self.values[at[free]] = keys[free], values[free]
+        return out
 
 
 def _sizes(k: int):
@@ -137,51 +158,140 @@ def _sizes(k: int):
     return work
 
 
-def _points(k: int):
-    def work(batch: pa.RecordBatch) -> list:
-        h, at, key = _sets(batch, k)
-        n = np.diff(at)
-        cell = np.repeat(np.arange(len(n)), n) * GROUPS + (mix(h) >> _U(58)).astype(np.int64)
-        counts = np.bincount(cell, minlength=len(n) * GROUPS)
-        return [key.view(np.int64), _list(counts.astype(np.int64), np.arange(len(n) + 1) * GROUPS), _list(h, at)]
+def widths(n: np.ndarray) -> np.ndarray:
+    """Coordinates of the points of sets of `n` shingles."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / PER_GROUP)).astype(np.int64).clip(0), LEAST_GROUPS, MOST_GROUPS)
 
-    return work
+
+def points(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group counts of each set and their offsets. Groups go by leading bits, so adjacent counts add up to coarser ones."""
+    n = np.diff(at)
+    width = widths(n)
+    ends = np.concatenate([[0], np.cumsum(width)])
+    owner = np.repeat(np.arange(len(n)), n)
+    bits = (64 - np.log2(width).astype(np.int64)).astype(_U)
+    place = ends[owner] + (mix(h) >> bits[owner]).astype(np.int64)
+    return np.bincount(place, minlength=ends[-1]), ends
+
+
+def _points(k: int):
+    def make():
+        seen = _Seen()
+
+        def work(batch: pa.RecordBatch) -> list:
+            h, at, key = _sets(batch, k)
+            wanted = key == batch.column(0).to_numpy().view(_U)
+            once = np.zeros(len(key), bool)
+            once[np.unique(key, return_index=True)[1]] = True
+            mine = np.flatnonzero(wanted & once)
+            token = np.arange(1, len(mine) + 1).astype(_U) + _U(seen.values.max())
+            mine = mine[seen.first(key[mine], token) == token]  # copies that this task has given already
+            keep = np.zeros(len(key), bool)
+            keep[mine] = True
+            n = np.diff(at)
+            h, at = h[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])])
+            counts, ends = points(h, at)
+            each = np.searchsorted(mine, np.arange(len(key) + 1))
+            point = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(counts.astype(np.int32)))
+            hashes = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
+            rows = pa.StructArray.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(n[keep]), point, hashes], ["key", "n", "point", "hashes"])
+            return [pa.ListArray.from_arrays(pa.array(each.astype(np.int32)), rows)]
+
+        return work
+
+    return make
 
 
 class _Emit:
-    """Signatures of the sets of one task, each set once. `head` is the first set of the task with that signature."""
+    """Signatures of the sets of one task. `head` is the first set of the task with that signature, as far as a table of
+    fixed size remembers; sets and signatures that it forgets come again, and meet in the exchange."""
 
     def __init__(self, k: int, num: int, den: int):
-        self.k, self.cells, self.sets = k, Cells(num, den), np.zeros(0, _U)
-        self.sigs, self.heads = np.zeros(0, _U), np.zeros(0, _U)
+        self.k, self.cells, self.sets, self.heads, self.batch = k, Cells(num, den), _Seen(), _Seen(), 0
 
     def __call__(self, batch: pa.RecordBatch) -> list:
         h, at, key = _sets(batch, self.k)
-        _, first = np.unique(key, return_index=True)
-        new = np.zeros(len(key), bool)
-        new[first] = True
-        new &= (np.diff(at) > 0) & ~np.isin(key, self.sets)
-        self.sets = np.union1d(self.sets, key[new])
         n = np.diff(at)
-        h, n_new = h[np.repeat(new, n)], n[new]
-        sig, who = self.cells.signatures(h, np.concatenate([[0], np.cumsum(n_new)]))
-        mine = key[new][who]
+        self.batch += 1
+        first = np.zeros(len(key), bool)
+        first[np.unique(key, return_index=True)[1]] = True
+        mine = np.flatnonzero(first & (n > 0))
+        mine = mine[self.sets.first(key[mine], np.full(len(mine), self.batch, _U)) == _U(self.batch)]
+        new = np.zeros(len(key), bool)
+        new[mine] = True
+        sig, who = self.cells.signatures(h[np.repeat(new, n)], np.concatenate([[0], np.cumsum(n[new])]))
+        who = mine[who]
         value, one, which = np.unique(sig, return_index=True, return_inverse=True)
-        head = mine[one]
-        if len(self.sigs):
-            place = np.minimum(np.searchsorted(self.sigs, value), len(self.sigs) - 1)
-            seen = self.sigs[place] == value
-            head = np.where(seen, self.heads[place], head)
-        else:
-            seen = np.zeros(len(value), bool)
-        place = np.searchsorted(self.sigs, value[~seen])
-        self.sigs, self.heads = np.insert(self.sigs, place, value[~seen]), np.insert(self.heads, place, head[~seen])
-        rows = np.flatnonzero(new)[who]
-        at_row = np.searchsorted(rows, np.arange(len(key) + 1))
-        signed = [pa.array(x.view(np.int64), pa.int64()) for x in (sig, mine, np.ascontiguousarray(head[which]))]
+        head = self.heads.first(value, key[who[one]])[which]
+        at_row = np.searchsorted(who, np.arange(len(key) + 1))
+        signed = [pa.array(x.view(np.int64), pa.int64()) for x in (sig, np.ascontiguousarray(key[who]), np.ascontiguousarray(head))]
         return [pa.LargeListArray.from_arrays(pa.array(at_row, pa.int64()), pa.StructArray.from_arrays(signed, ["sig", "key", "head"]))]
 
 
+@dataclass
+class Node:
+    """A node of the tree: its points (of a leaf), what bounds them, and its two parts."""
+
+    rows: np.ndarray
+    top: np.ndarray
+    low: int
+    high: int
+    roots: tuple[int, int]
+    parts: tuple[Node, Node] | None = None
+
+
+class Tree:
+    """Bulk-loaded tree over the rows `at` of a matrix of points. Halves go apart by size as long as sizes of a node are
+    too different to link, then along the coordinate that varies most."""
+
+    def __init__(self, matrix: np.ndarray, n: np.ndarray, root: np.ndarray, num: int, den: int):
+        self.matrix, self.n, self.root, self.num, self.den = matrix, n, root, num, den
+
+    def build(self, at: np.ndarray) -> Node:
+        n, root = self.n[at], self.root[at]
+        node = Node(at, None, int(n.min()), int(n.max()), (int(root.min()), int(root.max())))
+        if len(at) <= LEAF:
+            node.top = self.matrix[at].max(0)
+            return node
+        by = n if node.high * self.num > node.low * self.den else self.matrix[at, self.matrix[at].var(0).argmax()]
+        order = at[np.argsort(by, kind="stable")]
+        half = len(at) // 2
+        node.parts = self.build(order[:half]), self.build(order[half:])
+        node.top = np.maximum(node.parts[0].top, node.parts[1].top)
+        return node
+
+    def may_link(self, u: Node, v: Node) -> bool:
+        if u.roots == v.roots and u.roots[0] == u.roots[1] or u.high * self.den < self.num * v.low or v.high * self.den < self.num * u.low:
+            return False
+        return int(np.minimum(u.top, v.top).sum(dtype=np.int64)) * (self.den + self.num) >= self.num * (u.low + v.low)
+
+    def pairs(self, u: Node, v: Node) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of pairs of leaves that may link; with itself (u is v) each pair once."""
+        stack = [(u, v)]
+        while stack:
+            u, v = stack.pop()
+            if not self.may_link(u, v):
+                continue
+            if u.parts is None and v.parts is None:
+                if u is v:
+                    i, j = np.triu_indices(len(u.rows), 1)
+                    yield u.rows[i], u.rows[j]
+                else:
+                    yield np.repeat(u.rows, len(v.rows)), np.tile(v.rows, len(u.rows))
+            elif u is v:
+                a, b = u.parts
+                stack += [(a, a), (a, b), (b, b)]
+            elif v.parts is None or u.parts is not None and len(u.rows) >= len(v.rows):
+                stack += [(x, v) for x in u.parts]
+            else:
+                stack += [(u, x) for x in v.parts]
+
+
+#: Sides of the rows of a cell: all pairs of it, pairs with the head only (the keys and the head); others are blocks,
+#: and only rows of different blocks are compared.
+_ALL, _KEY, _HEAD = -1, -2, -3
+
+
 class _Within:
     """Links within cells that join different roots, as many as join all that link. Rows come sorted by cell.
 
@@ -200,63 +310,113 @@ class _Within:
                 held.append(batch)  # one cell goes on; its rows are at most two blocks
                 continue
             last = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if cell[0] != cell[-1] else 0
-            yield from self.compare([*held, batch.slice(0, last)])
+            yield from _Compare(self, [*held, batch.slice(0, last)]).links()
             held = [batch.slice(last)]
-        yield from self.compare(held)
+        yield from _Compare(self, held).links()
+
 
-    def compare(self, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Compare:
+    """The cells of some batches."""
+
+    def __init__(self, of: _Within, batches: list[pa.RecordBatch]):
+        self.num, self.den, self.verify = of.num, of.den, of.verify
         rows = pa.Table.from_batches(batches) if batches else None
-        if rows is None or not rows.num_rows:
+        self.rows = rows.num_rows if rows else 0
+        if not self.rows:
             return
-        cell, side, key, root, n = (rows.column(i).to_numpy() for i in range(5))
-        point = rows.column(5).combine_chunks().flatten().to_numpy().reshape(-1, GROUPS).astype(np.int32)
+        self.cell, self.side, self.key, self.root, self.n = (rows.column(i).to_numpy() for i in range(5))
+        point = rows.column(5).combine_chunks()
+        self.ends, self.counts = point.offsets.to_numpy(), point.values.to_numpy()
         if self.verify:
             hashes = rows.column(6).combine_chunks()
-            ends, hashes = hashes.offsets.to_numpy(), hashes.values.to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+            self.set_ends, self.hashes = hashes.offsets.to_numpy(), hashes.values.to_numpy()
+        self.joined = self.root if self.verify else self.key
+        self.up: dict[int, int] = {}
+        self.held: list[np.ndarray] = []
+        self.many = 0
+        self.found: tuple[list[int], list[int]] = [], []
+
+    def links(self) -> Iterator[pa.RecordBatch]:
+        if self.rows < 2:
+            return
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.cell)) + 1, [self.rows]])
         size = np.diff(cuts)
-        found = []
+        least = np.minimum.reduceat(np.diff(self.ends), cuts[:-1])
+        for width in np.unique(least[size > 1]).tolist():
+            self.of_width(width, cuts, np.flatnonzero((least == width) & (size > 1)))
+        self.settle()
+        if self.found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in self.found], names=["a", "b"])
+
+    def of_width(self, width: int, cuts: np.ndarray, cells: np.ndarray) -> None:
+        """The cells whose coarsest points have `width` counts; finer ones are added up to as many."""
+        size = np.diff(cuts)[cells]
+        at = np.repeat(cuts[cells] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        own = np.diff(self.ends)[at]
+        matrix = np.zeros((len(at), width), np.int32)
+        for w in np.unique(own).tolist():
+            some = np.flatnonzero(own == w)
+            matrix[some] = self.counts[self.ends[at[some], None] + np.arange(w)].reshape(len(some), width, w // width).sum(2)
+        n, root, side = self.n[at], self.root[at], self.side[at]
+        tree = Tree(matrix, n, root, self.num, self.den)
+        start = np.concatenate([[0], np.cumsum(size)])
+        plain = np.add.reduceat(side != _ALL, start[:-1]) == 0
 
         def test(x: np.ndarray, y: np.ndarray) -> None:
-            ok = (root[x] != root[y]) & ((side[x] < 0) | (side[x] != side[y]))
-            x, y = x[ok], y[ok]
-            for at in range(0, len(x), 20_000):
-                p, q = x[at : at + 20_000], y[at : at + 20_000]
-                bound = np.minimum(point[p], point[q]).sum(1, dtype=np.int64)
-                spare = bound * (self.den + self.num) - self.num * (n[p] + n[q])
-                ok = spare >= 0
-                found.append(np.stack([spare[ok], p[ok], q[ok]], 1))
-
-        for s in np.unique(size[(size > 1) & (size <= LEAF)]):  # cells of one leaf, all of a size at once
+            step = max(1, PAIRS * LEAST_GROUPS // width)
+            for k in range(0, len(x), step):
+                p, q = x[k : k + step], y[k : k + step]
+                ok = root[p] != root[q]
+                p, q = p[ok], q[ok]
+                bound = np.minimum(matrix[p], matrix[q]).sum(1, dtype=np.int64)
+                ok = bound * (self.den + self.num) >= self.num * (n[p] + n[q])
+                self.hold(bound[ok], at[p[ok]], at[q[ok]])
+
+        for s in np.unique(size[plain & (size <= LEAF)]):  # cells of one leaf, all of a size at once
             i, j = np.triu_indices(s, 1)
-            start = cuts[:-1][size == s]
-            for part in np.array_split(start, max(1, len(start) * len(i) // 200_000)):
+            of = start[:-1][plain & (size == s)]
+            for part in np.array_split(of, max(1, len(of) * len(i) // 200_000)):
                 test((part[:, None] + i).ravel(), (part[:, None] + j).ravel())
-        for c in np.flatnonzero(size > LEAF):
-            leaves = [np.arange(k, min(k + LEAF, cuts[c + 1])) for k in range(cuts[c], cuts[c + 1], LEAF)]
-            tops, least = [point[x].max(0) for x in leaves], [n[x].min() for x in leaves]
-            for u in range(len(leaves)):
-                for v in range(u, len(leaves)):
-                    if np.minimum(tops[u], tops[v]).sum(dtype=np.int64) * (self.den + self.num) >= self.num * (least[u] + least[v]):
-                        x, y = (z.ravel() for z in np.meshgrid(leaves[u], leaves[v], indexing="ij"))
-                        test(x[x < y], y[x < y])
-        if not found:
+        for c in np.flatnonzero(~plain | (size > LEAF)).tolist():
+            mine = np.arange(start[c], start[c + 1])
+            if plain[c]:
+                whole = tree.build(mine)
+                two = whole, whole
+            elif (side[mine] < _ALL).any():
+                heads, keys = mine[side[mine] == _HEAD], mine[side[mine] == _KEY]
+                if len(heads) and len(keys):
+                    test(np.repeat(heads[:1], len(keys)), keys)
+                continue
+            else:
+                parts = [mine[side[mine] == s] for s in np.unique(side[mine])]
+                if len(parts) < 2:
+                    continue
+                two = tree.build(parts[0]), tree.build(parts[1])
+            for x, y in tree.pairs(*two):
+                test(x, y)
+
+    def hold(self, bound: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        if not len(x):
             return
-        near = np.concatenate(found)
-        up: dict[int, int] = {}
-        a, b = [], []
-        joined = root if self.verify else key
-        for x, y in near[np.argsort(-near[:, 0], kind="stable"), 1:].tolist():
-            u, v = _top(up, int(joined[x])), _top(up, int(joined[y]))
-            if u != v:
-                if self.verify:
-                    both = len(np.intersect1d(hashes[ends[x] : ends[x + 1]], hashes[ends[y] : ends[y + 1]], assume_unique=True))
-                if not self.verify or both * (self.den + self.num) >= self.num * (n[x] + n[y]):
-                    up[u] = v
-                    a.append(key[x])
-                    b.append(key[y])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        self.held.append(np.stack([bound / (self.n[x] + self.n[y]), x, y], 1))
+        self.many += len(x)
+        if self.many > HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        """Verify the pairs held, the nearest first, unless links have joined them by now."""
+        near = np.concatenate(self.held) if self.held else np.zeros((0, 3))
+        self.held, self.many = [], 0
+        for x, y in near[np.argsort(-near[:, 0], kind="stable"), 1:].astype(np.int64).tolist():
+            u, v = _top(self.up, int(self.joined[x])), _top(self.up, int(self.joined[y]))
+            if u != v and (not self.verify or self.linked(x, y)):
+                self.up[u] = v
+                self.found[0].append(int(self.key[x]))
+                self.found[1].append(int(self.key[y]))
+
+    def linked(self, x: int, y: int) -> bool:
+        both = len(np.intersect1d(*(self.hashes[self.set_ends[z] : self.set_ends[z + 1]] for z in (x, y)), assume_unique=True))
+        return both * (self.den + self.num) >= self.num * int(self.n[x] + self.n[y])
 
 
 def _top(up: dict[int, int], x: int) -> int:
@@ -268,28 +428,38 @@ def _top(up: dict[int, int], x: int) -> int:
 
 
 def _within_cells(members: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join the different roots within each `sig` of `members` (sig, key, root).
+    """Links (a, b) that join the different roots within each `sig` of `members` (sig, key, root, n), written.
 
-    Cells that share members are put together first, so that a pair is compared once and not once a cell. Points
-    alone then part these groups into those of sets that may link, and only there the sets are compared.
+    Of cells with the same members one is taken. Points alone part the sets into groups of those that may link, and
+    only there the sets are compared.
     """
-    split = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    split = materialize(members.join(split.select("sig", "low"), "sig"), "open")
-    rows = split.select("key", "root").distinct()
-    wide = components(split.select(F.col("low").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("group"))
-    near = _compared(_in_blocks(rows.join(wide, "root"), block), sets, num, den, verify=False)
+    prints = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"print{i}") for i in (0, 1)]
+    cells = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("weight"), *prints)
+    cells = cells.where("low < high").groupBy("print0", "print1").agg(F.min("sig").alias("sig"), F.max("weight").alias("weight"))
+    cells = materialize(cells.select(F.col("sig").alias("group"), _blocks("weight", block)), "open")
+    rows = members.withColumnRenamed("sig", "group").join(cells, "group")
+    near = materialize(_compared(_in_blocks(rows), sets, num, den, verify=False), "near")
+    remove(cells)
+    if near.isEmpty():
+        return near
     tight = components(near).select(F.col("node").alias("key"), F.col("root").alias("group"))
-    return _compared(_in_blocks(rows.join(tight, "key"), block), sets, num, den)
+    rows = materialize(tight.join(members.select("key", "root", "n").distinct(), "key"), "tight")
+    cells = rows.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), _blocks(F.sum("n"), block)).where("low < high")
+    links = materialize(_compared(_in_blocks(rows.join(cells.select("group", "blocks"), "group")), sets, num, den), "links")
+    remove(near, tight, rows)
+    return links
+
+
+def _blocks(weight: Column | str, block: int) -> Column:
+    return F.ceil((weight if isinstance(weight, Column) else F.col(weight)) / block).cast("long").alias("blocks")
 
 
-def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Cells of rows (key, root, group): a group is cut into blocks, and each two blocks of it are a cell."""
-    rows = materialize(rows.select("key", "root", "group"), "grouped")
-    blocks = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
-    rows = rows.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Cells (cell, side, key, root) of rows (key, root, group, blocks): each two blocks of a group are a cell."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     cell = F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
+    side = F.when((F.col("own") == F.col("other")), F.lit(_ALL)).otherwise(F.col("own"))
     return rows.select(cell.alias("cell"), side.cast("long").alias("side"), "key", "root")
 
 
@@ -297,41 +467,48 @@ def _compared(rows: DataFrame, sets: DataFrame, num: int, den: int, verify: bool
     """Pairs (a, b) within the cells of rows (cell, side, key, root); a set goes along once for each of its cells."""
     columns = ["n", "point", "hashes"] if verify else ["n", "point"]
     rows = rows.join(sets.select("key", *columns), "key").select("cell", "side", "key", "root", *columns)
-    rows = rows.repartition("cell").sortWithinPartitions("cell", "n")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "side", "n")
     return rows.mapInArrow(_Within(num, den, verify), "a long, b long")
 
 
-def _with_heads(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Links of each key to its nearest head, by the bound of their points, among pairs (key, head). The keys of a head
-    are dealt into cells, and the head goes to each. What the other heads link is left to the comparison of roots."""
-    pairs = materialize(pairs.where("key != head").distinct(), "pairs")
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
-    bound = F.aggregate(F.zip_with("p_key", "p_head", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, x: s + x)
-    size = F.col("n_key") + F.col("n_head")
-    near = pairs.join(side("key"), "key").join(side("head"), "head").withColumn("bound", bound).where(F.col("bound") * (den + num) >= num * size)
-    best = near.groupBy("key").agg(F.max(F.struct((F.col("bound") / size).alias("share"), "head")).alias("best"))
-    pairs = materialize(best.select("key", "best.head"), "near")
-    blocks = materialize(pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks")), "heads")
+def _with_heads(live: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Links of each key to the head that most of its cells have. The keys of a head are dealt into cells, and the head
+    goes to each. What the other heads link is left to the comparison of roots."""
+    shared = live.where("key != head").groupBy("key", "head").agg(F.count(F.lit(1)).alias("cells"))
+    best = shared.groupBy("key").agg(F.max(F.struct("cells", "head"))["head"].alias("head"))
+    pairs = materialize(best.join(sets.select("key", "n"), "key"), "pairs")
+    blocks = pairs.groupBy("head").agg(_blocks(F.sum("n"), block))
     cell = lambda part: F.xxhash64("head", part).alias("cell")
-    keys = pairs.join(blocks, "head").select(cell(F.pmod(F.xxhash64("key"), F.col("blocks"))), F.lit(1).cast("long").alias("side"), "key")
-    heads = blocks.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part")).select(cell("part"), F.lit(0).cast("long").alias("side"), F.col("head").alias("key"))
-    return _compared(keys.union(heads).withColumn("root", F.col("key")), sets, num, den)
-
-
-def jaccard_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100
-) -> DataFrame:
-    """(doc_id, n_shingles long, component_id long) for each row.
-
-    Words are runs without white space, A-Z lower-cased; a set is the distinct `shingle`-word runs, or the whole
-    sequence if it is shorter. Sets link when den * overlap >= num * union. Rows without words (null and empty
-    texts) have n_shingles 0 and link with nothing. Equal texts are one set, so any number of copies costs no
-    pairs. Repeated ids keep their rows. A row without an id takes the smallest id of its component, or none.
-    Other columns are not read. Sets are told apart by 64-bit hashes of their 64-bit shingle hashes.
+    keys = pairs.join(blocks, "head").select(cell(F.pmod(F.xxhash64("key"), F.col("blocks"))), F.lit(_KEY).cast("long").alias("side"), "key")
+    heads = blocks.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part")).select(cell("part"), F.lit(_HEAD).cast("long").alias("side"), F.col("head").alias("key"))
+    links = materialize(_compared(keys.union(heads).withColumn("root", F.col("key")), sets, num, den), "links")
+    remove(pairs)
+    return links
+
+
+def _sets_of(slim: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(key, n, point, hashes) of the wanted (of, id, mark), once each, written."""
+    few = wanted.count() <= BROADCAST_ROWS  # beyond that the texts are shuffled
+    mine = slim.join(F.broadcast(wanted) if few else wanted, slim["id"].eqNullSafe(wanted["id"]) & (slim["mark"] == wanted["mark"])).select("of", "txt")
+    kind = "sets array<struct<key: long, n: long, point: array<int>, hashes: array<long>>>"
+    sets = materialize(map_texts(mine, "txt", ["of"], kind, _points(shingle)).select(F.inline("sets")), "hashes")
+    if sets.groupBy("key").count().where("count > 1").isEmpty():
+        return sets
+    numbered = sets.withColumn("at", F.monotonically_increasing_id())  # of files, so it stays the same
+    one = materialize(numbered.groupBy("key").agg(F.min("at").alias("at")), "once")
+    return numbered.join(one, ["key", "at"], "left_semi").drop("at")
+
+
+def shingle_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
+    """(id, mark, n long, first struct<none, id, mark>) for each row: `mark` hashes the text, n counts the shingles, and
+    `first` is the least row of the component, by id (none last) and then by mark; null without words.
+
+    See jaccard_components for what links.
     """
-    slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("txt"))
-    sized = materialize(map_texts(slim, "txt", ["id"], "n long, key long", lambda: _sizes(shingle)), "sets")
-    first = materialize(sized.where("key is not null").groupBy("key").agg(F.min("id").alias("first")), "first")
+    slim = docs.select(quoted(doc_id).cast("long").alias("id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("txt")).withColumn("mark", F.xxhash64("txt"))
+    sized = materialize(map_texts(slim, "txt", ["id", "mark"], "n long, key long", lambda: _sizes(shingle)), "sets")
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    first = materialize(sized.where("key is not null").groupBy("key").agg(F.min(row).alias("first")), "first")
 
     # Cells: rows that are the first of their task meet under the signature; others already have their first.
     rows = map_texts(slim, "txt", [], "sigs array<struct<sig: long, key: long, head: long>>", lambda: _Emit(shingle, num, den)).select(F.inline("sigs"))
@@ -342,24 +519,39 @@ def jaccard_components(
     live = materialize(live, "cells")
 
     wanted = live.select("key").union(live.select("head")).distinct()
-    chosen = materialize(first.join(wanted, "key").select(F.col("key").alias("of"), F.col("first").alias("id")), "chosen")
-    few = chosen.count() <= BROADCAST_ROWS  # beyond that the texts are shuffled
-    sets = map_texts(slim.join(F.broadcast(chosen) if few else chosen, "id"), "txt", ["of"], "key long, point array<long>, hashes array<long>", lambda: _points(shingle))
-    sets = materialize(sets.where("key = of").withColumn("n", F.size("hashes").cast("long")).dropDuplicates(["key"]), "hashes")
-
-    links = materialize(_with_heads(live.select("key", "head"), sets, num, den), "links")
+    wanted = materialize(first.join(wanted, "key").select(F.col("key").alias("of"), "first.id", "first.mark"), "wanted")
+    sets = _sets_of(slim, wanted, shingle)
+    links = _with_heads(live, sets, num, den, block)
     root = components(links)
-    member = live.select("sig", "key").union(live.select("sig", F.col("head").alias("key"))).distinct()
-    member = member.join(root.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
+    member = live.select("sig", "key").union(live.select("sig", F.col("head").alias("key"))).distinct().join(sets.select("key", "n"), "key")
+    member = member.join(root.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", F.coalesce("root", "key").alias("root"))
     member = materialize(member, "members")
-    more = materialize(_within_cells(member, sets, num, den), "links")
+    more = _within_cells(member, sets, num, den, block)
     if not more.isEmpty():
         root = components(links.union(more))
 
     low = first.join(root.withColumnRenamed("node", "key"), "key").groupBy("root").agg(F.min("first").alias("low"))
     named = root.join(low, "root").select(F.col("node").alias("key"), "low")
-    named = materialize(first.join(named, "key", "left").select("key", F.coalesce("low", "first").alias("component_id")), "named")
-    return sized.join(named, "key", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    named = materialize(first.join(named, "key", "left").select("key", F.coalesce("low", "first").alias("first")), "named")
+    remove(first, live, wanted, sets, links, root, member, more)
+    return sized.join(named, "key", "left").select("id", "mark", "n", "first")
+
+
+def jaccard_components(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, num: int = 80, den: int = 100, block: int = BLOCK
+) -> DataFrame:
+    """(doc_id, n_shingles long, component_id long) for each row.
+
+    Words are runs without white space, A-Z lower-cased; a set is the distinct `shingle`-word runs, or the whole
+    sequence if it is shorter. Sets link when den * overlap >= num * union. Rows without words (null and empty
+    texts) have n_shingles 0 and link with nothing. Equal texts are one set, so any number of copies costs no
+    pairs. Repeated ids keep their rows. A row without an id links as any other; it takes the smallest id of its
+    component, or none. Ties change nothing. An empty table gives no rows; texts of any length are taken whole.
+    Other columns are not read. Sets are told apart by 64-bit hashes of their 64-bit shingle hashes. Sets of `block`
+    shingles in all are compared by one task with as many others.
+    """
+    found = shingle_groups(docs, doc_id, text, shingle, num, den, block)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

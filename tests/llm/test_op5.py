@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from quillstack.llm.jaccard import Cells, jaccard_components, op5_jaccard_join
+from quillstack.llm.jaccard import BLOCK, LEAF, Cells, Tree, jaccard_components, op5_jaccard_join, points, shingle_groups, widths
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,8 +51,8 @@ def test_all_documents_against_brute_force(spark):
     assert sorted(map(tuple, op5_jaccard_join(spark, SF).collect())) == brute(docs, 3, 90, 100)
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(1, 80, 100), (2, 90, 100)])
-def test_many_near_copies_of_all_sizes(spark, k, num, den):
+@pytest.mark.parametrize(("k", "num", "den", "block"), [(1, 80, 100, BLOCK), (2, 90, 100, BLOCK), (1, 80, 100, 400)])
+def test_many_near_copies_of_all_sizes(spark, k, num, den, block):
     r, docs = random.Random(k), [(900, None), (901, ""), (902, " \n"), (903, "One"), (904, "one"), (905, "one two"), (906, "ONE two")]
     for _ in range(60):
         base = [f"w{r.randrange(500)}" for _ in range(r.choice([3, 5, 8, 10, 14, 19, 30, 60, 150]))]
@@ -65,11 +65,60 @@ def test_many_near_copies_of_all_sizes(spark, k, num, den):
             docs.append((r.randrange(10_000, 10**9), " ".join(words)))
     docs += [docs[-1]]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, n int").repartition(5)
-    got = sorted(map(tuple, jaccard_components(d, shingle=k, num=num, den=den).collect()))
+    got = sorted(map(tuple, jaccard_components(d, shingle=k, num=num, den=den, block=block).collect()))
     assert got == brute(docs, k, num, den)
     assert len({x[2] for x in got}) < len(got) - 20
 
 
+@pytest.mark.parametrize("block", [BLOCK, 3000])
+def test_a_large_group_that_no_head_joins(spark, block):
+    """Chains of sets, each like its neighbours and unlike its first member."""
+    r, docs = random.Random(2), []
+    for chain in range(3):
+        words = [f"c{chain}w{i}" for i in range(60)]
+        for step in range(150):
+            docs.append((len(docs), " ".join(words)))
+            words[step * 7 % 60] = f"n{chain}x{step}"
+    r.shuffle(docs)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, jaccard_components(d, shingle=1, num=90, den=100, block=block).collect()))
+    assert got == brute(docs, 1, 90, 100) and len({x[2] for x in got}) == 3
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(39))
+    rows = [(None, a, 1), (None, b, 2), (None, "alone here", 3), (7, b, 4), (7, b, 5), (7, "some other words", 6), (3, None, 7), (None, "", 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, ID int")
+    got = sorted(map(tuple, jaccard_components(d, shingle=1).collect()), key=str)
+    assert got == sorted([(None, 40, 7), (None, 39, 7), (None, 2, None), (7, 39, 7), (7, 39, 7), (7, 3, 7), (3, 0, 3), (None, 0, None)], key=str)
+    only = shingle_groups(d.where("doc_id is null"), shingle=1).where("n > 2").collect()
+    assert len({r["first"]["mark"] for r in only}) == 1 and {r["first"]["mark"] for r in only} <= {r["mark"] for r in only}
+
+
+def test_the_tree_leaves_out_no_pair_that_may_link():
+    r = np.random.default_rng(4)
+    sets = []
+    for _ in range(40):
+        base = r.choice(2**60, r.integers(20, 2500), replace=False).astype(np.uint64)
+        for _ in range(r.integers(1, 9)):
+            sets.append(np.unique(np.concatenate([base[r.random(len(base)) > 0.08], r.choice(2**60, max(1, len(base) // 15)).astype(np.uint64)])))
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    counts, ends = points(np.concatenate(sets), at)
+    n = np.diff(at)
+    assert (np.diff(ends) == widths(n)).all() and (np.add.reduceat(counts, ends[:-1]) == n).all()
+    width = int(widths(n).min())
+    matrix = np.stack([counts[a:b].reshape(width, -1).sum(1) for a, b in zip(ends, ends[1:], strict=False)])
+    tree = Tree(matrix, n, np.arange(len(n)), 80, 100)
+    top = tree.build(np.arange(len(n)))
+    reached = {tuple(sorted(p)) for x, y in tree.pairs(top, top) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    linked = {(i, j) for i in range(len(n)) for j in range(i + 1, len(n)) if 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (n[i] + n[j])}
+    assert len(n) > 2 * LEAF and linked and linked <= reached
+    half = len(n) // 2
+    two = tree.build(np.arange(half)), tree.build(np.arange(half, len(n)))
+    reached = {tuple(sorted(p)) for x, y in tree.pairs(*two) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert {p for p in linked if p[0] < half <= p[1]} <= reached and all(i < half <= j for i, j in reached)
+
+
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
