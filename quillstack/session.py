@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = f"/tmp/checkpoints/quillstack-{os.getpid()}"
 #: Rows and bytes (as JSON) up to which a table may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
+#: Rows of a file of a small table.
+FILE_ROWS = 300_000
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -54,13 +56,15 @@ def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int =
     return F.broadcast(df) if n <= rows and total <= most_bytes else df
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", rows: int | None = None) -> DataFrame:
     """Write `df` to the shared folder as Parquet and read it back.
 
     Cuts the lineage with files that outlive executors, and lets later joins plan from real sizes:
-    both sides then get their own exchange, which AQE can split where a key is hot.
+    both sides then get their own exchange, which AQE can split where a key is hot. Where the caller knows about how many
+    `rows` there are, they go to files of FILE_ROWS each, so that small tables aren't many small files.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df = df if rows is None else df.coalesce(1 + rows // FILE_ROWS)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
