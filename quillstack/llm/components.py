@@ -15,25 +15,26 @@ def components(links: DataFrame) -> DataFrame:
     place of the nodes of the links. Every component at least halves its nodes in a round. No links: no rows.
     """
     links = materialize(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    rows = links.count()  # no later table has more than two rows for each
     both = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    label = materialize(both.select("node", F.col("node").alias("root")), "roots")
+    label = materialize(both.select("node", F.col("node").alias("root")), "roots", rows)
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).select("x", F.least("x", "y").alias("y"))
-        hook, moved = materialize(hook, "hooks"), True
+        hook, moved = materialize(hook, "hooks", rows), True
         while moved:  # two hooks further at once
             far = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
             end = far.select(F.col("y").alias("z"), F.col("z").alias("end"))
-            further = materialize(hook.join(far, "y").join(end, "z").select("x", F.col("end").alias("y"), (F.col("end") != F.col("y")).alias("moved")), "hooks")
+            further = materialize(hook.join(far, "y").join(end, "z").select("x", F.col("end").alias("y"), (F.col("end") != F.col("y")).alias("moved")), "hooks", rows)
             moved = not further.where("moved").isEmpty()
             remove(hook)
             hook = further
         up = hook.select(F.col("x").alias("root"), F.col("y").alias("to"))
         old = label, links
-        label = materialize(label.join(up, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        label = materialize(label.join(up, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots", rows)
         a, b = hook.select(F.col("x").alias("a"), F.col("y").alias("ra")), hook.select(F.col("x").alias("b"), F.col("y").alias("rb"))
         left = links.join(a, "a").join(b, "b").where("ra != rb")
-        links = materialize(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        links = materialize(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links", rows)
         remove(*old, hook)
     remove(links)
     return label

@@ -427,23 +427,23 @@ def _top(up: dict[int, int], x: int) -> int:
     return x
 
 
-def _within_cells(members: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def _within_cells(members: DataFrame, sets: DataFrame, num: int, den: int, most: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join the different roots within each `sig` of `members` (sig, key, root, n), written.
 
     Of cells with the same members one is taken. Points alone part the sets into groups of those that may link, and
-    only there the sets are compared.
+    only there the sets are compared. `most`: rows of the members, about.
     """
     prints = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"print{i}") for i in (0, 1)]
     cells = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("weight"), *prints)
     cells = cells.where("low < high").groupBy("print0", "print1").agg(F.min("sig").alias("sig"), F.max("weight").alias("weight"))
-    cells = materialize(cells.select(F.col("sig").alias("group"), _blocks("weight", block)), "open")
+    cells = materialize(cells.select(F.col("sig").alias("group"), _blocks("weight", block)), "open", most)
     rows = members.withColumnRenamed("sig", "group").join(cells, "group")
     near = materialize(_compared(_in_blocks(rows), sets, num, den, verify=False), "near")
     remove(cells)
     if near.isEmpty():
         return near
     tight = components(near).select(F.col("node").alias("key"), F.col("root").alias("group"))
-    rows = materialize(tight.join(members.select("key", "root", "n").distinct(), "key"), "tight")
+    rows = materialize(tight.join(members.select("key", "root", "n").distinct(), "key"), "tight", most)
     cells = rows.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), _blocks(F.sum("n"), block)).where("low < high")
     links = materialize(_compared(_in_blocks(rows.join(cells.select("group", "blocks"), "group")), sets, num, den), "links")
     remove(near, tight, rows)
@@ -471,12 +471,12 @@ def _compared(rows: DataFrame, sets: DataFrame, num: int, den: int, verify: bool
     return rows.mapInArrow(_Within(num, den, verify), "a long, b long")
 
 
-def _with_heads(live: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def _with_heads(live: DataFrame, sets: DataFrame, num: int, den: int, most: int, block: int = BLOCK) -> DataFrame:
     """Links of each key to the head that most of its cells have. The keys of a head are dealt into cells, and the head
-    goes to each. What the other heads link is left to the comparison of roots."""
+    goes to each. What the other heads link is left to the comparison of roots. `most`: rows of `live`."""
     shared = live.where("key != head").groupBy("key", "head").agg(F.count(F.lit(1)).alias("cells"))
     best = shared.groupBy("key").agg(F.max(F.struct("cells", "head"))["head"].alias("head"))
-    pairs = materialize(best.join(sets.select("key", "n"), "key"), "pairs")
+    pairs = materialize(best.join(sets.select("key", "n"), "key"), "pairs", most)
     blocks = pairs.groupBy("head").agg(_blocks(F.sum("n"), block))
     cell = lambda part: F.xxhash64("head", part).alias("cell")
     keys = pairs.join(blocks, "head").select(cell(F.pmod(F.xxhash64("key"), F.col("blocks"))), F.lit(_KEY).cast("long").alias("side"), "key")
@@ -517,16 +517,17 @@ def shingle_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = rows.select("sig", "key", "head", apart.cast("int").alias("apart")).select("*", F.min("key").over(cell).alias("low"), F.max("key").over(cell).alias("high"))
     live = rows.where("apart > 0 or low < high").select("sig", "key", F.when(F.col("apart") > 0, F.col("head")).otherwise(F.col("low")).alias("head"))
     live = materialize(live, "cells")
+    most = live.count()
 
     wanted = live.select("key").union(live.select("head")).distinct()
-    wanted = materialize(first.join(wanted, "key").select(F.col("key").alias("of"), "first.id", "first.mark"), "wanted")
+    wanted = materialize(first.join(wanted, "key").select(F.col("key").alias("of"), "first.id", "first.mark"), "wanted", most)
     sets = _sets_of(slim, wanted, shingle)
-    links = _with_heads(live, sets, num, den, block)
+    links = _with_heads(live, sets, num, den, most, block)
     root = components(links)
     member = live.select("sig", "key").union(live.select("sig", F.col("head").alias("key"))).distinct().join(sets.select("key", "n"), "key")
     member = member.join(root.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", F.coalesce("root", "key").alias("root"))
-    member = materialize(member, "members")
-    more = _within_cells(member, sets, num, den, block)
+    member = materialize(member, "members", 2 * most)
+    more = _within_cells(member, sets, num, den, 2 * most, block)
     if not more.isEmpty():
         root = components(links.union(more))
 
