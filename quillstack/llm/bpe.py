@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.textcore import release, slices, small_batches
+from quillstack.llm.textcore import quoted, release, slices, small_batches, without
 from quillstack.session import materialize, remove, table
 
 #: Text of one run of documents.
@@ -397,9 +397,8 @@ def encode_documents(
     `ahead_docs` rows, are encoded once for all runs and broadcast; the rest are encoded by each run that has them.
     """
     small_batches(docs.sparkSession)
-    keep = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c.lower() not in ("n_tokens", "token_ids", "decoded")]
-    col = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    rows = docs.select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("_")).alias("row"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
+    keep = without(docs.columns if keep is None else keep, ["n_tokens", "token_ids", "decoded"])
+    rows = docs.select(F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("_")).alias("row"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
     first = frequent_words(rows.select("text"), pattern, path, ahead_words, ahead_docs)
     word, ids, data = (first.column(c).combine_chunks() for c in ("word", "ids", "bytes"))
     context = docs.sparkSession.sparkContext

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstack.llm.textcore import SPACED, Words, map_texts, slices, small_batches, text_buffers
+from quillstack.llm.textcore import SPACED, Words, map_texts, quoted, slices, small_batches, text_buffers, without
 from quillstack.session import materialize, table
 
 _U = np.uint64
@@ -264,12 +264,13 @@ def fit(texts: DataFrame, head: int = HEAD) -> tuple[Model, DataFrame]:
     counts = materialize(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     types, classes = sizes(distinct)
+    step = F.floor(F.log2("n") * 64)  # counts below 92 each have a step of their own
     least, room = 2**62, head
-    for r in sorted(counts.groupBy("n").count().collect(), reverse=True):  # as many rows as there are different counts
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # at most 64 * 63 rows
         if (room := room - r["count"]) < 0:
             break
-        least = r["n"]
-    in_head = (F.col("n") >= least) | (F.col("word") == int(_END.view(np.int64)))
+        least = r["step"]
+    in_head = (step >= least) | (F.col("word") == int(_END.view(np.int64)))
     vocabulary = Vocabulary.of(counts.where(in_head).toArrow()).ranked(types)  # at most `head` rows and the end
 
     pairs = texts.mapInArrow(_moves(send(vocabulary), types), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
@@ -342,12 +343,13 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text: str = "t
     """`keep` columns (all by default) with n_tokens, n_known long, base_score and score double (log10).
 
     A null or empty text is its end alone. Equal texts have equal scores up to rounding; repeated rows keep their
-    rows. Columns with the names of new ones give way to them.
+    rows; texts of any length are scored whole; an empty table stays empty. Columns with the names of new ones, in
+    either case, give way to them.
     """
     new = ("n_tokens", "n_known", "base_score", "score", "perplexity")
-    keep = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c not in new]
+    keep = without(docs.columns if keep is None else keep, new)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col("`" + c + "`").alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("_")).alias("row"), F.monotonically_increasing_id().alias("at"), F.col(f"`{text}`").alias("txt"))
+    rows = docs.select(F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("_")).alias("row"), F.monotonically_increasing_id().alias("at"), quoted(text).alias("txt"))
     out = "n_tokens long, head long, part double, base double, rare array<struct<word: long, place: int, before: int, after: int>>"
     rows = materialize(map_texts(rows, "txt", ["row", "at"], out, lambda: _local(held)), "parts")
     rare = rows.select("at", F.explode("rare").alias("r")).select("at", "r.*").join(counts.select("word", "n", "class"), "word", "left")

@@ -3,18 +3,20 @@
 Each document and each benchmark item keeps the smallest 5-word hash of every window of six. Any span of ten
 shared words then shares a fingerprint, so documents that share none are clean; where one is shared, the hit is
 extended by comparing the ten-word windows around it. The benchmark is a stated query set: it is read in blocks
-of bounded size, and each block passes over all documents.
+of bounded size, and each block passes over all documents, as a job of its own whose broadcast is given back.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.textcore import ALNUM, Words, gram_hashes, gram_starts, map_texts, text_buffers
-from quillstack.session import table
+from quillstack.llm.textcore import ALNUM, Words, gram_hashes, gram_starts, map_texts, quoted, text_buffers, without
+from quillstack.session import materialize, remove, table
 
 #: Words of a window, of a gram, and grams of a winnowing window: SPAN = GRAM + WINDOW - 1.
 SPAN, GRAM, WINDOW = 10, 5, 6
@@ -129,35 +131,44 @@ def decontaminate(
     """`keep` columns (all by default) with n_words long, hit_spans array<struct<start, end>> and items array<string>.
 
     A span counts words, its end exclusive. Nulls, empty texts and texts without words have n_words 0 and no hits.
-    A benchmark row without an id or without words matches nothing; rows that repeat an id are one item. Repeated
-    documents are judged each on its own. Columns of `docs` with the names of new columns give way to them.
+    A benchmark row without an id or without words matches nothing; rows that repeat an id are one item; an empty
+    benchmark hits nothing. Repeated documents are judged each on its own, and texts of any length whole; an empty
+    table stays empty. Columns of `docs` with the names of new ones, in either case, give way to them.
     """
-    keep = list(docs.columns if keep is None else keep)
-    bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).where("i is not null")
+    new = ("n_words", "hit_spans", "items")
+    spans = "array<struct<start: long, end: long>>"
+    out = f"n_words long, hit_spans {spans}, items array<string>"
+    context = docs.sparkSession.sparkContext
+    keep = without(docs.columns if keep is None else keep, new)
+    bench = benchmark.select(quoted(item_id).cast("string").alias("i"), F.coalesce(quoted(item_text).cast("string"), F.lit("")).alias("t")).where("i is not null")
     size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
 
-    def scan(df: DataFrame, block: int, column: str, kept: list[str]) -> DataFrame:
+    def index(block: int):
         rows = bench.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()  # at most about block_bytes
-        index = df.sparkSession.sparkContext.broadcast(Index([(r.i, r.t) for r in rows]))
-        out = "n_words long, hit_spans array<struct<start: long, end: long>>, items array<string>"
-        return map_texts(df, column, kept, out, lambda: _probe(index.value))
+        return context.broadcast(Index([(r.i, r.t) for r in rows]))
 
     if blocks == 1:
-        return scan(docs, 0, text, keep)
-    spans = "array<struct<start: long, end: long>>"
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(f"`{text}`").alias("_text"), F.array().cast(spans).alias("_s"), F.array().cast("array<string>").alias("_i"))
-    for b in range(blocks):  # what a block finds is carried along with the row
-        held = scan(held, b, "_text", ["_row", "_text", "_s", "_i"])
-        held = held.select("_row", "_text", F.concat("_s", "hit_spans").alias("_s"), F.concat("_i", "items").alias("_i"), "n_words")
+        one = index(0)
+        return map_texts(docs, text, keep, out, lambda: _probe(one.value))
+    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("_")).alias("row")
+    rows = materialize(docs.select(row, quoted(text).alias("txt")), "rows").withColumn("at", F.monotonically_increasing_id())  # of files, so it stays the same
+    found = []
+    for b in range(blocks):
+        part = index(b)
+        hits = map_texts(rows, "txt", ["at"], out, lambda part=part: _probe(part.value))
+        found.append(materialize(hits if b == 0 else hits.where(F.size("items") > 0), "hits"))  # the first has n_words of all
+        part.destroy()
+    hits = reduce(DataFrame.unionByName, found).groupBy("at").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    hits = materialize(hits, "hits")
+    remove(*found)
     joined = F.aggregate(
-        F.array_sort("_s"), F.array().cast(spans),
+        F.array_sort("s"), F.array().cast(spans),
         lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))))
         .otherwise(F.concat(acc, F.array(x))),
     )
-    new = {"n_words", "hit_spans", "items"}
-    return held.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep if c not in new], "n_words", joined.alias("hit_spans"), F.array_sort(F.array_distinct("_i")).alias("items"))
+    return rows.join(hits, "at").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "n_words", joined.alias("hit_spans"), F.array_sort(F.array_distinct("i")).alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -7,15 +7,18 @@ number of distinct shingles; a sketch of fewer than K hashes is the whole set, a
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstack.llm.textcore import quoted
 from quillstack.session import table
 
 #: Hashes of a sketch, words of a shingle, bits of a hash and hexadecimal digits of one.
 K, SHINGLE, BITS, DIGITS = 128, 5, 52, 13
-#: Ranges of ids that texts are dealt into to meet their next text.
-RANGES = 512
+#: Ranges of ids that texts are dealt into to meet their next text: at least, bytes of text in each beyond that, at most.
+RANGES, RANGE_BYTES, MOST_RANGES = 512, 1 << 26, 1 << 16
 
 
 def _let(value: Column, body) -> Column:
@@ -88,21 +91,40 @@ def decode(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<long>")).otherwise(hashes)
 
 
-def with_next(docs: DataFrame, doc_id: str, value: str, ranges: int = RANGES, add=lambda df: df, carried: tuple[str, ...] = ()) -> DataFrame:
+def _range_of(value: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are at most the value: first among every 256th, then in the 256 after it."""
+    runs = [bounds[i : i + 256] for i in range(0, len(bounds), 256)]
+    heads, runs = F.from_json(F.lit(json.dumps([r[0] for r in runs])), "array<bigint>"), F.from_json(F.lit(json.dumps(runs)), "array<array<bigint>>")
+    under = lambda of: F.size(F.filter(of, lambda b: b <= value))
+    return _let(under(heads), lambda n: F.when(n == 0, F.lit(0)).otherwise((n - 1) * 256 + under(F.get(runs, n - 1))))
+
+
+def with_next(docs: DataFrame, doc_id: str, value: str, ranges: int | None = None, add=lambda df: df, carried: tuple[str, ...] = ()) -> DataFrame:
     """Each row's next row by descending id: `value` and `carried` of it as next_<name>; after the last: the first.
 
-    Ids are cut into `ranges` at their quantiles. The first row of a range is also sent to the range before, as an
-    end mark, so that no range needs another one and no task gets all rows. `add` adds columns after the exchange.
-    Rows without an id come last; rows that share one go by the hash of their value.
+    Ids are cut into `ranges` at their quantiles, as many as the bytes of `value` ask for. The first row of a range is
+    also sent to the range before, as an end mark, so that no range needs another one and no task gets all rows. `add`
+    adds columns after the exchange. Rows without an id come last, in ranges of the hashes of their values; rows that
+    share an id go by the hash of their value.
     """
     spark = docs.sparkSession
+    size, without_id = docs.agg(F.sum(F.octet_length(value)), F.count_if(F.col(doc_id).isNull())).first()
+    ranges = ranges or min(MOST_RANGES, max(RANGES, (size or 0) // RANGE_BYTES))
     bounds = docs.agg(F.percentile_approx(doc_id, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []  # `ranges` ids
-    bounds = F.lit(sorted(set(bounds))) if bounds else F.array().cast("array<long>")
-    block = F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(doc_id))))
-    rows = docs.withColumn("_block", block)
-    tops = sorted(((r["_block"], r["top"]) for r in rows.groupBy("_block").agg(F.max(doc_id).alias("top")).collect()), reverse=True)  # one a range
-    marks = spark.createDataFrame([(top, tops[i - 1][0]) for i, (_, top) in enumerate(tops)], "_top long, _before int") if tops else spark.createDataFrame([], "_top long, _before int")
-    rows = rows.join(F.broadcast(marks), F.col(doc_id).eqNullSafe(F.col("_top")), "left").drop("_top")
+    block = _range_of(F.col(doc_id), sorted(set(bounds))) if bounds else F.lit(0)
+    order = F.col(doc_id)
+    if without_id:  # their ranges go down from -1
+        bits = max(1, ranges.bit_length() - 1)
+        place = F.xxhash64(value)
+        block = F.when(order.isNull(), -1 - (F.shiftright(place, 64 - bits) + 2 ** (bits - 1)).cast("int")).otherwise(block)
+        order = F.coalesce(order, place)
+    rows = docs.withColumn("_block", block).withColumn("_order", order)
+    first = F.when(F.col("_block") < 0, F.min("_order")).otherwise(F.max("_order"))
+    tops = sorted(((r["_block"], r["top"]) for r in rows.groupBy("_block").agg(first.alias("top")).collect()), reverse=True)  # one a range
+    kind = "_top long, _none boolean, _before int"
+    marks = spark.createDataFrame([(top, at < 0, tops[i - 1][0]) for i, (at, top) in enumerate(tops)], kind)
+    same = (F.col("_order") == F.col("_top")) & ((F.col("_block") < 0) == F.col("_none"))
+    rows = rows.join(F.broadcast(marks), same, "left").drop("_top", "_none", "_order")  # at most two for each range
     places = F.array(F.struct(F.col("_block").alias("at"), F.lit(0).alias("mark")), F.struct(F.col("_before").alias("at"), F.lit(1).alias("mark")))
     rows = rows.select("*", F.explode(F.filter(places, lambda p: p["at"].isNotNull())).alias("_p")).withColumn("_at", F.col("_p.at")).withColumn("_mark", F.col("_p.mark")).drop("_block", "_before", "_p")
     n = max(1, min(ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -118,9 +140,10 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The edited text ends in the beginning of the next text by descending id, half of the code points long. Null
     texts are empty. Other columns are not read. Rows without an id come after all others; rows that share an id
     each have a next row. A single row is next to itself; an empty table stays empty. Two texts without words have
-    a likeness of 1.
+    a likeness of 1. `n_distinct` is the estimated number of the text's shingles, `held_edited` the estimated share of
+    them that the edited text holds (null without words). Texts of any length count whole.
     """
-    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    slim = docs.select(quoted(doc_id).cast("long").alias("doc_id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
     pairs = with_next(slim, "doc_id", "text", add=lambda df: df.withColumn("sketch", sketch(F.col("text"))), carried=("sketch",))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
@@ -129,6 +152,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return pairs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), encode(F.col("sketch")).alias("fingerprint"), encode(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        distinct_shingles(F.col("sketch")).alias("n_distinct"), containment(F.col("sketch"), F.col("edited_sketch")).alias("held_edited"),
     )
 
 

@@ -3,12 +3,14 @@
 The key hashes of all lines are counted by document; keys of two documents or more go, by hash, to shards of
 bounded size. Each shard gets a minimal perfect hash (levels of collision-free bits, indexed by rank) over arrays
 of fingerprints, document counts and smallest ids. Documents then look their lines up in the arrays: lines are
-never joined. Arrays are broadcast in passes of at most `broadcast_bytes`; more arrays mean more passes, each
-over the line hashes of its own shards only.
+never joined. Arrays are broadcast in passes of at most `broadcast_bytes`. Each pass is a job of its own that writes
+the numbers of dropped lines and gives its broadcast back, so one pass's arrays are held at a time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.textcore import map_texts, mix
-from quillstack.session import materialize, table
+from quillstack.llm.textcore import map_texts, mix, quoted, without
+from quillstack.session import materialize, remove, table
 
 #: Line keys of fewer code points are never dropped.
 LEAST_CHARS = 10
@@ -25,6 +27,9 @@ LEAST_CHARS = 10
 SHARD_KEYS, BROADCAST_BYTES = 50_000, 64_000_000
 _GAP = " \t\n\x0b\x0c\r"
 _U = np.uint64
+#: Stands for the first id of a key that no two documents have.
+_NEVER = np.iinfo(np.int64).max
+_ARRAYS = ("sizes", "bits", "rest", "prints", "counts", "first", "twins")
 #: Bits a key of a level, and levels before the rest is kept as a sorted list.
 _ROOM, _LEVELS = 2, 24
 
@@ -82,34 +87,42 @@ class Shard:
         bits = np.unpackbits(np.frombuffer(row.bits, np.uint8))[: sizes.sum()].astype(bool)
         self.hash = MinimalHash(np.split(bits, np.cumsum(sizes)[:-1]) if len(sizes) else [], np.frombuffer(row.rest, _U))
         self.prints, self.first = np.frombuffer(row.prints, _U), np.frombuffer(row.first, np.int64)
+        twins = np.frombuffer(row.twins, np.int64).reshape(-1, 3)
+        self.twins = {(int(a), int(b)): int(c) for a, b, c in twins}
+        self.twin_lo = np.unique(twins[:, 0]).view(_U)
 
     def look_up(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Smallest id that holds each key, or the largest long for a key of one document."""
         number = self.hash.number(lo)
         known = number >= 0
         known[known] = self.prints[number[known]] == hi[known]
-        first = np.full(len(lo), np.iinfo(np.int64).max)
+        first = np.full(len(lo), _NEVER)
         first[known] = self.first[number[known]]
+        if len(self.twins):
+            for i in np.flatnonzero(np.isin(lo, self.twin_lo)).tolist():
+                first[i] = self.twins.get((int(lo[i].view(np.int64)), int(hi[i].view(np.int64))), _NEVER)
         return first
 
 
 def _pack(keys: pd.DataFrame) -> pd.DataFrame:
-    """Arrays of a shard. Keys are told apart by both halves; the low halves of a shard's keys are taken to differ."""
-    keys = keys.drop_duplicates("lo")
+    """Arrays of a shard. Keys that share their low halves (`twins`) are kept whole, beside the minimal hash."""
+    shard, twin = int(keys.shard.iloc[0]), keys.duplicated("lo", keep=False)
+    twins, keys = keys[twin], keys[~twin]
     lo = keys.lo.to_numpy().view(_U)
     found = MinimalHash.build(lo)
     order = np.argsort(found.number(lo))
     array = lambda name: keys[name].to_numpy()[order].astype(np.int64).tobytes()
     bits = np.concatenate([np.zeros(0, bool), *found.levels])
     return pd.DataFrame([{
-        "shard": int(keys.shard.iloc[0]), "sizes": np.array([len(x) for x in found.levels], np.int64).tobytes(), "bits": np.packbits(bits).tobytes(),
+        "shard": shard, "sizes": np.array([len(x) for x in found.levels], np.int64).tobytes(), "bits": np.packbits(bits).tobytes(),
         "rest": found.rest.tobytes(), "prints": array("hi"), "counts": array("n"), "first": array("first"),
+        "twins": np.ascontiguousarray(twins[["lo", "hi", "first"]].to_numpy(np.int64)).tobytes(),
     }])
 
 
 def line_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, lo, hi) once for each document row and key of LEAST_CHARS code points or more."""
-    slim = map_texts(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("txt")), "txt", ["doc"], "keys array<struct<lo: long, hi: long>>", lambda: _keys)
+    slim = map_texts(docs.select(quoted(doc_id).cast("long").alias("doc"), quoted(text).alias("txt")), "txt", ["doc"], "keys array<struct<lo: long, hi: long>>", lambda: _keys)
     return slim.select("doc", F.explode("keys").alias("k")).select("doc", "k.lo", "k.hi")
 
 
@@ -130,9 +143,11 @@ def line_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
     counted = line_keys(docs, doc_id, text).groupBy("lo", "hi").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
     repeated = materialize(counted.where("first < last").select("lo", "hi", "first", "n"), "lines")
     shards = max(1, -(-repeated.count() // shard_keys))
-    out = "shard long, sizes binary, bits binary, rest binary, prints binary, counts binary, first binary"
+    out = "shard long, " + ", ".join(f"{x} binary" for x in _ARRAYS)
     packed = repeated.withColumn("shard", F.pmod(F.col("lo"), F.lit(shards))).groupBy("shard").applyInPandas(_pack, out)
-    return materialize(packed, "line_shards"), shards
+    packed = materialize(packed, "line_shards")
+    remove(repeated)
+    return packed, shards
 
 
 class Lookup:
@@ -142,7 +157,7 @@ class Lookup:
         self.rows, self.shards, self.open = {r.shard: r for r in rows}, shards, {}
 
     def first(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        out = np.full(len(lo), np.iinfo(np.int64).max)
+        out = np.full(len(lo), _NEVER)
         if not len(lo):
             return out
         shard = np.mod(lo.view(np.int64), self.shards)
@@ -172,7 +187,7 @@ def _drop(lookup: Lookup, lines: bool):
         first = lookup.first(np.array(lo, _U), np.array(hi, _U)).tolist()
         dropped: list[set[int]] = [set() for _ in texts]
         for (d, n), f in zip(at, first, strict=True):
-            if f < (2**63 - 1) and (ids[d] is None or ids[d] > f):
+            if f < _NEVER and (ids[d] is None or ids[d] > f):
                 dropped[d].add(n)
         if not lines:
             return [[sorted(x) for x in dropped]]
@@ -191,27 +206,36 @@ def dedup_lines(
     A line goes if its key (outer white space stripped, A-Z lower-cased, ten code points or more) is held by
     another document of smaller id. A null or empty text is one empty line; when every line goes the kept text is
     empty. Rows that share an id are one document; a row without an id holds nothing and loses every repeated
-    line. Repeated lines in the smallest document stay. Columns named as new ones give way to them.
+    line. Repeated lines in the smallest document stay. Lines and texts of any length count whole; an empty table
+    stays empty. Columns named as new ones, in either case, give way to them.
     """
     spark = docs.sparkSession
-    keep = list(docs.columns if keep is None else keep)
+    keep = without(docs.columns if keep is None else keep, ["kept_text", "n_lines", "n_dropped"])
     index, shards = line_index(docs, doc_id, text, shard_keys)
-    size = index.agg(F.sum(sum(F.octet_length(c) for c in ("sizes", "bits", "rest", "prints", "counts", "first")))).first()[0] or 0
+    size = index.agg(F.sum(sum(F.octet_length(c) for c in _ARRAYS))).first()[0] or 0
     passes = max(1, -(-size // broadcast_bytes))
-    rows = docs.withColumn("_id", F.col(doc_id).cast("long"))
-    out = "kept_text string, n_lines long, n_dropped long"
+    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("_")).alias("row")
+    rows = docs.select(quoted(doc_id).cast("long").alias("id"), row, quoted(text).cast("string").alias("txt"))
+    kept = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)]
     if passes == 1:
         lookup = spark.sparkContext.broadcast(Lookup(index.collect(), shards))  # at most broadcast_bytes
-        return map_texts(rows, text, ["_id", *keep], out, lambda: _drop(lookup.value, True)).drop("_id")
-    held = rows.select("_id", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(f"`{text}`").alias("_text"), F.array().cast("array<long>").alias("_gone"))
+        remove(index)
+        done = map_texts(rows, "txt", ["id", "row"], "kept_text string, n_lines long, n_dropped long", lambda: _drop(lookup.value, True))
+        return done.select(*kept, "kept_text", "n_lines", "n_dropped")
+    rows = materialize(rows, "rows").withColumn("at", F.monotonically_increasing_id())  # of files, so it stays the same
+    gone = []
     for p in range(passes):
         lookup = spark.sparkContext.broadcast(Lookup(index.where(F.pmod(F.col("shard"), F.lit(passes)) == p).collect(), shards))
-        held = map_texts(held, "_text", ["_id", "_row", "_text", "_gone"], "gone array<long>", lambda lookup=lookup: _drop(lookup.value, False))
-        held = held.select("_id", "_row", "_text", F.concat("_gone", "gone").alias("_gone"))
-    lines = F.split(F.coalesce("_text", F.lit("")), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")
-    new = {"kept_text", "n_lines", "n_dropped"}
-    return held.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep if c not in new], kept.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_dropped"))
+        found = map_texts(rows, "txt", ["id", "at"], "gone array<long>", lambda lookup=lookup: _drop(lookup.value, False))
+        gone.append(materialize(found.where(F.size("gone") > 0).select("at", "gone"), "gone"))
+        lookup.destroy()
+    remove(index)
+    all_gone = reduce(DataFrame.unionByName, gone).groupBy("at").agg(F.flatten(F.collect_list("gone")).alias("gone"))  # a list for each pass
+    held = rows.join(materialize(all_gone, "gone"), "at", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
+    remove(*gone)
+    lines = F.split(F.coalesce("txt", F.lit("")), "\n", -1)
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i.cast("long"))), "\n")
+    return held.select(*kept, left.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

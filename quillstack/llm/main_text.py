@@ -163,7 +163,9 @@ def extract_main_text(pages: DataFrame, trees: Trees, source: str = "html", keep
     """`keep` columns (all by default) with text string: kept blocks in page order, two line breaks between.
 
     Character references are decoded and white space within a block is one space. Null and empty pages, and pages
-    without an article, have an empty text. Pages that repeat have equal texts. A column named text gives way.
+    without an article, have an empty text. Pages that repeat have equal texts; pages
+    of any length are read whole; of equal labellings the first one found counts; an empty table stays empty. A column
+    named text, in either case, gives way.
     """
     held = pages.sparkSession.sparkContext.broadcast(trees)
 

@@ -121,7 +121,8 @@ def find_pii(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     """`keep` columns (all by default) with spans array<struct<kind, start, end, score>>, by start and then kind.
 
     Offsets are code points of the whole text, ends exclusive. Null and empty texts have no spans; equal rows have
-    equal results. A column named spans gives way to the new one.
+    equal results; texts of any length are searched whole; an empty table stays empty. A column named spans, in either
+    case, gives way to the new one.
     """
     out = "spans array<struct<kind: string, start: long, end: long, score: double>>"
     return map_texts(docs, text, list(docs.columns if keep is None else keep), out, lambda: _find)

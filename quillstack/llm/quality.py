@@ -134,7 +134,8 @@ def _score(space):
 
 def score_quality(docs: DataFrame, space: Space, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (all by default) with score double. Texts without words (null, empty) get the mean label; equal
-    texts have equal scores. A column named score gives way to the new one."""
+    texts have equal scores, and texts of any length count whole; of equally near neighbours any may vote. An empty
+    table stays empty. A column named score, in either case, gives way to the new one."""
     held = docs.sparkSession.sparkContext.broadcast(space)  # at most SAMPLE vectors
     return map_texts(docs, text, list(docs.columns if keep is None else keep), "score double", lambda: _score(held), RUN_BYTES)
 

@@ -12,10 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstack.llm.textcore import quoted
 from quillstack.session import materialize, table
 
 _SPANS = "array<struct<kind: string, start: long, end: long>>"
-LEDGER = f"blob binary, rules array<string>, findings {_SPANS}"
+_KEPT = "array<struct<rule: string, kind: string, start: long, end: long>>"
+LEDGER = f"blob binary, rules array<string>, findings {_KEPT}"
 
 
 @dataclass(frozen=True)
@@ -50,11 +52,11 @@ def spans(text: Column, rule: Rule) -> Column:
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     held = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
     parts = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), F.char_length).alias("gap"), F.transform(matches, F.char_length).alias("size"), F.transform(held, F.char_length).alias("held"))
-    none = F.array().cast(_SPANS)
+    none = F.array().cast(_KEPT)
 
     def add(state: Column, p: Column) -> Column:
         start = state["at"] + p["gap"]
-        one = F.array(F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), (start + p["size"]).alias("end")))
+        one = F.array(F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.kind).alias("kind"), start.alias("start"), (start + p["size"]).alias("end")))
         return F.struct((start + F.coalesce(p["size"], F.lit(0))).alias("at"), F.when(p["held"] >= rule.least, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
 
     found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), add, lambda s: s["out"])
@@ -69,11 +71,13 @@ def scan(paths: DataFrame, path: str, text: str, ledger: DataFrame | None = None
     """(path, findings array<struct<kind, start, end>>) for each row, and the ledger's new rows (written already).
 
     A row is one version of one path; other columns are not read. Null texts are empty, and empty texts have no
-    findings; rows with equal texts share one scan; repeated rows keep their rows. An empty table adds nothing to
-    the ledger. Findings go by start, then by the rules' order.
+    findings; texts of any length are scanned whole; rows with equal texts share one scan; repeated rows keep their
+    rows. An empty table adds nothing to the ledger. Findings go by start, then by the rules' order. Each finding in the
+    ledger names its rule version, and only those of `rules` as they are now come back: what an older version or a rule
+    that was taken out has found stays in the ledger alone, for the day that it is put in again.
     """
     names = [r.name for r in rules]
-    held = paths.select(F.col(f"`{path}`").alias("path"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    held = paths.select(quoted(path).alias("path"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
     blob = F.unhex(F.sha2("text", 256)).alias("blob")
     blobs = held.select(blob, "text").groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
@@ -84,13 +88,14 @@ def scan(paths: DataFrame, path: str, text: str, ledger: DataFrame | None = None
     unseen = F.array_except(F.array(*map(F.lit, names)), F.coalesce("seen", F.array().cast("array<string>")))
     blobs = blobs.select("blob", "text", unseen.alias("rules")).where(F.size("rules") > 0)
     # The flag keeps the patterns of seen rules from running.
-    found = F.flatten(F.array(*[F.when(F.array_contains("rules", r.name), spans(F.col("text"), r)).otherwise(F.array().cast(_SPANS)) for r in rules]))
+    found = F.flatten(F.array(*[F.when(F.array_contains("rules", r.name), spans(F.col("text"), r)).otherwise(F.array().cast(_KEPT)) for r in rules]))
     new = materialize(blobs.select("blob", "rules", found.alias("findings")), "ledger")
 
     known = new if ledger is None else new.unionByName(ledger)
     known = known.where(F.size("findings") > 0).withColumn("f", F.explode("findings"))
-    order = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("f.kind"))
-    mine = known.where(order > 0).groupBy("blob").agg(F.sort_array(F.collect_set(F.struct(F.col("f.start").alias("start"), order.alias("order"), F.col("f").alias("f")))).alias("all"))
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("f.rule"))
+    span = F.struct(*[F.col(f"f.{x}").alias(x) for x in ("kind", "start", "end")])
+    mine = known.where(order > 0).groupBy("blob").agg(F.sort_array(F.collect_set(F.struct(F.col("f.start").alias("start"), order.alias("order"), span.alias("f")))).alias("all"))
     mine = materialize(mine.select("blob", F.transform("all", lambda x: x["f"]).alias("findings")), "findings")
     back = held.select("path", blob).join(mine, "blob", "left")
     return back.select("path", F.coalesce("findings", F.array().cast(_SPANS)).alias("findings")), new

@@ -54,3 +54,13 @@ def test_edges(spark, block):
     assert rows(digest(got)) == brute(docs, [x for x in items if x[0] is not None])
     assert rows(digest(decontaminate(d.limit(0), b, block_bytes=block))) == {}
     assert rows(digest(decontaminate(d, b.limit(0), block_bytes=block))) == brute(docs, [])
+
+
+@pytest.mark.parametrize("block", [8_000_000, 60])
+def test_columns_named_as_helpers_or_in_other_case(spark, block):
+    d = spark.createDataFrame([(1, "a b c", 5, "x", 2)], "doc_id long, text string, N_WORDS int, at string, row int")
+    items = spark.createDataFrame([(i, f"word{i} b c") for i in range(20)] + [(99, "b c")], "item_id long, text string")
+    got = decontaminate(d, items, block_bytes=block)
+    assert sorted(got.columns) == ["at", "doc_id", "hit_spans", "items", "n_words", "row", "text"]
+    r = got.first()
+    assert (r.n_words, r.row, r.at, r["items"]) == (3, 2, "x", ["99"]) and [tuple(s) for s in r.hit_spans] == [(1, 3)]

@@ -65,6 +65,14 @@ def test_next_over_many_ranges(spark):
     for ranges in (1, 7, 512):
         got = {r.doc_id: int(r.next_text) for r in with_next(d, "doc_id", "text", ranges=ranges).collect()}
         assert got == {a: b for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    none = d.unionByName(spark.createDataFrame([(None, f"none {i}") for i in range(500)], "doc_id long, text string"))
+    for ranges in (1, 7, 512):  # rows without ids follow the last, each once, and the last of them is followed by the first
+        follow = {r.text: r.next_text for r in with_next(none, "doc_id", "text", ranges=ranges).collect()}
+        at, seen = str(order[0]), []
+        for _ in follow:
+            seen.append(at)
+            at = follow[at]
+        assert at == seen[0] and seen[: len(order)] == list(map(str, order)) and len(set(seen)) == len(order) + 500
 
 
 def test_sketches_merge_and_estimate(spark):

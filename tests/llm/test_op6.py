@@ -1,9 +1,12 @@
 import hashlib
 from collections import defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from quillstack.llm.line_dedup import dedup_lines, op6_line_dedup
+from quillstack.llm.line_dedup import Lookup, Shard, _pack, dedup_lines, op6_line_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -39,3 +42,22 @@ def test_edges(spark, shard, most):
     assert sorted(got.columns) == ["doc_id", "kept_text", "n_dropped", "n_lines", "text"]
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == brute(docs)
     assert dedup_lines(d.limit(0), shard_keys=shard, broadcast_bytes=most).collect() == []
+
+
+@pytest.mark.parametrize("most", [64_000_000, 3000])
+def test_columns_named_as_helpers_or_in_other_case(spark, most):
+    docs = [(i, f"the same long line\nown line number {i}\n" + "\n".join(f"filling {j % 40} and more" for j in range(i, i + 30))) for i in range(60)]
+    d = spark.createDataFrame([(a, b, a * 2, "k", "N") for a, b in docs], "doc_id long, text string, _id long, at string, N_LINES string")
+    got = dedup_lines(d, shard_keys=5, broadcast_bytes=most)
+    assert sorted(got.columns) == ["_id", "at", "doc_id", "kept_text", "n_dropped", "n_lines", "text"]
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == brute(docs)
+    assert all(r._id == 2 * r.doc_id for r in got.collect())
+
+
+def test_keys_that_share_their_low_halves():
+    keys = pd.DataFrame({"shard": 0, "lo": [5, 5, 7, -9], "hi": [1, 2, 3, 4], "first": [10, 20, 30, 40], "n": 2})
+    shard = SimpleNamespace(**_pack(keys).iloc[0].to_dict())
+    lo, hi = np.array([5, 5, 7, -9, 5, 8]).view(np.uint64), np.array([1, 2, 3, 4, 9, 3]).view(np.uint64)
+    never = np.iinfo(np.int64).max
+    assert Shard(shard).look_up(lo, hi).tolist() == [10, 20, 30, 40, never, never]
+    assert Lookup([shard], 1).first(lo, hi).tolist() == [10, 20, 30, 40, never, never]

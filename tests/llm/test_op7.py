@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 
-from quillstack.llm.quality import fit, op7_quality, score_quality
+from quillstack.llm.quality import NEIGHBOURS, TERMS, WORD_TERMS, _terms, fit, op7_quality, score_quality, training_rows
+from quillstack.llm.textcore import SPACED, Words, text_buffers
 
 SF = "/root/testdata/sf0.1"
 
@@ -31,6 +33,28 @@ def test_edges(spark):
     assert len(fit(rows, sample=10).labels) <= 11
 
 
+def test_votes_against_brute_force(spark):
+    """Each document by itself against every labelled vector, in double precision and by a whole sort."""
+    small = "/root/testdata/sf0.01"
+    space = fit(training_rows(spark, small))
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    vectors, unlike = space.vectors.astype(float), 0
+    got = {r.doc_id: r for r in op7_quality(spark, small).collect()}
+    assert set(got) == set(docs)
+    for d, text in docs.items():
+        owner, term = _terms(Words(*text_buffers(pa.array([text])), SPACED))
+        x = np.log1p(np.bincount(term, minlength=TERMS)) * space.weight
+        x = np.concatenate([h / max(np.linalg.norm(h), 1e-9) for h in (x[:WORD_TERMS], x[WORD_TERMS:])]) @ space.project
+        near = vectors @ (x / max(np.linalg.norm(x), 1e-9))
+        best = sorted(range(len(near)), key=lambda i: -near[i])
+        vote = [max(near[i], 0) ** 4 for i in best[:NEIGHBOURS]]
+        want = (sum(v * space.labels[i] for v, i in zip(vote, best, strict=False)) + 1e-6 * space.prior) / (sum(vote) + 1e-6)
+        tied = near[best[NEIGHBOURS - 1]] - near[best[NEIGHBOURS]] < 1e-5
+        unlike += abs(want - got[d].score) > 1e-4 and not tied
+        assert tied or abs(want - got[d].score) < 1e-3 and got[d].predicted == int(got[d].score >= 0.3)
+    assert unlike <= 2
+
+
 def test_neighbours_are_exact(spark):
     r = np.random.default_rng(3)
     rows = spark.createDataFrame([(i, " ".join(f"w{x}" for x in r.integers(0, 50, 20)), int(r.integers(0, 2))) for i in range(200)], "key long, text string, label int")

@@ -60,3 +60,18 @@ def test_only_unseen_pairs_are_scanned(spark):
     found, newer = scan(v2, "path", "text", ledger.unionByName(new), more)
     assert sorted(map(tuple, (r.rules for r in newer.collect()))) == [("plain:1",)] * 3
     assert {r.path: [f.kind for f in r.findings] for r in found.collect()}["b.txt"] == ["plain"]
+
+
+def test_changed_removed_and_restored_rules(spark):
+    docs = spark.createDataFrame([("a", "plain pear"), ("b", "nothing")], "path string, text string")
+    one, two = Rule("plain", "pl[a-z]+", 0, 1), Rule("plain", "pe[a-z]+", 0, 1, version=2)
+    spans = lambda found: {r.path: [(f.kind, f.start, f.end) for f in r.findings] for r in found.collect()}
+    found, ledger = scan(docs, "path", "text", rules=(one,))
+    assert spans(found) == {"a": [("plain", 0, 5)], "b": []}
+    found, new = scan(docs, "path", "text", ledger, (two,))
+    assert spans(found) == {"a": [("plain", 6, 10)], "b": []} and {tuple(r.rules) for r in new.collect()} == {("plain:2",)}
+    ledger = ledger.unionByName(new)
+    found, new = scan(docs, "path", "text", ledger, (Rule("other", "not", 0, 1),))
+    assert spans(found) == {"a": [], "b": [("other", 0, 3)]}
+    found, new = scan(docs, "path", "text", ledger.unionByName(new), (one,))
+    assert spans(found) == {"a": [("plain", 0, 5)], "b": []} and new.count() == 0
