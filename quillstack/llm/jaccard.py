@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstack.llm.components import components
-from quillstack.llm.textcore import SPACED, Words, map_texts, mix, quoted, shingle_sets, text_buffers
+from quillstack.llm.textcore import SPACED, Words, map_texts, mix, quoted, release, shingle_sets, text_buffers
 from quillstack.session import materialize, remove, table
 
 _U = np.uint64
@@ -313,6 +313,8 @@ class _Within:
             yield from _Compare(self, [*held, batch.slice(0, last)]).links()
             held = [batch.slice(last)]
         yield from _Compare(self, held).links()
+        del held
+        release()
 
 
 class _Compare:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm.brown import remainder
-from quillstack.llm.textcore import SPACED, Words, map_texts, mix, slices, small_batches, text_buffers
+from quillstack.llm.textcore import SPACED, Words, map_texts, mix, release, slices, small_batches, text_buffers
 from quillstack.session import table
 
 #: Labelled rows to learn from, at most; terms of words and of shapes; dimensions; neighbours; score of a 1.
@@ -107,20 +107,29 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Space:
     y = seen.column("label").to_numpy()
     if not len(y):
         return Space(np.zeros(TERMS, np.float32), np.zeros((TERMS, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32), y, 0.5)
-    x = np.zeros((len(y), TERMS), np.float32)
-    size = [len(t) for t in seen.column("term").to_pylist()]
-    flat = [seen.column(c).combine_chunks().flatten().to_numpy() for c in ("term", "n")]
-    x[np.repeat(np.arange(len(y)), size), flat[0]] = np.log1p(flat[1])
-    weight = np.log((1 + len(y)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
-    x = _weigh(x, weight)
-    order = np.lexsort((x @ np.random.default_rng(1).standard_normal(TERMS).astype(np.float32), y))  # the same space whatever the order of the rows
-    x, y = x[order], y[order]
+    lists = [seen.column(c).combine_chunks() for c in ("term", "n")]
+    term, n = (x.flatten().to_numpy() for x in lists)
+    row = np.repeat(np.arange(len(y)), np.diff(lists[0].offsets.to_numpy()))
+    weight = np.log((1 + len(y)) / (1 + np.bincount(term, minlength=TERMS))).astype(np.float32) + 0.1
+    value = np.log1p(n).astype(np.float32) * weight[term]
+    half = 2 * row + (term >= WORD_TERMS)
+    value /= np.maximum(np.sqrt(np.bincount(half, value * value, 2 * len(y))), 1e-9).astype(np.float32)[half]
+    mark = np.bincount(row, value * np.random.default_rng(1).standard_normal(TERMS)[term], len(y))
+    order = np.lexsort((mark, y))  # the same space whatever the order of the rows
+    place = np.empty(len(y), np.int64)
+    place[order] = np.arange(len(y))
+    x, y = np.zeros((len(y), TERMS), np.float32), y[order]
+    x[place[row], term] = value
+    del seen, lists, term, n, row, value, half
     q = np.random.default_rng(0).standard_normal((TERMS, min(DIMENSIONS + 16, len(y)))).astype(np.float32)
     for _ in range(4):  # randomised subspace iteration
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
     project = (q @ vt[:DIMENSIONS].T).astype(np.float32)
-    return Space(weight, project, _unit(x @ project), y, float(y.mean()))
+    space = Space(weight, project, _unit(x @ project), y, float(y.mean()))
+    del x
+    release()
+    return space
 
 
 def _score(space):
