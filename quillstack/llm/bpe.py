@@ -16,10 +16,12 @@ import json
 import random
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,37 +184,35 @@ def _coded(word: str) -> bytes:
     return word.encode("utf-8", "surrogatepass")
 
 
-def _bytes(words: list[str | bytes]) -> pa.Array:
-    coded = [w if isinstance(w, bytes) else _coded(w) for w in words]
-    ends = np.concatenate([[0], np.cumsum([len(w) for w in coded])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)))
+def _bytes(words: pa.Array) -> pa.Array:
+    ends = _ends(words)
+    return pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(_content(words).astype(np.int32)))
 
 
 class _Numbers(dict):
-    """Numbers of a run's words; a word of more than PIECE_BYTES has -1 less its place among the `long` ones."""
+    """Numbers of a run's distinct words, in order; a word of more than PIECE_BYTES has -1 less its place among the
+    `long` ones, and its pieces have numbers."""
 
-    def __init__(self, known: dict[str, int]):
-        self.known, self.new, self.long = known, [], []
+    def __init__(self):
+        self.words: list[bytes] = []
+        self.long: list[list[int]] = []
         self.pieces: dict[bytes, int] = {}
 
     def __missing__(self, word: str) -> int:
-        at = self.known.get(word)
-        if at is None:
-            if len(word) * 4 > PIECE_BYTES and len(coded := _coded(word)) > PIECE_BYTES:
-                self.long.append([self.piece(coded[i : i + PIECE_BYTES]) for i in range(0, len(coded), PIECE_BYTES)])
-                at = -len(self.long)
-            else:
-                at = self.add(word)
+        coded = _coded(word)
+        if len(coded) > PIECE_BYTES:
+            self.long.append([self.piece(coded[i : i + PIECE_BYTES]) for i in range(0, len(coded), PIECE_BYTES)])
+            at = -len(self.long)
+        else:
+            at = len(self.words)
+            self.words.append(coded)
         self[word] = at
         return at
 
-    def add(self, word: str | bytes) -> int:
-        self.new.append(word)
-        return len(self.known) + len(self.new) - 1
-
     def piece(self, coded: bytes) -> int:
         if coded not in self.pieces:
-            self.pieces[coded] = self.add(coded)
+            self.pieces[coded] = len(self.words)
+            self.words.append(coded)
         return self.pieces[coded]
 
     def cut(self, at: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -233,10 +233,10 @@ class _Split:
         self.pattern, self.ahead = pattern, ahead
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = regex.compile(self.pattern).findall, self.ahead.value.number
+        words, known = regex.compile(self.pattern).findall, self.ahead.value
         for whole in batches:
             for batch in slices(whole, 1, RUN_BYTES):
-                numbers, each, joins = _Numbers(known), [], []
+                numbers, each, joins = _Numbers(), [], []
                 for text in batch.column(1).to_pylist():
                     found = words(text)
                     at = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
@@ -246,29 +246,25 @@ class _Split:
                     each.append(at)
                     joins.append(cuts)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-                at = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *each])))
+                coded = pa.array(numbers.words, pa.binary())
+                at_known = pc.index_in(coded, known).fill_null(-1).to_numpy(zero_copy_only=False)
+                new = at_known < 0
+                number = np.where(new, len(known) + np.cumsum(new) - 1, at_known).astype(np.int32)
+                at = number[np.concatenate([np.zeros(0, np.int32), *each])]
+                at = pa.ListArray.from_arrays(pa.array(ends), pa.array(at))
                 docs = pa.StructArray.from_arrays([batch.column(0), at, pa.array(joins, pa.list_(pa.int32()))], ["row", "at", "joins"])
-                yield pa.RecordBatch.from_arrays([_one(docs), _one(_bytes(numbers.new))], names=["docs", "words"])
+                yield pa.RecordBatch.from_arrays([_one(docs), _one(_bytes(coded.filter(pa.array(new))))], names=["docs", "words"])
+                del numbers, each, at, docs, coded
         release()
 
 
-class Ahead:
-    """Words encoded before the others: their numbers, for the splitting side."""
-
-    def __init__(self, words: pa.Array):
-        self.number = {w.decode("utf-8", "surrogatepass"): n for n, w in enumerate(words.to_pylist())}
-
-    def __reduce__(self):
-        return Ahead, (pa.array([w.encode("utf-8", "surrogatepass") for w in self.number], pa.binary()),)
-
-
+@dataclass
 class Codes:
-    """Ids and bytes of the words encoded before the others, as flat arrays, and the ranks, for the assembling side."""
+    """Ids and bytes of the words encoded before the others, and the ranks, for the assembling side."""
 
-    def __init__(self, ids: pa.Array, data: pa.Array, ranks: dict[bytes, int]):
-        self.ranks, self.top = ranks, max(ranks.values(), default=-1) + 1
-        self.ids, self.id_ends, self.bytes, self.byte_ends = ids.flatten().to_numpy(), _ends(ids), _content(data), _ends(data)
-        self.id_ends, self.byte_ends = self.id_ends - self.id_ends[0], self.byte_ends - self.byte_ends[0]
+    ids: pa.ListArray
+    data: pa.BinaryArray
+    ranks: dict[bytes, int]
 
 
 def _content(values: pa.Array) -> np.ndarray:
@@ -276,13 +272,6 @@ def _content(values: pa.Array) -> np.ndarray:
     return np.frombuffer((values.buffers()[2] if len(values) else None) or b"", np.uint8)[ends[0] : ends[-1]]
 
 
-def _gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of `values` numbered `at`, one after another, and where each ends."""
-    size = ends[at + 1] - ends[at]
-    to = np.concatenate([[0], np.cumsum(size)])
-    return values[np.arange(to[-1]) + np.repeat(ends[at] - to[:-1], size)], to
-
-
 class _Assemble:
     """Ids, as numbers or as text, and decoded bytes of each document of a run, from those of its words."""
 
@@ -291,43 +280,37 @@ class _Assemble:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = self.ahead.value
-        token = [b""] * known.top
+        top = max(known.ranks.values(), default=-1) + 1
+        token = [b""] * top
         for content, number in known.ranks.items():
             token[number] = content
-        if self.as_text:
-            names = [b"%d " % i for i in range(known.top)]
-            text, text_ends = np.frombuffer(b"".join(names), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in names])])
+        names = pa.array([b"%d " % i for i in range(top)], pa.binary())
         for batch in batches:
             for n in range(batch.num_rows):
                 docs, words = batch.column(0).slice(n, 1).flatten(), batch.column(1).slice(n, 1).flatten()
-                ids, data = words.field(0), words.field(1)
-                ids, id_ends = ids.flatten().to_numpy(), _ends(ids)
-                data, byte_ends = _content(data), _ends(data)
-                ids = np.concatenate([known.ids, ids])
-                id_ends = np.concatenate([known.id_ends[:-1], id_ends - id_ends[0] + known.id_ends[-1]])
-                data = np.concatenate([known.bytes, data])
-                byte_ends = np.concatenate([known.byte_ends[:-1], byte_ends - byte_ends[0] + known.byte_ends[-1]])
                 row, at = docs.field(0), docs.field(1)
-                doc_ends = _ends(at)
-                at = at.flatten().to_numpy()
-                doc_ends = doc_ends - doc_ends[0]
-                cuts = _ends(docs.field(2))
-                joins = {int(d): docs.field(2)[d].as_py() for d in np.flatnonzero(np.diff(cuts))}
-                ids, to = _gather(ids, id_ends, at)
+                doc_ends, at = _ends(at) - _ends(at)[0], at.flatten()
+                coded = pa.concat_arrays([known.ids, words.field(0)]).take(at)
+                ids, to = coded.flatten(), _ends(coded)
+                to = to - to[0]
+                data = pa.concat_arrays([known.data, words.field(1)]).take(at)
+                ends = _ends(data)[doc_ends]
+                decoded = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), data.buffers()[2]]) if len(data) else pa.array([b""] * len(row), pa.binary())
                 size = to[doc_ends]
-                if joins:
-                    ids, size = _joined(joins, ids, to, doc_ends, token, known.ranks)
-                data, over = _gather(data, byte_ends, at)
-                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(over[doc_ends].astype(np.int64)), pa.py_buffer(data)])
+                cuts = _ends(docs.field(2))
+                if cuts[-1] > cuts[0]:
+                    joins = {int(d): docs.field(2)[d].as_py() for d in np.flatnonzero(np.diff(cuts))}
+                    ids, size = _joined(joins, ids.to_numpy(), to, doc_ends, token, known.ranks)
+                    ids = pa.array(ids)
                 if self.as_text:
-                    joined, to = _gather(text, text_ends, ids)
-                    ends = to[size]
-                    joined = np.delete(joined, ends[1:][np.diff(size) > 0] - 1)  # the space after a document's last id
-                    ends = ends - np.concatenate([[0], np.cumsum(np.diff(size) > 0)])
-                    tokens = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(joined)).cast(pa.string())
+                    text = names.take(ids)
+                    ends = _ends(text)[size]
+                    joined = np.delete(_content(text), ends[1:][np.diff(size) > 0] - 1 - ends[0])  # the space after a document's last id
+                    ends = ends - ends[0] - np.concatenate([[0], np.cumsum(np.diff(size) > 0)])
+                    tokens = pa.StringArray.from_buffers(len(row), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(joined))
                 else:
-                    tokens = pa.ListArray.from_arrays(pa.array(size.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([row, pa.array(np.diff(size)), tokens, decoded.cast(pa.binary())], names=["row", "n_tokens", "token_ids", "decoded"])
+                    tokens = pa.ListArray.from_arrays(pa.array(size.astype(np.int32)), ids)
+                yield pa.RecordBatch.from_arrays([row, pa.array(np.diff(size)), tokens, decoded], names=["row", "n_tokens", "token_ids", "decoded"])
         release()
 
 
@@ -402,7 +385,7 @@ def encode_documents(
     first = frequent_words(rows.select("text"), pattern, path, ahead_words, ahead_docs)
     word, ids, data = (first.column(c).combine_chunks() for c in ("word", "ids", "bytes"))
     context = docs.sparkSession.sparkContext
-    ahead, codes = context.broadcast(Ahead(word)), context.broadcast(Codes(ids, data, read_ranks(path)))
+    ahead, codes = context.broadcast(word), context.broadcast(Codes(ids, data, read_ranks(path)))
     del first, word, ids, data
     release()
     kind = rows.schema["row"].dataType.simpleString()
