@@ -6,7 +6,7 @@ and look the ids' bytes up for decoding. Documents are put together from the ids
 bounded in bytes, so nothing is shuffled and no vocabulary of words is gathered anywhere.
 
 The literal says, for each two tokens whose bytes together are a token, that token's rank. It is a sparse table
-with displaced rows: the entry of (a, b) is at place shift[a] + b, where owner[place] = a says that it is there.
+with displaced rows: the entry of (a, b) is at place shift[a] + b, where owner[place] = a + 1 says that it is there.
 """
 
 from __future__ import annotations
@@ -57,15 +57,15 @@ class Merges:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     rows.setdefault(a, {})[b] = rank
-        size = 1 << max(8, int(8 * sum(map(len, rows.values())) + 2 * top).bit_length() - 1)
-        shift, owner, value, draw = np.zeros(top, np.int64), np.full(size, -1), np.zeros(size, np.int64), random.Random(7)
+        size = 1 << max(8, int(3 * sum(map(len, rows.values())) + 2 * top).bit_length() - 1)  # as text it goes along with each plan
+        shift, owner, value, draw = np.zeros(top, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64), random.Random(7)
         for a in sorted(rows, key=lambda a: -len(rows[a])):
             columns = np.array(sorted(rows[a]))
             at = columns
-            while (owner[at] >= 0).any() or not shift[a]:
+            while owner[at].any() or not shift[a]:
                 shift[a] = draw.randrange(1, size - top)
                 at = columns + shift[a]
-            owner[at], value[at] = a, [rows[a][c] for c in columns.tolist()]
+            owner[at], value[at] = a + 1, [rows[a][c] for c in columns.tolist()]
         tokens = [""] * top
         for token, rank in ranks.items():
             tokens[rank] = base64.b64encode(token).decode()
@@ -137,7 +137,7 @@ def encode_word(word: Column, table: Column, path: str) -> Column:
 
     def rank(a: Column, b: Column) -> Column:  # beyond the ends a or b is null, and there is no rank
         place = F.get(table["shift"], a) + b
-        return F.when(F.get(table["owner"], place) == a, F.get(table["value"], place)).otherwise(F.lit(_NONE))
+        return F.when(F.get(table["owner"], place) == a + 1, F.get(table["value"], place)).otherwise(F.lit(_NONE))
 
     # The state is the pieces and the ranks: of each piece joined to the next, with none before and after all.
     def merge(s: Column, _: Column) -> Column:

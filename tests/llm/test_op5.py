@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from quillstack.llm.components import components
 from quillstack.llm.jaccard import BLOCK, LEAF, Cells, Tree, jaccard_components, op5_jaccard_join, points, shingle_groups, widths
 
 SF = "/root/testdata/sf0.01"
@@ -119,6 +120,26 @@ def test_the_tree_leaves_out_no_pair_that_may_link():
     assert {p for p in linked if p[0] < half <= p[1]} <= reached and all(i < half <= j for i, j in reached)
 
 
+@pytest.mark.parametrize("part", [10**6, 150])
+def test_components(spark, part):
+    r = random.Random(6)
+    links = [(r.randrange(1200), r.randrange(1200)) for _ in range(500)] + [(i, i + 1) for i in range(2000, 2300)] + [(2**62, -(2**62)), (5, 5)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    lone = {x for link in links for x in link} - {x for a, b in links if a != b for x in (a, b)}
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long"), part).collect()))
+    assert got == {x: top(x) for x in up if x not in lone}
+    assert components(spark.createDataFrame([], "a long, b long"), part).collect() == []
+
+
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
