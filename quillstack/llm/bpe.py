@@ -57,7 +57,7 @@ class Merges:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     rows.setdefault(a, {})[b] = rank
-        size = 1 << max(8, int(3 * sum(map(len, rows.values())) + 2 * top).bit_length() - 1)  # as text it goes along with each plan
+        size = 1 << max(8, int(4 * sum(map(len, rows.values())) + 2 * top).bit_length() - 1)  # as text it goes along with each plan
         shift, owner, value, draw = np.zeros(top, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64), random.Random(7)
         for a in sorted(rows, key=lambda a: -len(rows[a])):
             columns = np.array(sorted(rows[a]))
