@@ -12,7 +12,6 @@ with displaced rows: the entry of (a, b) is at place shift[a] + b, where owner[p
 from __future__ import annotations
 
 import base64
-import json
 import random
 from collections import Counter
 from collections.abc import Iterator
@@ -47,7 +46,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Merges:
-    """The literals of a rank file, as JSON, and the tokens that their own bytes don't merge to."""
+    """The literals of a rank file, and the tokens that their own bytes don't merge to."""
 
     def __init__(self, ranks: dict[bytes, int]):
         top = max(ranks.values(), default=-1) + 1
@@ -57,7 +56,7 @@ class Merges:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     rows.setdefault(a, {})[b] = rank
-        size = 1 << max(8, int(4 * sum(map(len, rows.values())) + 2 * top).bit_length() - 1)  # as text it goes along with each plan
+        size = 1 << max(8, int(4 * sum(map(len, rows.values())) + 2 * top).bit_length() - 1)
         shift, owner, value, draw = np.zeros(top, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64), random.Random(7)
         for a in sorted(rows, key=lambda a: -len(rows[a])):
             columns = np.array(sorted(rows[a]))
@@ -66,11 +65,11 @@ class Merges:
                 shift[a] = draw.randrange(1, size - top)
                 at = columns + shift[a]
             owner[at], value[at] = a + 1, [rows[a][c] for c in columns.tolist()]
-        tokens = [""] * top
+        tokens = [b""] * top
         for token, rank in ranks.items():
-            tokens[rank] = base64.b64encode(token).decode()
-        self.shift, self.owner, self.value = (json.dumps(x.tolist()) for x in (shift, owner, value))
-        self.single, self.tokens = json.dumps([ranks.get(bytes([b]), -1) for b in range(256)]), json.dumps(tokens)
+            tokens[rank] = token
+        self.shift, self.owner, self.value = (x.astype(np.int32) for x in (shift, owner, value))
+        self.single, self.tokens = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32), tokens
         self.apart = {token: rank for token, rank in ranks.items() if _folded(token, ranks) != [rank]}
 
 
@@ -122,17 +121,22 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def literal(path: str) -> Column:
-    """The merges of a rank file: shift, owner, value and single (ids of the bytes), and the tokens by id."""
+def literal(spark: SparkSession, path: str) -> Column:
+    """The merges of a rank file as one value: shift, owner, value and single (ids of the bytes), and the tokens by id.
+
+    It is given as a scalar, which Spark puts into the plan as a literal of packed arrays when the query starts. Written
+    out in the plan itself, the text of each plan would hold it, several times over.
+    """
     known = merges(path)
-    array = lambda x, kind, name: F.from_json(F.lit(x), f"array<{kind}>").alias(name)
-    return F.struct(*[array(getattr(known, x), "int", x) for x in ("shift", "owner", "value", "single")], array(known.tokens, "binary", "tokens"))
+    parts = {x: pa.array(getattr(known, x), pa.int32()) for x in ("shift", "owner", "value", "single")} | {"tokens": pa.array(known.tokens, pa.binary())}
+    value = pa.StructArray.from_arrays([_one(x) for x in parts.values()], list(parts))
+    return spark.createDataFrame(pa.table({"merges": value})).scalar()
 
 
 def encode_word(word: Column, table: Column, path: str) -> Column:
     """Token ids, array<int>, of a word's bytes (array<int>): the lowest rank merges first, the leftmost of equals.
 
-    `table` is literal(path), bound once for all the words.
+    `table` is literal(spark, path), bound once for all the words.
     """
 
     def rank(a: Column, b: Column) -> Column:  # beyond the ends a or b is null, and there is no rank
@@ -167,13 +171,14 @@ def decode_ids(ids: Column, table: Column) -> Column:
     return F.aggregate(ids, F.lit(b""), lambda out, i: F.concat(out, F.get(table["tokens"], i)))
 
 
-def code_words(words: Column, path: str) -> Column:
-    """array<struct<ids, bytes>> of an array of words."""
+def code_words(df: DataFrame, words: str, path: str) -> DataFrame:
+    """`df` with the array of words (each an array<int> of bytes) in the column `words` as array<struct<ids, bytes>>."""
 
     def coded(table: Column) -> Column:
         return F.transform(words, lambda w: _let(encode_word(w, table, path), lambda ids: F.struct(ids.alias("ids"), decode_ids(ids, table).alias("bytes"))))
 
-    return _let(literal(path), coded)
+    rest = [c for c in df.columns if c != words]
+    return df.select("*", literal(df.sparkSession, path).alias("_merges")).select(*rest, _let(F.col("_merges"), coded).alias(words))
 
 
 def _one(values: pa.Array) -> pa.Array:
@@ -356,11 +361,10 @@ def frequent_words(texts: DataFrame, pattern: str, path: str, words: int, sample
 
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
     counted = materialize(some.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word").between(1, PIECE_BYTES)), "words")
-    # The plan that codes them has no exchange: its text holds the literal, and would be made anew after each one.
     most = counted.orderBy(F.desc("n"), "word").limit(words)
     most = materialize(most.repartition(2 * texts.sparkSession.sparkContext.defaultParallelism, "word"), "words")
     code = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substring(F.col("word"), i, F.lit(1))), 16, 10).cast("int"))
-    coded = most.select("word", F.element_at(code_words(F.array(code), path), 1).alias("c")).select("word", "c.ids", "c.bytes")
+    coded = code_words(most.select("word", F.array(code).alias("c")), "c", path).select("word", F.element_at("c", 1).alias("c")).select("word", "c.ids", "c.bytes")
     found = coded.toArrow()  # at most `words` rows
     remove(counted, most)
     return found
@@ -390,7 +394,7 @@ def encode_documents(
     release()
     kind = rows.schema["row"].dataType.simpleString()
     runs = rows.mapInArrow(_Split(pattern, ahead), f"docs array<struct<row: {kind}, at: array<int>, joins: array<int>>>, words array<array<int>>")
-    coded = runs.select("docs", code_words(F.col("words"), path).alias("words"))
+    coded = code_words(runs, "words", path).select("docs", "words")
     done = coded.mapInArrow(_Assemble(codes, as_text), f"row {kind}, n_tokens long, token_ids {'string' if as_text else 'array<int>'}, decoded binary")
     return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "token_ids", "decoded")
 

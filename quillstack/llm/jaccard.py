@@ -174,6 +174,19 @@ def points(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(place, minlength=ends[-1]), ends
 
 
+def packed(counts: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """Points as bytes: a byte a count, or four where a point has counts above 255."""
+    width = np.diff(ends)
+    wide = np.maximum.reduceat(counts, ends[:-1]) > 255 if len(width) else np.zeros(0, bool)
+    to = np.concatenate([[0], np.cumsum(np.where(wide, 4 * width, width))])
+    out, own = np.zeros(to[-1], np.uint8), np.repeat(wide, width)
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], width)
+    out[np.repeat(to[:-1], width)[~own] + place[~own]] = counts[~own]
+    four = counts[own].astype("<i4").view(np.uint8).reshape(-1, 4)
+    out[(np.repeat(to[:-1], width)[own] + 4 * place[own])[:, None] + np.arange(4)] = four
+    return pa.BinaryArray.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(out)])
+
+
 def _points(k: int):
     def make():
         seen = _Seen()
@@ -192,7 +205,7 @@ def _points(k: int):
             h, at = h[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])])
             counts, ends = points(h, at)
             each = np.searchsorted(mine, np.arange(len(key) + 1))
-            point = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(counts.astype(np.int32)))
+            point = packed(counts, ends)
             hashes = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
             rows = pa.StructArray.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(n[keep]), point, hashes], ["key", "n", "point", "hashes"])
             return [pa.ListArray.from_arrays(pa.array(each.astype(np.int32)), rows)]
@@ -328,7 +341,9 @@ class _Compare:
             return
         self.cell, self.side, self.key, self.root, self.n = (rows.column(i).to_numpy() for i in range(5))
         point = rows.column(5).combine_chunks()
-        self.ends, self.counts = point.offsets.to_numpy(), point.values.to_numpy()
+        wide = 8 if pa.types.is_large_binary(point.type) else 4
+        self.ends = np.frombuffer(point.buffers()[1], f"<i{wide}")[point.offset : point.offset + len(point) + 1].astype(np.int64)
+        self.counts, self.width = np.frombuffer(point.buffers()[2], np.uint8), widths(self.n)
         if self.verify:
             hashes = rows.column(6).combine_chunks()
             self.set_ends, self.hashes = hashes.offsets.to_numpy(), hashes.values.to_numpy()
@@ -343,7 +358,7 @@ class _Compare:
             return
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.cell)) + 1, [self.rows]])
         size = np.diff(cuts)
-        least = np.minimum.reduceat(np.diff(self.ends), cuts[:-1])
+        least = np.minimum.reduceat(self.width, cuts[:-1])
         for width in np.unique(least[size > 1]).tolist():
             self.of_width(width, cuts, np.flatnonzero((least == width) & (size > 1)))
         self.settle()
@@ -354,11 +369,14 @@ class _Compare:
         """The cells whose coarsest points have `width` counts; finer ones are added up to as many."""
         size = np.diff(cuts)[cells]
         at = np.repeat(cuts[cells] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        own = np.diff(self.ends)[at]
+        own, size_of = self.width[at], np.diff(self.ends)[at]
         matrix = np.zeros((len(at), width), np.int32)
         for w in np.unique(own).tolist():
-            some = np.flatnonzero(own == w)
-            matrix[some] = self.counts[self.ends[at[some], None] + np.arange(w)].reshape(len(some), width, w // width).sum(2)
+            for kind, bytes_ in (("u1", w), ("<i4", 4 * w)):
+                some = np.flatnonzero((own == w) & (size_of == bytes_))
+                if len(some):
+                    counts = np.ascontiguousarray(self.counts[self.ends[at[some], None] + np.arange(bytes_)]).view(kind)
+                    matrix[some] = counts.reshape(len(some), width, w // width).sum(2, dtype=np.int32)
         n, root, side = self.n[at], self.root[at], self.side[at]
         tree = Tree(matrix, n, root, self.num, self.den)
         start = np.concatenate([[0], np.cumsum(size)])
@@ -492,7 +510,7 @@ def _sets_of(slim: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(key, n, point, hashes) of the wanted (of, id, mark), once each, written."""
     few = wanted.count() <= BROADCAST_ROWS  # beyond that the texts are shuffled
     mine = slim.join(F.broadcast(wanted) if few else wanted, slim["id"].eqNullSafe(wanted["id"]) & (slim["mark"] == wanted["mark"])).select("of", "txt")
-    kind = "sets array<struct<key: long, n: long, point: array<int>, hashes: array<long>>>"
+    kind = "sets array<struct<key: long, n: long, point: binary, hashes: array<long>>>"
     sets = materialize(map_texts(mine, "txt", ["of"], kind, _points(shingle)).select(F.inline("sets")), "hashes")
     if sets.groupBy("key").count().where("count > 1").isEmpty():
         return sets

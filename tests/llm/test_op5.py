@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quillstack.llm.components import components
-from quillstack.llm.jaccard import BLOCK, LEAF, Cells, Tree, jaccard_components, op5_jaccard_join, points, shingle_groups, widths
+from quillstack.llm.jaccard import BLOCK, LEAF, Cells, Tree, jaccard_components, op5_jaccard_join, packed, points, shingle_groups, widths
 
 SF = "/root/testdata/sf0.01"
 
@@ -107,6 +107,11 @@ def test_the_tree_leaves_out_no_pair_that_may_link():
     counts, ends = points(np.concatenate(sets), at)
     n = np.diff(at)
     assert (np.diff(ends) == widths(n)).all() and (np.add.reduceat(counts, ends[:-1]) == n).all()
+    counts[5] += 1000
+    wide = packed(counts, ends).to_pylist()
+    counts_of = lambda i: np.frombuffer(wide[i], np.uint8 if len(wide[i]) == ends[i + 1] - ends[i] else "<i4")
+    assert len(wide[0]) == 4 * ends[1] and all((counts_of(i) == counts[ends[i] : ends[i + 1]]).all() for i in range(len(n)))
+    counts[5] -= 1000
     width = int(widths(n).min())
     matrix = np.stack([counts[a:b].reshape(width, -1).sum(1) for a, b in zip(ends, ends[1:], strict=False)])
     tree = Tree(matrix, n, np.arange(len(n)), 80, 100)
