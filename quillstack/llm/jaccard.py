@@ -34,7 +34,7 @@ LEAST_GROUPS, MOST_GROUPS, PER_GROUP = 64, 4096, 8
 LEAF, BLOCK = 64, 1 << 20
 #: Pairs of points that are bounded at once, and pairs held before they are verified.
 PAIRS, HELD = 20_000, 100_000
-#: Rows (three longs each) of the table of sets to verify, up to which it is broadcast to the texts.
+#: Rows (four longs each) of the tables of sets to verify and of their cells, up to which they are broadcast.
 BROADCAST_ROWS = 300_000
 #: Places in which a task keeps what it has seen last.
 SEEN = 1 << 19
@@ -484,9 +484,12 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _compared(rows: DataFrame, sets: DataFrame, num: int, den: int, verify: bool = True) -> DataFrame:
-    """Pairs (a, b) within the cells of rows (cell, side, key, root); a set goes along once for each of its cells."""
+    """Pairs (a, b) within the cells of rows (cell, side, key, root); a set goes along once for each of its cells. Up to
+    BROADCAST_ROWS rows are sent to the sets; beyond that the sets are shuffled to them."""
     columns = ["n", "point", "hashes"] if verify else ["n", "point"]
-    rows = rows.join(sets.select("key", *columns), "key").select("cell", "side", "key", "root", *columns)
+    rows = materialize(rows, "rows")
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    rows = sets.select("key", *columns).join(rows, "key").select("cell", "side", "key", "root", *columns)
     rows = rows.repartition("cell").sortWithinPartitions("cell", "side", "n")
     return rows.mapInArrow(_Within(num, den, verify), "a long, b long")
 
