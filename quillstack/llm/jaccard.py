@@ -458,14 +458,14 @@ def _within_cells(members: DataFrame, sets: DataFrame, num: int, den: int, most:
     cells = cells.where("low < high").groupBy("print0", "print1").agg(F.min("sig").alias("sig"), F.max("weight").alias("weight"))
     cells = materialize(cells.select(F.col("sig").alias("group"), _blocks("weight", block)), "open", most)
     rows = members.withColumnRenamed("sig", "group").join(cells, "group")
-    near = materialize(_compared(_in_blocks(rows), sets, num, den, verify=False), "near")
+    near = materialize(_compared(_in_blocks(rows), sets, num, den, most, verify=False), "near")
     remove(cells)
     if near.isEmpty():
         return near
     tight = components(near).select(F.col("node").alias("key"), F.col("root").alias("group"))
     rows = materialize(tight.join(members.select("key", "root", "n").distinct(), "key"), "tight", most)
     cells = rows.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), _blocks(F.sum("n"), block)).where("low < high")
-    links = materialize(_compared(_in_blocks(rows.join(cells.select("group", "blocks"), "group")), sets, num, den), "links")
+    links = materialize(_compared(_in_blocks(rows.join(cells.select("group", "blocks"), "group")), sets, num, den, most), "links")
     remove(near, tight, rows)
     return links
 
@@ -483,11 +483,12 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return rows.select(cell.alias("cell"), side.cast("long").alias("side"), "key", "root")
 
 
-def _compared(rows: DataFrame, sets: DataFrame, num: int, den: int, verify: bool = True) -> DataFrame:
+def _compared(rows: DataFrame, sets: DataFrame, num: int, den: int, most: int, verify: bool = True) -> DataFrame:
     """Pairs (a, b) within the cells of rows (cell, side, key, root); a set goes along once for each of its cells. Up to
-    BROADCAST_ROWS rows are sent to the sets; beyond that the sets are shuffled to them."""
+    BROADCAST_ROWS rows are sent to the sets; beyond that the sets are shuffled to them.
+    `most`: rows, about."""
     columns = ["n", "point", "hashes"] if verify else ["n", "point"]
-    rows = materialize(rows, "rows")
+    rows = materialize(rows, "rows", most)
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
     rows = sets.select("key", *columns).join(rows, "key").select("cell", "side", "key", "root", *columns)
     rows = rows.repartition("cell").sortWithinPartitions("cell", "side", "n")
@@ -504,7 +505,7 @@ def _with_heads(live: DataFrame, sets: DataFrame, num: int, den: int, most: int,
     cell = lambda part: F.xxhash64("head", part).alias("cell")
     keys = pairs.join(blocks, "head").select(cell(F.pmod(F.xxhash64("key"), F.col("blocks"))), F.lit(_KEY).cast("long").alias("side"), "key")
     heads = blocks.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part")).select(cell("part"), F.lit(_HEAD).cast("long").alias("side"), F.col("head").alias("key"))
-    links = materialize(_compared(keys.union(heads).withColumn("root", F.col("key")), sets, num, den), "links")
+    links = materialize(_compared(keys.union(heads).withColumn("root", F.col("key")), sets, num, den, most), "links")
     remove(pairs)
     return links
 
