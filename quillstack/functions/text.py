@@ -74,8 +74,10 @@ def escape_markup(text: Column) -> Column:
 
 
 def github_anchor(heading: Column) -> Column:
-    """URL fragment of a heading: lower case, ASCII letters, digits, hyphens and underscores; white space is a hyphen."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(heading)), "[^a-z0-9_\\s-]", ""), "\\s+", "-")
+    """URL fragment of a heading: lower case, ASCII letters, digits, hyphens and underscores; white space is a hyphen, but
+    not after one; hyphens at the ends go."""
+    kept = F.regexp_replace(F.lower(heading), "[^a-z0-9_\\s-]", "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(kept, "(?<=-)\\s+", ""), "\\s+", "-"), F.lit("-"))
 
 
 def chunk_version(title: Column, heading: Column, url: Column, text: Column, authoritative: Column, acl: Column, sensitivity: Column, model: Column, model_version: Column) -> Column:

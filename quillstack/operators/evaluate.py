@@ -12,7 +12,7 @@ from quillstack.operators.steps import CATEGORIES
 from quillstack.session import broadcast_small
 
 #: Metrics of a set of runs: name and run score; the rates that are better when lower.
-METRICS = {"classify": "classified", "recall": "recall", "hit": "hit", "precision": "correct", "declined": "declined", "failed": "failed", "citations": "citations_valid", "faithfulness": "faithful"}
+METRICS = {"classify": "classified", "found_share": "found_share", "hit": "hit", "precision": "correct", "declined": "declined", "failed": "failed", "citations": "citations_valid", "faithfulness": "faithful"}
 LOWER_IS_BETTER = ("declined", "failed")
 #: Launch gate: least precision, most declines. Differences count from this step on.
 PRECISION, DECLINES, STEP = 0.95, 0.40, 1e-9
@@ -23,7 +23,7 @@ def matches(chunks: str) -> Column:
     return F.transform(F.filter(chunks, lambda c: c["context_for"].isNull()), lambda c: c["id"])
 
 
-def recall_at(k: int, relevant: str, chunks: str) -> Column:
+def found_share_at(k: int, relevant: str, chunks: str) -> Column:
     """Share of the distinct relevant ids among the first k matches; null without relevant ids."""
     found = F.array_intersect(F.array_distinct(relevant), F.slice(matches(chunks), 1, k))
     return F.try_divide(F.size(found).cast("double"), F.size(F.array_distinct(relevant)))
@@ -50,7 +50,7 @@ def run_scores(runs: DataFrame) -> DataFrame:
     ids = lambda c: F.transform(c, lambda x: x["id"])
     answered = F.col("status") == "answered"
     return runs.select(
-        "run", "category", (F.col("classified_as") == F.col("category")).alias("classified"), recall_at(50, "relevant", "retrieved").alias("recall"), hit_at(5, "relevant", "reranked").alias("hit"),
+        "run", "category", (F.col("classified_as") == F.col("category")).alias("classified"), found_share_at(50, "relevant", "retrieved").alias("found_share"), hit_at(5, "relevant", "reranked").alias("hit"),
         F.when(answered & F.col("verdict").isNotNull() & F.col("expected").isNotNull(), T.same_text(F.col("verdict"), F.col("expected"))).alias("correct"),
         (F.col("status") == "declined").alias("declined"), (F.col("status") == "failed").alias("failed"),
         F.when(answered, citations_valid("cited", ids("retrieved"), ids("reranked"))).alias("citations_valid"), faithfulness("verdicts", F.col("judged")).alias("faithful"),
@@ -83,10 +83,10 @@ def regressions(current: DataFrame, baseline: DataFrame, tolerances: DataFrame)
     return rows.where(bad).select("scope", "metric", "was", "now")
 
 
-def recall_changes(now: DataFrame, was: DataFrame) -> DataFrame:
-    """gained, lost or unchanged by (recall_50, recall_10) in this order; a null is the least."""
+def found_share_changes(now: DataFrame, was: DataFrame) -> DataFrame:
+    """gained, lost or unchanged by (found_share_50, found_share_10) in this order; a null is the least."""
     level = lambda c: F.coalesce(c, F.lit(-1.0))
-    rows = now.select("qid", F.struct(level("recall_50").alias("a"), level("recall_10").alias("b")).alias("now")).join(was.select("qid", F.struct(level("recall_50").alias("a"), level("recall_10").alias("b")).alias("was")), "qid")
+    rows = now.select("qid", F.struct(level("found_share_50").alias("a"), level("found_share_10").alias("b")).alias("now")).join(was.select("qid", F.struct(level("found_share_50").alias("a"), level("found_share_10").alias("b")).alias("was")), "qid")
     return rows.select("qid", F.when(F.col("now") > F.col("was"), "gained").when(F.col("now") < F.col("was"), "lost").otherwise("unchanged").alias("change"))
 
 

@@ -29,40 +29,40 @@ def _found(spark, d):
     return R.bm25(C.questions(spark, d), C.chunks(spark, d), _open(spark, d)).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: F.struct(x["id"].alias("id"), F.lit(None).cast("string").alias("context_for"))).alias("found"))
 
 
-def _recalls(spark, d):
+def _found_shares(spark, d):
     truth = relevant(spark, d).groupBy("qid").agg(F.collect_set("id").alias("relevant"))
     none = F.array().cast("array<string>")
     rows = C.questions(spark, d).join(_found(spark, d), "qid", "left").join(truth, "qid", "left")
     rows = rows.select("qid", F.coalesce("relevant", none).alias("relevant"), F.coalesce("found", F.array().cast("array<struct<id:string,context_for:string>>")).alias("found"))
-    return rows.select("qid", E.recall_at(10, "relevant", "found").alias("recall_10"), E.recall_at(50, "relevant", "found").alias("recall_50"), E.hit_at(5, "relevant", "found").alias("hit_5"))
+    return rows.select("qid", E.found_share_at(10, "relevant", "found").alias("found_share_10"), E.found_share_at(50, "relevant", "found").alias("found_share_50"), E.hit_at(5, "relevant", "found").alias("hit_5"))
 
 
-_RECALL = f"""WITH {C.SQL}, {_BM25}, {RELEVANT}, r AS (SELECT q.qid, count(DISTINCT x.id) AS n, count(DISTINCT x.id) FILTER (t.rank <= 10) AS a, count(DISTINCT x.id) FILTER (t.rank <= 50) AS b, count(DISTINCT x.id) FILTER (t.rank <= 5) AS h
- FROM questions q LEFT JOIN relevant x ON x.qid = q.qid LEFT JOIN text_ranked t ON t.qid = q.qid AND t.id = x.id GROUP BY q.qid), recalls AS (SELECT qid, CASE WHEN n > 0 THEN a::DOUBLE / n END AS recall_10, CASE WHEN n > 0 THEN b::DOUBLE / n END AS recall_50, CASE WHEN n > 0 THEN h > 0 END AS hit_5 FROM r)"""
+_FOUND_SHARE = f"""WITH {C.SQL}, {_BM25}, {RELEVANT}, r AS (SELECT q.qid, count(DISTINCT x.id) AS n, count(DISTINCT x.id) FILTER (t.rank <= 10) AS a, count(DISTINCT x.id) FILTER (t.rank <= 50) AS b, count(DISTINCT x.id) FILTER (t.rank <= 5) AS h
+ FROM questions q LEFT JOIN relevant x ON x.qid = q.qid LEFT JOIN text_ranked t ON t.qid = q.qid AND t.id = x.id GROUP BY q.qid), found_shares AS (SELECT qid, CASE WHEN n > 0 THEN a::DOUBLE / n END AS found_share_10, CASE WHEN n > 0 THEN b::DOUBLE / n END AS found_share_50, CASE WHEN n > 0 THEN h > 0 END AS hit_5 FROM r)"""
 
 
-@catalogue.add("recall_at_k", f"{_RECALL} SELECT qid, round(recall_10, 6) AS recall_10, round(recall_50, 6) AS recall_50 FROM recalls")
-def recall_at_k(spark, d):
-    return _recalls(spark, d).select("qid", F.round("recall_10", 6).alias("recall_10"), F.round("recall_50", 6).alias("recall_50"))
+@catalogue.add("found_share_at_k", f"{_FOUND_SHARE} SELECT qid, round(found_share_10, 6) AS found_share_10, round(found_share_50, 6) AS found_share_50 FROM found_shares")
+def found_share_at_k(spark, d):
+    return _found_shares(spark, d).select("qid", F.round("found_share_10", 6).alias("found_share_10"), F.round("found_share_50", 6).alias("found_share_50"))
 
 
-@catalogue.add("hit_at_k", f"{_RECALL} SELECT qid, hit_5 FROM recalls")
+@catalogue.add("hit_at_k", f"{_FOUND_SHARE} SELECT qid, hit_5 FROM found_shares")
 def hit_at_k(spark, d):
-    return _recalls(spark, d).select("qid", "hit_5")
+    return _found_shares(spark, d).select("qid", "hit_5")
 
 
-@catalogue.add("recall_report", f"{_RECALL} SELECT round(avg(recall_10), 6) AS recall_10, round(avg(recall_50), 6) AS recall_50, count(recall_50) AS n FROM recalls")
-def recall_report(spark, d):
-    return _recalls(spark, d).agg(F.round(F.avg("recall_10"), 6).alias("recall_10"), F.round(F.avg("recall_50"), 6).alias("recall_50"), F.count("recall_50").alias("n"))
+@catalogue.add("found_share_report", f"{_FOUND_SHARE} SELECT round(avg(found_share_10), 6) AS found_share_10, round(avg(found_share_50), 6) AS found_share_50, count(found_share_50) AS n FROM found_shares")
+def found_share_report(spark, d):
+    return _found_shares(spark, d).agg(F.round(F.avg("found_share_10"), 6).alias("found_share_10"), F.round(F.avg("found_share_50"), 6).alias("found_share_50"), F.count("found_share_50").alias("n"))
 
 
-@catalogue.add("recall_changes", f"""{_RECALL}, was AS (SELECT qid, CASE WHEN qid % 3 = 0 THEN NULL ELSE recall_50 END AS recall_50, CASE WHEN qid % 3 = 1 THEN 1.0 ELSE recall_10 END AS recall_10 FROM recalls)
-SELECT r.qid, CASE WHEN (coalesce(r.recall_50, -1), coalesce(r.recall_10, -1)) > (coalesce(w.recall_50, -1), coalesce(w.recall_10, -1)) THEN 'gained' WHEN (coalesce(r.recall_50, -1), coalesce(r.recall_10, -1)) < (coalesce(w.recall_50, -1), coalesce(w.recall_10, -1)) THEN 'lost' ELSE 'unchanged' END AS change
- FROM recalls r JOIN was w ON w.qid = r.qid""")
-def recall_changes(spark, d):
-    now = _recalls(spark, d)
-    was = now.select("qid", F.when(F.col("qid") % 3 == 0, F.lit(None)).otherwise(F.col("recall_50")).alias("recall_50"), F.when(F.col("qid") % 3 == 1, 1.0).otherwise(F.col("recall_10")).alias("recall_10"))
-    return E.recall_changes(now, was)
+@catalogue.add("found_share_changes", f"""{_FOUND_SHARE}, was AS (SELECT qid, CASE WHEN qid % 3 = 0 THEN NULL ELSE found_share_50 END AS found_share_50, CASE WHEN qid % 3 = 1 THEN 1.0 ELSE found_share_10 END AS found_share_10 FROM found_shares)
+SELECT r.qid, CASE WHEN (coalesce(r.found_share_50, -1), coalesce(r.found_share_10, -1)) > (coalesce(w.found_share_50, -1), coalesce(w.found_share_10, -1)) THEN 'gained' WHEN (coalesce(r.found_share_50, -1), coalesce(r.found_share_10, -1)) < (coalesce(w.found_share_50, -1), coalesce(w.found_share_10, -1)) THEN 'lost' ELSE 'unchanged' END AS change
+ FROM found_shares r JOIN was w ON w.qid = r.qid""")
+def found_share_changes(spark, d):
+    now = _found_shares(spark, d)
+    was = now.select("qid", F.when(F.col("qid") % 3 == 0, F.lit(None)).otherwise(F.col("found_share_50")).alias("found_share_50"), F.when(F.col("qid") % 3 == 1, 1.0).otherwise(F.col("found_share_10")).alias("found_share_10"))
+    return E.found_share_changes(now, was)
 
 
 #: Five runs; lists are ids parted by semicolons, context as id>match.
@@ -73,7 +73,7 @@ RUNS = Rows(
 )
 _LIST = "list_filter(string_split({c}, ';'), lambda x: x <> '')"
 _RUN_SQL = f"""r AS (SELECT run, category, classified_as, status, verdict, expected, judged, {_LIST.format(c='relevant')} AS rel, {_LIST.format(c='retrieved')} AS ret, {_LIST.format(c='reranked')} AS rer, {_LIST.format(c='cited')} AS cit, {_LIST.format(c='verdicts')} AS ver FROM {RUNS.sql}),
-scores AS (SELECT run, category, classified_as = category AS classified, CASE WHEN len(rel) > 0 THEN len(list_intersect(rel, list_filter(ret, lambda x: NOT contains(x, '>'))))::DOUBLE / len(rel) END AS recall,
+scores AS (SELECT run, category, classified_as = category AS classified, CASE WHEN len(rel) > 0 THEN len(list_intersect(rel, list_filter(ret, lambda x: NOT contains(x, '>'))))::DOUBLE / len(rel) END AS found_share,
  CASE WHEN len(rel) > 0 THEN list_has_any(list_transform(rer[1:5], lambda x: string_split(x, '>')[1]), rel) END AS hit, CASE WHEN status = 'answered' AND verdict IS NOT NULL AND expected IS NOT NULL THEN lower(trim(verdict)) = lower(trim(expected)) END AS correct,
  status = 'declined' AS declined, status = 'failed' AS failed, CASE WHEN status = 'answered' THEN list_has_all(list_transform(list_concat(ret, rer), lambda x: string_split(x, '>')[1]), cit) END AS citations_valid,
  CASE WHEN judged AND len(ver) > 0 THEN len(list_filter(ver, lambda v: v = 'supported'))::DOUBLE / len(ver) END AS faithful FROM r)"""
@@ -125,8 +125,8 @@ def grade_answers(spark, d):
     return GRADED.spark(spark).select("qid", F.when(F.col("verdict").isNotNull(), same).alias("correct"))
 
 
-BASELINE = Rows("scope, metric, value", "('overall', 'recall', 0.7), ('overall', 'hit', 0.5), ('overall', 'declined', 0.1), ('overall', 'failed', 0.2), ('open', 'precision', 1.0), ('overall', 'classify', 0.8)")
-TOLERANCES = Rows("metric, tolerance", "('classify', 0.05), ('recall', 0.05)")
+BASELINE = Rows("scope, metric, value", "('overall', 'found_share', 0.7), ('overall', 'hit', 0.5), ('overall', 'declined', 0.1), ('overall', 'failed', 0.2), ('open', 'precision', 1.0), ('overall', 'classify', 0.8)")
+TOLERANCES = Rows("metric, tolerance", "('classify', 0.05), ('found_share', 0.05)")
 
 
 @catalogue.add("regression_gate", f"""WITH {_RUN_SQL}, s AS (SELECT *, 'overall' AS scope FROM scores UNION ALL SELECT *, category AS scope FROM scores), m AS ({_UNION})

@@ -116,6 +116,6 @@ def glossary_expand(spark, d):
 HEADINGS = Rows("heading", "('Access  Control!'), (' A_b-c (1) '), ('')")
 
 
-@catalogue.add("github_anchor", rf"SELECT heading, regexp_replace(regexp_replace(lower(trim(heading)), '[^a-z0-9_\s-]', '', 'g'), '\s+', '-', 'g') AS anchor FROM {HEADINGS.sql}")
+@catalogue.add("github_anchor", rf"SELECT heading, trim(regexp_replace(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9_\s-]', '', 'g'), '-\s+', '-', 'g'), '\s+', '-', 'g'), '-') AS anchor FROM {HEADINGS.sql}")
 def github_anchor(spark, d):
     return HEADINGS.spark(spark).select("heading", T.github_anchor(F.col("heading")).alias("anchor"))

@@ -207,3 +207,9 @@ def test_glossary_long_phrases_and_initials(spark):
     asked = spark.createDataFrame([(1, "What is the date on which pay is due?"), (2, "Is SoD kept"), (3, "is sod or acl kept"), (4, "An ACL; a due date")], "qid int, question string")
     got = {(r.qid, r.entry, r.matched) for r in G.match(asked, entries).collect()}
     assert got == {(1, 1, "the date on which pay is due"), (2, 2, "sod"), (4, 3, "ACL"), (4, 3, "due date")}
+
+
+def test_anchors(spark):
+    rows = {"a - b": "a--b", "foo -": "foo", "  Two  Words ": "two-words", "R&D & more!": "rd-more", "x_1 -- y": "x_1---y", "": "", "---": ""}
+    d = spark.createDataFrame([(k, v) for k, v in rows.items()], "heading string, want string")
+    assert d.where(T.github_anchor(F.col("heading")) != F.col("want")).collect() == []
