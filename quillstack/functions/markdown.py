@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 _HEADING = re.compile(r"(#{1,6})(?!#)\s*(.*\S)\s*$")
-_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
+_FENCE = re.compile(r"\s*(```|~~~)")
 
 
 def without_front_matter(text: str) -> str:
@@ -31,9 +31,10 @@ def slug(heading: str) -> str:
 
 
 def sections(text: str) -> Iterator[tuple[str, str | None, str]]:
-    """(locator, heading path, text) of each part with text. Headings within fences are text; a fence that is never
-    closed runs to the end. Text before the first heading is `intro`; repeated locators get -2, -3 and so on."""
-    stack: list[tuple[int, str]] = []
+    """(locator, heading path, text) of each part with text. Headings within fences are text; a fence ends at the next line
+    that begins with its three marks, or never. A heading of level n keeps at most n - 1 headings above it, so levels may
+    be skipped. Text before the first heading is `intro`; repeated locators get -2, -3 and so on."""
+    path: list[str] = []
     fence, lines, used = None, [], {"intro"}
 
     def part():
@@ -41,19 +42,19 @@ def sections(text: str) -> Iterator[tuple[str, str | None, str]]:
         lines.clear()
         if not body:
             return None
-        if not stack:
+        if not path:
             return "intro", None, body
-        locator = base = slug(stack[-1][1])
+        locator = base = slug(path[-1])
         n = 1
         while locator in used:
             n += 1
             locator = f"{base}-{n}"
         used.add(locator)
-        return locator, " > ".join(h for _, h in stack), body
+        return locator, " > ".join(path), body
 
     for line in without_front_matter(text).splitlines():
         f = _FENCE.match(line)
-        if f and (fence is None or (f[1][0] == fence[0] and len(f[1]) >= len(fence))):
+        if f and fence in (None, f[1]):
             fence = f[1] if fence is None else None
         m = None if fence or f else _HEADING.match(line.strip())
         if not m:
@@ -61,9 +62,7 @@ def sections(text: str) -> Iterator[tuple[str, str | None, str]]:
             continue
         if done := part():
             yield done
-        while stack and stack[-1][0] >= len(m[1]):
-            stack.pop()
-        stack.append((len(m[1]), m[2]))
+        path[len(m[1]) - 1 :] = [m[2]]
     if done := part():
         yield done
 
@@ -101,8 +100,24 @@ STOP = (
 
 
 def words(text: str) -> list[str]:
-    """Lower-cased words of letters; words with digits are dropped."""
-    return [w.lower() for w in re.findall(r"[^\W_]+", text) if not any(c.isdigit() for c in w)]
+    """Lower-cased words of letters; words with digits or underscores are identifiers and are dropped."""
+    return [w.lower() for w in re.findall(r"\w+", text) if not any(c.isdigit() or c == "_" for c in w)]
+
+
+def without_code(text: str) -> str:
+    """The text without code between backticks and without tags in square brackets; an open one runs to the end."""
+    return re.sub(r"`[^`]*(?:`|\Z)|\[[^\]]*(?:\]|\Z)", "", text)
+
+
+def without_parentheses(text: str) -> str:
+    """The text outside of parentheses, however deep; one that is never closed hides the rest."""
+    depth, out = 0, []
+    for part in re.split(r"([()])", text):
+        if part in ("(", ")"):
+            depth = max(depth + (1 if part == "(" else -1), 0)
+        elif not depth:
+            out.append(part)
+    return "".join(out)
 
 
 def is_acronym(word: str) -> bool:
@@ -110,24 +125,31 @@ def is_acronym(word: str) -> bool:
     return upper >= 2 and upper >= sum(c.islower() for c in word)
 
 
-def entry(cells: list[str]) -> tuple[list[str], list[str], list[str]]:
-    """(phrases, acronyms, terms) of a glossary row; its first cell names it, in quotes or parted by slashes and commas."""
-    name = re.sub(r"\([^()]*\)", "", re.sub(r"`[^`]*`|\[[^\]]*\]", "", cells[0]))
-    variants = re.findall(r"[\"“]([^\"”]+)[\"”]", cells[0]) or re.split(r"[/,]", name)
-    phrases = sorted({" ".join(w) for v in variants if len(w := words(v)) >= 2})
-    compounds = [[p for p in t.split("-") if p] for t in re.findall(r"(?:[^\W_]|-)+", cells[0])]
-    initials = {"".join(p[0] for p in parts).lower() for parts in compounds if len(parts) >= 3}
-    short = sorted({w for w in re.findall(r"[^\W_]+", cells[0]) if is_acronym(w)} | initials)
+def entry(cells: list[str]) -> tuple[list[str], list[str], list[str]] | None:
+    """(phrases, acronyms, terms) of a glossary row, or nothing where no key is left.
+
+    The first cell names the row, in straight quotes or parted by slashes and commas. A key is a part of the name that
+    isn't all of it: questions with the whole name find the row's words by themselves. Acronyms are in small letters.
+    """
+    cells = [without_code(c) for c in cells]
+    name = words(cells[0])
+    variants = cells[0].split('"')[1::2] or re.split(r"[/,]", without_parentheses(cells[0]))
+    phrases = {" ".join(w) for v in variants if len(w := words(v)) >= 2 and w != name}
+    parts = [[p for p in t.split("-") if p] for t in re.findall(r"(?:[^\W_]|-)+", cells[0])]
+    short = {p.lower() for ps in parts for p in ps if is_acronym(p)} | {"".join(p[0] for p in ps).lower() for ps in parts if len(ps) >= 3}
+    short -= {name[0]} if len(name) == 1 else set()
+    if not phrases and not short:
+        return None
     terms = list(dict.fromkeys(w for c in cells for w in words(c) if w not in STOP))
-    return phrases, short, terms
+    return sorted(phrases), sorted(short), terms
 
 
 def glossary_entries(chunks: DataFrame) -> DataFrame:
-    """A row a glossary table row of (id, ordinal, text): id, ordinal, line, phrases, acronyms, terms."""
+    """A row a glossary table row with keys of (id, ordinal, text): id, ordinal, line, phrases, acronyms, terms."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, o, n, *entry(cells)) for i, o, t in zip(f.id, f.ordinal, f.text, strict=True) for n, cells in enumerate(table_rows(t or "")) if cells]
+            rows = [(i, o, n, *e) for i, o, t in zip(f.id, f.ordinal, f.text, strict=True) for n, cells in enumerate(table_rows(t or "")) if (e := entry(cells))]
             yield pd.DataFrame(rows, columns=["id", "ordinal", "line", "phrases", "acronyms", "terms"])
 
     return chunks.select("id", "ordinal", "text").mapInPandas(parse, "id string, ordinal long, line long, phrases array<string>, acronyms array<string>, terms array<string>")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstack.functions import text as T
 from quillstack.operators.steps import CATEGORIES
@@ -84,10 +85,37 @@ def regressions(current: DataFrame, baseline: DataFrame, tolerances: DataFrame)
 
 
 def found_share_changes(now: DataFrame, was: DataFrame) -> DataFrame:
-    """gained, lost or unchanged by (found_share_50, found_share_10) in this order; a null is the least."""
+    """gained, lost or unchanged by (found_share_50, found_share_10) in this order; a null is the least. A question that one
+    side lacks is `missing`."""
     level = lambda c: F.coalesce(c, F.lit(-1.0))
-    rows = now.select("qid", F.struct(level("found_share_50").alias("a"), level("found_share_10").alias("b")).alias("now")).join(was.select("qid", F.struct(level("found_share_50").alias("a"), level("found_share_10").alias("b")).alias("was")), "qid")
-    return rows.select("qid", F.when(F.col("now") > F.col("was"), "gained").when(F.col("now") < F.col("was"), "lost").otherwise("unchanged").alias("change"))
+    rows = now.select("qid", F.struct(level("found_share_50").alias("a"), level("found_share_10").alias("b")).alias("now")).join(was.select("qid", F.struct(level("found_share_50").alias("a"), level("found_share_10").alias("b")).alias("was")), "qid", "full_outer")
+    return rows.select("qid", F.when(F.col("now").isNull() | F.col("was").isNull(), "missing").when(F.col("now") > F.col("was"), "gained").when(F.col("now") < F.col("was"), "lost").otherwise("unchanged").alias("change"))
+
+
+def change_counts(changes: DataFrame) -> DataFrame:
+    """One row: how many questions gained, lost, stayed and are missing."""
+    return changes.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("gained", "lost", "unchanged", "missing")])
+
+
+def found_share_report(shares: DataFrame) -> DataFrame:
+    """(scope, found_share_10, found_share_50, n) overall and of each category of (category, found_share_10, found_share_50)."""
+    rows = shares.select(F.explode(F.array(F.lit("overall"), F.col("category"))).alias("scope"), "found_share_10", "found_share_50").where("scope is not null")
+    return rows.groupBy("scope").agg(F.avg("found_share_10").alias("found_share_10"), F.avg("found_share_50").alias("found_share_50"), F.count("found_share_50").alias("n"))
+
+
+def baseline_subset(scores: DataFrame, current: DataFrame, by_category: bool = False) -> DataFrame:
+    """Metrics of the baseline's stored scores for only the runs that the current scores cover, so that both compare."""
+    return metrics(scores.join(current.select("run").distinct(), "run", "left_semi"), by_category)
+
+
+def write_results(scores: DataFrame, path: str) -> None:
+    """Scores as lines of JSON, nulls written out; an existing result is replaced."""
+    scores.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Stored scores; a line that isn't of the schema is an error when it is read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def replay(runs: DataFrame, candidates: DataFrame, steps: tuple[str, ...] = ("rerank", "answer")) -> DataFrame:

@@ -48,20 +48,30 @@ def _reciprocal(place: Column, authoritative: Column, penalty: int) -> Column:
 
 
 def rerank(matches: DataFrame, keep: int, penalty: int = 10, candidates: int | None = None) -> DataFrame:
-    """The best matches of each question by place, evidence behind by `penalty` places.
+    """The best matches of each question by place, evidence behind by `penalty` places, and the context of those kept.
 
-    With `candidates`, the judged probability `p` of that many first matches has a place of its own, and both
-    places count. `place` counts retrieval from 0.
+    `place` is the order of retrieval. With `candidates`, the judged probability `p` of that many first matches has a
+    place of its own, and both places count. Rows with `context_for` (the column may be absent) aren't ranked: they stay
+    if their match does. `rank` has all matches before all context, `reading` each match before its own context;
+    `step_score` is the best judged probability that was kept.
     """
     order = Window.partitionBy("qid")
+    if "context_for" not in matches.columns:
+        matches = matches.withColumn("context_for", F.lit(None).cast("string"))
+    own = matches.where("context_for is null").withColumn("place", F.row_number().over(order.orderBy("place")) - 1)
     if candidates is None:
-        scored = matches.withColumn("key", _reciprocal(F.col("place"), F.col("authoritative"), penalty)).withColumn("score", F.lit(None).cast("float"))
+        scored = own.withColumn("key", _reciprocal(F.col("place"), F.col("authoritative"), penalty)).withColumn("score", F.lit(None).cast("float"))
     else:
-        judged = matches.where(F.col("place") < candidates).withColumn("judged", F.row_number().over(order.orderBy(F.desc("p"), "place")) - 1)
+        judged = own.where(F.col("place") < candidates).withColumn("judged", F.row_number().over(order.orderBy(F.desc("p"), "place")) - 1)
         both = _reciprocal(F.col("place"), F.col("authoritative"), penalty) + _reciprocal(F.col("judged"), F.col("authoritative"), penalty)
-        scored = judged.withColumn("key", both.cast("float")).withColumn("score", F.col("p").cast("float"))
-    ranked = scored.withColumn("rank", F.row_number().over(order.orderBy(F.desc("key"), "place")).cast("long"))
-    return ranked.where(F.col("rank") <= keep)
+        scored = judged.withColumn("key", both.cast("float")).withColumn("score", F.col("p").cast("float")).drop("judged")
+    best = scored.withColumn("match_rank", F.row_number().over(order.orderBy(F.desc("key"), "place"))).where(F.col("match_rank") <= keep).drop("key")
+    riding = matches.where("context_for is not null").join(best.select("qid", F.col("id").alias("context_for"), "match_rank"), ["qid", "context_for"])
+    rows = best.unionByName(riding, allowMissingColumns=True)
+    context = F.col("context_for").isNotNull()
+    number = lambda *by: F.row_number().over(order.orderBy(*by)).cast("long")
+    rows = rows.withColumn("rank", number(context, "match_rank", "place")).withColumn("reading", number("match_rank", context, "place"))
+    return rows.withColumn("step_score", F.max("score").over(order)).drop("match_rank")
 
 
 def admit(rows: DataFrame, cutoffs: tuple[float, float, float, float] = CUTOFFS) -> DataFrame:
@@ -121,6 +131,21 @@ def publish(claims: DataFrame, policy: str) -> DataFrame:
     return by.select("qid", "claims", "passed", F.when((outcome == "answered"), failed).otherwise(F.lit(0)).cast("long").alias("stripped"), outcome.alias("outcome"))
 
 
+def verify(claims: DataFrame, sources: DataFrame, judged: DataFrame | None = None, least: float = 0.75) -> DataFrame:
+    """(qid, claim, verdict, passed) of claims (qid, claim, text, cited) against their run's sources (qid, id, text).
+
+    The first that applies: uncited, unknown_citation, misquoted; then, with `judged` (as `support` takes it), supported,
+    contradicted or unsupported, where a claim that nobody judged is unsupported; without it, passed.
+    """
+    rows = membership(claims, sources).select("qid", "claim", F.col("verdict").alias("cites")).join(quotes(claims, sources), ["qid", "claim"], "left")
+    backed = F.lit("passed")
+    if judged is not None:
+        rows = rows.join(support(judged, least).select("qid", "claim", F.col("verdict").alias("support")), ["qid", "claim"], "left")
+        backed = F.coalesce("support", F.lit("unsupported"))
+    verdict = F.when(F.col("cites") != "passed", F.col("cites")).when(~F.coalesce("quotes_found", F.lit(False)), "misquoted").otherwise(backed)
+    return rows.select("qid", "claim", verdict.alias("verdict")).withColumn("passed", F.col("verdict").isin("passed", "supported"))
+
+
 def number_citations(claims: DataFrame) -> DataFrame:
     """(qid, id, number): cited sources numbered by first use."""
     used = claims.select("qid", "claim", F.posexplode("cited").alias("place", "id")).groupBy("qid", "id").agg(F.min(F.struct("claim", "place")).alias("first"))
@@ -143,19 +168,29 @@ def parse_explanation(rows: DataFrame) -> DataFrame:
     return rows.withColumn("problem", problem)
 
 
-def run_pipeline(questions: DataFrame, matches: DataFrame, keep: int = 5) -> DataFrame:
-    """Classify, rerank, admit and decide for whole tables; a halted question takes no later step.
+def run_pipeline(questions: DataFrame, matches: DataFrame, keep: int = 5, replies: DataFrame | None = None, judged: DataFrame | None = None, policy: str = "decline") -> DataFrame:
+    """Classify, rerank, admit, decide, explain and verify for whole tables; a halted question takes no later step.
 
-    `questions` has the category probabilities and p_yes; `matches` the retrieval order and the screens. Returns
-    qid, category, halted_at, outcome, sources.
+    `questions` has the category probabilities and p_yes; `matches` the retrieval order and the screens, and the texts
+    if there are `replies` (qid, raw), which are then read and their claims verified against the admitted sources; a
+    question without a reply, or with an unusable one, halts at explain. Returns qid, category, halted_at, outcome, sources.
     """
     q = classify(questions, 0.6).withColumn("halted_at", F.lit(None).cast("string"))
     ranked = rerank(matches, keep)
     some = ranked.select("qid").distinct().withColumn("retrieved", F.lit(True))
     q = q.join(some, "qid", "left").withColumn("halted_at", F.when(F.col("retrieved").isNull(), "retrieve"))
-    admitted = admit(ranked.withColumn("context_for", F.lit(None).cast("string"))).where("kept").groupBy("qid").agg(F.count(F.lit(1)).alias("sources"))
+    kept = admit(ranked).where("kept")
+    admitted = kept.groupBy("qid").agg(F.count(F.lit(1)).alias("sources"))
     q = q.join(admitted, "qid", "left").withColumn("halted_at", F.coalesce("halted_at", F.when(F.col("sources").isNull(), "admit")))
     yes, sure = verdict(F.col("p_yes"))
     q = q.withColumn("halted_at", F.coalesce("halted_at", F.when((F.col("category") == "boolean") & (sure < f32(0.7)), "answer")))
+    if replies is not None:
+        told = parse_explanation(replies.join(q.where("halted_at is null").select("qid"), "qid", "left_semi"))
+        usable = told.where("problem is null")
+        claims = usable.select("qid", F.posexplode("claims").alias("claim", "c")).select("qid", "claim", "c.text", F.coalesce("c.cited", F.array().cast("array<string>")).alias("cited"))
+        published = publish(verify(claims, kept.select("qid", "id", "text"), judged), policy).select("qid", F.col("outcome").alias("published"))
+        q = q.join(usable.select("qid", F.lit(True).alias("explained")), "qid", "left").join(published, "qid", "left")
+        late = F.when(F.col("explained").isNull(), "explain").when(F.col("published") == "declined", "verify")
+        q = q.withColumn("halted_at", F.coalesce("halted_at", late))
     outcome = F.when(F.col("halted_at").isNotNull(), "declined").when(F.col("category") == "boolean", F.when(yes, "yes").otherwise("no")).otherwise("explained")
     return q.select("qid", "category", "halted_at", outcome.alias("outcome"), F.coalesce("sources", F.lit(0)).cast("long").alias("sources"))

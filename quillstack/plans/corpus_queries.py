@@ -49,7 +49,7 @@ def term_postings(spark, d):
 
 @query("term_stats", f"SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest({_TOKENS}) AS term FROM chunks) GROUP BY term")
 def term_stats(spark, d):
-    return R.term_stats(R.postings(C.chunks(spark, d)))
+    return R.term_stats(C.chunks(spark, d))
 
 
 @query("corpus_stats", f"SELECT count(*) AS chunks, round(avg(len({_TOKENS})), 6) AS avg_length FROM chunks")
@@ -172,20 +172,18 @@ def vector_topk(spark, d):
     return R.vector_top(*_vectors(spark, d)).select("qid", "id", "score", "rank")
 
 
-_PAIRED = """paired AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM chunks),
-lists AS (SELECT qid, id, rank FROM text_ranked UNION ALL SELECT q.qid, p.id, r.rank FROM near_ranked r JOIN (SELECT qid, qid * 20 AS vec FROM questions) q ON q.vec = r.qid JOIN paired p ON p.n = r.id),
+_PAIRED = """paired AS (SELECT c.id, x.external_id::BIGINT AS n FROM chunks c JOIN docs x ON x.document_id = c.document_id WHERE c.ordinal = 0),
+near_paired AS (SELECT n.qid, p.id, row_number() OVER (PARTITION BY n.qid ORDER BY n.score DESC, p.id) AS rank FROM near n JOIN paired p ON p.n = n.id QUALIFY rank <= 50),
+lists AS (SELECT qid, id, rank FROM text_ranked UNION ALL SELECT q.qid, r.id, r.rank FROM near_paired r JOIN questions q ON q.qid * 20 = r.qid),
 fused AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + rank)), 9) AS score, min(rank) AS best FROM lists GROUP BY qid, id),
 fused_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best, id) AS rank FROM fused QUALIFY rank <= 50)"""
 
 
 def _paired(spark, d):
-    """Vectors stand for the chunks first in id order: a made pairing, since the test vectors have no texts."""
+    """A vector stands for the first line of the document with its number: a made pairing, since the test vectors have no texts."""
     queries, vectors = _vectors(spark, d)
-    some = vectors.count()
-    first = C.chunks(spark, d).select("id").orderBy("id").limit(some)
-    from pyspark.sql import Window
-
-    place = first.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("n"))  # as many rows as test vectors
+    numbered = C.documents(spark, d).select("document_id", F.col("external_id").cast("long").alias("n"))
+    place = C.chunks(spark, d).where("ordinal = 0").select("id", "document_id").join(numbered, "document_id").select("id", "n")
     queries = queries.withColumn("qid", (F.col("qid") / 20).cast("long")).join(C.questions(spark, d).select("qid"), "qid", "left_semi")
     return queries, vectors.withColumnRenamed("id", "n").join(place, "n").select("id", "embedding")
 

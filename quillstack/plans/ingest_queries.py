@@ -81,7 +81,7 @@ def ingest_sections(spark, d):
     return M.section_rows(files).withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
-@catalogue.add("glossary_rows", """SELECT * FROM (VALUES (0, 'access control list', 'ACL', 'access control list acl who may read chunk'), (1, 'due date', 'DD', 'due date dd day payment owed')) v(line, phrases, acronyms, terms)""")
+@catalogue.add("glossary_rows", """SELECT * FROM (VALUES (0, 'access control list', 'acl', 'access control list acl who may read chunk'), (1, 'due date', 'dd', 'due date dd day payment owed')) v(line, phrases, acronyms, terms)""")
 def glossary_rows(spark, d):
     rows = M.glossary_entries(spark.createDataFrame([("terms", 0, FILES[1][1])], "id string, ordinal long, text string"))
     join = lambda c: F.array_join(c, " ").alias(c)

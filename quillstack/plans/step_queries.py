@@ -37,6 +37,8 @@ def threshold_gate(spark, d):
 
 MATCHES = Rows("qid, id, place, authoritative, p", "(1, 'a', 0, false, 0.2), (1, 'b', 1, false, 0.95), (1, 'c', 2, true, 0.6), (1, 'd', 3, false, 1.0), (2, 'x', 0, true, 0.5), (2, 'y', 1, true, 0.5)")
 
+NEAR = Rows("qid, id, context_for, place", "(1, 'a2', 'a', 4), (1, 'c0', 'c', 5), (1, 'c2', 'c', 6), (1, 'd2', 'd', 7), (2, 'x2', 'x', 2)")
+
 
 def _matches(spark):
     return MATCHES.spark(spark).select("qid", "id", "place", "authoritative", f32("p"))
@@ -130,6 +132,17 @@ def verify_publish(spark, d):
     return both[0].union(both[1])
 
 
+@catalogue.add("verify_claims", f"""WITH {_CITED}, m AS (SELECT c.qid, c.claim, count(x.id) AS n, count(s.id) AS known, coalesce(string_agg(s.text, ' | '), '') AS texts, c.text
+ FROM {CLAIMS.sql} c LEFT JOIN cited x ON x.qid = c.qid AND x.claim = c.claim LEFT JOIN {SOURCES.sql} s ON s.qid = x.qid AND s.id = x.id GROUP BY c.qid, c.claim, c.text),
+ k AS (SELECT *, list_transform(regexp_extract_all(text, '`[^`]*`|"[^"]*"|“[^”]*”'), lambda q: regexp_replace(lower(q), '[\\s`"“”]+', '', 'g')) AS spans, regexp_replace(lower(texts), '[\\s`"“”]+', '', 'g') AS plain FROM m),
+ j AS (SELECT qid, claim, CASE WHEN max(supports) >= 0.75 THEN 'supported' WHEN max(contradicts) >= 0.75 THEN 'contradicted' ELSE 'unsupported' END AS verdict FROM {SUPPORT.sql} GROUP BY qid, claim)
+ SELECT k.qid, k.claim, CASE WHEN n = 0 THEN 'uncited' WHEN n > known THEN 'unknown_citation' WHEN len(list_filter(spans, lambda q: NOT contains(plain, q))) > 0 THEN 'misquoted' ELSE coalesce(j.verdict, 'unsupported') END AS verdict
+ FROM k LEFT JOIN j ON j.qid = k.qid AND j.claim = k.claim""")
+def verify_claims(spark, d):
+    judged = SUPPORT.spark(spark).select("qid", "claim", "place", f32("supports"), f32("contradicts"))
+    return S.verify(_claims(spark), SOURCES.spark(spark), judged).select("qid", "claim", "verdict")
+
+
 @catalogue.add("citation_numbering", f"WITH {_CITED}, f AS (SELECT qid, id, min(claim * 1000 + place) AS first FROM cited GROUP BY qid, id) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY first) AS number FROM f")
 def citation_numbering(spark, d):
     return S.number_citations(_claims(spark))
@@ -159,6 +172,14 @@ def explain_parse(spark, d):
     return S.parse_explanation(REPLIES.spark(spark)).select("qid", "problem", F.coalesce(shown, F.lit("")).alias("claims"))
 
 
+@catalogue.add("rerank_context", f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY 1.0::DOUBLE / (60 + place + CASE WHEN authoritative THEN 0 ELSE 10 END) DESC, place) AS r FROM {MATCHES.sql} QUALIFY r <= 2),
+ k AS (SELECT qid, id, NULL::VARCHAR AS context_for, r, 0 AS c, place FROM m UNION ALL SELECT n.qid, n.id, n.context_for, m.r, 1, n.place FROM {NEAR.sql} n JOIN m ON m.qid = n.qid AND m.id = n.context_for)
+ SELECT qid, id, context_for, row_number() OVER (PARTITION BY qid ORDER BY c, r, place) AS rank, row_number() OVER (PARTITION BY qid ORDER BY r, c, place) AS reading FROM k""")
+def rerank_context(spark, d):
+    rows = _matches(spark).unionByName(NEAR.spark(spark), allowMissingColumns=True)
+    return S.rerank(rows, 2).select("qid", "id", "context_for", "rank", "reading")
+
+
 @catalogue.add("render_sources", f"WITH {C.SQL} SELECT document_id, '**Sources**' || chr(10) || string_agg('[' || (ordinal + 1) || '] [' || title || '](' || url || '): ' || left(text, 40), chr(10) ORDER BY ordinal) AS markdown FROM chunks WHERE ordinal < 3 GROUP BY document_id")
 def render_sources(spark, d):
     line = F.concat(F.lit("["), (F.col("ordinal") + 1).cast("string"), F.lit("] ["), F.col("title"), F.lit("]("), F.col("url"), F.lit("): "), F.left(F.col("text"), F.lit(40)))

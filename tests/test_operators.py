@@ -201,7 +201,7 @@ def test_identifiers_come_before_bm25(spark):
 
 
 def test_glossary_long_phrases_and_initials(spark):
-    assert M.entry(["Segregation-of-duties", "who may do what"])[1] == ["sod"] and M.entry(["Follow-up", "x"])[1] == []
+    assert M.entry(["Segregation-of-duties", "who may do what"])[1] == ["sod"] and M.entry(["Follow-up", "x"]) is None
     rows = [(1, ["the date on which pay is due"], []), (2, [], ["sod"]), (3, ["due date"], ["ACL"])]
     entries = spark.createDataFrame([(*r, ["t"]) for r in rows], "entry int, phrases array<string>, acronyms array<string>, terms array<string>")
     asked = spark.createDataFrame([(1, "What is the date on which pay is due?"), (2, "Is SoD kept"), (3, "is sod or acl kept"), (4, "An ACL; a due date")], "qid int, question string")
@@ -213,3 +213,52 @@ def test_anchors(spark):
     rows = {"a - b": "a--b", "foo -": "foo", "  Two  Words ": "two-words", "R&D & more!": "rd-more", "x_1 -- y": "x_1---y", "": "", "---": ""}
     d = spark.createDataFrame([(k, v) for k, v in rows.items()], "heading string, want string")
     assert d.where(T.github_anchor(F.col("heading")) != F.col("want")).collect() == []
+
+
+def test_levels_may_be_skipped_and_fences_close_on_three_marks():
+    got = [(p, t) for _, p, t in M.sections("# A\n### C\nc\n### D\nd\n## B\nb\n````\n# not one\n```\n# E\ne")]
+    assert got == [("A > C", "c"), ("A > C > D", "d"), ("A > B", "b\n````\n# not one\n```"), ("E", "e")]
+
+
+def test_glossary_keys_are_parts_of_the_name():
+    assert M.entry(["Pay run", "money"]) is None and M.entry(["KPI", "a measure"]) is None  # the whole name is no key
+    phrases, short, terms = M.entry(["Pay run / Wage `ABC` round (old (very OLD) name) [XYZ]", "see `CODE` and user_id"])
+    assert phrases == ["pay run", "wage round"] and short == ["old"] and terms == ["pay", "run", "wage", "round", "old", "very", "name", "see"]
+
+
+def test_context_follows_its_match(spark):
+    rows = [(1, "a", None, 0, False), (1, "b", None, 1, True), (1, "c", None, 2, False), (1, "c2", "c", 3, False), (1, "b2", "b", 4, False), (1, "a2", "a", 5, False)]
+    got = S.rerank(spark.createDataFrame(rows, "qid int, id string, context_for string, place int, authoritative boolean"), 2).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r["rank"])] == ["b", "a", "b2", "a2"] and [r.id for r in sorted(got, key=lambda r: r.reading)] == ["b", "b2", "a", "a2"]
+    assert S.rerank(spark.createDataFrame([], "qid int, id string, place int, authoritative boolean, p float"), 2, candidates=3).collect() == []
+
+
+def test_the_best_kept_probability_is_the_score_of_the_step(spark):
+    rows = spark.createDataFrame([(1, "a", 0, True, 0.3), (1, "b", 1, True, 0.2), (1, "c", 2, False, 0.9)], "qid int, id string, place int, authoritative boolean, p float")
+    got = S.rerank(rows, 2, candidates=3).collect()
+    assert {r.id for r in got} == {"a", "b"} and {round(r.step_score, 4) for r in got} == {0.3}
+
+
+def test_explained_and_verified_runs(spark):
+    p = (0.1, 0.1, 0.1, 0.7, 0.5)
+    asked = spark.createDataFrame([(q, *p) for q in range(1, 6)], "qid int, p_boolean float, p_choice float, p_ranking float, p_open float, p_yes float")
+    matches = spark.createDataFrame([(q, "s", 0, True, 0.1, 0.9, 0.1, 0.9, "The pay is due") for q in range(1, 6)], "qid int, id string, place int, authoritative boolean, injection float, relevance float, contradiction float, evidence float, text string")
+    claim = lambda text, *ids: '{"text": "%s", "chunks": [%s]}' % (text, ", ".join(f'"{i}"' for i in ids))
+    said = {1: [claim("Says `pay is`", "s")], 2: [claim("Says `no such`", "s")], 3: [claim("x", "other"), claim("y", "s")], 4: []}
+    replies = spark.createDataFrame([(q, '{"claims": [%s]}' % ", ".join(c)) for q, c in said.items()], "qid int, raw string")
+    halted = lambda policy: {r.qid: r.halted_at for r in S.run_pipeline(asked, matches, replies=replies, policy=policy).collect()}
+    assert halted("decline") == {1: None, 2: "verify", 3: "verify", 4: "explain", 5: "explain"}
+    assert halted("strip") == {1: None, 2: "verify", 3: None, 4: "explain", 5: "explain"}
+
+
+def test_results_of_two_runs_compare(spark, tmp_path):
+    now = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.1, 0.1), (3, None, None)], "qid int, found_share_50 double, found_share_10 double")
+    was = spark.createDataFrame([(1, 0.4, 0.9), (2, 0.1, 0.1), (4, 1.0, 1.0)], "qid int, found_share_50 double, found_share_10 double")
+    changes = E.found_share_changes(now, was)
+    assert {r.qid: r.change for r in changes.collect()} == {1: "gained", 2: "unchanged", 3: "missing", 4: "missing"}
+    assert tuple(E.change_counts(changes).first()) == (1, 0, 1, 2)
+    shares = now.withColumn("category", F.when(F.col("qid") < 3, "open"))
+    assert {r.scope: (r.found_share_10, r.n) for r in E.found_share_report(shares).collect()} == {"overall": (0.3, 2), "open": (0.3, 2)}
+    E.write_results(now, f"{tmp_path}/r")
+    back = E.read_results(spark, f"{tmp_path}/r", now.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, now.collect()))
