@@ -83,12 +83,13 @@ def table_rows(text: str) -> list[list[str]]:
     out, inside = [], False
     for line in text.splitlines():
         line = line.strip()
+        cells = [c.strip() for c in line[1:].removesuffix("|").split("|")]
         if not line.startswith("|"):
             inside = False
-        elif re.fullmatch(r"\|(\s*:?-+:?\s*\|)+", line):
+        elif all(re.fullmatch(":*-+:*", c) for c in cells):
             inside = True
         elif inside:
-            out.append([c.strip() for c in line.strip("|").split("|")])
+            out.append(cells)
     return out
 
 

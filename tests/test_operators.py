@@ -132,7 +132,7 @@ def test_sections():
 def test_glossary_entry():
     assert M.table_rows("| A | B |\n|---|:-:|\n| x | y |\ntext\n| no | table |") == [["x", "y"]]
     phrases, short, terms = M.entry(["Access Control List (ACL)", "who may read `code` v2"])
-    assert phrases == ["access control list"] and short == ["ACL"] and terms[:4] == ["access", "control", "list", "acl"]
+    assert phrases == ["access control list"] and short == ["acl"] and terms[:4] == ["access", "control", "list", "acl"]
     assert M.is_acronym("ACLs") and not M.is_acronym("Acl")
 
 
@@ -251,6 +251,10 @@ def test_explained_and_verified_runs(spark):
     assert halted("strip") == {1: None, 2: "verify", 3: None, 4: "explain", 5: "explain"}
 
 
+def test_tables_without_outer_pipes():
+    assert M.table_rows("| A | B\n|---|---\n| x ||\n|:--:|") == [["x", ""]]
+
+
 def test_results_of_two_runs_compare(spark, tmp_path):
     now = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.1, 0.1), (3, None, None)], "qid int, found_share_50 double, found_share_10 double")
     was = spark.createDataFrame([(1, 0.4, 0.9), (2, 0.1, 0.1), (4, 1.0, 1.0)], "qid int, found_share_50 double, found_share_10 double")
