@@ -13,13 +13,21 @@ _FENCE = re.compile(r"\s*(```|~~~)")
 
 
 def without_front_matter(text: str) -> str:
-    m = re.match(r"---[ \t]*\r?\n(?:.*?\n)??---[ \t]*(?:\r?\n|\Z)", text, re.S)
-    return text[m.end() :] if m else text
+    """What follows the first line that begins with three dashes, if three dashes open the text; else all of it."""
+    rest = text.lstrip()
+    if not rest.startswith("---") or (end := rest.find("\n---", 3)) < 0:
+        return text
+    return rest[end + 4 :].removeprefix("\n")
+
+
+def lines(text: str) -> list[str]:
+    """Lines end at line feeds, with a carriage return before them or not; other separators are text."""
+    return [x.removesuffix("\r") for x in text.split("\n")]
 
 
 def title(text: str, stem: str) -> str:
     """The first heading of level one, wherever it is; else the file's stem."""
-    for line in without_front_matter(text).splitlines():
+    for line in lines(text):
         m = _HEADING.match(line.strip())
         if m and len(m[1]) == 1:
             return m[2]
@@ -35,11 +43,11 @@ def sections(text: str) -> Iterator[tuple[str, str | None, str]]:
     that begins with its three marks, or never. A heading of level n keeps at most n - 1 headings above it, so levels may
     be skipped. Text before the first heading is `intro`; repeated locators get -2, -3 and so on."""
     path: list[str] = []
-    fence, lines, used = None, [], {"intro"}
+    fence, kept, used = None, [], {"intro"}
 
     def part():
-        body = "\n".join(lines).strip()
-        lines.clear()
+        body = "\n".join(kept).strip()
+        kept.clear()
         if not body:
             return None
         if not path:
@@ -52,13 +60,13 @@ def sections(text: str) -> Iterator[tuple[str, str | None, str]]:
         used.add(locator)
         return locator, " > ".join(path), body
 
-    for line in without_front_matter(text).splitlines():
+    for line in lines(without_front_matter(text)):
         f = _FENCE.match(line)
         if f and fence in (None, f[1]):
             fence = f[1] if fence is None else None
         m = None if fence or f else _HEADING.match(line.strip())
         if not m:
-            lines.append(line)
+            kept.append(line)
             continue
         if done := part():
             yield done
@@ -81,7 +89,7 @@ def section_rows(files: DataFrame) -> DataFrame:
 def table_rows(text: str) -> list[list[str]]:
     """Cells of the rows of pipe tables, after their line of dashes."""
     out, inside = [], False
-    for line in text.splitlines():
+    for line in lines(text):
         line = line.strip()
         cells = [c.strip() for c in line[1:].removesuffix("|").split("|")]
         if not line.startswith("|"):
@@ -101,8 +109,8 @@ STOP = (
 
 
 def words(text: str) -> list[str]:
-    """Lower-cased words of letters; words with digits or underscores are identifiers and are dropped."""
-    return [w.lower() for w in re.findall(r"\w+", text) if not any(c.isdigit() or c == "_" for c in w)]
+    """Lower-cased words; an underscore parts words, and words with an ASCII digit are identifiers and are dropped."""
+    return [w.lower() for w in re.findall(r"[^\W_]+", text) if not re.search("[0-9]", w)]
 
 
 def without_code(text: str) -> str:
@@ -130,19 +138,20 @@ def entry(cells: list[str]) -> tuple[list[str], list[str], list[str]] | None:
     """(phrases, acronyms, terms) of a glossary row, or nothing where no key is left.
 
     The first cell names the row, in straight quotes or parted by slashes and commas. A key is a part of the name that
-    isn't all of it: questions with the whole name find the row's words by themselves. Acronyms are in small letters.
+    isn't all of it: questions with the whole name find the row's words by themselves. Keys are in the order of the cell,
+    phrases first; acronyms are in small letters.
     """
     cells = [without_code(c) for c in cells]
     name = words(cells[0])
     variants = cells[0].split('"')[1::2] or re.split(r"[/,]", without_parentheses(cells[0]))
-    phrases = {" ".join(w) for v in variants if len(w := words(v)) >= 2 and w != name}
+    phrases = dict.fromkeys(" ".join(w) for v in variants if len(w := words(v)) >= 2 and w != name)
     parts = [[p for p in t.split("-") if p] for t in re.findall(r"(?:[^\W_]|-)+", cells[0])]
-    short = {p.lower() for ps in parts for p in ps if is_acronym(p)} | {"".join(p[0] for p in ps).lower() for ps in parts if len(ps) >= 3}
-    short -= {name[0]} if len(name) == 1 else set()
+    short = dict.fromkeys(a.lower() for ps in parts for a in [*filter(is_acronym, ps), *(["".join(p[0] for p in ps)] if len(ps) >= 3 else [])])
+    short = [a for a in short if name != [a]]
     if not phrases and not short:
         return None
     terms = list(dict.fromkeys(w for c in cells for w in words(c) if w not in STOP))
-    return sorted(phrases), sorted(short), terms
+    return list(phrases), short, terms
 
 
 def glossary_entries(chunks: DataFrame) -> DataFrame:

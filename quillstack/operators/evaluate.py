@@ -46,6 +46,13 @@ def citations_valid(cited: str, retrieved: str, reranked: str) -> Column:
     return F.forall(cited, lambda c: F.array_contains(F.array_union(retrieved, reranked), c))
 
 
+def graded(verdict: str, expected: str) -> Column:
+    """Are two lists of answers the same, one by one, but for case and outer spaces? Null without a verdict."""
+    pairs = F.arrays_zip(F.col(verdict).alias("v"), F.col(expected).alias("e"))
+    same = (F.size(verdict) == F.size(expected)) & F.forall(pairs, lambda p: F.coalesce(T.same_text(p["v"], p["e"]), F.lit(False)))
+    return F.when(F.col(verdict).isNotNull(), same)
+
+
 def run_scores(runs: DataFrame) -> DataFrame:
     """Scores of runs (run, category, classified_as, status, verdict, expected, relevant, retrieved, reranked, cited, verdicts, judged); null where they don't apply."""
     ids = lambda c: F.transform(c, lambda x: x["id"])
@@ -98,9 +105,12 @@ def change_counts(changes: DataFrame) -> DataFrame:
 
 
 def found_share_report(shares: DataFrame) -> DataFrame:
-    """(scope, found_share_10, found_share_50, n) overall and of each category of (category, found_share_10, found_share_50)."""
+    """(scope, found_share_10, found_share_50, n) overall and of each category, an empty one too, of (category,
+    found_share_10, found_share_50)."""
     rows = shares.select(F.explode(F.array(F.lit("overall"), F.col("category"))).alias("scope"), "found_share_10", "found_share_50").where("scope is not null")
-    return rows.groupBy("scope").agg(F.avg("found_share_10").alias("found_share_10"), F.avg("found_share_50").alias("found_share_50"), F.count("found_share_50").alias("n"))
+    by = rows.groupBy("scope").agg(F.avg("found_share_10").alias("found_share_10"), F.avg("found_share_50").alias("found_share_50"), F.count("found_share_50").alias("n"))
+    every = shares.sparkSession.createDataFrame([(c,) for c in ("overall", *CATEGORIES)], "scope string")
+    return every.join(by, "scope", "full").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def baseline_subset(scores: DataFrame, current: DataFrame, by_category: bool = False) -> DataFrame:
@@ -147,15 +157,26 @@ def select_golden(golden: DataFrame, ids: list[str]) -> DataFrame:
     return golden.join(broadcast_small(wanted), "id", "left_semi")
 
 
+GOLDEN = "id string, question string, category string, expected array<string>"
+
+
 def validate_golden(lines: DataFrame) -> DataFrame:
-    """(line, problem) of numbered JSON lines (line, value) that are no golden questions; blank lines are skipped."""
-    parsed = F.from_json("value", "id string, question string, category string, expected array<string>")
+    """(file, line, problem) of numbered JSON lines (file, line, value) that are no golden questions; blank lines are
+    skipped. An id counts as repeated after the first line of its file that has it."""
+    parsed = F.from_json("value", GOLDEN + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
     rows = lines.where(F.trim("value") != "").withColumn("q", parsed)
-    repeated = rows.groupBy(F.col("q.id").alias("again")).agg(F.min("line").alias("first"))
-    rows = rows.join(repeated, F.col("q.id") == F.col("again"), "left")
+    repeated = rows.groupBy("file", F.col("q.id").alias("again")).agg(F.min("line").alias("first"))
+    rows = rows.join(repeated.withColumnRenamed("file", "of"), (F.col("file") == F.col("of")) & (F.col("q.id") == F.col("again")), "left")
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     problem = (
-        F.when(F.col("q.category").isNull(), "malformed").when(blank("q.id"), "blank id").when(F.col("line") > F.col("first"), "repeated id").when(blank("q.question"), "blank question")
+        F.when(F.col("q._corrupt_record").isNotNull() | F.col("q.category").isNull(), "malformed").when(blank("q.id"), "blank id").when(F.col("line") > F.col("first"), "repeated id").when(blank("q.question"), "blank question")
         .when((F.col("q.category") == "ranking") & (F.coalesce(F.size("q.expected"), F.lit(0)) < 2), "ranking of one")
     )
-    return rows.select("line", problem.alias("problem")).where("problem is not null")
+    return rows.select("file", "line", problem.alias("problem")).where("problem is not null")
+
+
+def read_golden(lines: DataFrame) -> DataFrame:
+    """The golden questions of numbered JSON lines; a file with a bad line gives none (`validate_golden` says why)."""
+    bad = validate_golden(lines).select("file").distinct()
+    good = lines.where(F.trim("value") != "").join(bad, "file", "left_anti")
+    return good.select("file", "line", F.from_json("value", GOLDEN).alias("q")).select("file", "line", "q.*")

@@ -1,4 +1,4 @@
-"""Ingestion as set operations over versioned chunks: differences, new states, reports."""
+"""Ingestion as set operations over versioned chunks: differences, new states, reports, and sources that fail alone."""
 
 from __future__ import annotations
 
@@ -10,10 +10,10 @@ from quillstack.operators.retrieval import batches
 
 
 def diff(drafts: DataFrame, history: DataFrame) -> DataFrame:
-    """What a snapshot does to the stored versions: a row (id, version, ordinal, action) an id.
+    """What a snapshot does to the stored versions: a row (id, version, ordinal, action, replaced) an id.
 
     same, moved (another ordinal), fresh (a version never stored) and revived (a version stored before); stale for a
-    current chunk that the snapshot lacks. `drafts` is (id, version, ordinal), `history` also has `superseded`.
+    current chunk that the snapshot lacks. `replaced` is the current version that a new one takes the place of. `drafts` is (id, version, ordinal), `history` also has `superseded`.
     """
     current = history.where("not superseded").select("id", F.col("version").alias("old_version"), F.col("ordinal").alias("old_ordinal"))
     past = history.where("superseded").select("id", "version").distinct().withColumn("was", F.lit(True))
@@ -22,7 +22,7 @@ def diff(drafts: DataFrame, history: DataFrame) -> DataFrame:
         F.when(F.col("version").isNull(), "stale").when(F.col("version").eqNullSafe(F.col("old_version")) & (F.col("ordinal") == F.col("old_ordinal")), "same")
         .when(F.col("version").eqNullSafe(F.col("old_version")), "moved").when(F.col("was"), "revived").otherwise("fresh")
     )
-    return both.select("id", F.coalesce("version", "old_version").alias("version"), F.coalesce("ordinal", "old_ordinal").alias("ordinal"), action.alias("action"))
+    return both.select("id", F.coalesce("version", "old_version").alias("version"), F.coalesce("ordinal", "old_ordinal").alias("ordinal"), action.alias("action"), F.when(action.isin("fresh", "revived"), F.col("old_version")).alias("replaced"))
 
 
 def apply(drafts: DataFrame, history: DataFrame) -> DataFrame:
@@ -44,16 +44,48 @@ def supersede_other_models(history: DataFrame, model: str) -> DataFrame:
 
 
 def report(changes: DataFrame) -> DataFrame:
-    """New versions and superseded chunks of each source; moved and same chunks are neither."""
-    old = F.col("action").isin("stale") | (F.col("action").isin("fresh", "revived") & F.col("replaced"))
+    """New versions and superseded chunks of each source of changes (source, action, replaced); moved and same chunks are
+    neither, and a version of a chunk that wasn't current supersedes none."""
+    old = (F.col("action") == "stale") | F.col("replaced").isNotNull()
     return changes.groupBy("source").agg(F.count_if(F.col("action").isin("fresh", "revived")).alias("new_versions"), F.count_if(old).alias("superseded"))
 
 
-def embed_runs(chunks: DataFrame, size: int = 64, most_tokens: int = 50_000) -> DataFrame:
-    """(document_id, run, texts, longest): the texts of each document in order, packed for a model. A document is a group."""
+def faults(drafts: DataFrame) -> DataFrame:
+    """(reader, fault) of the readers whose documents can't be stored: one that belongs to another source, or that has a
+    locator twice. `drafts` is (reader, source, document_id, id); of several faults the first by document is told."""
+    foreign = drafts.where(~F.col("source").eqNullSafe(F.col("reader"))).select("reader", "document_id", F.lit("foreign document").alias("what"))
+    twice = drafts.groupBy("reader", "document_id", "id").count().where("count > 1").select("reader", "document_id", F.lit("duplicate locator").alias("what"))
+    first = foreign.union(twice).groupBy("reader").agg(F.min(F.struct("document_id", "what")).alias("f"))
+    return first.select("reader", F.concat_ws(" ", "f.what", "f.document_id").alias("fault"))
+
+
+def ingest(drafts: DataFrame, history: DataFrame, readers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(report, history) after the snapshots of some `readers` (reader), each of one source.
+
+    A reader with a fault is rejected alone and whole: its source's chunks stay as they are, missing ones too. `drafts`
+    is (reader, source, document_id, id, version, ordinal), `history` (source, id, version, ordinal, superseded). The
+    report is (reader, fault, documents, new_versions, superseded) of each reader, one that read nothing too.
+    """
+    bad = faults(drafts)
+    sound = readers.join(bad, "reader", "left_anti").select(F.col("reader").alias("source"))
+    taken = drafts.join(sound, "source", "left_semi").where(F.col("reader") == F.col("source"))
+    mine = history.join(sound, "source", "left_semi")
+    changes = diff(taken.select("id", "version", "ordinal"), mine)
+    of = taken.select("id", "source").union(mine.select("id", "source")).distinct()
+    counts = report(changes.join(of, "id"))
+    read = taken.groupBy("source").agg(F.count_distinct("document_id").alias("documents"))
+    told = readers.join(bad, "reader", "left").join(counts.withColumnRenamed("source", "reader"), "reader", "left").join(read.withColumnRenamed("source", "reader"), "reader", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    after = apply(taken.select("id", "version", "ordinal"), mine).join(of, "id").select("source", "id", "version", "ordinal", "superseded")
+    return told.select("reader", "fault", none("documents"), none("new_versions"), none("superseded")), after.unionByName(history.join(sound, "source", "left_anti").select(*after.columns))
+
+
+def embed_runs(chunks: DataFrame, size: int = 64, most_tokens: int = 50_000, reject: bool = False) -> DataFrame:
+    """(document_id, run, texts, longest): the texts of each document in order, packed for a model (`batches`). A document
+    is a group."""
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        runs = list(batches(iter(rows.sort_values("ordinal").text), size, most_tokens))
+        runs = list(batches(iter(rows.sort_values("ordinal").text), size, most_tokens, reject))
         return pd.DataFrame({"document_id": rows.document_id.iloc[0], "run": range(len(runs)), "texts": [len(r) for r in runs], "longest": [max(len(t) for t in r) for r in runs]})
 
     return chunks.select("document_id", "ordinal", "text").groupBy("document_id").applyInPandas(pack, "document_id string, run long, texts long, longest long")

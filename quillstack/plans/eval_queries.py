@@ -1,19 +1,23 @@
-"""Queries of evaluation and of stored runs."""
+"""Queries of evaluation and of stored runs, over retrieval results and over the runs that conversations stand for."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quillstack.functions import text as T
 from quillstack.operators import evaluate as E
 from quillstack.operators import retrieval as R
 from quillstack.operators import runs as U
 from quillstack.plans.corpus_queries import _BM25, _open
-from quillstack.plans.inline import Catalogue, Rows
-from quillstack.session import broadcast_small
+from quillstack.plans.inline import Catalogue
+from quillstack.session import materialize, shared_dir, table
 from quillstack.sources import corpus as C
+from quillstack.sources import derived as D
+from quillstack.sources.lines import numbered_lines
 
 catalogue = Catalogue()
+WITH = f"WITH {D.SQL}"
 
 #: Questions whose passage's first line has 20 characters or more, with the chunks that hold it.
 RELEVANT = "relevant AS (SELECT q.qid, c.id FROM (SELECT qid, trim(string_split(question, chr(10))[1]) AS line FROM questions) q JOIN chunks c ON len(q.line) >= 20 AND contains(c.text, q.line))"
@@ -22,7 +26,7 @@ RELEVANT = "relevant AS (SELECT q.qid, c.id FROM (SELECT qid, trim(string_split(
 def relevant(spark, d):
     line = F.trim(F.get(F.split("question", "\n"), F.lit(0)))
     asked = C.questions(spark, d).select("qid", line.alias("line")).where(F.char_length("line") >= 20)
-    return C.chunks(spark, d).select("id", "text").join(broadcast_small(asked), F.contains(F.col("text"), F.col("line"))).select("qid", "id")  # a stated set of questions
+    return R.containing(C.chunks(spark, d).select("id", "text"), asked)
 
 
 def _found(spark, d):
@@ -51,105 +55,120 @@ def hit_at_k(spark, d):
     return _found_shares(spark, d).select("qid", "hit_5")
 
 
-@catalogue.add("found_share_report", f"{_FOUND_SHARE} SELECT round(avg(found_share_10), 6) AS found_share_10, round(avg(found_share_50), 6) AS found_share_50, count(found_share_50) AS n FROM found_shares")
+@catalogue.add("found_share_report", f"""{_FOUND_SHARE}, s AS (SELECT 'overall' AS scope, found_share_10, found_share_50 FROM found_shares UNION ALL SELECT ['boolean', 'choice', 'ranking'][(qid % 3)::INT + 1], found_share_10, found_share_50 FROM found_shares)
+SELECT x.scope, round(avg(found_share_10), 6) AS found_share_10, round(avg(found_share_50), 6) AS found_share_50, count(found_share_50) AS n FROM (VALUES ('overall'), ('boolean'), ('choice'), ('ranking'), ('open')) x(scope) LEFT JOIN s ON s.scope = x.scope GROUP BY x.scope""")
 def found_share_report(spark, d):
-    return _found_shares(spark, d).agg(F.round(F.avg("found_share_10"), 6).alias("found_share_10"), F.round(F.avg("found_share_50"), 6).alias("found_share_50"), F.count("found_share_50").alias("n"))
+    """Overall and by category; no question is of the open one, which has a row all the same."""
+    category = F.get(F.array(*map(F.lit, ("boolean", "choice", "ranking"))), (F.col("qid") % 3).cast("int"))
+    by = E.found_share_report(_found_shares(spark, d).withColumn("category", category))
+    return by.select("scope", F.round("found_share_10", 6).alias("found_share_10"), F.round("found_share_50", 6).alias("found_share_50"), "n")
 
 
-@catalogue.add("found_share_changes", f"""{_FOUND_SHARE}, was AS (SELECT qid, CASE WHEN qid % 3 = 0 THEN NULL ELSE found_share_50 END AS found_share_50, CASE WHEN qid % 3 = 1 THEN 1.0 ELSE found_share_10 END AS found_share_10 FROM found_shares)
-SELECT r.qid, CASE WHEN (coalesce(r.found_share_50, -1), coalesce(r.found_share_10, -1)) > (coalesce(w.found_share_50, -1), coalesce(w.found_share_10, -1)) THEN 'gained' WHEN (coalesce(r.found_share_50, -1), coalesce(r.found_share_10, -1)) < (coalesce(w.found_share_50, -1), coalesce(w.found_share_10, -1)) THEN 'lost' ELSE 'unchanged' END AS change
- FROM found_shares r JOIN was w ON w.qid = r.qid""")
-def found_share_changes(spark, d):
+_CHANGES = f"""{_FOUND_SHARE}, was AS (SELECT qid, CASE WHEN qid % 3 = 0 THEN NULL ELSE found_share_50 END AS found_share_50, CASE WHEN qid % 3 = 1 THEN 1.0 ELSE found_share_10 END AS found_share_10 FROM found_shares),
+changes AS (SELECT r.qid, CASE WHEN (coalesce(r.found_share_50, -1), coalesce(r.found_share_10, -1)) > (coalesce(w.found_share_50, -1), coalesce(w.found_share_10, -1)) THEN 'gained' WHEN (coalesce(r.found_share_50, -1), coalesce(r.found_share_10, -1)) < (coalesce(w.found_share_50, -1), coalesce(w.found_share_10, -1)) THEN 'lost' ELSE 'unchanged' END AS change
+ FROM found_shares r JOIN was w ON w.qid = r.qid)"""
+
+
+def _changes(spark, d):
     now = _found_shares(spark, d)
     was = now.select("qid", F.when(F.col("qid") % 3 == 0, F.lit(None)).otherwise(F.col("found_share_50")).alias("found_share_50"), F.when(F.col("qid") % 3 == 1, 1.0).otherwise(F.col("found_share_10")).alias("found_share_10"))
     return E.found_share_changes(now, was)
 
 
-#: Five runs; lists are ids parted by semicolons, context as id>match.
-RUNS = Rows(
-    "run, category, classified_as, status, verdict, expected, relevant, retrieved, reranked, cited, verdicts, judged",
-    "('b1', 'boolean', 'boolean', 'answered', 'Yes', 'yes ', 'x;y', 'x;a>x;y', 'x;a>x', 'x;a', 'supported;contradicted', true), ('c1', 'choice', 'open', 'answered', 'red', 'blue', 'z', 'q;r', 'q', 'q', 'supported', false),"
-    " ('r1', 'ranking', 'ranking', 'declined', NULL, NULL, 'm;n', 'm;o', 'o;m', '', '', false), ('o1', 'open', 'open', 'answered', NULL, NULL, 'k', 'k', 'j', 'k;w', '', true), ('o2', 'open', NULL, 'failed', NULL, NULL, '', '', '', '', '', false)",
-)
-_LIST = "list_filter(string_split({c}, ';'), lambda x: x <> '')"
-_RUN_SQL = f"""r AS (SELECT run, category, classified_as, status, verdict, expected, judged, {_LIST.format(c='relevant')} AS rel, {_LIST.format(c='retrieved')} AS ret, {_LIST.format(c='reranked')} AS rer, {_LIST.format(c='cited')} AS cit, {_LIST.format(c='verdicts')} AS ver FROM {RUNS.sql}),
-scores AS (SELECT run, category, classified_as = category AS classified, CASE WHEN len(rel) > 0 THEN len(list_intersect(rel, list_filter(ret, lambda x: NOT contains(x, '>'))))::DOUBLE / len(rel) END AS found_share,
- CASE WHEN len(rel) > 0 THEN list_has_any(list_transform(rer[1:5], lambda x: string_split(x, '>')[1]), rel) END AS hit, CASE WHEN status = 'answered' AND verdict IS NOT NULL AND expected IS NOT NULL THEN lower(trim(verdict)) = lower(trim(expected)) END AS correct,
- status = 'declined' AS declined, status = 'failed' AS failed, CASE WHEN status = 'answered' THEN list_has_all(list_transform(list_concat(ret, rer), lambda x: string_split(x, '>')[1]), cit) END AS citations_valid,
- CASE WHEN judged AND len(ver) > 0 THEN len(list_filter(ver, lambda v: v = 'supported'))::DOUBLE / len(ver) END AS faithful FROM r)"""
+@catalogue.add("found_share_changes", f"{_CHANGES} SELECT qid, change FROM changes")
+def found_share_changes(spark, d):
+    return _changes(spark, d)
+
 
+@catalogue.add("found_share_change_counts", f"{_CHANGES} SELECT count(*) FILTER (change = 'gained') AS gained, count(*) FILTER (change = 'lost') AS lost, count(*) FILTER (change = 'unchanged') AS unchanged, 0::BIGINT AS missing FROM changes")
+def found_share_change_counts(spark, d):
+    return E.change_counts(_changes(spark, d))
 
-def _runs(spark):
-    split = lambda c: F.filter(F.split(c, ";"), lambda x: x != "")
-    chunk = lambda c: F.transform(split(c), lambda x: F.struct(F.split_part(x, F.lit(">"), F.lit(1)).alias("id"), F.nullif(F.split_part(x, F.lit(">"), F.lit(2)), F.lit("")).alias("context_for"))).alias(c)
-    return RUNS.spark(spark).select("run", "category", "classified_as", "status", "verdict", "expected", "judged", split("relevant").alias("relevant"), chunk("retrieved"), chunk("reranked"), split("cited").alias("cited"), split("verdicts").alias("verdicts"))
 
+_IDS = lambda c: f"list_transform({c}, lambda x: x.id)"
+_SCORES = f"""{D.SQL}, scores AS (SELECT run, total, category, classified_as = category AS classified, CASE WHEN len(relevant) > 0 THEN len(list_intersect(relevant, list_transform(list_filter(retrieved, lambda x: x.context_for IS NULL)[1:50], lambda x: x.id)))::DOUBLE / len(relevant) END AS found_share,
+ CASE WHEN len(relevant) > 0 THEN list_has_any({_IDS("reranked[1:5]")}, relevant) END AS hit, CASE WHEN status = 'answered' AND verdict IS NOT NULL AND expected IS NOT NULL THEN lower(trim(verdict)) = lower(trim(expected)) END AS correct,
+ status = 'declined' AS declined, status = 'failed' AS failed, CASE WHEN status = 'answered' THEN list_has_all({_IDS("list_concat(retrieved, reranked)")}, cited) END AS citations_valid,
+ CASE WHEN judged AND len(verdicts) > 0 THEN len(list_filter(verdicts, lambda v: v = 'supported'))::DOUBLE / len(verdicts) END AS faithful FROM runs)"""
 
-@catalogue.add("run_scores", f"WITH {_RUN_SQL} SELECT * FROM scores")
+
+@catalogue.add("run_scores", f"WITH {_SCORES} SELECT * EXCLUDE (total) FROM scores")
 def run_scores(spark, d):
-    return E.run_scores(_runs(spark))
+    return E.run_scores(D.runs(spark, d))
 
 
-_UNION = " UNION ALL ".join(f"SELECT scope, '{m}' AS metric, round(avg({c}::DOUBLE), 6) AS value, count({c}) AS n FROM s GROUP BY scope" for m, c in E.METRICS.items())
+_UNION = lambda s: " UNION ALL ".join(f"SELECT scope, '{m}' AS metric, round(avg({c}::DOUBLE), 6) AS value, count({c}) AS n FROM {s} GROUP BY scope" for m, c in E.METRICS.items())
+_BOTH = lambda where="true": f"(SELECT *, 'overall' AS scope FROM scores WHERE {where} UNION ALL SELECT *, category AS scope FROM scores WHERE {where})"
 
 
-@catalogue.add("eval_metrics", f"WITH {_RUN_SQL}, s AS (SELECT *, 'overall' AS scope FROM scores) {_UNION}")
+@catalogue.add("eval_metrics", f"WITH {_SCORES}, s AS (SELECT *, 'overall' AS scope FROM scores) {_UNION('s')}")
 def eval_metrics(spark, d):
-    return E.metrics(E.run_scores(_runs(spark))).withColumn("value", F.round("value", 6))
+    return E.metrics(E.run_scores(D.runs(spark, d))).withColumn("value", F.round("value", 6))
 
 
-@catalogue.add("eval_metrics_rollup", f"WITH {_RUN_SQL}, s AS (SELECT *, 'overall' AS scope FROM scores UNION ALL SELECT *, category AS scope FROM scores) {_UNION}")
+@catalogue.add("eval_metrics_rollup", f"WITH {_SCORES}, s AS {_BOTH()} {_UNION('s')}")
 def eval_metrics_rollup(spark, d):
-    return E.metrics(E.run_scores(_runs(spark)), True).withColumn("value", F.round("value", 6))
+    return E.metrics(E.run_scores(D.runs(spark, d)), True).withColumn("value", F.round("value", 6))
 
 
-@catalogue.add("faithfulness", f"WITH {_RUN_SQL} SELECT run, faithful FROM scores")
+@catalogue.add("faithfulness", f"WITH {_SCORES} SELECT run, faithful FROM scores")
 def faithfulness(spark, d):
-    return _runs(spark).select("run", E.faithfulness("verdicts", F.col("judged")).alias("faithful"))
+    return D.runs(spark, d).select("run", E.faithfulness("verdicts", F.col("judged")).alias("faithful"))
 
 
-@catalogue.add("citation_validity", f"WITH {_RUN_SQL} SELECT run, list_has_all(list_transform(list_concat(ret, rer), lambda x: string_split(x, '>')[1]), cit) AS valid FROM r")
+@catalogue.add("citation_validity", f"{WITH} SELECT run, list_has_all({_IDS('list_concat(retrieved, reranked)')}, cited) AS valid FROM runs")
 def citation_validity(spark, d):
     ids = lambda c: F.transform(c, lambda x: x["id"])
-    return _runs(spark).select("run", E.citations_valid("cited", ids("retrieved"), ids("reranked")).alias("valid"))
-
+    return D.runs(spark, d).select("run", E.citations_valid("cited", ids("retrieved"), ids("reranked")).alias("valid"))
 
-GRADED = Rows("qid, verdict, expected", "(1, ' Yes', 'yes'), (2, 'a;B;c', 'A;b;C '), (3, 'a;b', 'b;a'), (4, 'a', 'a;b'), (5, NULL, 'x')")
 
-
-@catalogue.add("grade_answers", f"""WITH g AS (SELECT qid, list_transform(string_split(verdict, ';'), lambda x: lower(trim(x))) AS v, list_transform(string_split(expected, ';'), lambda x: lower(trim(x))) AS e FROM {GRADED.sql})
-SELECT qid, v = e AS correct FROM g""")
+@catalogue.add("grade_answers", f"""{WITH}, g AS (SELECT t.qid, total, list(role ORDER BY turn) AS e FROM turns t JOIN totals USING (qid) GROUP BY t.qid, total),
+v AS (SELECT qid, e, CASE WHEN total % 7 <> 0 THEN list_transform(CASE WHEN total % 3 = 0 THEN list_reverse(e) WHEN total % 5 = 0 THEN e[1:len(e) - 1] ELSE e END, lambda x: ' ' || upper(x)) END AS v FROM g)
+SELECT qid, CASE WHEN v IS NOT NULL THEN list_transform(v, lambda x: lower(trim(x))) = e END AS correct FROM v""")
 def grade_answers(spark, d):
-    parts = lambda c: F.split(c, ";")
-    same = (F.size(parts("verdict")) == F.size(parts("expected"))) & F.forall(F.arrays_zip(parts("verdict").alias("v"), parts("expected").alias("e")), lambda p: F.coalesce(T.same_text(p["v"], p["e"]), F.lit(False)))
-    return GRADED.spark(spark).select("qid", F.when(F.col("verdict").isNotNull(), same).alias("correct"))
+    """The roles of a conversation as an expected ranking, and as a given one in other letters, in part reversed or cut."""
+    by = D.turns(spark, d).groupBy("qid").agg(F.sum("n").alias("total"), F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("expected"))
+    given = F.when(F.col("total") % 3 == 0, F.reverse("expected")).when(F.col("total") % 5 == 0, F.slice("expected", F.lit(1), F.size("expected") - 1)).otherwise(F.col("expected"))
+    rows = by.select("qid", "expected", F.when(F.col("total") % 7 != 0, F.transform(given, lambda x: F.concat(F.lit(" "), F.upper(x)))).alias("verdict"))
+    return rows.select("qid", E.graded("verdict", "expected").alias("correct"))
 
 
-BASELINE = Rows("scope, metric, value", "('overall', 'found_share', 0.7), ('overall', 'hit', 0.5), ('overall', 'declined', 0.1), ('overall', 'failed', 0.2), ('open', 'precision', 1.0), ('overall', 'classify', 0.8)")
-TOLERANCES = Rows("metric, tolerance", "('classify', 0.05), ('found_share', 0.05)")
+#: How far a metric may fall.
+TOLERANCES = [("classify", 0.05), ("found_share", 0.05)]
 
 
-@catalogue.add("regression_gate", f"""WITH {_RUN_SQL}, s AS (SELECT *, 'overall' AS scope FROM scores UNION ALL SELECT *, category AS scope FROM scores), m AS ({_UNION})
-SELECT b.scope, b.metric, round(b.value::DOUBLE, 6) AS was, m.value AS now FROM {BASELINE.sql} b LEFT JOIN m ON m.scope = b.scope AND m.metric = b.metric LEFT JOIN {TOLERANCES.sql} t ON t.metric = b.metric
- WHERE m.value IS NULL OR round((CASE WHEN b.metric IN ('declined', 'failed') THEN m.value - b.value ELSE b.value - m.value END)::DOUBLE / 1e-9) > round(coalesce(t.tolerance, 0)::DOUBLE / 1e-9)""")
+@catalogue.add("regression_gate", f"""WITH {_SCORES}, s AS {_BOTH("run % 2 = 0")}, w AS {_BOTH("run % 3 = 0")}, m AS ({_UNION('s').replace('round(', '(').replace(', 6)', ')')}), b AS ({_UNION('w').replace('round(', '(').replace(', 6)', ')')}),
+e AS (SELECT b.scope, b.metric, b.value AS was, m.value AS now, CASE b.metric WHEN 'classify' THEN 0.05 WHEN 'found_share' THEN 0.05 ELSE 0 END::DOUBLE AS tolerance FROM b LEFT JOIN m ON m.scope = b.scope AND m.metric = b.metric WHERE b.value IS NOT NULL)
+SELECT scope, metric, round(was, 6) AS was, round(now, 6) AS now FROM e WHERE now IS NULL OR round((CASE WHEN metric IN ('declined', 'failed') THEN now - was ELSE was - now END) / 1e-9) > round(tolerance / 1e-9)""")
 def regression_gate(spark, d):
-    now = E.metrics(E.run_scores(_runs(spark)), True).select("scope", "metric", "value")
-    cast = lambda c: F.col(c).cast("double").alias(c)
-    bad = E.regressions(now, BASELINE.spark(spark).select("scope", "metric", cast("value")), TOLERANCES.spark(spark).select("metric", cast("tolerance")))
+    """Runs of even numbers against a baseline of every third run."""
+    scores = E.run_scores(D.runs(spark, d))
+    now = E.metrics(scores.where("run % 2 = 0"), True).select("scope", "metric", "value")
+    was = E.metrics(scores.where("run % 3 = 0"), True).select("scope", "metric", "value")
+    bad = E.regressions(now, was, spark.createDataFrame(TOLERANCES, "metric string, tolerance double"))
     return bad.select("scope", "metric", F.round("was", 6).alias("was"), F.round("now", 6).alias("now"))
 
 
-PAST = Rows("run, outcome, correct, rerank_score, answer_score", "('a1', 'answered', true, 0.9, 0.9), ('a2', 'answered', true, 0.9, 0.8), ('a3', 'answered', true, 0.9, 0.7), ('wrong', 'answered', false, 0.8, 0.4), ('low', 'low_confidence', NULL, NULL, 0.3)")
-TRIED = Rows("candidate, rerank, answer", "('none', NULL, NULL), ('answer .5', NULL, 0.5), ('answer .75', NULL, 0.75), ('rerank .85', 0.85, 0.35)")
+@catalogue.add("baseline_subset", f"WITH {_SCORES}, s AS {_BOTH('run % 4 <> 1')} {_UNION('s')}")
+def baseline_subset(spark, d):
+    """A baseline of all runs, counted again for the runs that a current set covers."""
+    scores = E.run_scores(D.runs(spark, d))
+    return E.baseline_subset(scores, scores.where("run % 4 <> 1"), True).withColumn("value", F.round("value", 6))
+
 
+#: Candidate thresholds of two steps.
+TRIED = [("none", None, None), ("answer .5", None, 0.5), ("answer .75", None, 0.75), ("rerank .85", 0.85, 0.35)]
+_TRIED = "(VALUES ('none', NULL, NULL), ('answer .5', NULL, 0.5::FLOAT), ('answer .75', NULL, 0.75::FLOAT), ('rerank .85', 0.85::FLOAT, 0.35::FLOAT)) c(candidate, rerank, answer)"
 
-@catalogue.add("tune_replay", f"""WITH x AS (SELECT c.candidate, CASE WHEN r.outcome = 'low_confidence' THEN 'declined' WHEN coalesce(r.rerank_score < c.rerank, false) OR coalesce(r.answer_score < c.answer, false) THEN 'declined' ELSE r.outcome END AS o, r.outcome = 'low_confidence' AS u, r.correct FROM {PAST.sql} r, {TRIED.sql} c),
+
+@catalogue.add("tune_replay", f"""WITH {_SCORES}, r AS (SELECT r.run, CASE WHEN r.total % 9 = 1 THEN 'low_confidence' ELSE r.status END AS outcome, s.correct, r.rerank_score, r.answer_score FROM runs r JOIN scores s ON s.run = r.run),
+x AS (SELECT c.candidate, CASE WHEN r.outcome = 'low_confidence' THEN 'declined' WHEN r.outcome = 'answered' AND (coalesce(r.rerank_score < c.rerank, false) OR coalesce(r.answer_score < c.answer, false)) THEN 'declined' ELSE r.outcome END AS o, r.outcome = 'low_confidence' AS u, r.correct FROM r, {_TRIED}),
 g AS (SELECT candidate, count(*) FILTER (o = 'answered') AS answered, count(*) FILTER (o = 'declined') AS declined, count(*) FILTER (u) AS unresolved, round(avg(CASE WHEN o = 'answered' THEN correct::INT END), 6) AS precision, round(count(*) FILTER (o = 'declined')::DOUBLE / count(*), 6) AS decline_rate FROM x GROUP BY candidate)
-SELECT *, precision >= 0.95 AND decline_rate <= 0.4 AS gate FROM g""")
+SELECT *, coalesce(precision >= 0.95 AND decline_rate <= 0.4, false) AS gate FROM g""")
 def tune_replay(spark, d):
-    f32 = lambda c: F.col(c).cast("float").alias(c)
-    runs = PAST.spark(spark).select("run", "outcome", "correct", f32("rerank_score"), f32("answer_score"))
-    done = E.tune(E.replay(runs, TRIED.spark(spark).select("candidate", f32("rerank"), f32("answer"))))
+    scored = E.run_scores(D.runs(spark, d)).select("run", "correct")
+    runs = D.runs(spark, d).join(scored, "run").select("run", F.when(F.col("total") % 9 == 1, "low_confidence").otherwise(F.col("status")).alias("outcome"), "correct", "rerank_score", "answer_score")
+    done = E.tune(E.replay(runs, spark.createDataFrame(TRIED, "candidate string, rerank float, answer float")))
     return done.withColumn("precision", F.round("precision", 6)).withColumn("decline_rate", F.round("decline_rate", 6))
 
 
@@ -159,46 +178,69 @@ def golden_select(spark, d):
     return E.select_golden(golden, ["3", "5", "7"]).select(F.col("id").cast("long").alias("id"), "question")
 
 
-LINES = Rows("line, value", """(1, '{"id":"a","question":"q?","category":"open"}'), (2, ''), (3, '{"id":"a","question":"again?","category":"open"}'), (4, '{"id":" ","question":"q","category":"open"}'), (5, '{"id":"b","question":" ","category":"open"}'), (6, 'nonsense'), (7, '{"id":"c","question":"q","category":"ranking","expected":["x"]}'), (8, '{"id":"d","question":"q","category":"ranking","expected":["x","y"]}')""")
+def golden_file(spark, d) -> str:
+    """A golden set of all benchmark items as lines of JSON, some of them made bad by their number; a set is one file."""
+    n = F.col("item_id")
+    category = F.get(F.array(*map(F.lit, ("boolean", "choice", "ranking", "open"))), (n % 4).cast("int"))
+    id_ = F.when(n % 11 == 5, " ").when(n % 13 == 6, "same").otherwise(n.cast("string"))
+    expected = F.when(n % 8 == 2, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("y")))
+    line = F.to_json(F.struct(id_.alias("id"), F.when(n % 7 == 3, "  ").otherwise(F.col("text")).alias("question"), category.alias("category"), expected.alias("expected")))
+    rows = table(spark, d, "benchmark").select("item_id", F.when(n % 9 == 4, F.concat(F.lit("{"), line)).when(n % 10 == 9, "").otherwise(line).alias("value"))
+    path = f"{shared_dir(spark)}/golden-{uuid.uuid4().hex}"
+    rows.coalesce(1).sortWithinPartitions("item_id").select("value").write.text(path)
+    return path
 
 
-@catalogue.add("golden_validate", "SELECT * FROM (VALUES (3, 'repeated id'), (4, 'blank id'), (5, 'blank question'), (6, 'malformed'), (7, 'ranking of one')) v(line, problem)")
-def golden_validate(spark, d):
-    return E.validate_golden(LINES.spark(spark))
+_GOLDEN = """WITH g AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS line, ['boolean', 'choice', 'ranking', 'open'][(item_id % 4)::INT + 1] AS category, CASE WHEN item_id % 11 = 5 THEN ' ' WHEN item_id % 13 = 6 THEN 'same' ELSE item_id::VARCHAR END AS id, CASE WHEN item_id % 7 = 3 THEN '  ' ELSE text END AS question, item_id % 9 = 4 AS cut, item_id % 9 <> 4 AND item_id % 10 = 9 AS empty FROM benchmark),
+f AS (SELECT *, min(line) FILTER (NOT cut AND NOT empty) OVER (PARTITION BY id) AS first FROM g), p AS (SELECT *, CASE WHEN empty THEN NULL WHEN cut THEN 'malformed' WHEN trim(id) = '' THEN 'blank id' WHEN line > first THEN 'repeated id' WHEN trim(question) = '' THEN 'blank question' WHEN category = 'ranking' AND item_id % 8 = 2 THEN 'ranking of one' END AS problem FROM f)"""
 
 
-STORED, BATCH = Rows("id", "('r1'), ('r2')"), Rows("id, arrived, outcome", "('r2', 5, 'x'), ('r3', 6, 'first'), ('r3', 7, 'second'), ('r4', 8, 'y')")
+@catalogue.add("golden_validate", f"{_GOLDEN} SELECT line, problem FROM p WHERE problem IS NOT NULL")
+def golden_validate(spark, d):
+    return E.validate_golden(numbered_lines(spark, golden_file(spark, d))).select("line", "problem")
 
 
-@catalogue.add("run_store_dedupe", f'WITH b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY arrived) AS n FROM {BATCH.sql}) SELECT id, arrived, outcome, n = 1 AND id NOT IN (SELECT id FROM {STORED.sql}) AS stored FROM b')
+@catalogue.add("run_store_dedupe", f"""{WITH}, b AS (SELECT 'r' || (qid * 2 + CASE WHEN turn > 2 THEN 1 ELSE 0 END) AS id, turn AS arrived, role AS outcome, qid FROM turns)
+SELECT id, arrived, outcome, row_number() OVER (PARTITION BY id ORDER BY arrived) = 1 AND id NOT IN (SELECT 'r' || qid * 2 FROM totals WHERE total % 3 = 0) AS stored FROM b""")
 def run_store_dedupe(spark, d):
-    fresh, rejected = U.new_runs(STORED.spark(spark), BATCH.spark(spark))
-    return fresh.select("id", "arrived", "outcome", F.lit(True).alias("stored")).union(rejected.select("id", "arrived", "outcome", F.lit(False)))
+    """Turns arrive as two runs a conversation; a third of the first ones is stored already."""
+    batch = D.turns(spark, d).select(F.concat(F.lit("r"), F.col("qid") * 2 + F.when(F.col("turn") > 2, 1).otherwise(0)).alias("id"), F.col("turn").alias("arrived"), F.col("role").alias("outcome"))
+    stored = D.totals(spark, d).where("total % 3 = 0").select(F.concat(F.lit("r"), F.col("qid") * 2).alias("id"))
+    fresh, rejected = U.new_runs(stored, batch)
+    return fresh.withColumn("stored", F.lit(True)).union(rejected.withColumn("stored", F.lit(False)))
 
 
-TRACES = Rows("id, trace", """('r1', '[{"step":"answer","record":{"kind":"answer"},"access":[]},{"step":"explain","record":{"kind":"explain","raw":"t","contradicts_verdict":false},"access":[{"chunk":"a","allowed":true},{"chunk":"b","allowed":false}]}]'), ('r2', '[{"step":"explain","record":{"kind":"explain","raw":"u","contradicts_verdict":true},"access":[{"chunk":"c","allowed":false}]}]')""")
+_STEP = "CASE role WHEN 'system' THEN 'answer' WHEN 'user' THEN 'retrieve' WHEN 'assistant' THEN 'explain' END"
 
 
-@catalogue.add("run_lookup", "SELECT * FROM (VALUES ('r1', 2, 'answer;explain')) v(id, entries, steps)")
+@catalogue.add("run_lookup", f"{WITH} SELECT qid AS id, count(*) AS entries, string_agg({_STEP}, ';' ORDER BY turn) AS steps FROM turns WHERE qid IN (SELECT item_id FROM benchmark) GROUP BY qid")
 def run_lookup(spark, d):
-    return U.look_up(TRACES.spark(spark), "r1").select("id", F.size("trace").alias("entries"), F.array_join(F.transform("trace", lambda e: e["step"]), ";").alias("steps"))
+    """The runs that the benchmark's items name."""
+    found = U.look_up(D.traces(spark, d), C.questions(spark, d).select(F.col("qid").alias("id")))
+    return found.select("id", F.size("entries").cast("long").alias("entries"), F.array_join(F.transform("entries", lambda e: U.field(e, "$.step")), ";").alias("steps"))
 
 
-@catalogue.add("trace_redact", "SELECT * FROM (VALUES ('r1', ';a'), ('r2', '')) v(id, seen)")
+@catalogue.add("trace_redact", f"{WITH} SELECT qid AS id, string_agg(concat_ws(',', CASE WHEN n % 3 <> 0 THEN id END, CASE WHEN n % 2 <> 0 THEN coalesce(prev_id, 'none') END), ';' ORDER BY turn) AS seen FROM turns GROUP BY qid")
 def trace_redact(spark, d):
-    rows = TRACES.spark(spark).select("id", U.without_denials(F.from_json("trace", U.TRACE)).alias("trace"))
-    return rows.select("id", F.array_join(F.transform("trace", lambda e: F.array_join(F.transform(e["access"], lambda a: a["chunk"]), ",")), ";").alias("seen"))
+    rows = D.traces(spark, d).select("id", U.without_denials(F.col("trace")).alias("entries"))
+    checks = lambda e: F.try_variant_get(e, "$.access", "array<variant>")
+    return rows.select("id", F.array_join(F.transform("entries", lambda e: F.array_join(F.transform(checks(e), lambda a: U.field(a, "$.chunk")), ",")), ";").alias("seen"))
 
 
-@catalogue.add("trace_migrate", "SELECT * FROM (VALUES ('r1', '-;false'), ('r2', '-')) v(id, flags)")
+@catalogue.add("trace_migrate", f"""{WITH}, a AS (SELECT qid, bool_or(role = 'system') AS answered FROM turns GROUP BY qid),
+e AS (SELECT t.qid, turn, '{{"access":[{{"allowed":' || (n % 3 <> 0)::VARCHAR || ',"chunk":' || to_json(id) || '}},{{"allowed":' || (n % 2 <> 0)::VARCHAR || ',"chunk":' || to_json(coalesce(prev_id, 'none')) || '}}],"record":{{' || CASE WHEN role = 'assistant' AND turn % 5 <> 4 AND answered THEN '"contradicts_verdict":' || (n % 2 = 0)::VARCHAR || ',' ELSE '' END
+ || CASE WHEN turn % 5 = 4 THEN '"extra":{{"n":' || n || ',"tags":[' || to_json(role) || ',"x"]}},"kind":"future"' ELSE '"kind":' || to_json({_STEP}) END || ',"raw":' || to_json(text) || '}},"step":' || to_json({_STEP}) || '}}' AS j FROM turns t JOIN a ON a.qid = t.qid)
+SELECT qid AS id, sha256('[' || string_agg(j, ',' ORDER BY turn) || ']') AS trace_sha256, length('[' || string_agg(j, ',' ORDER BY turn) || ']') AS n_chars FROM e GROUP BY qid""")
 def trace_migrate(spark, d):
-    rows = TRACES.spark(spark).select("id", U.migrate_trace(F.from_json("trace", U.TRACE)).alias("trace"))
-    return rows.select("id", F.array_join(F.transform("trace", lambda e: F.coalesce(e["record"]["contradicts_verdict"].cast("string"), F.lit("-"))), ";").alias("flags"))
-
-
-ACLS = Rows("id, acl", "(1, 'hr;Ana Smith;role:x'), (2, 'user:ana;hr;hr'), (3, '')")
+    """Whole migrated traces as JSON: nothing unknown is lost."""
+    rows = materialize(D.traces(spark, d).select("id", U.as_json(U.migrate_trace(F.col("trace"))).alias("trace")), "migrated")
+    return rows.select("id", F.sha2("trace", 256).alias("trace_sha256"), F.char_length("trace").cast("long").alias("n_chars"))
 
 
-@catalogue.add("acl_migrate", f"""SELECT id, array_to_string(list_sort(list_distinct(list_transform({_LIST.format(c='acl')}, lambda a: CASE WHEN regexp_matches(a, '^(role|user):') THEN a WHEN regexp_matches(a, '^[a-z0-9_.:-]+$') THEN 'role:' || a ELSE 'user:' || a END))), ';') AS acl FROM {ACLS.sql}""")
+@catalogue.add("acl_migrate", f"""WITH {C.SQL} SELECT document_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(acl, [d.source, upper(x.lang), 'Ana ' || d.source, d.source]), lambda a: CASE WHEN regexp_matches(a, '^(role|user):') THEN a WHEN regexp_matches(a, '^[a-z0-9_.:-]+$') THEN 'role:' || a ELSE 'user:' || a END))), ';') AS acl
+ FROM docs d JOIN documents x ON x.doc_id::VARCHAR = d.external_id""")
 def acl_migrate(spark, d):
-    return ACLS.spark(spark).select("id", F.array_join(U.migrate_acl(F.filter(F.split("acl", ";"), lambda x: x != "")), ";").alias("acl"))
+    """Lists of all documents, with entries from before entries had tags."""
+    lang = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("external_id"), "lang")
+    rows = C.documents(spark, d).join(lang, "external_id").select("document_id", F.concat("acl", F.array(F.col("source"), F.upper("lang"), F.concat(F.lit("Ana "), F.col("source")), F.col("source"))).alias("acl"))
+    return rows.select("document_id", F.array_join(U.migrate_acl(F.col("acl")), ";").alias("acl"))

@@ -1,4 +1,4 @@
-"""Queries of the answering steps over inline rows that the SQL shares."""
+"""Queries of the answering steps over the runs that conversations stand for, and over whole documents."""
 
 from __future__ import annotations
 
@@ -6,199 +6,174 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import text as T
 from quillstack.operators import steps as S
-from quillstack.plans.inline import Catalogue, Rows
+from quillstack.plans.inline import Catalogue
 from quillstack.sources import corpus as C
+from quillstack.sources import derived as D
 
 catalogue = Catalogue()
-f32 = lambda c: F.col(c).cast("float").alias(c)
 f64 = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+WITH = f"WITH {D.SQL}"
 
-ASKED = Rows("qid, p_boolean, p_choice, p_ranking, p_open", "(1, 0.55, 0.2, 0.1, 0.15), (2, 0.65, 0.1, 0.1, 0.15), (3, 0.2, 0.2, 0.2, 0.4), (4, 0.4, 0.4, 0.1, 0.1), (5, 0.1, 0.1, 0.3, 0.3)")
+_CLASSES = """greatest(p_boolean, p_choice, p_ranking, p_open) AS m FROM asked), classes AS (SELECT *, CASE WHEN p_open = m THEN 'open' WHEN p_ranking = m THEN 'ranking' WHEN p_choice = m THEN 'choice' ELSE 'boolean' END AS raw FROM p),
+classified AS (SELECT *, CASE WHEN raw <> 'open' AND m < 0.6::FLOAT THEN 'open' ELSE raw END AS category, CASE WHEN raw <> 'open' AND m < 0.6::FLOAT THEN raw END AS fallback_from FROM classes)"""
 
 
-@catalogue.add("classify_fallback", f"""WITH p AS (SELECT *, greatest(p_boolean, p_choice, p_ranking, p_open) AS m FROM {ASKED.sql}),
-r AS (SELECT *, CASE WHEN p_open = m THEN 'open' WHEN p_ranking = m THEN 'ranking' WHEN p_choice = m THEN 'choice' ELSE 'boolean' END AS raw FROM p)
-SELECT qid, raw, CASE WHEN raw <> 'open' AND m < 0.6 THEN 'open' ELSE raw END AS category, CASE WHEN raw <> 'open' AND m < 0.6 THEN raw END AS fallback_from, round(m::FLOAT::DOUBLE, 6) AS score FROM r""")
+@catalogue.add("classify_fallback", f"{WITH}, p AS (SELECT *, {_CLASSES} SELECT qid, raw, category, fallback_from, round(m::DOUBLE, 6) AS score FROM classified")
 def classify_fallback(spark, d):
-    rows = ASKED.spark(spark).select("qid", *[f32(f"p_{c}") for c in S.CATEGORIES])
-    return S.classify(rows, 0.6).select("qid", "raw", "category", "fallback_from", f64("score"))
+    return S.classify(D.asked(spark, d), 0.6).select("qid", "raw", "category", "fallback_from", f64("score"))
 
 
-SCORED = Rows("qid, step, category, score", "(1, 'answer', 'boolean', 0.7), (2, 'answer', 'boolean', 0.69), (3, 'answer', 'open', 0.69), (4, 'rerank', 'open', NULL), (5, 'verify', 'open', NULL), (6, 'rerank', 'boolean', 0.5)")
-GENERAL, OWN = Rows("step, threshold", "('rerank', 0.5), ('answer', 0.6)"), Rows("step, category, threshold", "('answer', 'boolean', 0.7)")
+#: Thresholds of a configuration; what they are held against are the turns.
+GENERAL, OWN = [("rerank", 0.5), ("answer", 0.6)], [("answer", "boolean", 0.7)]
 
 
-@catalogue.add("threshold_gate", f"""SELECT s.qid, CASE WHEN coalesce(o.threshold, g.threshold) IS NULL THEN 'passed' WHEN s.score IS NULL THEN 'failed' WHEN s.score < coalesce(o.threshold, g.threshold) THEN 'declined' ELSE 'passed' END AS outcome
- FROM {SCORED.sql} s LEFT JOIN {GENERAL.sql} g ON g.step = s.step LEFT JOIN {OWN.sql} o ON o.step = s.step AND o.category = s.category""")
+@catalogue.add("threshold_gate", f"""{WITH}, s AS (SELECT qid, turn, ['answer', 'rerank', 'verify'][(turn % 3)::INT + 1] AS step, ['boolean', 'open'][(n % 2)::INT + 1] AS category, CASE WHEN n % 7 <> 0 THEN (n * 3 % 101 / 100.0::DOUBLE)::FLOAT END AS score FROM turns),
+h AS (SELECT *, CASE WHEN step = 'answer' AND category = 'boolean' THEN 0.7::FLOAT WHEN step = 'answer' THEN 0.6::FLOAT WHEN step = 'rerank' THEN 0.5::FLOAT END AS threshold FROM s)
+SELECT qid, turn, CASE WHEN threshold IS NULL THEN 'passed' WHEN score IS NULL THEN 'failed' WHEN score < threshold THEN 'declined' ELSE 'passed' END AS outcome FROM h""")
 def threshold_gate(spark, d):
-    rows = SCORED.spark(spark).select("qid", "step", "category", f32("score"))
-    return S.gate(rows, GENERAL.spark(spark).select("step", f32("threshold")), OWN.spark(spark).select("step", "category", f32("threshold"))).select("qid", "outcome")
+    pick = lambda c, *v: F.get(F.array(*map(F.lit, v)), (F.col(c) % len(v)).cast("int"))
+    rows = D.turns(spark, d).select("qid", "turn", pick("turn", "answer", "rerank", "verify").alias("step"), pick("n", "boolean", "open").alias("category"), F.when(F.col("n") % 7 != 0, D.share("n", 3)).alias("score"))
+    return S.gate(rows, spark.createDataFrame(GENERAL, "step string, threshold float"), spark.createDataFrame(OWN, "step string, category string, threshold float")).select("qid", "turn", "outcome")
 
 
-MATCHES = Rows("qid, id, place, authoritative, p", "(1, 'a', 0, false, 0.2), (1, 'b', 1, false, 0.95), (1, 'c', 2, true, 0.6), (1, 'd', 3, false, 1.0), (2, 'x', 0, true, 0.5), (2, 'y', 1, true, 0.5)")
+_KEY = lambda place: f"(1.0::DOUBLE / (60 + {place} + CASE WHEN authoritative THEN 0 ELSE 10 END))::FLOAT"
+_RANKED = f"""own AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) - 1 AS spot FROM sources WHERE context_for IS NULL),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {_KEY("spot")} DESC, spot) AS r FROM own QUALIFY r <= {{keep}}),
+riding AS (SELECT * EXCLUDE (place, r), place, r, 0 AS c FROM (SELECT * EXCLUDE (spot) FROM best) UNION ALL SELECT s.* EXCLUDE (place), s.place, b.r, 1 FROM sources s JOIN best b ON b.qid = s.qid AND b.id = s.context_for),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c, r, place) AS rank, row_number() OVER (PARTITION BY qid ORDER BY r, c, place) AS reading FROM riding)"""
 
-NEAR = Rows("qid, id, context_for, place", "(1, 'a2', 'a', 4), (1, 'c0', 'c', 5), (1, 'c2', 'c', 6), (1, 'd2', 'd', 7), (2, 'x2', 'x', 2)")
 
-
-def _matches(spark):
-    return MATCHES.spark(spark).select("qid", "id", "place", "authoritative", f32("p"))
-
-
-@catalogue.add("rerank_order", f"SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY 1.0::DOUBLE / (60 + place + CASE WHEN authoritative THEN 0 ELSE 10 END) DESC, place) AS rank FROM {MATCHES.sql} QUALIFY rank <= 2")
+@catalogue.add("rerank_order", f"{WITH}, {_RANKED.format(keep=3)} SELECT qid, id, r AS rank FROM best")
 def rerank_order(spark, d):
-    return S.rerank(_matches(spark), 2).select("qid", "id", "rank")
+    """Matches alone: context is left out before it is ranked."""
+    return S.rerank(D.sources(spark, d).where("context_for is null"), 3).select("qid", "id", "rank")
 
 
-@catalogue.add("rerank_judged", f"""WITH j AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p DESC, place) - 1 AS judged, CASE WHEN authoritative THEN 60 ELSE 70 END AS base FROM {MATCHES.sql} WHERE place < 3)
-SELECT qid, id, round(p::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY 1.0::DOUBLE / (base + place) + 1.0::DOUBLE / (base + judged) DESC, place) AS rank FROM j QUALIFY rank <= 2""")
+@catalogue.add("rerank_judged", f"""{WITH}, {_RANKED.format(keep=3)}, j AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p DESC, spot) - 1 AS judged FROM own WHERE spot < 4)
+SELECT qid, id, round(p::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY ({_KEY("spot")} + {_KEY("judged")})::FLOAT DESC, spot) AS rank, round(max(p) OVER (PARTITION BY qid)::DOUBLE, 6) AS most FROM j QUALIFY rank <= 3""")
 def rerank_judged(spark, d):
-    return S.rerank(_matches(spark), 2, candidates=3).select("qid", "id", f64("score"), "rank")
+    rows = S.rerank(D.sources(spark, d).where("context_for is null"), 3, candidates=4)
+    judged = D.sources(spark, d).where("context_for is null")  # the best judged of those that were candidates
+    spot = F.row_number().over(S.Window.partitionBy("qid").orderBy("place"))
+    most = judged.withColumn("spot", spot).where("spot <= 4").groupBy("qid").agg(F.round(F.max("p").cast("double"), 6).alias("most"))
+    return rows.join(most, "qid").select("qid", "id", f64("score"), "rank", "most")
 
 
-SCREENS = Rows(
-    "qid, id, context_for, injection, relevance, contradiction, evidence",
-    "(1, 'a', NULL, 0.9, 0.9, 0.1, 0.9), (1, 'b', NULL, 0.1, 0.2, 0.1, 0.9), (1, 'c', NULL, 0.1, 0.9, 0.8, 0.1), (1, 'd', NULL, 0.7, 0.45, 0.7, 0.55), (1, 'e', NULL, 0.1, 0.9, 0.1, 0.5),"
-    " (1, 'd2', 'd', 0.1, NULL, NULL, NULL), (1, 'd3', 'd', 0.8, NULL, NULL, NULL), (1, 'b2', 'b', 0.1, NULL, NULL, NULL)",
-)
+@catalogue.add("rerank_context", f"{WITH}, {_RANKED.format(keep=2)} SELECT qid, id, context_for, rank, reading FROM ranked")
+def rerank_context(spark, d):
+    return S.rerank(D.sources(spark, d), 2).select("qid", "id", "context_for", "rank", "reading")
 
 
-@catalogue.add("admit_route", f"""WITH m AS (SELECT *, CASE WHEN injection > 0.7 THEN 'injection' WHEN context_for IS NOT NULL THEN NULL WHEN relevance < 0.45 THEN 'irrelevant' WHEN contradiction > 0.7 THEN 'conflict' WHEN evidence >= 0.55 THEN 'admitted' ELSE 'no_evidence' END AS own FROM {SCREENS.sql})
-SELECT a.qid, a.id, coalesce(a.own, b.own) AS route, coalesce(a.own, b.own) IN ('admitted', 'conflict') AS kept FROM m a LEFT JOIN m b ON b.qid = a.qid AND b.id = a.context_for""")
-def admit_route(spark, d):
-    rows = SCREENS.spark(spark).select("qid", "id", "context_for", *map(f32, ("injection", "relevance", "contradiction", "evidence")))
-    return S.admit(rows).select("qid", "id", "route", "kept")
+_ROUTED = """m AS (SELECT *, CASE WHEN injection > 0.7::FLOAT THEN 'injection' WHEN context_for IS NOT NULL THEN NULL WHEN relevance < 0.45::FLOAT THEN 'irrelevant' WHEN contradiction > 0.7::FLOAT THEN 'conflict' WHEN evidence >= 0.55::FLOAT THEN 'admitted' ELSE 'no_evidence' END AS own FROM {rows}),
+routed AS (SELECT a.qid, a.id, a.text, coalesce(a.own, b.own) AS route, coalesce(a.own, b.own) IN ('admitted', 'conflict') AS kept FROM m a LEFT JOIN m b ON b.qid = a.qid AND b.id = a.context_for AND b.context_for IS NULL)"""
 
 
-JUDGED = Rows("qid, p", "(1, 0.1), (2, 0.8), (3, 0.5)")
+@catalogue.add("admit_route", f"{WITH}, {_ROUTED.format(rows='sources')} SELECT qid, id, route, kept FROM routed")
+def admit_route(spark, d):
+    return S.admit(D.sources(spark, d)).select("qid", "id", "route", "kept")
 
 
-@catalogue.add("answer_verdict", f"SELECT qid, p >= 0.5 AS yes, round(greatest(p, 1 - p)::DOUBLE, 6) AS confidence FROM {JUDGED.sql}")
+@catalogue.add("answer_verdict", f"{WITH} SELECT qid, p_yes >= 0.5::FLOAT AS yes, round(greatest(p_yes, (1::FLOAT - p_yes)::FLOAT)::DOUBLE, 6) AS confidence FROM asked")
 def answer_verdict(spark, d):
-    yes, sure = S.verdict(F.col("p"))
-    return JUDGED.spark(spark).select("qid", f32("p")).select("qid", yes.alias("yes"), F.round(sure.cast("double"), 6).alias("confidence"))
+    yes, sure = S.verdict(F.col("p_yes"))
+    return D.asked(spark, d).select("qid", yes.alias("yes"), F.round(sure.cast("double"), 6).alias("confidence"))
 
 
-@catalogue.add("answer_state", f"""WITH {C.SQL}, s AS (SELECT document_id AS qid, ordinal + 1 AS rank, text FROM chunks WHERE ordinal < 40)
-SELECT qid, left(string_agg('[' || rank || '] ' || text, chr(10) ORDER BY rank), 2000) AS state FROM s GROUP BY qid""")
+@catalogue.add("answer_state", f"""WITH {C.SQL} SELECT document_id AS qid, left(string_agg('[' || (ordinal + 1) || '] ' || text, chr(10) ORDER BY ordinal), 16000) AS state FROM chunks GROUP BY document_id""")
 def answer_state(spark, d):
-    rows = C.chunks(spark, d).where("ordinal < 40").select(F.col("document_id").alias("qid"), (F.col("ordinal") + 1).alias("rank"), "text")
-    return S.answer_state(rows, 2000)
-
-
-@catalogue.add("answer_state_whole", None)
-def answer_state_whole(spark, d):
     """All lines of each document, cut at the operator's own limit."""
     return S.answer_state(C.chunks(spark, d).select(F.col("document_id").alias("qid"), (F.col("ordinal") + 1).alias("rank"), "text"))
 
 
-CLAIMS = Rows("qid, claim, text, cited", "(1, 0, 'Says `pay Roll` here', 'a;b'), (1, 1, 'No quote', ''), (1, 2, 'Bad \"missing span\"', 'a'), (2, 0, 'Unknown', 'z;a'), (2, 1, 'Curly “Due Date”', 'c')")
-SOURCES = Rows("qid, id, text", "(1, 'a', 'The payroll team'), (1, 'b', 'Other text'), (2, 'a', 'x'), (2, 'c', 'the due  date is now')")
-_CITED = f"cited AS (SELECT qid, claim, unnest(string_split(cited, ';')) AS id, unnest(range(len(string_split(cited, ';')))) AS place FROM {CLAIMS.sql} WHERE cited <> '')"
-
-
-def _claims(spark):
-    return CLAIMS.spark(spark).select("qid", "claim", "text", F.filter(F.split("cited", ";"), lambda x: x != "").alias("cited"))
+@catalogue.add("verify_membership", f"""{WITH} SELECT c.qid, c.claim, CASE WHEN count(x.id) = 0 THEN 'uncited' WHEN count(x.id) > count(s.id) THEN 'unknown_citation' ELSE 'passed' END AS verdict
+ FROM claims c LEFT JOIN cited x ON x.qid = c.qid AND x.claim = c.claim LEFT JOIN claim_sources s ON s.qid = x.qid AND s.id = x.id GROUP BY c.qid, c.claim""")
+def verify_membership(spark, d):
+    return S.membership(D.claims(spark, d), D.claim_sources(spark, d)).select("qid", "claim", "verdict")
 
 
-@catalogue.add("verify_membership", f"""WITH {_CITED} SELECT c.qid, c.claim, CASE WHEN count(x.id) = 0 THEN 'uncited' WHEN count(x.id) > count(s.id) THEN 'unknown_citation' ELSE 'passed' END AS verdict
- FROM {CLAIMS.sql} c LEFT JOIN cited x ON x.qid = c.qid AND x.claim = c.claim LEFT JOIN {SOURCES.sql} s ON s.qid = x.qid AND s.id = x.id GROUP BY c.qid, c.claim""")
-def verify_membership(spark, d):
-    return S.membership(_claims(spark), SOURCES.spark(spark)).select("qid", "claim", "verdict")
+_PLAIN = lambda x: f"""regexp_replace(lower({x}), '[\\s`"''“”‘’]+', '', 'g')"""
+_QUOTED = f"""held AS (SELECT c.qid, c.claim, c.text, count(x.id) AS n_cited, count(s.id) AS n_known, coalesce(list({_PLAIN("s.text")}) FILTER (s.id IS NOT NULL), []) AS plain
+ FROM claims c LEFT JOIN cited x ON x.qid = c.qid AND x.claim = c.claim LEFT JOIN claim_sources s ON s.qid = x.qid AND s.id = x.id GROUP BY c.qid, c.claim, c.text),
+spans AS (SELECT * EXCLUDE (text), list_filter(list_transform(regexp_extract_all(text, '`[^`]*`|"[^"]*"|“[^”]*”'), lambda q: q[2:len(q) - 1]), lambda q: trim(q) <> '') AS spans FROM held),
+quoted AS (SELECT *, len(list_filter(spans, lambda q: len(list_filter(plain, lambda s: contains(s, {_PLAIN("q")}))) = 0)) = 0 AS quotes_found FROM spans)"""
 
 
-@catalogue.add("quote_check", "SELECT * FROM (VALUES (1, 0, true), (1, 1, true), (1, 2, false), (2, 0, true), (2, 1, true)) v(qid, claim, quotes_found)")
+@catalogue.add("quote_check", f"{WITH}, {_QUOTED} SELECT qid, claim, quotes_found FROM quoted")
 def quote_check(spark, d):
-    return S.quotes(_claims(spark), SOURCES.spark(spark))
+    return S.quotes(D.claims(spark, d), D.claim_sources(spark, d))
 
 
-SUPPORT = Rows("qid, claim, place, supports, contradicts", "(1, 0, 0, 0.2, 0.9), (1, 0, 1, 0.8, 0.1), (1, 0, 2, 0.9, 0.1), (1, 1, 0, 0.1, 0.75), (1, 2, 0, 0.74, 0.1), (2, 0, 0, 0.75, 0.0)")
+_SUPPORT = """backed AS (SELECT qid, claim, CASE WHEN min(place) FILTER (supports >= 0.75::FLOAT) IS NOT NULL THEN 'supported' WHEN max(contradicts) >= 0.75::FLOAT THEN 'contradicted' ELSE 'unsupported' END AS verdict,
+ min(place) FILTER (supports >= 0.75::FLOAT) AS by_place FROM votes GROUP BY qid, claim)"""
 
 
-@catalogue.add("verify_support", f"""SELECT qid, claim, CASE WHEN min(place) FILTER (supports >= 0.75) IS NOT NULL THEN 'supported' WHEN max(contradicts) >= 0.75 THEN 'contradicted' ELSE 'unsupported' END AS verdict,
- min(place) FILTER (supports >= 0.75) AS by_place FROM {SUPPORT.sql} GROUP BY qid, claim""")
+@catalogue.add("verify_support", f"{WITH}, {_SUPPORT} SELECT qid, claim, verdict, by_place::INT AS by_place FROM backed")
 def verify_support(spark, d):
-    return S.support(SUPPORT.spark(spark).select("qid", "claim", "place", f32("supports"), f32("contradicts")), 0.75)
+    return S.support(D.votes(spark, d), 0.75)
 
 
-PASSED = Rows("qid, claim, passed", "(1, 0, true), (1, 1, true), (2, 0, true), (2, 1, false), (3, 0, false)")
+_VERIFIED = f"""{_QUOTED}, {_SUPPORT}, verified AS (SELECT q.qid, q.claim, CASE WHEN n_cited = 0 THEN 'uncited' WHEN n_cited > n_known THEN 'unknown_citation' WHEN NOT quotes_found THEN 'misquoted' ELSE coalesce(b.verdict, 'unsupported') END AS verdict
+ FROM quoted q LEFT JOIN backed b ON b.qid = q.qid AND b.claim = q.claim)"""
 
 
-@catalogue.add("verify_publish", f"""WITH c AS (SELECT qid, count(*) AS claims, count(*) FILTER (passed) AS passed FROM {PASSED.sql} GROUP BY qid)
+@catalogue.add("verify_claims", f"{WITH}, {_VERIFIED} SELECT qid, claim, verdict FROM verified")
+def verify_claims(spark, d):
+    return S.verify(D.claims(spark, d), D.claim_sources(spark, d), D.votes(spark, d)).select("qid", "claim", "verdict")
+
+
+@catalogue.add("verify_publish", f"""{WITH}, c AS (SELECT qid, count(*) AS claims, count(*) FILTER (n % 5 <> 0) AS passed FROM claims GROUP BY qid)
 SELECT 'decline' AS policy, qid, claims, passed, 0::BIGINT AS stripped, CASE WHEN passed < claims THEN 'declined' ELSE 'answered' END AS outcome FROM c
 UNION ALL SELECT 'strip', qid, claims, passed, CASE WHEN passed = 0 THEN 0 ELSE claims - passed END, CASE WHEN passed = 0 THEN 'declined' ELSE 'answered' END FROM c""")
 def verify_publish(spark, d):
-    rows = PASSED.spark(spark)
+    rows = D.claims(spark, d).select("qid", "claim", (F.col("n") % 5 != 0).alias("passed"))
     both = [S.publish(rows, p).select(F.lit(p).alias("policy"), "qid", "claims", "passed", "stripped", "outcome") for p in ("decline", "strip")]
     return both[0].union(both[1])
 
 
-@catalogue.add("verify_claims", f"""WITH {_CITED}, m AS (SELECT c.qid, c.claim, count(x.id) AS n, count(s.id) AS known, coalesce(string_agg(s.text, ' | '), '') AS texts, c.text
- FROM {CLAIMS.sql} c LEFT JOIN cited x ON x.qid = c.qid AND x.claim = c.claim LEFT JOIN {SOURCES.sql} s ON s.qid = x.qid AND s.id = x.id GROUP BY c.qid, c.claim, c.text),
- k AS (SELECT *, list_transform(regexp_extract_all(text, '`[^`]*`|"[^"]*"|“[^”]*”'), lambda q: regexp_replace(lower(q), '[\\s`"“”]+', '', 'g')) AS spans, regexp_replace(lower(texts), '[\\s`"“”]+', '', 'g') AS plain FROM m),
- j AS (SELECT qid, claim, CASE WHEN max(supports) >= 0.75 THEN 'supported' WHEN max(contradicts) >= 0.75 THEN 'contradicted' ELSE 'unsupported' END AS verdict FROM {SUPPORT.sql} GROUP BY qid, claim)
- SELECT k.qid, k.claim, CASE WHEN n = 0 THEN 'uncited' WHEN n > known THEN 'unknown_citation' WHEN len(list_filter(spans, lambda q: NOT contains(plain, q))) > 0 THEN 'misquoted' ELSE coalesce(j.verdict, 'unsupported') END AS verdict
- FROM k LEFT JOIN j ON j.qid = k.qid AND j.claim = k.claim""")
-def verify_claims(spark, d):
-    judged = SUPPORT.spark(spark).select("qid", "claim", "place", f32("supports"), f32("contradicts"))
-    return S.verify(_claims(spark), SOURCES.spark(spark), judged).select("qid", "claim", "verdict")
-
-
-@catalogue.add("citation_numbering", f"WITH {_CITED}, f AS (SELECT qid, id, min(claim * 1000 + place) AS first FROM cited GROUP BY qid, id) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY first) AS number FROM f")
+@catalogue.add("citation_numbering", f"{WITH}, f AS (SELECT qid, id, min({{'claim': claim, 'place': place}}) AS first FROM cited GROUP BY qid, id) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY first) AS number FROM f")
 def citation_numbering(spark, d):
-    return S.number_citations(_claims(spark))
+    return S.number_citations(D.claims(spark, d))
 
 
-@catalogue.add("explain_prompt", f"""WITH {C.SQL}, e AS (SELECT document_id AS qid, ordinal AS rank, '<source id="' || replace(replace(replace(id, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</source>' AS x FROM chunks WHERE ordinal < 5)
-SELECT qid, '<question>' || replace(replace(replace(min(d.title), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</question>' || chr(10) || string_agg(x, chr(10) ORDER BY rank) AS prompt FROM e JOIN docs d ON d.document_id = e.qid GROUP BY qid""")
-def explain_prompt(spark, d):
-    rows = C.chunks(spark, d).where("ordinal < 5").select(F.col("document_id").alias("qid"), "id", F.col("ordinal").alias("rank"), "text")
-    asked = C.documents(spark, d).select(F.col("document_id").alias("qid"), F.col("title").alias("question")).join(rows.select("qid").distinct(), "qid", "left_semi")
-    return S.prompt(asked, rows)
+_ESCAPED = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@catalogue.add("explain_prompt_whole", None)
-def explain_prompt_whole(spark, d):
+@catalogue.add("explain_prompt", f"""WITH {C.SQL}, e AS (SELECT document_id AS qid, min(title) AS title, string_agg('<source id="' || {_ESCAPED("id")} || '">' || {_ESCAPED("text")} || '</source>', chr(10) ORDER BY ordinal) AS x FROM chunks GROUP BY document_id)
+SELECT qid, '<question>' || {_ESCAPED("title")} || '</question>' || chr(10) || x AS prompt FROM e""")
+def explain_prompt(spark, d):
+    """All lines of each document as the sources of its title."""
     rows = C.chunks(spark, d).select(F.col("document_id").alias("qid"), "id", F.col("ordinal").alias("rank"), "text")
-    asked = C.documents(spark, d).select(F.col("document_id").alias("qid"), F.col("title").alias("question")).join(rows.select("qid").distinct(), "qid", "left_semi")
-    return S.prompt(asked, rows)
+    titles = C.documents(spark, d).select(F.col("document_id").alias("qid"), F.col("title").alias("question")).join(rows.select("qid").distinct(), "qid", "left_semi")
+    return S.prompt(titles, rows)
 
 
-REPLIES = Rows("qid, raw", """(1, '{"claims":[{"text":" One ","chunks":["a","b","a"]},{"text":"Two","chunks":[]}]}'), (2, '{"claims":[]}'), (3, 'not json'), (4, '{"claims":[{"text":"  ","chunks":["a"]}]}')""")
-
-
-@catalogue.add("explain_parse", "SELECT * FROM (VALUES (1, NULL, 'One[a,b];Two[]'), (2, 'no_claims', ''), (3, 'malformed', ''), (4, 'blank_claim', '[a]')) v(qid, problem, claims)")
+@catalogue.add("explain_parse", f"""{WITH}, c AS (SELECT c.*, t.total, row_number() OVER (PARTITION BY c.qid ORDER BY claim) = 1 AS first FROM claims c JOIN totals t ON t.qid = c.qid),
+s AS (SELECT qid, total, string_agg(CASE WHEN total % 7 = 2 AND first THEN '' ELSE trim(text) END || '[' || array_to_string(list_filter([cited[1], CASE WHEN len(cited) > 1 AND cited[2] <> cited[1] THEN cited[2] END], lambda x: x IS NOT NULL), ',') || ']', ';' ORDER BY claim) AS said,
+ count(*) FILTER (trim(text) = '' OR (total % 7 = 2 AND first)) AS blank FROM c GROUP BY qid, total)
+SELECT qid, CASE WHEN total % 7 = 0 THEN 'malformed' WHEN total % 7 = 1 THEN 'no_claims' WHEN blank > 0 THEN 'blank_claim' END AS problem, CASE WHEN total % 7 <= 1 THEN '' ELSE said END AS claims FROM s""")
 def explain_parse(spark, d):
     shown = F.array_join(F.transform("claims", lambda c: F.concat(c["text"], F.lit("["), F.array_join(c["cited"], ","), F.lit("]"))), ";")
-    return S.parse_explanation(REPLIES.spark(spark)).select("qid", "problem", F.coalesce(shown, F.lit("")).alias("claims"))
-
-
-@catalogue.add("rerank_context", f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY 1.0::DOUBLE / (60 + place + CASE WHEN authoritative THEN 0 ELSE 10 END) DESC, place) AS r FROM {MATCHES.sql} QUALIFY r <= 2),
- k AS (SELECT qid, id, NULL::VARCHAR AS context_for, r, 0 AS c, place FROM m UNION ALL SELECT n.qid, n.id, n.context_for, m.r, 1, n.place FROM {NEAR.sql} n JOIN m ON m.qid = n.qid AND m.id = n.context_for)
- SELECT qid, id, context_for, row_number() OVER (PARTITION BY qid ORDER BY c, r, place) AS rank, row_number() OVER (PARTITION BY qid ORDER BY r, c, place) AS reading FROM k""")
-def rerank_context(spark, d):
-    rows = _matches(spark).unionByName(NEAR.spark(spark), allowMissingColumns=True)
-    return S.rerank(rows, 2).select("qid", "id", "context_for", "rank", "reading")
+    return S.parse_explanation(D.replies(spark, d)).select("qid", "problem", F.coalesce(shown, F.lit("")).alias("claims"))
 
 
-@catalogue.add("render_sources", f"WITH {C.SQL} SELECT document_id, '**Sources**' || chr(10) || string_agg('[' || (ordinal + 1) || '] [' || title || '](' || url || '): ' || left(text, 40), chr(10) ORDER BY ordinal) AS markdown FROM chunks WHERE ordinal < 3 GROUP BY document_id")
+@catalogue.add("render_sources", f"""WITH {C.SQL} SELECT document_id, '**Sources**' || chr(10) || string_agg('[' || (ordinal + 1) || '] [' || title || '](' || url || '): ' || CASE WHEN length(trim(text)) > 200 THEN rtrim(left(trim(text), 200)) || '…' ELSE trim(text) END, chr(10) ORDER BY ordinal) AS markdown FROM chunks GROUP BY document_id""")
 def render_sources(spark, d):
-    line = F.concat(F.lit("["), (F.col("ordinal") + 1).cast("string"), F.lit("] ["), F.col("title"), F.lit("]("), F.col("url"), F.lit("): "), F.left(F.col("text"), F.lit(40)))
-    by = C.chunks(spark, d).where("ordinal < 3").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("x")))).alias("all"))
-    return by.select("document_id", F.concat(F.lit("**Sources**\n"), F.array_join(F.transform("all", lambda s: s["x"]), "\n")).alias("markdown"))
-
-
-@catalogue.add("render_sources_whole", None)
-def render_sources_whole(spark, d):
     """All lines of each document with their excerpts."""
     line = F.concat(F.lit("["), (F.col("ordinal") + 1).cast("string"), F.lit("] ["), F.col("title"), F.lit("]("), F.col("url"), F.lit("): "), T.excerpt(F.col("text")))
     by = C.chunks(spark, d).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("x")))).alias("all"))
     return by.select("document_id", F.concat(F.lit("**Sources**\n"), F.array_join(F.transform("all", lambda s: s["x"]), "\n")).alias("markdown"))
 
 
-@catalogue.add("pipeline_e2e", "SELECT * FROM (VALUES (1, 'open', NULL, 'explained', 2), (2, 'boolean', NULL, 'yes', 1), (3, 'open', 'retrieve', 'declined', 0), (4, 'open', 'admit', 'declined', 0), (5, 'boolean', 'answer', 'declined', 1)) v(qid, category, halted_at, outcome, sources)")
+for _name in ("answer_state", "explain_prompt", "render_sources"):  # the same under the names they had beside cut ones
+    catalogue.add(f"{_name}_whole", catalogue.sql[_name])(catalogue.queries[_name])
+
+
+_RUN = f"""{{with}}, p AS (SELECT *, {_CLASSES}, {_RANKED.format(keep=5)}, {_ROUTED.format(rows="ranked")}, admitted AS (SELECT qid, count(*) AS sources FROM routed WHERE kept GROUP BY qid), had AS (SELECT DISTINCT qid FROM ranked),
+run AS (SELECT q.qid, q.category, q.p_yes, CASE WHEN s.qid IS NULL THEN 'retrieve' WHEN a.sources IS NULL THEN 'admit' WHEN q.category = 'boolean' AND greatest(p_yes, (1::FLOAT - p_yes)::FLOAT) < 0.7::FLOAT THEN 'answer' END AS halted_at, coalesce(a.sources, 0) AS sources
+ FROM classified q LEFT JOIN had s ON s.qid = q.qid LEFT JOIN admitted a ON a.qid = q.qid)"""
+
+
+@catalogue.add("pipeline_e2e", f"""{_RUN.format(**{"with": WITH})} SELECT qid, category, halted_at, CASE WHEN halted_at IS NOT NULL THEN 'declined' WHEN category = 'boolean' THEN CASE WHEN p_yes >= 0.5::FLOAT THEN 'yes' ELSE 'no' END ELSE 'explained' END AS outcome, sources FROM run""")
 def pipeline_e2e(spark, d):
-    asked = spark.createDataFrame([(1, 0.55, 0.1, 0.1, 0.25, 0.5), (2, 0.9, 0.0, 0.0, 0.1, 0.9), (3, 0.1, 0.1, 0.1, 0.7, 0.5), (4, 0.1, 0.1, 0.1, 0.7, 0.5), (5, 0.9, 0.0, 0.0, 0.1, 0.6)], "qid int, p_boolean float, p_choice float, p_ranking float, p_open float, p_yes float")
-    ok, off = (0.1, 0.9, 0.1, 0.9), (0.1, 0.1, 0.1, 0.1)
-    rows = [(1, "a", 0, True, *ok), (1, "b", 1, False, *ok), (2, "c", 0, True, *ok), (2, "d", 1, True, *off), (4, "e", 0, True, *off), (5, "f", 0, True, *ok)]
-    matches = spark.createDataFrame(rows, "qid int, id string, place int, authoritative boolean, injection float, relevance float, contradiction float, evidence float")
-    return S.run_pipeline(asked, matches).withColumn("sources", F.col("sources").cast("int"))
+    """Classify, rerank, admit and decide for every conversation."""
+    return S.run_pipeline(D.asked(spark, d), D.sources(spark, d))
