@@ -253,9 +253,12 @@ class Model:
     other: int
 
 
-def fit(texts: DataFrame, head: int = HEAD) -> tuple[Model, DataFrame]:
+def fit(texts: DataFrame, head: int = HEAD, types: int | None = None, classes: int | None = None) -> tuple[Model, DataFrame]:
     """The model of the column `text`, and the counts (word, n, class) of all its words. Counts cover all rows.
 
+    `types` words are clustered by exchange into `classes` (by default as `sizes` says); as many types as there are words
+    cluster the whole vocabulary, and the head is then as large. The bigrams of types, at most as many as types squared
+    or tokens, go to the driver, which exchanges.
     Words that stand beside no clustered word, and new ones, take the class of the most words outside the clustering.
     """
     spark = texts.sparkSession
@@ -263,7 +266,8 @@ def fit(texts: DataFrame, head: int = HEAD) -> tuple[Model, DataFrame]:
     send = spark.sparkContext.broadcast
     counts = materialize(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    types, classes = sizes(distinct)
+    head, usual = max(head, types or 0), sizes(distinct)
+    types, classes = min(types, distinct + 1) if types else usual[0], classes or usual[1]
     step = F.floor(F.log2("n") * 64)  # counts below 92 each have a step of their own
     least, room = 2**62, head
     for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # at most 64 * 63 rows

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstack.llm.textcore import quoted
-from quillstack.session import materialize, table
+from quillstack.session import materialize, remove, table
 
 _SPANS = "array<struct<kind: string, start: long, end: long>>"
 _KEPT = "array<struct<rule: string, kind: string, start: long, end: long>>"
+_PARTS = "array<struct<rule: string, kind: string, at: int, gap: int, size: int, counts: boolean>>"
 LEDGER = f"blob binary, rules array<string>, findings {_KEPT}"
 
 
@@ -46,21 +47,26 @@ RULES = (
 )
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Spans of a rule, in code points: each match's place is the length of the gaps and matches before it."""
+def parts(text: Column, rule: Rule) -> Column:
+    """A row a match of a rule in order: the characters before it since the last one, its own, and those of its group. Places
+    are summed up over rows, not in the array: that would copy it for each match."""
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     held = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
-    parts = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), F.char_length).alias("gap"), F.transform(matches, F.char_length).alias("size"), F.transform(held, F.char_length).alias("held"))
-    none = F.array().cast(_KEPT)
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
+    row = F.transform(
+        F.arrays_zip(gaps.alias("gap"), F.transform(matches, F.char_length).alias("size"), F.transform(held, F.char_length).alias("held")),
+        lambda p, i: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.kind).alias("kind"), i.alias("at"), p["gap"].alias("gap"), p["size"].alias("size"), (p["held"] >= rule.least).alias("counts")),
+    )
+    return F.when(text.rlike(rule.pattern), F.filter(row, lambda p: p["size"].isNotNull())).otherwise(F.array().cast(_PARTS))
 
-    def add(state: Column, p: Column) -> Column:
-        start = state["at"] + p["gap"]
-        one = F.array(F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.kind).alias("kind"), start.alias("start"), (start + p["size"]).alias("end")))
-        return F.struct((start + F.coalesce(p["size"], F.lit(0))).alias("at"), F.when(p["held"] >= rule.least, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), add, lambda s: s["out"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+def placed(rows: DataFrame) -> DataFrame:
+    """(blob, findings) of rows (blob, parts): each match's place, in code points, is the sum of all before it."""
+    each = rows.select("blob", F.inline("parts"))
+    upto = F.sum(F.col("gap").cast("long") + F.col("size")).over(Window.partitionBy("blob", "rule").orderBy("at"))
+    spans = each.withColumn("end", upto).where("counts").select("blob", F.struct("rule", "kind", (F.col("end") - F.col("size")).alias("start"), "end").alias("f"))
+    return spans.groupBy("blob").agg(F.collect_list("f").alias("findings"))
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
@@ -88,8 +94,12 @@ def scan(paths: DataFrame, path: str, text: str, ledger: DataFrame | None = None
     unseen = F.array_except(F.array(*map(F.lit, names)), F.coalesce("seen", F.array().cast("array<string>")))
     blobs = blobs.select("blob", "text", unseen.alias("rules")).where(F.size("rules") > 0)
     # The flag keeps the patterns of seen rules from running.
-    found = F.flatten(F.array(*[F.when(F.array_contains("rules", r.name), spans(F.col("text"), r)).otherwise(F.array().cast(_KEPT)) for r in rules]))
-    new = materialize(blobs.select("blob", "rules", found.alias("findings")), "ledger")
+    found = F.flatten(F.array(*[F.when(F.array_contains("rules", r.name), parts(F.col("text"), r)).otherwise(F.array().cast(_PARTS)) for r in rules]))
+    scanned = materialize(blobs.select("blob", "rules", found.alias("parts")), "scanned")
+    findings = placed(scanned.where(F.size("parts") > 0))
+    none = F.array().cast(_KEPT)
+    new = materialize(scanned.select("blob", "rules").join(findings, "blob", "left").select("blob", "rules", F.coalesce("findings", none).cast(_KEPT).alias("findings")), "ledger")
+    remove(scanned)
 
     known = new if ledger is None else new.unionByName(ledger)
     known = known.where(F.size("findings") > 0).withColumn("f", F.explode("findings"))

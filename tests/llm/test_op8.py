@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillstack.llm import brown
 from quillstack.llm.brown import exchange, fit, op8_lm_scores, score_texts
@@ -138,3 +139,17 @@ def test_types_and_classes_grow_and_sweeps_end_where_none_moves():
             other = own.copy()
             other[w] = c
             assert likelihood(other) <= best + 1e-6
+
+
+def test_any_number_of_types_up_to_the_whole_vocabulary(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), brown.remainder("doc_id", 7).alias("k"))
+    train, held = docs.where("k <> 2").select("text"), docs.where("k = 2")
+    seen = {}
+    for types, classes in ((50, 8), (500, 24), (10**9, 24)):
+        model, counts = fit(train, types=types, classes=classes)
+        clustered = int((model.own >= 0).sum())
+        assert len(model.under) == classes and clustered == len(model.vocabulary.word)
+        r = score_texts(held, model, counts, keep=["doc_id"]).agg(F.sum("score"), F.sum("n_tokens")).first()
+        seen[types] = 10 ** (-r[0] / r[1])
+    print(seen)
+    assert seen[500] < seen[50] and seen[10**9] < seen[50]

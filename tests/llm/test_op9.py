@@ -1,8 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
-from quillstack.llm.secrets import RULES, Rule, op9_secrets, scan
+from quillstack.llm.secrets import LEDGER, RULES, Rule, op9_secrets, scan
 
 SF = "/root/testdata/sf0.01"
 KINDS = ("assign", "access", "hex")
@@ -75,3 +76,24 @@ def test_changed_removed_and_restored_rules(spark):
     assert spans(found) == {"a": [], "b": [("other", 0, 3)]}
     found, new = scan(docs, "path", "text", ledger.unionByName(new), (one,))
     assert spans(found) == {"a": [("plain", 0, 5)], "b": []} and new.count() == 0
+
+
+def test_many_matches_take_no_longer_each(spark):
+    took = []
+    for n in (100, 100, 20_000):  # the first warms up
+        d = spark.createDataFrame([(1, "token=abcdefgh1 " * n)], "path long, text string")
+        began = time.perf_counter()
+        found, _ = scan(d, "path", "text")
+        r = found.first()
+        took.append(time.perf_counter() - began)
+        assert len(r.findings) == n and [(f.start, f.end) for f in r.findings[-2:]] == [(16 * k, 16 * k + 15) for k in (n - 2, n - 1)]
+    assert took[2] < took[1] + 5
+
+
+def test_a_second_run_over_a_stored_ledger_scans_nothing(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found, new = scan(docs, "doc_id", "text")
+    new.write.parquet(f"{tmp_path}/ledger")
+    first = sorted(map(str, found.collect()))
+    again, newer = scan(docs, "doc_id", "text", spark.read.schema(LEDGER).parquet(f"{tmp_path}/ledger"))
+    assert newer.count() == 0 and sorted(map(str, again.collect())) == first and any("kind=" in x for x in first)
