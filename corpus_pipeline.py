@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm import bpe, decontaminate, jaccard, line_dedup, quality
-from quillstack.session import materialize, table
+from quillstack.session import materialize, remove, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -75,5 +75,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        kept = materialize(stage(spark, docs, sf_dir), "stage")
+        remove(docs)  # the stage before, of which nothing is read any more
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

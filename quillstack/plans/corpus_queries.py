@@ -8,6 +8,7 @@ from quillstack.functions import stemming
 from quillstack.functions import text as T
 from quillstack.operators import access as A
 from quillstack.operators import retrieval as R
+from quillstack.operators import vector_index as V
 from quillstack.session import broadcast_small, table
 from quillstack.sources import corpus as C
 from quillstack.sources import derived as D
@@ -212,6 +213,13 @@ def vector_topk(spark, d):
     return R.vector_top(*_vectors(spark, d)).select("qid", "id", "score", "rank")
 
 
+@query("vector_index_topk")
+def vector_index_topk(spark, d):
+    """The same queries through the index. Approximate, so tests measure its recall; SQL has nothing to compare."""
+    queries, vectors = _vectors(spark, d)
+    return V.search(V.build(vectors), queries).select("qid", "id", "score", "rank")
+
+
 _PAIRED = """paired AS (SELECT c.id, x.external_id::BIGINT AS n FROM chunks c JOIN docs x ON x.document_id = c.document_id WHERE c.ordinal = 0),
 near_paired AS (SELECT n.qid, p.id, row_number() OVER (PARTITION BY n.qid ORDER BY n.score DESC, p.id) AS rank FROM near n JOIN paired p ON p.n = n.id QUALIFY rank <= 50),
 lists AS (SELECT qid, id, rank FROM text_ranked UNION ALL SELECT q.qid, r.id, r.rank FROM near_paired r JOIN questions q ON q.qid * 20 = r.qid),

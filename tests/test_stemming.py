@@ -18,7 +18,7 @@ PAIRS = dict(
     for x in (
         "consign=consign consignment=consign consistency=consist consolation=consol consolatory=consolatori consolingly=consol consonant=conson conspicuously=conspicu conspirator=conspir constable=constabl constancy=constanc knackeries=knackeri "
         "knavish=knavish kneeled=kneel knives=knive knitted=knit knocker=knocker generate=generat generously=generous communism=communism caresses=caress ties=tie cries=cri gas=gas this=this gaps=gap kiwis=kiwi hopping=hop hoping=hope "
-        "by=by say=say boy=boy fly=fli flying=fli syzygy=syzygi relational=relat electrical=electr hopefulness=hope goodness=good formative=format happily=happili skies=sky inning=inning exceeding=exceed rolling=roll controller=control news=news a1s=a1s"
+        "by=by say=say boy=boy fly=fli flying=fli syzygy=syzygi relational=relat electrical=electr hopefulness=hope goodness=good formative=format happily=happili skies=sky inning=inning exceeding=exceed rolling=roll controller=control news=news a1s=a1"
     ).split()
 )
 

@@ -31,7 +31,7 @@ def test_sources_are_whole(spark):
 
 def test_rules_and_layers_cover_all_documents(spark):
     ids = [(r.source, str(r.doc_id)) for r in spark.read.parquet(f"{SF}/documents.parquet").select("source", "doc_id").collect()]
-    got = {r.document_id: (r.acl, r.sensitivity) for r in catalogue.QUERIES["label_rules_corpus"](spark, SF).collect()}
+    got = {r.document_id: (r.acl.split(",") if r.acl else [], r.sensitivity) for r in catalogue.QUERIES["label_rules_corpus"](spark, SF).collect()}
     want = {f"{s}:{i}": (["role:hr"], "confidential") if s == "src1" else (["role:hr", "role:payroll"], "internal") if (s, i) == ("src0", "10") else ([], "public") if s == "src0" else ([], "internal") for s, i in ids}
     assert got == want
     paths = {r.path: r.standing for r in catalogue.QUERIES["layer_resolution_corpus"](spark, SF).collect()}
