@@ -68,16 +68,20 @@ def same_text(a: Column, b: Column) -> Column:
 
 
 def escape_markup(text: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
 
+#: White space of any script, as a part of a character class.
+WHITE = r"\s\p{Z}\x85"
+
+
 def github_anchor(heading: Column) -> Column:
-    """URL fragment of a heading: lower case, ASCII letters, digits, hyphens and underscores; white space is a hyphen, but
-    not after one; hyphens at the ends go."""
-    kept = F.regexp_replace(F.lower(heading), "[^a-z0-9_\\s-]", "")
-    return F.btrim(F.regexp_replace(F.regexp_replace(kept, "(?<=-)\\s+", ""), "\\s+", "-"), F.lit("-"))
+    """URL fragment of a heading: lower case, ASCII letters, digits, hyphens and underscores; white space, of any script, is
+    a hyphen, but not after one; hyphens at the ends go."""
+    kept = F.regexp_replace(F.lower(heading), f"[^a-z0-9_{WHITE}-]", "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(kept, f"(?<=-)[{WHITE}]+", ""), f"[{WHITE}]+", "-"), F.lit("-"))
 
 
 def chunk_version(title: Column, heading: Column, url: Column, text: Column, authoritative: Column, acl: Column, sensitivity: Column, model: Column, model_version: Column) -> Column:

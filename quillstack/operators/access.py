@@ -47,6 +47,15 @@ def decision(acl: str, sensitivity: str, members: str, grants: str) -> Column:
     return F.when(~open_, F.lit("not_in_acl")).when(F.size(clears) == 0, F.lit("no_grant")).otherwise(F.concat(F.lit("allowed by "), F.try_element_at(clears, F.lit(1))["role"]))
 
 
+def enforce(rows: DataFrame, scopes: DataFrame, key: str = "qid") -> tuple[DataFrame, DataFrame]:
+    """(what may be read, all decisions): rows (key, acl, sensitivity, ...) with the `decision` of their question's scope
+    (key, members, grants). A row whose question has no scope is denied; every row has a decision, kept or not."""
+    held = scopes.select(key, "members", "grants")
+    judged = rows.join(broadcast_small(held), key, "left")
+    judged = judged.withColumn("decision", F.when(F.col("members").isNull(), "no_grant").otherwise(decision("acl", "sensitivity", "members", "grants"))).drop("members", "grants")
+    return judged.where(F.col("decision").startswith("allowed")), judged
+
+
 def run_decision(runs: Column, user: Column, owner: Column) -> Column:
     """Reading a stored run: `any`, `own` and nothing."""
     return F.when(runs == "any", "allowed").when((runs == "own") & (user == owner), "allowed").when(runs == "own", "not_owner").otherwise("no_grant")

@@ -153,19 +153,49 @@ def number_citations(claims: DataFrame) -> DataFrame:
 
 
 def prompt(questions: DataFrame, sources: DataFrame) -> DataFrame:
-    """(qid, prompt): the escaped question and its sources in order, as elements."""
-    one = F.concat(F.lit('<source id="'), T.escape_markup(F.col("id")), F.lit('">'), T.escape_markup(F.col("text")), F.lit("</source>"))
-    by = sources.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", one.alias("x")))).alias("all")).select("qid", F.array_join(F.transform("all", lambda s: s["x"]), "\n").alias("sources"))
-    return questions.join(by, "qid", "left").select("qid", F.concat(F.lit("<question>"), T.escape_markup(F.col("question")), F.lit("</question>\n"), F.coalesce("sources", F.lit(""))).alias("prompt"))
+    """(qid, prompt): the escaped question and its sources in order (id, rank, title, heading, authoritative, text), as
+    elements; a source's text can neither close its element nor begin another. Questions with a `verdict` are told it."""
+    held = lambda name, c: F.concat(F.lit(f' {name}="'), T.escape_markup(c), F.lit('"'))
+    heading = F.when(F.col("heading").isNotNull(), held("heading", F.col("heading"))).otherwise(F.lit(""))
+    standing = F.when(F.col("authoritative"), "true").otherwise("false")
+    one = F.concat(F.lit("<source"), held("chunk_id", F.col("id")), held("title", F.col("title")), heading, held("authoritative", standing), F.lit(">\n"), T.escape_markup(F.col("text")), F.lit("\n</source>\n"))
+    by = sources.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", one.alias("x")))).alias("all")).select("qid", F.array_join(F.transform("all", lambda s: s["x"]), "").alias("sources"))
+    said = F.lit("")
+    if "verdict" in questions.columns:
+        said = F.when(F.col("verdict").isNull(), "").otherwise(F.concat(F.lit("\n\n<verdict>"), F.when(F.col("verdict"), "yes").otherwise("no"), F.lit("</verdict>")))
+    text = F.concat(F.lit("<question>\n"), T.escape_markup(F.col("question")), F.lit("\n</question>\n\n<sources>\n"), F.coalesce("sources", F.lit("")), F.lit("</sources>"), said)
+    return questions.join(by, "qid", "left").select("qid", text.alias("prompt"))
+
+
+def reply_schema(sources: DataFrame, verdict: bool = False) -> DataFrame:
+    """(qid, schema): the JSON schema of a reply, in which claims cite the run's own sources (qid, id, rank) alone; replies
+    that explain a verdict say whether the sources contradict it."""
+    text = lambda **more: F.struct(F.lit("string").alias("type"), *[v.alias(k) for k, v in more.items()])
+    closed = lambda properties, *required: F.struct(F.lit("object").alias("type"), properties.alias("properties"), F.array(*map(F.lit, required)).alias("required"), F.lit(False).alias("additionalProperties"))
+    ids = F.struct(F.lit("array").alias("type"), text(enum=F.col("ids")).alias("items"), F.lit(1).alias("minItems"))
+    claims = F.struct(F.lit("array").alias("type"), closed(F.struct(text().alias("text"), ids.alias("chunk_ids")), "text", "chunk_ids").alias("items"))
+    flag = [F.struct(F.lit("boolean").alias("type")).alias("contradicts_verdict")] if verdict else []
+    whole = closed(F.struct(claims.alias("claims"), *flag), *(["claims", "contradicts_verdict"] if verdict else ["claims"]))
+    by = sources.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    return by.select("qid", F.to_json(whole).alias("schema"))
+
+
+#: A chunk's id: a source, a colon, and a document and a locator parted by a number sign.
+CHUNK_ID = "^[a-z0-9_-]+:[^#]*#"
 
 
 def parse_explanation(rows: DataFrame) -> DataFrame:
-    """Claims of a model's JSON reply `raw`: trimmed, citations once each; `problem` says what makes a reply unusable."""
-    parsed = F.from_json("raw", "claims array<struct<text: string, chunks: array<string>>>")
-    rows = rows.withColumn("claims", F.transform(parsed["claims"], lambda c: F.struct(F.trim(c["text"]).alias("text"), F.array_distinct(c["chunks"]).alias("cited"))))
-    blank = F.exists("claims", lambda c: F.coalesce(c["text"], F.lit("")) == "")
-    problem = F.when(F.col("claims").isNull(), "malformed").when(F.size("claims") == 0, "no_claims").when(blank, "blank_claim")
-    return rows.withColumn("problem", problem)
+    """Claims of a model's JSON reply `raw`: trimmed, citations once each; `contradicts` is its flag, and `problem` says what
+    makes a reply unusable: malformed, no_claims, or the first claim's fault of blank_claim, blank_id and malformed_id."""
+    schema = "claims array<struct<text: string, chunk_ids: array<string>>>, contradicts_verdict boolean, _bad string"
+    parsed = rows.withColumn("_reply", F.from_json("raw", schema, {"columnNameOfCorruptRecord": "_bad"}))
+    said = F.transform("_reply.claims", lambda c: F.struct(F.trim(c["text"]).alias("text"), F.array_distinct(F.transform(c["chunk_ids"], lambda i: F.trim(i))).alias("cited")))
+    parsed = parsed.withColumn("claims", said).withColumn("contradicts", F.coalesce("_reply.contradicts_verdict", F.lit(False)))
+    lacks = F.exists("claims", lambda c: c["text"].isNull() | c["cited"].isNull())
+    id_fault = lambda c: F.get(F.filter(F.transform(c["cited"], lambda i: F.when(i == "", "blank_id").when(~i.rlike(CHUNK_ID), "malformed_id")), lambda x: x.isNotNull()), F.lit(0))
+    faults = F.filter(F.transform("claims", lambda c: F.when(c["text"] == "", "blank_claim").otherwise(id_fault(c))), lambda x: x.isNotNull())
+    problem = F.when(F.col("claims").isNull() | F.col("_reply._bad").isNotNull() | lacks, "malformed").when(F.size("claims") == 0, "no_claims").otherwise(F.get(faults, F.lit(0)))
+    return parsed.withColumn("problem", problem).drop("_reply")
 
 
 def run_pipeline(questions: DataFrame, matches: DataFrame, keep: int = 5, replies: DataFrame | None = None, judged: DataFrame | None = None, policy: str = "decline") -> DataFrame:
@@ -173,7 +203,7 @@ def run_pipeline(questions: DataFrame, matches: DataFrame, keep: int = 5, replie
 
     `questions` has the category probabilities and p_yes; `matches` the retrieval order and the screens, and the texts
     if there are `replies` (qid, raw), which are then read and their claims verified against the admitted sources; a
-    question without a reply, or with an unusable one, halts at explain. Returns qid, category, halted_at, outcome, sources.
+    question without a reply, with an unusable one, or with one that contradicts its verdict, halts at explain. Returns qid, category, halted_at, outcome, sources.
     """
     q = classify(questions, 0.6).withColumn("halted_at", F.lit(None).cast("string"))
     ranked = rerank(matches, keep)
@@ -186,7 +216,9 @@ def run_pipeline(questions: DataFrame, matches: DataFrame, keep: int = 5, replie
     q = q.withColumn("halted_at", F.coalesce("halted_at", F.when((F.col("category") == "boolean") & (sure < f32(0.7)), "answer")))
     if replies is not None:
         told = parse_explanation(replies.join(q.where("halted_at is null").select("qid"), "qid", "left_semi"))
-        usable = told.where("problem is null")
+        # An open question's flag means nothing; a verdict that the reply contradicts is declined, whatever else it says.
+        told = told.join(q.select("qid", (F.col("category") == "boolean").alias("judged")), "qid")
+        usable = told.where("problem is null and not (judged and contradicts)")
         claims = usable.select("qid", F.posexplode("claims").alias("claim", "c")).select("qid", "claim", "c.text", F.coalesce("c.cited", F.array().cast("array<string>")).alias("cited"))
         published = publish(verify(claims, kept.select("qid", "id", "text"), judged), policy).select("qid", F.col("outcome").alias("published"))
         q = q.join(usable.select("qid", F.lit(True).alias("explained")), "qid", "left").join(published, "qid", "left")

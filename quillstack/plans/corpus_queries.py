@@ -9,7 +9,7 @@ from quillstack.functions import text as T
 from quillstack.operators import access as A
 from quillstack.operators import retrieval as R
 from quillstack.operators import vector_index as V
-from quillstack.session import broadcast_small, table
+from quillstack.session import broadcast_small, materialize, table
 from quillstack.sources import corpus as C
 from quillstack.sources import derived as D
 
@@ -159,9 +159,9 @@ scored AS (SELECT a.qid, p.id, round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5
 text_ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 50)"""
 
 
-def _open(spark, d):
+def _open(spark, d, chunks=None):
     scope = spark.createDataFrame([(["role:fr"], ["public", "internal"])], "members array<string>, sensitivities array<string>")
-    return C.chunks(spark, d).crossJoin(broadcast_small(scope)).where(A.in_scope("acl", "sensitivity", "members", "sensitivities")).select("id")
+    return (C.chunks(spark, d) if chunks is None else chunks).crossJoin(broadcast_small(scope)).where(A.in_scope("acl", "sensitivity", "members", "sensitivities")).select("id")
 
 
 @query("bm25_topk")
@@ -271,8 +271,10 @@ wanted AS (SELECT DISTINCT h.qid, unnest([a.id, a.p, a.x]) AS id FROM hits h JOI
 
 @query("hybrid_retrieve", f", {_HYBRID} SELECT qid, id, round(score::DOUBLE, 7) AS score, context_for, position FROM placed")
 def hybrid_retrieve(spark, d):
+    """Over stored chunks: lines are split and labelled once."""
     queries, vectors = _paired(spark, d)
-    found = R.hybrid(_named(spark, d), C.chunks(spark, d), queries, vectors, _open(spark, d))
+    chunks = materialize(C.chunks(spark, d), "chunks")
+    found = R.hybrid(_named(spark, d), chunks, queries, vectors, _open(spark, d, chunks))
     return found.withColumn("score", F.round(F.col("score").cast("double"), 7))
 
 

@@ -220,7 +220,7 @@ def run_lookup(spark, d):
     return found.select("id", F.size("entries").cast("long").alias("entries"), F.array_join(F.transform("entries", lambda e: U.field(e, "$.step")), ";").alias("steps"))
 
 
-@catalogue.add("trace_redact", f"{WITH} SELECT qid AS id, string_agg(concat_ws(',', CASE WHEN n % 3 <> 0 THEN id END, CASE WHEN n % 2 <> 0 THEN coalesce(prev_id, 'none') END), ';' ORDER BY turn) AS seen FROM turns GROUP BY qid")
+@catalogue.add("trace_redact", f"{WITH} SELECT qid AS id, string_agg(concat_ws(',', CASE WHEN n % 3 <> 0 THEN id END, CASE WHEN n % 2 <> 0 THEN coalesce(prev_id, 'talk:none#t0') END), ';' ORDER BY turn) AS seen FROM turns GROUP BY qid")
 def trace_redact(spark, d):
     rows = D.traces(spark, d).select("id", U.without_denials(F.col("trace")).alias("entries"))
     checks = lambda e: F.try_variant_get(e, "$.access", "array<variant>")
@@ -228,7 +228,7 @@ def trace_redact(spark, d):
 
 
 @catalogue.add("trace_migrate", f"""{WITH}, a AS (SELECT qid, bool_or(role = 'system') AS answered FROM turns GROUP BY qid),
-e AS (SELECT t.qid, turn, '{{"access":[{{"allowed":' || (n % 3 <> 0)::VARCHAR || ',"chunk":' || to_json(id) || '}},{{"allowed":' || (n % 2 <> 0)::VARCHAR || ',"chunk":' || to_json(coalesce(prev_id, 'none')) || '}}],"record":{{' || CASE WHEN role = 'assistant' AND turn % 5 <> 4 AND answered THEN '"contradicts_verdict":' || (n % 2 = 0)::VARCHAR || ',' ELSE '' END
+e AS (SELECT t.qid, turn, '{{"access":[{{"allowed":' || (n % 3 <> 0)::VARCHAR || ',"chunk":' || to_json(id) || '}},{{"allowed":' || (n % 2 <> 0)::VARCHAR || ',"chunk":' || to_json(coalesce(prev_id, 'talk:none#t0')) || '}}],"record":{{' || CASE WHEN role = 'assistant' AND turn % 5 <> 4 AND answered THEN '"contradicts_verdict":' || (n % 2 = 0)::VARCHAR || ',' ELSE '' END
  || CASE WHEN turn % 5 = 4 THEN '"extra":{{"n":' || n || ',"tags":[' || to_json(role) || ',"x"]}},"kind":"future"' ELSE '"kind":' || to_json({_STEP}) END || ',"raw":' || to_json(text) || '}},"step":' || to_json({_STEP}) || '}}' AS j FROM turns t JOIN a ON a.qid = t.qid)
 SELECT qid AS id, sha256('[' || string_agg(j, ',' ORDER BY turn) || ']') AS trace_sha256, length('[' || string_agg(j, ',' ORDER BY turn) || ']') AS n_chars FROM e GROUP BY qid""")
 def trace_migrate(spark, d):

@@ -198,7 +198,7 @@ def glossary_expand(spark, d):
     return G.expand(_asked(spark, d), _entries(spark, d)).select("qid", F.array_join("terms", " ").alias("terms"), "expanded")
 
 
-@catalogue.add("github_anchor", rf"WITH {C.SQL} SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s-]', '', 'g'), '-\s+', '-', 'g'), '\s+', '-', 'g'), '-') AS anchor FROM chunks")
+@catalogue.add("github_anchor", rf"WITH {C.SQL} SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s\p{{Z}}\x85-]', '', 'g'), '-[\s\p{{Z}}\x85]+', '-', 'g'), '[\s\p{{Z}}\x85]+', '-', 'g'), '-') AS anchor FROM chunks")
 def github_anchor(spark, d):
     """Each line as a heading."""
     return C.chunks(spark, d).select("id", T.github_anchor(F.col("text")).alias("anchor"))

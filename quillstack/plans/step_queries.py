@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import text as T
 from quillstack.operators import steps as S
+from quillstack.operators import trace as R
 from quillstack.plans.inline import Catalogue
 from quillstack.sources import corpus as C
 from quillstack.sources import derived as D
@@ -135,25 +136,32 @@ def citation_numbering(spark, d):
     return S.number_citations(D.claims(spark, d))
 
 
-_ESCAPED = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_ESCAPED = lambda x: f"""replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
 
 
-@catalogue.add("explain_prompt", f"""WITH {C.SQL}, e AS (SELECT document_id AS qid, min(title) AS title, string_agg('<source id="' || {_ESCAPED("id")} || '">' || {_ESCAPED("text")} || '</source>', chr(10) ORDER BY ordinal) AS x FROM chunks GROUP BY document_id)
-SELECT qid, '<question>' || {_ESCAPED("title")} || '</question>' || chr(10) || x AS prompt FROM e""")
+@catalogue.add("explain_prompt", f"""WITH {C.SQL}, e AS (SELECT document_id AS qid, min(title) AS title, string_agg('<source chunk_id="' || {_ESCAPED("id")} || '" title="' || {_ESCAPED("title")} || '" authoritative="' || authoritative::VARCHAR || '">' || chr(10) || {_ESCAPED("text")} || chr(10) || '</source>' || chr(10), '' ORDER BY ordinal) AS x FROM chunks GROUP BY document_id)
+SELECT qid, '<question>' || chr(10) || {_ESCAPED("title")} || chr(10) || '</question>' || chr(10) || chr(10) || '<sources>' || chr(10) || x || '</sources>' || chr(10) || chr(10) || '<verdict>' || CASE WHEN length(qid) % 2 = 0 THEN 'yes' ELSE 'no' END || '</verdict>' AS prompt FROM e""")
 def explain_prompt(spark, d):
     """All lines of each document as the sources of its title."""
-    rows = C.chunks(spark, d).select(F.col("document_id").alias("qid"), "id", F.col("ordinal").alias("rank"), "text")
-    titles = C.documents(spark, d).select(F.col("document_id").alias("qid"), F.col("title").alias("question")).join(rows.select("qid").distinct(), "qid", "left_semi")
+    rows = C.chunks(spark, d).select(F.col("document_id").alias("qid"), "id", F.col("ordinal").alias("rank"), "text", "title", "heading", "authoritative")
+    titles = C.documents(spark, d).select(F.col("document_id").alias("qid"), F.col("title").alias("question"), (F.char_length("document_id") % 2 == 0).alias("verdict")).join(rows.select("qid").distinct(), "qid", "left_semi")
     return S.prompt(titles, rows)
 
 
+@catalogue.add("explain_schema", f"""WITH {C.SQL} SELECT document_id AS qid, '{{"type":"object","properties":{{"claims":{{"type":"array","items":{{"type":"object","properties":{{"text":{{"type":"string"}},"chunk_ids":{{"type":"array","items":{{"type":"string","enum":[' || string_agg(to_json(id)::VARCHAR, ',' ORDER BY ordinal)
+ || ']}},"minItems":1}}}},"required":["text","chunk_ids"],"additionalProperties":false}}}},"contradicts_verdict":{{"type":"boolean"}}}},"required":["claims","contradicts_verdict"],"additionalProperties":false}}' AS schema FROM chunks GROUP BY document_id""")
+def explain_schema(spark, d):
+    """What a reply about each document may say."""
+    return S.reply_schema(C.chunks(spark, d).select(F.col("document_id").alias("qid"), "id", F.col("ordinal").alias("rank")), verdict=True)
+
+
 @catalogue.add("explain_parse", f"""{WITH}, c AS (SELECT c.*, t.total, row_number() OVER (PARTITION BY c.qid ORDER BY claim) = 1 AS first FROM claims c JOIN totals t ON t.qid = c.qid),
-s AS (SELECT qid, total, string_agg(CASE WHEN total % 7 = 2 AND first THEN '' ELSE trim(text) END || '[' || array_to_string(list_filter([cited[1], CASE WHEN len(cited) > 1 AND cited[2] <> cited[1] THEN cited[2] END], lambda x: x IS NOT NULL), ',') || ']', ';' ORDER BY claim) AS said,
- count(*) FILTER (trim(text) = '' OR (total % 7 = 2 AND first)) AS blank FROM c GROUP BY qid, total)
-SELECT qid, CASE WHEN total % 7 = 0 THEN 'malformed' WHEN total % 7 = 1 THEN 'no_claims' WHEN blank > 0 THEN 'blank_claim' END AS problem, CASE WHEN total % 7 <= 1 THEN '' ELSE said END AS claims FROM s""")
+i AS (SELECT *, list_concat(list_filter([cited[1], CASE WHEN len(cited) > 1 AND cited[2] <> cited[1] THEN cited[2] END], lambda x: x IS NOT NULL), CASE WHEN first AND total % 7 = 3 THEN [''] WHEN first AND total % 7 = 4 THEN ['no id'] ELSE [] END) AS ids, CASE WHEN total % 7 = 2 AND first THEN '' ELSE trim(text) END AS said FROM c),
+s AS (SELECT qid, total, string_agg(said || '[' || array_to_string(ids, ',') || ']', ';' ORDER BY claim) AS said, arg_min(CASE WHEN said = '' THEN 'blank_claim' WHEN list_contains(ids, '') THEN 'blank_id' WHEN list_contains(ids, 'no id') THEN 'malformed_id' END, claim) FILTER (said = '' OR list_contains(ids, '') OR list_contains(ids, 'no id')) AS fault FROM i GROUP BY qid, total)
+SELECT qid, CASE WHEN total % 7 = 0 THEN 'malformed' WHEN total % 7 = 1 THEN 'no_claims' ELSE fault END AS problem, total % 7 = 5 AS contradicts, CASE WHEN total % 7 <= 1 THEN '' ELSE said END AS claims FROM s""")
 def explain_parse(spark, d):
     shown = F.array_join(F.transform("claims", lambda c: F.concat(c["text"], F.lit("["), F.array_join(c["cited"], ","), F.lit("]"))), ";")
-    return S.parse_explanation(D.replies(spark, d)).select("qid", "problem", F.coalesce(shown, F.lit("")).alias("claims"))
+    return S.parse_explanation(D.replies(spark, d)).select("qid", "problem", "contradicts", F.coalesce(shown, F.lit("")).alias("claims"))
 
 
 @catalogue.add("render_sources", f"""WITH {C.SQL} SELECT document_id, '**Sources**' || chr(10) || string_agg('[' || (ordinal + 1) || '] [' || title || '](' || url || '): ' || CASE WHEN length(trim(text)) > 200 THEN rtrim(left(trim(text), 200)) || '…' ELSE trim(text) END, chr(10) ORDER BY ordinal) AS markdown FROM chunks GROUP BY document_id""")
@@ -177,3 +185,39 @@ run AS (SELECT q.qid, q.category, q.p_yes, CASE WHEN s.qid IS NULL THEN 'retriev
 def pipeline_e2e(spark, d):
     """Classify, rerank, admit and decide for every conversation."""
     return S.run_pipeline(D.asked(spark, d), D.sources(spark, d))
+
+
+_CHECKED = """checked AS (SELECT *, CASE WHEN role = 'system' THEN 'not_in_acl' WHEN n % 5 = 0 THEN 'no_grant' ELSE 'allowed by reader' END AS decision FROM sources), allowed AS (SELECT * EXCLUDE (decision) FROM checked WHERE decision LIKE 'allowed%')"""
+_TRACED = _RUN.replace("FROM sources", "FROM allowed").format(**{"with": f"{WITH}, {_CHECKED}"})
+
+
+def _traces(spark, d):
+    """Traces of all conversations, read by somebody who may not see system turns and texts of every fifth length."""
+    labels = [F.when(F.col("role") == "system", F.array(F.lit("role:ops"))).otherwise(F.array().cast("array<string>")).alias("acl"), F.when(F.col("n") % 5 == 0, "confidential").otherwise("internal").alias("sensitivity")]
+    asked = D.asked(spark, d)
+    scope = asked.select("qid", F.array(F.lit("role:reader")).alias("members"), F.array(F.struct(F.lit("reader").alias("role"), F.lit("internal").alias("clearance"))).alias("grants"))
+    return R.run(asked, D.sources(spark, d).select("*", *labels), scope)
+
+
+@catalogue.add("run_traces", f"""{_TRACED}, a AS (SELECT qid, string_agg(id, ',' ORDER BY place) AS retrieved FROM allowed GROUP BY qid), c AS (SELECT qid, string_agg(id || '=' || decision, ',' ORDER BY place) AS checks FROM checked GROUP BY qid), x AS (SELECT r.qid, string_agg(k.id || '=' || k.route, ',' ORDER BY r.rank) AS routes FROM ranked r JOIN routed k ON k.qid = r.qid AND k.id = r.id GROUP BY r.qid)
+SELECT r.qid, 'classify;retrieve' || CASE WHEN halted_at = 'retrieve' THEN '' WHEN halted_at = 'admit' OR category <> 'boolean' THEN ';rerank;admit' ELSE ';rerank;admit;answer' END AS steps, CASE halted_at WHEN 'retrieve' THEN 'no_sources' WHEN 'admit' THEN 'no_admitted_sources' WHEN 'answer' THEN 'low_confidence' END AS reason,
+ coalesce(a.retrieved, '') AS retrieved, c.checks, CASE WHEN halted_at IS DISTINCT FROM 'retrieve' THEN x.routes END AS routes FROM run r LEFT JOIN a ON a.qid = r.qid LEFT JOIN c ON c.qid = r.qid LEFT JOIN x ON x.qid = r.qid""")
+def run_traces(spark, d):
+    record = lambda kind, path, of: F.try_variant_get(R.last_record("trace", kind), path, of)
+    shown = lambda a, f: F.array_join(F.transform(a, f), ",")
+    steps = F.array_join(F.transform("trace", lambda e: e["step"]), ";")
+    checks = F.get(F.filter("trace", lambda e: e["step"] == "retrieve"), F.lit(0))["access"]
+    return _traces(spark, d).select(
+        "qid", steps.alias("steps"), F.try_element_at("trace", F.lit(-1))["reason"].alias("reason"), shown(record("retrieve", "$.chunks", "array<struct<chunk: string>>"), lambda c: c["chunk"]).alias("retrieved"),
+        shown(checks, lambda c: F.concat_ws("=", c["chunk"], c["decision"])).alias("checks"), shown(record("admit", "$.sources", "array<struct<chunk: string, route: string>>"), lambda c: F.concat_ws("=", c["chunk"], c["route"])).alias("routes"),
+    )
+
+
+@catalogue.add("run_trace_scores", f"""{_TRACED}, g AS (SELECT run AS qid, category AS golden, relevant FROM runs), a AS (SELECT qid, list(id ORDER BY place) FILTER (context_for IS NULL) AS found FROM allowed GROUP BY qid), k AS (SELECT qid, list(id ORDER BY rank) AS first FROM ranked GROUP BY qid)
+SELECT r.qid AS run, g.golden AS category, r.category = g.golden AS classified, CASE WHEN len(relevant) > 0 THEN len(list_intersect(relevant, coalesce(a.found, [])[1:50]))::DOUBLE / len(relevant) END AS found_share,
+ CASE WHEN len(relevant) > 0 AND halted_at IS DISTINCT FROM 'retrieve' THEN list_has_any(coalesce(k.first, [])[1:5], relevant) END AS hit, halted_at IS NOT NULL AS declined
+ FROM run r JOIN g ON g.qid = r.qid LEFT JOIN a ON a.qid = r.qid LEFT JOIN k ON k.qid = r.qid""")
+def run_trace_scores(spark, d):
+    """Scores that are read from the traces' last records."""
+    golden = D.runs(spark, d).select(F.col("run").alias("qid"), "category", "relevant")
+    return R.scores(_traces(spark, d), golden).select("run", "category", "classified", "found_share", "hit", "declined")

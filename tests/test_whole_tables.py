@@ -18,12 +18,12 @@ def lines(spark):
 def test_sources_are_whole(spark):
     docs = lines(spark)
     assert max(map(len, docs.values())) > 5 and max(sum(map(len, x)) for x in docs.values()) > 2000
-    escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
     state = {r.qid: r.state for r in catalogue.QUERIES["answer_state_whole"](spark, SF).collect()}
     assert state == {d: "\n".join(f"[{n}] {t}" for n, t in enumerate(x, 1))[:16000] for d, x in docs.items()}
     prompt = {r.qid: r.prompt for r in catalogue.QUERIES["explain_prompt_whole"](spark, SF).collect()}
     assert prompt.keys() == docs.keys()
-    assert all(prompt[d].count("<source id=") == len(x) and all(escape(t) + "</source>" in prompt[d] for t in x) for d, x in docs.items())
+    assert all(prompt[d].count("<source chunk_id=") == len(x) and all(escape(t) + "\n</source>" in prompt[d] for t in x) for d, x in docs.items())
     shown = {r.document_id: r.markdown for r in catalogue.QUERIES["render_sources_whole"](spark, SF).collect()}
     cut = lambda t: t[:200].rstrip(" ") + "…" if len(t) > 200 else t
     assert shown == {d: "**Sources**\n" + "\n".join(f"[{n}] [Document {d.split(':')[1]}]({d}): {cut(t)}" for n, t in enumerate(x, 1)) for d, x in docs.items()}
