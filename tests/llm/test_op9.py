@@ -91,7 +91,7 @@ def test_many_matches_take_no_longer_each(spark):
 
 
 def test_a_second_run_over_a_stored_ledger_scans_nothing(spark, tmp_path):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     found, new = scan(docs, "doc_id", "text")
     new.write.parquet(f"{tmp_path}/ledger")
     first = sorted(map(str, found.collect()))
