@@ -34,16 +34,17 @@ IBAN_LENGTH = {
     for code in codes.split(",")
 }
 
-#: Score of a confirmed span, and words that raise it when they stand among the CONTEXT code points before it.
+#: Score of a confirmed span, and words that raise it when they stand among the CONTEXT code points before or after it.
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
 CONTEXT, RAISE = 48, 0.15
 WORDS = {
-    "email": ("mail", "contact", "write to", "correo", "courriel"),
-    "ip": ("ip", "address", "host", "server", "adresse"),
-    "card": ("card", "visa", "credit", "payment", "tarjeta", "carte", "karte"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "téléphone"),
-    "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
+    "email": "mail email e-mail contact reach write address correo contacto escriba courriel contacter écrire kontakt schreiben",
+    "ip": "ip ipv4 address host hostname server client gateway router adresse adresa dirección servidor serveur rechner",
+    "card": "card visa mastercard amex credit debit payment pay expires cvv cvc tarjeta crédito pago carte crédit paiement karte kreditkarte zahlung",
+    "phone": "phone telephone call tel mobile cell fax dial whatsapp sms teléfono móvil llame llamar téléphone portable appeler telefon handy anrufen rufnummer",
+    "iban": "iban account bank transfer bic swift cuenta banco transferencia compte banque virement konto bankverbindung überweisung",
 }
+_NEAR = {kind: re.compile(rf"\b(?:{'|'.join(map(re.escape, words.split()))})s?\b") for kind, words in WORDS.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -105,15 +106,16 @@ def find_spans(t: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def score(t: str, kind: str, start: int) -> float:
-    near = t[max(0, start - CONTEXT) : start].lower()
-    return min(1.0, SCORE[kind] + RAISE * any(re.search(rf"\b{w}", near) for w in WORDS[kind]))
+def score(t: str, kind: str, start: int, end: int) -> float:
+    """Of the kind, raised by a whole word (or its plural) of the kind's on either side."""
+    near = f"{t[max(0, start - CONTEXT) : start]}\n{t[end : end + CONTEXT]}".lower()
+    return min(1.0, SCORE[kind] + RAISE * bool(_NEAR[kind].search(near)))
 
 
 def _find(batch: pa.RecordBatch) -> list:
     out = []
     for t in batch.column(batch.num_columns - 1).to_pylist():
-        out.append([{"kind": k, "start": a, "end": b, "score": score(t, k, a)} for k, a, b in find_spans(t)])
+        out.append([{"kind": k, "start": a, "end": b, "score": score(t, k, a, b)} for k, a, b in find_spans(t)])
     return [out]
 
 

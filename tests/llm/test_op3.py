@@ -2,10 +2,11 @@ import hashlib
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillstack.llm.pii import BASE, find_pii, find_spans, luhn, op3_pii
+from quillstack.llm.pii import BASE, find_pii, find_spans, luhn, op3_pii, score
 
 SF = "/root/testdata/sf0.01"
 
@@ -72,6 +73,14 @@ def test_ibans_before_other_tokens():
     assert [two[a:b] for k, a, b in find_spans(two) if k == "iban"] == [two[10:37], two[38:]]
 
 
+def test_context_is_on_both_sides():
+    card = "4242 4242 4242 4242"
+    for t, raised in ((f"{card} (Visa)", True), (f"visas: {card}", True), (f"{card} {'x' * 60} visa", False), (f"visavis {card}", False), (f"{card}\nkreditkarte", True), (f"{card} payments", True), (card, False)):
+        a = t.index("4242")
+        assert score(t, "card", a, a + len(card)) == pytest.approx(0.95 if raised else 0.8), t
+    assert score("ipsum 10.0.0.1 dolor", "ip", 6, 14) == 0.6 and score("10.0.0.1 is the server", "ip", 0, 8) == 0.75
+
+
 def test_scores_are_returned(spark, tmp_path):
     rows = [(1, "iban DE89370400440532013000 BIC COBADEFFXXX and a@b.cd"), (2, "nothing")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
