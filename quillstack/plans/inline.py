@@ -1,24 +1,7 @@
-"""Inline rows that a query and its SQL share."""
+"""Queries by name, and their SQL."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-@dataclass(frozen=True)
-class Rows:
-    columns: str
-    values: str
-
-    def spark(self, spark: SparkSession) -> DataFrame:
-        return spark.sql(f"SELECT * FROM VALUES {self.values} AS v({self.columns})")
-
-    @property
-    def sql(self) -> str:
-        return f"(SELECT * FROM (VALUES {self.values}) v({self.columns}))"
-
 
 class Catalogue:
     """Queries by name, and the SQL of those that have one."""

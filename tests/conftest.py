@@ -12,7 +12,7 @@ from quillstack.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cpus=8)
+    session = local_session(cpus=os.environ.get("TEST_CPUS", "8"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
