@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from quillstack.operators.retrieval import LIMIT, top
 from quillstack.session import broadcast_small, materialize, shared_dir
 
-#: Vectors that centroids are fitted on at most, lists at most, rounds of the fit, and the recall that the sample must reach.
-SAMPLE, LISTS, ROUNDS, RECALL = 20_000, 1024, 12, 0.97
+#: Vectors that centroids are fitted on at most, lists at most, rounds of the fit, and the share of near vectors that the sample must find.
+SAMPLE, LISTS, ROUNDS, SHARE = 20_000, 1024, 12, 0.97
 
 
 @dataclass
@@ -60,15 +60,15 @@ def fit_centroids(x: np.ndarray, lists: int, rounds: int = ROUNDS, seed: int = 0
     return c
 
 
-def probes_for(x: np.ndarray, c: np.ndarray, k: int, recall: float, asked: int = 200) -> int:
-    """How many lists some of the sample must probe to find `recall` of their k nearest in the sample, on average."""
+def probes_for(x: np.ndarray, c: np.ndarray, k: int, share: float, asked: int = 200) -> int:
+    """How many lists some of the sample must probe to find `share` of their k nearest in the sample, on average."""
     q = x[: min(asked, len(x))]
     k = min(k, len(x))
     true = np.argpartition(-(q @ x.T), k - 1, axis=1)[:, :k]
     own = (x @ c.T).argmax(1)
     place = np.argsort(np.argsort(-(q @ c.T), axis=1), axis=1)  # of each list in a query's order
     need = np.sort(np.take_along_axis(place, own[true], 1).ravel())
-    return int(need[min(int(np.ceil(recall * len(need))), len(need)) - 1]) + 1
+    return int(need[min(int(np.ceil(share * len(need))), len(need)) - 1]) + 1
 
 
 def _assigned(held):
@@ -86,14 +86,14 @@ def _assigned(held):
     return run
 
 
-def build(vectors: DataFrame, path: str | None = None, lists: int = LISTS, sample: int = SAMPLE, k: int = LIMIT, recall: float = RECALL) -> Index:
+def build(vectors: DataFrame, path: str | None = None, lists: int = LISTS, sample: int = SAMPLE, k: int = LIMIT, share: float = SHARE) -> Index:
     """Index all `vectors` (id, embedding). Vectors without a direction aren't in it: no query is near them."""
     spark = vectors.sparkSession
     # The smallest hashes are a sample that doesn't depend on partitions.
     drawn = vectors.where("embedding is not null").orderBy(F.xxhash64("id", "embedding")).limit(sample).select("embedding")
     x, _ = _matrix(drawn.toArrow().column("embedding").combine_chunks())  # at most `sample` rows
     c = fit_centroids(x, max(1, min(lists, len(x) // 16))) if len(x) else np.zeros((1, 1))
-    probes = probes_for(x, c, k, recall) if len(x) else 1
+    probes = probes_for(x, c, k, share) if len(x) else 1
     kind = vectors.schema["id"].dataType.simpleString()
     path = path or f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
     rows = vectors.select("id", "embedding").mapInArrow(_assigned(spark.sparkContext.broadcast(c)), f"id {kind}, embedding array<float>, list int")

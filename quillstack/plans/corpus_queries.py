@@ -215,7 +215,7 @@ def vector_topk(spark, d):
 
 @query("vector_index_topk")
 def vector_index_topk(spark, d):
-    """The same queries through the index. Approximate, so tests measure its recall; SQL has nothing to compare."""
+    """The same queries through the index. Approximate, so tests measure the share of near vectors it finds; SQL has nothing to compare."""
     queries, vectors = _vectors(spark, d)
     return V.search(V.build(vectors), queries).select("qid", "id", "score", "rank")
 

@@ -10,9 +10,11 @@ from quillstack.functions import markdown as M
 from quillstack.functions import text as T
 from quillstack.operators import glossary as G
 from quillstack.operators import ingest as I
+from quillstack.operators import retrieval as R
 from quillstack.operators import store
+from quillstack.plans.corpus_queries import _HYBRID, _open, _paired
 from quillstack.plans.inline import Catalogue
-from quillstack.session import shared_dir
+from quillstack.session import materialize, shared_dir
 from quillstack.sources import corpus as C
 from quillstack.sources import derived as D
 
@@ -198,6 +200,21 @@ def glossary_expand(spark, d):
     return G.expand(_asked(spark, d), _entries(spark, d)).select("qid", F.array_join("terms", " ").alias("terms"), "expanded")
 
 
+#: The whole retrieval of expanded questions; the inner names are those of the retrieval alone.
+_INNER = _HYBRID[_HYBRID.index("ident AS") :].replace("AS term FROM named_q),\nopen_", "AS term FROM wider),\nopen_")
+
+
+@catalogue.add("hybrid_expanded", f"""WITH {C.SQL}, {D.SQL}, {_MATCHED}, gained AS (SELECT h.qid, s.term, min({{'entry': h.entry, 'place': s.place}}) AS first FROM hits h JOIN spoken s ON s.entry = h.entry JOIN own x ON x.qid = h.qid WHERE NOT list_contains(x.w, s.term) GROUP BY h.qid, s.term),
+numbered_terms AS (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY first) AS n FROM gained QUALIFY n <= 16), terms AS (SELECT qid, string_agg(term, ' ' ORDER BY n) AS terms FROM numbered_terms GROUP BY qid), wider AS (SELECT q.qid, q.question || coalesce(' ' || g.terms, '') AS question FROM q LEFT JOIN terms g ON g.qid = q.qid), plain AS (SELECT qid, question FROM q)
+SELECT * FROM (WITH named_q AS (SELECT * FROM plain), {_INNER} SELECT qid, id, round(score::DOUBLE, 7) AS score, context_for, position FROM placed) z""")
+def hybrid_expanded(spark, d):
+    """The whole retrieval: a glossary's terms go to both sides, identifiers are of the question alone, scopes before ranks."""
+    queries, vectors = _paired(spark, d)
+    chunks = materialize(C.chunks(spark, d), "chunks")
+    found = R.hybrid(_asked(spark, d), chunks, queries, vectors, _open(spark, d, chunks), entries=_entries(spark, d))
+    return found.withColumn("score", F.round(F.col("score").cast("double"), 7))
+
+
 @catalogue.add("github_anchor", rf"WITH {C.SQL} SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s\p{{Z}}\x85-]', '', 'g'), '-[\s\p{{Z}}\x85]+', '-', 'g'), '[\s\p{{Z}}\x85]+', '-', 'g'), '-') AS anchor FROM chunks")
 def github_anchor(spark, d):
     """Each line as a heading."""

@@ -159,3 +159,20 @@ def test_models_and_oversized_texts(spark):
     assert [len(b) for b in R.batches(iter(["a", "b" * 900, "c"]), 64, 20)] == [1, 1, 1]
     with pytest.raises(ValueError, match="text 1"):
         list(R.batches(iter(["a", "b" * 900, "c"]), 64, 20, reject=True))
+
+
+def test_blank_questions_find_nothing_and_glossaries_reach_both_sides(spark):
+    rows = [("a", "wages are paid on friday"), ("b", "holidays are long"), ("c", "friday is a day")]
+    chunks = spark.createDataFrame([(i, "d", n, None, t) for n, (i, t) in enumerate(rows)], "id string, document_id string, ordinal long, heading string, text string")
+    asked = spark.createDataFrame([(1, "When is the pay run?"), (2, "  "), (3, "holidays")], "qid long, question string")
+    entries = spark.createDataFrame([(1, ["pay run"], [], ["wages", "friday"])], "entry long, phrases array<string>, acronyms array<string>, terms array<string>")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, embedding array<double>")
+    seen = []
+
+    def embed(expanded):
+        seen.extend(sorted((r.qid, r.question) for r in expanded.collect()))
+        return expanded.where("qid = 3").select("qid", F.array(F.lit(0.0), F.lit(1.0)).alias("query"))
+
+    got = R.hybrid(asked, chunks, embed, vectors, chunks.select("id"), entries=entries).where("context_for is null").collect()
+    assert seen == [(1, "When is the pay run? wages friday"), (3, "holidays")]
+    assert {(r.qid, r.id) for r in got} >= {(1, "a"), (1, "c"), (3, "b")} and 2 not in {r.qid for r in got}

@@ -1,4 +1,4 @@
-"""Recall of the vector index against exact search, and scopes that are hard to fill."""
+"""What the vector index finds against exact search, and scopes that are hard to fill."""
 
 import numpy as np
 import pytest
@@ -10,7 +10,7 @@ from quillstack.plans.corpus_queries import _vectors
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_recall_at_50(spark, sf):
+def test_nine_tenths_of_the_50_nearest_are_found(spark, sf):
     queries, vectors = _vectors(spark, f"/root/testdata/{sf}")
     index = V.build(vectors)
     assert index.table(spark).count() == vectors.count()
