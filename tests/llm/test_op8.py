@@ -151,5 +151,4 @@ def test_any_number_of_types_up_to_the_whole_vocabulary(spark):
         assert len(model.under) == classes and clustered == len(model.vocabulary.word)
         r = score_texts(held, model, counts, keep=["doc_id"]).agg(F.sum("score"), F.sum("n_tokens")).first()
         seen[types] = 10 ** (-r[0] / r[1])
-    print(seen)
-    assert seen[500] < seen[50] and seen[10**9] < seen[50]
+    assert seen[10**9] < min(seen[50], seen[500])
