@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.operators.retrieval import batches
+from quillstack.session import materialize
 
 
 def diff(drafts: DataFrame, history: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def ingest(drafts: DataFrame, history: DataFrame, readers: DataFrame) -> tuple[D
     is (reader, source, document_id, id, version, ordinal), `history` (source, id, version, ordinal, superseded). The
     report is (reader, fault, documents, new_versions, superseded) of each reader, one that read nothing too.
     """
-    bad = faults(drafts)
+    bad = materialize(faults(drafts), "faults")  # a row a reader at most
     sound = readers.join(bad, "reader", "left_anti").select(F.col("reader").alias("source"))
     taken = drafts.join(sound, "source", "left_semi").where(F.col("reader") == F.col("source"))
     mine = history.join(sound, "source", "left_semi")

@@ -72,11 +72,11 @@ diff AS (SELECT coalesce(d.source, n.source) AS source, coalesce(d.id, n.id) AS
 
 
 def _read(spark, d):
-    rows = drafts(spark, d)
+    rows = materialize(drafts(spark, d).select("source", "document_id", "id", "version", "ordinal"), "drafts")  # lines are split once
     reader = F.when((F.col("source") == "src3") & F.col("document_id").like("%7"), "src2").otherwise(F.col("source"))
     twice = rows.where("source = 'src4' and ordinal % 9 = 2").withColumn("reader", F.col("source"))
     readers = C.documents(spark, d).select(F.col("source").alias("reader")).distinct().union(spark.createDataFrame([("nothing",)], "reader string"))
-    history = C.chunk_history(spark, d).select("source", "id", "version", "ordinal", "superseded")
+    history = materialize(C.chunk_history(spark, d).select("source", "id", "version", "ordinal", "superseded"), "history")
     return I.ingest(rows.withColumn("reader", reader).unionByName(twice).select("reader", "source", "document_id", "id", "version", "ordinal"), history, readers)
 
 
