@@ -44,3 +44,33 @@ def test_odd_vectors_and_empty_tables(spark):
     assert [(r.id, r.score, r.rank) for r in got] == [(1, 1.0, 1), (6, 0.6, 2)]
     none = V.build(spark.createDataFrame([], "id long, embedding array<float>"))
     assert none.centroids.shape == (1, 1)
+
+
+def test_tiles_rank_as_all_pairs_do(spark, monkeypatch):
+    """Copies, odd vectors, vectors of other lengths and null parts, over several blocks of both sides."""
+    from quillstack.operators import ranking
+
+    monkeypatch.setattr(ranking, "QUERIES", 9)
+    monkeypatch.setattr(ranking, "COMPONENTS", 700)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(40, 8)).astype(np.float32)
+    rows = [(f"v{i}", base[i % 40].tolist() if i < 250 else (base[i % 40] + 1e-4 * r.normal(size=8)).tolist()) for i in range(400)]
+    rows += [("n", None), ("z", [0.0] * 8), ("p", [None] + [1.0] * 7), ("s", [1.0, 2.0]), ("e", [])]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<float>")
+    queries = spark.createDataFrame([(k, base[k].tolist()) for k in range(20)] + [(20, [2.0, 1.0]), (21, [0.0] * 8)], "qid long, query array<float>")
+    got = {(x.qid, x["rank"]): (x.id, x.score) for x in R.vector_top(queries, vectors, 12).collect()}
+    want = {}
+    for q in queries.collect():
+        near = []
+        for v in vectors.collect():
+            if v.embedding and None not in v.embedding and len(v.embedding) == len(q.query) and any(v.embedding) and any(q.query):
+                a, b = np.array(v.embedding, np.float64), np.array(q.query, np.float64)
+                near.append((-round(float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)), 5), v.id))
+        want |= {(q.qid, n): (i, -s) for n, (s, i) in enumerate(sorted(near)[:12], 1)}
+    assert got == want and len(want) == 20 * 12 + 1
+
+
+def test_exact_search_and_probes_make_no_row_a_pair(spark):
+    queries, vectors = _vectors(spark, "/root/testdata/sf0.001")
+    plan = R.vector_top(queries, vectors)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
