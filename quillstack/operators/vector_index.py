@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstack.operators.retrieval import LIMIT, top
-from quillstack.session import broadcast_small, materialize, shared_dir
+from quillstack.operators import ranking
+from quillstack.operators.retrieval import LIMIT, VECTOR_PLACES, top
+from quillstack.session import materialize, shared_dir
 
 #: Vectors that centroids are fitted on at most, lists at most, rounds of the fit, and the share of near vectors that the sample must find.
 SAMPLE, LISTS, ROUNDS, SHARE = 20_000, 1024, 12, 0.97
@@ -133,10 +134,10 @@ def search(index: Index, queries: DataFrame, k: int = LIMIT, readable: DataFrame
     found, done, upto = None, 0, probes or index.probes
     todo = order
     while True:
-        pairs = todo.select("qid", "query", F.explode(F.slice("lists", done + 1, upto - done)).alias("list"))
-        dot = F.aggregate(F.zip_with("query", "embedding", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        near = table.join(broadcast_small(pairs), "list").select("qid", "id", F.round(dot, 5).alias("score"))
-        part = materialize(top(near, k, F.desc("score"), F.asc("id")).drop("rank"), "near")
+        asked = todo.select("qid", "query", F.slice("lists", done + 1, upto - done).alias("lists"))
+        probed = [r[0] for r in asked.select(F.explode("lists")).distinct().collect()]  # numbers of lists, LISTS at most
+        near = ranking.nearest(asked, table.where(F.col("list").isin(probed)), k, VECTOR_PLACES)
+        part = materialize(top(near.withColumn("score", F.round("score", VECTOR_PLACES)), k, F.desc("score"), F.asc("id")).drop("rank"), "near")
         found = part if found is None else found.unionByName(part)
         done, upto = upto, 2 * upto
         if done >= len(index.centroids):
