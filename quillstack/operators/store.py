@@ -6,24 +6,25 @@ when all tasks are done, so a job that fails leaves the old state. Nothing else
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions import text as T
-from quillstack.operators.ingest import apply
 from quillstack.session import materialize, remove
 
-#: Partitions of a table; a state of 100 TB wants some tens of thousands.
-PARTS = 16
+#: Partitions of a table; a state of 100 TB wants some tens of thousands. Tasks, so files, of a partition of chunks at most.
+PARTS, SLICES = 16, 8
 
 
 def part(key: str, parts: int = PARTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
 
 
-def put(rows: DataFrame, path: str) -> None:
-    """Replace the partitions (`part`) of the table that `rows` has; the others stay."""
-    rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+def put(rows: DataFrame, path: str, dealt: bool = False) -> None:
+    """Replace the partitions (`part`) of the table that `rows` has; the others stay. Rows that are `dealt` by partitions
+    already stay in their tasks. `rows` may read the table: what it had is replaced when all tasks are done."""
+    rows = rows if dealt else rows.repartition("part")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("part").parquet(path)
 
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -35,29 +36,36 @@ HISTORY = "document_id string, id string, text string, version string, ordinal l
 
 def save(drafts: DataFrame, path: str, first: bool = False, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
     """Bring the table of chunks at `path` to the snapshot `drafts` (document_id, id, text, version, ordinal). Returns what
-    was current before and what is now, of the changed partitions: what `update_stats` takes.
+    was current and isn't now, and what is now and wasn't: what `update_stats` takes. Both read the table, so they are
+    for use before the next save.
 
     Partitions are of documents. Those in which no document changed aren't written: a part is told by the sum of the
-    hashes of its current rows, so only two numbers of each are compared.
+    hashes of its current rows, so only two numbers of each are compared. Of the changed ones the snapshot's and the
+    stored rows are dealt once, by partition and a second hash of the document, and written from there, so a text moves
+    once. A row says (`was`) whether it was current before its partition was last written.
     """
     spark = drafts.sparkSession
-    new = drafts.withColumn("part", part("document_id", parts))
-    if first:
-        now = materialize(new.withColumn("superseded", F.lit(False)).select(*[c.split()[0] for c in HISTORY.split(", ")], "part"), "state")
-        put(now, path)
-        return now.limit(0), now
-    history = read(spark, path, HISTORY)
-    mark = F.sum(F.xxhash64("id", "version", "ordinal").cast("decimal(38, 0)")).alias("mark")
-    was, is_ = history.where("not superseded").groupBy("part").agg(mark), new.groupBy("part").agg(mark.alias("to"))
-    changed = materialize(was.join(is_, "part", "full").where(~F.col("mark").eqNullSafe(F.col("to"))).select("part"), "changed")
-    new, old = new.join(F.broadcast(changed), "part", "left_semi"), history.join(F.broadcast(changed), "part", "left_semi")  # `parts` rows at most
-    of = new.select("document_id", "id", "text", "version", "part").unionByName(old.select("document_id", "id", "text", "version", "part")).dropDuplicates(["id", "version"])
-    after = apply(new.select("id", "version", "ordinal"), old).join(of, ["id", "version"])
-    after = materialize(after.select(*old.columns), "state")  # before its own partitions are replaced
-    before = materialize(old.where("not superseded"), "before")
-    put(after, path)
-    remove(changed)
-    return before, after.where("not superseded")
+    columns = [c.split()[0] for c in HISTORY.split(", ")]
+    new = drafts.withColumn("part", part("document_id", parts)).withColumn("superseded", F.lit(False)).select(*columns, "part")
+    history = None if first else read(spark, path, HISTORY)
+    rows = new.withColumn("new", F.lit(True))
+    if history is not None:
+        mark = F.sum(F.xxhash64("id", "version", "ordinal").cast("decimal(38, 0)")).alias("mark")
+        was, is_ = history.where("not superseded").groupBy("part").agg(mark), new.groupBy("part").agg(mark.alias("to"))
+        changed = [r.part for r in was.join(is_, "part", "full").where(~F.col("mark").eqNullSafe(F.col("to"))).select("part").collect()]  # numbers of partitions
+        rows = rows.unionByName(history.withColumn("new", F.lit(False))).where(F.col("part").isin(changed))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("document_id", F.lit(1)), F.lit(SLICES))).repartition("part", "slice")
+    if history is None:
+        rows = rows.withColumn("was", F.lit(False))
+    else:  # the rule of `ingest.apply`: what the snapshot has is current, other versions stay, superseded
+        same = Window.partitionBy("part", "slice", "id", "version")
+        current = ~F.col("new") & ~F.col("superseded")
+        rows = rows.withColumn("was", F.max(current).over(same)).withColumn("kept", ~F.max("new").over(same))
+        rows = rows.where("new or kept").withColumn("was", F.when(F.col("new"), F.col("was")).otherwise(current)).withColumn("superseded", ~F.col("new"))
+    put(rows.select(*columns, "was", "part"), path, dealt=True)
+    after = read(spark, path, f"{HISTORY}, was boolean")
+    after = after if history is None else after.where(F.col("part").isin(changed))
+    return after.where("was and superseded").drop("was"), after.where("not was and not superseded").drop("was")
 
 
 TERMS = "term string, df long"
@@ -73,11 +81,10 @@ def _totals(chunks: DataFrame, sign: int) -> DataFrame:
 
 def update_stats(before: DataFrame, now: DataFrame, path: str, parts: int = PARTS) -> None:
     """Change the stored statistics by what left (`before`) and what came (`now`): signed counts for each term, then only
-    the partitions of terms that changed. Terms that no chunk has any more keep a row with df 0."""
+    the partitions of terms that changed. What is in both cancels out. Terms that no chunk has any more keep a row with
+    df 0."""
     spark = now.sparkSession
-    same = ["id", "version"]
-    gone, came = before.join(now.select(same), same, "left_anti"), now.join(before.select(same), same, "left_anti")
-    change = _df(gone, -1).union(_df(came, 1)).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0")
+    change = _df(before, -1).union(_df(now, 1)).groupBy("term").agg(F.sum("d").alias("d")).where("d <> 0")
     change = materialize(change.withColumn("part", part("term", parts)), "change")
     try:
         old = read(spark, f"{path}/terms", TERMS)
@@ -89,12 +96,12 @@ def update_stats(before: DataFrame, now: DataFrame, path: str, parts: int = PART
         old, totals = spark.createDataFrame([], f"{TERMS}, part int"), spark.createDataFrame([], "chunks long, length long")
     touched = change.select("part").distinct()
     merged = old.join(F.broadcast(touched), "part", "left_semi").select("term", "df", "part").union(change.select("term", "d", "part"))  # `parts` rows at most
-    merged = materialize(merged.groupBy("term", "part").agg(F.sum("df").alias("df")).select("term", "df", "part"), "terms")
-    sums = totals.union(_totals(gone, -1)).union(_totals(came, 1)).agg(F.sum("chunks").alias("chunks"), F.sum("length").alias("length"))
+    merged = merged.repartition("part").groupBy("part", "term").agg(F.sum("df").alias("df")).select("term", "df", "part")
+    sums = totals.union(_totals(before, -1)).union(_totals(now, 1)).agg(F.sum("chunks").alias("chunks"), F.sum("length").alias("length"))
     sums = materialize(sums, "totals")
-    put(merged, f"{path}/terms")
+    put(merged, f"{path}/terms", dealt=True)
     sums.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")  # one row
-    remove(change, merged, sums)
+    remove(change, sums)
 
 
 def stored_terms(spark: SparkSession, path: str) -> DataFrame:

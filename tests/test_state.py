@@ -51,6 +51,21 @@ def test_three_snapshots_equal_a_rebuild(spark, tmp_path):
     assert again[1].count() == 0  # nothing changed
 
 
+def test_saves_return_what_changed_and_keep_repeated_rows_apart(spark, tmp_path):
+    path = f"{tmp_path}/chunks"
+    rows = snapshot(spark, {"a#1": "one", "a#2": "two", "b#1": "three"})
+    twice = rows.union(rows.where("id = 'a#1'"))
+    store.save(twice, path, first=True, parts=1)
+    edited = twice.withColumn("version", F.when(F.col("id") == "a#2", "v:new").otherwise(F.col("version")))
+    for _ in range(2):
+        before, now = store.save(edited.where("id <> 'b#1'"), path, parts=1)
+        changed = [sorted((r.id, r.version) for r in x.collect()) for x in (before, now)]
+        assert changed == ([[("a#2", "v:two"), ("b#1", "v:three")], [("a#2", "v:new")]] if _ == 0 else [[], []])
+        edited = edited.withColumn("ordinal", F.col("ordinal") + 1)  # moves alone change no statistics
+    stored = sorted((r.id, r.version, r.superseded) for r in store.read(spark, path, store.HISTORY).collect())
+    assert stored == [("a#1", "v:one", False)] * 2 + [("a#2", "v:new", False), ("a#2", "v:two", True), ("b#1", "v:three", True)]
+
+
 def test_a_killed_write_leaves_the_old_state(spark, tmp_path):
     path = f"{tmp_path}/chunks"
     store.save(snapshot(spark, SNAPSHOTS[0]), path, first=True)
