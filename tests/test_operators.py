@@ -298,3 +298,16 @@ def test_results_of_two_runs_compare(spark, tmp_path):
     E.write_results(now, f"{tmp_path}/r")
     back = E.read_results(spark, f"{tmp_path}/r", now.schema)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, now.collect()))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_stay_where_their_text_is(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_BYTES", 5)
+    rows = [("a", "x x y"), ("b", "runs running ran"), ("a", "y Z")]  # an id that comes twice is one
+    chunks = spark.createDataFrame(rows, "id string, text string").withColumn("heading", F.lit(None).cast("string"))
+    got = R.postings(chunks)
+    assert sorted(map(tuple, got.collect())) == [("a", "x", 2), ("a", "y", 2), ("a", "z", 1), ("b", "ran", 1), ("b", "running", 1), ("b", "runs", 1)]
+    assert "hashpartitioning(id#" in _plan(got) and "term#" not in "".join(x for x in _plan(got).split("\n") if "hashpartitioning" in x)
