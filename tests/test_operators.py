@@ -311,3 +311,13 @@ def test_words_stay_where_their_text_is(spark, monkeypatch):
     got = R.postings(chunks)
     assert sorted(map(tuple, got.collect())) == [("a", "x", 2), ("a", "y", 2), ("a", "z", 1), ("b", "ran", 1), ("b", "running", 1), ("b", "runs", 1)]
     assert "hashpartitioning(id#" in _plan(got) and "term#" not in "".join(x for x in _plan(got).split("\n") if "hashpartitioning" in x)
+
+
+@pytest.mark.parametrize("head", [1, 1000])
+def test_lexemes_stay_where_their_text_is(spark, monkeypatch, head):
+    monkeypatch.setattr(R, "TASK_BYTES", 100)
+    rows = [(f"c{n}", "Run", "runs running, the runner") for n in range(40)] + [("c1", None, "walks"), ("c2", "", "")]
+    got = R.stemmed_postings(spark.createDataFrame(rows, "id string, heading string, text string"), head)
+    want = {(f"c{n}", "run", 1, 2, 3) for n in range(40)} | {(f"c{n}", "runner", 0, 1, 1) for n in range(40)} | {("c1", "walk", 0, 1, 1)}
+    assert set(map(tuple, got.collect())) == want
+    assert "hashpartitioning(id#" in _plan(got) and "lexeme#" not in "".join(x for x in _plan(got).split("\n") if "hashpartitioning" in x)
