@@ -321,3 +321,17 @@ def test_lexemes_stay_where_their_text_is(spark, monkeypatch, head):
     want = {(f"c{n}", "run", 1, 2, 3) for n in range(40)} | {(f"c{n}", "runner", 0, 1, 1) for n in range(40)} | {("c1", "walk", 0, 1, 1)}
     assert set(map(tuple, got.collect())) == want
     assert "hashpartitioning(id#" in _plan(got) and "lexeme#" not in "".join(x for x in _plan(got).split("\n") if "hashpartitioning" in x)
+
+
+def test_hits_stream_through_small_batches(spark):
+    hits = spark.createDataFrame([(d, f"d{d}#{n}", 1 / (n + 1), n + 1) for d in range(9) for n in range(0, 1 + 3 * d, 4)], "qid long, id string, score double, rank long")
+    fetched = spark.createDataFrame([(d, f"d{d}#{n}", f"d{d}", n) for d in range(9) for n in range(1 + 3 * d)], "qid long, id string, document_id string, ordinal long")
+    whole = sorted(map(tuple, R.expand(hits, fetched).collect()), key=str)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        expanded = R.expand(hits, fetched)
+        assert sorted(map(tuple, expanded.collect()), key=str) == whole and len(whole) > 40
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "MapInPandas" in _plan(expanded) and "FlatMapGroups" not in _plan(expanded)
