@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.operators.retrieval import batches
+from quillstack.functions import text as T
 from quillstack.session import materialize
 
 
@@ -82,13 +84,31 @@ def ingest(drafts: DataFrame, history: DataFrame, readers: DataFrame) -> tuple[D
 
 
 def embed_runs(chunks: DataFrame, size: int = 64, most_tokens: int = 50_000, reject: bool = False) -> DataFrame:
-    """(document_id, run, texts, longest): the texts of each document in order, packed for a model (`batches`). A document
-    is a group."""
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        runs = list(batches(iter(rows.sort_values("ordinal").text), size, most_tokens, reject))
-        return pd.DataFrame({"document_id": rows.document_id.iloc[0], "run": range(len(runs)), "texts": [len(r) for r in runs], "longest": [max(len(t) for t in r) for r in runs]})
-
-    return chunks.select("document_id", "ordinal", "text").groupBy("document_id").applyInPandas(pack, "document_id string, run long, texts long, longest long")
+    """(document_id, run, texts, longest): the texts of each document in order, packed for a model by the rule of `batches`.
 
+    Only the lengths of texts move. Documents stream through a task in order, many of them in a batch of rows.
+    """
 
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["document_id", "run", "texts", "longest"]
+        document, place, run, texts, longest, most = object(), 0, 0, 0, 0, 0
+        for rows in frames:
+            done = []
+            for of, n, tokens, start in zip(rows.document_id, rows.n.tolist(), rows.tokens.tolist(), rows.start, strict=True):
+                place = place + 1 if of == document else 0
+                if reject and tokens > most_tokens:
+                    raise ValueError(f"text {place} is about {tokens} tokens, over {most_tokens}; it starts {start!r}")
+                if of != document or texts == size or max(most, tokens) * (texts + 1) > most_tokens:
+                    if texts:
+                        done.append((document, run, texts, longest))
+                    run = run + 1 if of == document else 0
+                    document, texts, longest, most = of, 0, 0, 0
+                texts, longest, most = texts + 1, max(longest, n), max(most, tokens)
+            if done:
+                yield pd.DataFrame(done, columns=columns)
+        if texts:
+            yield pd.DataFrame([(document, run, texts, longest)], columns=columns)
+
+    start = F.left("text", F.lit(80)) if reject else F.lit("")
+    rows = chunks.select("document_id", "ordinal", F.char_length("text").alias("n"), T.token_estimate(F.col("text")).alias("tokens"), start.alias("start"))
+    return rows.repartition("document_id").sortWithinPartitions("document_id", "ordinal").mapInPandas(pack, "document_id string, run long, texts long, longest long")

@@ -335,3 +335,19 @@ def test_hits_stream_through_small_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert "MapInPandas" in _plan(expanded) and "FlatMapGroups" not in _plan(expanded)
+
+
+def test_documents_stream_through_small_batches(spark):
+    rows = [(f"d{d}", n, "é" * (1 + 7 * (d + n) % 23)) for d in range(9) for n in range(1 + 3 * d)]
+    chunks = spark.createDataFrame(rows, "document_id string, ordinal long, text string")
+    want = sorted((f"d{d}", k, len(r), max(map(len, r))) for d in range(9) for k, r in enumerate(R.batches((t for o, _, t in rows if o == f"d{d}"), 4, 40)))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        packed = I.embed_runs(chunks, 4, 40)
+        assert sorted(map(tuple, packed.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "MapInPandas" in _plan(packed) and "FlatMapGroups" not in _plan(packed)
+    with pytest.raises(Exception, match="text 1 is about"):
+        I.embed_runs(spark.createDataFrame([("d", 0, "a"), ("d", 1, "b" * 900)], "document_id string, ordinal long, text string"), 4, 20, reject=True).collect()
